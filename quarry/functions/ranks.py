@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import phash
+from .materialize import pin
 
 _MAX_WINDOW = 1 << 20
 _ACCURACY = 100_000
@@ -239,6 +240,9 @@ def hash_rank_bins(df: DataFrame, group_cols: Sequence[str], key_cols: Sequence[
     ties = ties.withColumn("_rn", F.row_number().over(wt) - 1).filter(F.col("_rn") == F.col("_r2"))
     th = ties.groupBy(*gnames).agg(
         F.collect_list(F.struct(F.col("_h").alias("h"), F.struct(*knames).alias("k"))).alias("_th"))
+    # one row per group with at most len(cuts) pairs: computed once, read back by every
+    # consumer (without this, each use of the result re-runs the three selection levels)
+    th = pin(th)
     out = d.join(th, gnames, "left")
     kstruct = F.struct(*knames)
     bin_expr = F.size(F.filter(
