@@ -1,6 +1,6 @@
 """Named queries over the given tables; importing this package registers all of them."""
 
-from . import drift_plans, eval_plans, framing_plans, prep_plans, quality, split_plans  # noqa: F401
+from . import baseline_plans, drift_plans, eval_plans, framing_plans, prep_plans, quality, split_plans  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 
