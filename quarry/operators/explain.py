@@ -57,9 +57,10 @@ def correlated_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """H6: |Pearson| of every pair (upper triangle, pairwise complete) in one aggregate."""
     pairs = list(combinations(cols, 2))
     row = df.agg(*[safe_corr(as_double(df, a), as_double(df, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    body = ", ".join(f"'{a}', '{b}', r{i}" for i, (a, b) in enumerate(pairs))
-    long = row.selectExpr(f"stack({len(pairs)}, {body}) AS (feature_a, feature_b, corr)")
-    return long.select("feature_a", "feature_b", r6(F.col("corr")).alias("corr"),
+    body = ", ".join(f"{i}, '{a}', '{b}', r{i}" for i, (a, b) in enumerate(pairs))
+    long = row.selectExpr(f"stack({len(pairs)}, {body}) AS (pair_index, feature_a, feature_b, corr)")
+    return long.select(F.col("pair_index").cast("int").alias("pair_index"), "feature_a", "feature_b",
+                       r6(F.col("corr")).alias("corr"),
                        F.coalesce(F.abs("corr") > CORR_LIMIT, F.lit(False)).alias("above_limit"))
 
 

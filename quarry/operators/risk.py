@@ -139,3 +139,60 @@ def confidence_level(flags: DataFrame, group_cols: Sequence[str] = ()) -> DataFr
     return g.agg(rank.alias("_r")).select(
         *group_cols,
         F.when(F.col("_r") == 3, "unsafe").when(F.col("_r") == 2, "uncertain").otherwise("safe").alias("confidence"))
+
+
+def metrics_row(parts: dict[str, DataFrame]) -> DataFrame:
+    """One wide metric row from long (metric, value, text) frames: union, then pivot on
+    the known metric names (no join between the one-row frames)."""
+    long = union_flags(list(parts.values()))
+    return long.groupBy().pivot("metric", sorted(parts)).agg(F.first("value").alias("v"), F.first("text").alias("t"))
+
+
+def metric(df: DataFrame, name: str, value: Column | None = None, text: Column | None = None) -> DataFrame:
+    return df.select(F.lit(name).alias("metric"),
+                     (value if value is not None else F.lit(None)).cast("double").alias("value"),
+                     (text if text is not None else F.lit(None)).cast("string").alias("text"))
+
+
+def post_training_flags(m: DataFrame, problem_type: str, approvals: Sequence[str] = ()) -> DataFrame:
+    """R13-R15, R19-R22 over the wide metric row (columns ``<metric>_v`` / ``<metric>_t``)."""
+    approvals = set(approvals)
+    cv_mean, cv_std, hold = F.col("cv_mean_v"), F.col("cv_std_v"), F.col("holdout_v")
+    gap = (cv_mean - hold) / F.greatest(F.abs(cv_mean), F.lit(1e-5))
+    out = [
+        flag(m.filter(cv_std > CV_STD_LIMIT), "post_training", WARNING, UNSTABLE_CV, None,
+             F.format_string("cv std %.4f above %.2f", cv_std, F.lit(CV_STD_LIMIT)), False),
+        flag(m.filter(F.col("dominant_share_v") > DOMINANT_LIMIT), "post_training", WARNING, DOMINANT_FEATURE,
+             F.col("dominant_share_t"), F.format_string("importance share %.4f", F.col("dominant_share_v")), False),
+        flag(m.filter(gap > GAP_FAIL), "evaluation", CRITICAL, OVERFITTING_FAIL, None,
+             F.format_string("cv-holdout gap %.4f", gap), False),
+        flag(m.filter((gap > GAP_WARN) & (gap <= GAP_FAIL)), "evaluation", WARNING, OVERFITTING_WARN, None,
+             F.format_string("cv-holdout gap %.4f", gap), False),
+        flag(m.filter(F.col("failed_slices_v") > 0), "evaluation", CRITICAL, SLICE_FAILURE, F.col("failed_slices_t"),
+             F.lit("slices below their gate"), False),
+        flag(m.filter(F.col("correlated_pairs_v") > 0), "explainability", INFO, "CORRELATED_FEATURES",
+             F.col("correlated_pairs_t"), F.lit("feature pairs with |r| above 0.7"), False),
+    ]
+    if problem_type == "classification":
+        if APPROVE_AUC not in approvals:
+            out.append(flag(m.filter(hold > AUC_LIMIT), "post_training", CRITICAL, SUSPICIOUS_AUC, None,
+                            F.format_string("holdout AUC %.4f above %.2f", hold, F.lit(AUC_LIMIT)), True))
+        out.append(flag(m.filter(F.col("ece_v") > ECE_LIMIT), "evaluation", CRITICAL, HIGH_CALIBRATION_ERROR, None,
+                        F.format_string("ECE %.4f", F.col("ece_v")), False))
+    return union_flags(out)
+
+
+def pass_gate(m: DataFrame, problem_type: str) -> DataFrame:
+    """R12 + R23: baseline beaten, no overfitting failure, no slice failure, calibrated."""
+    cv_mean, hold = F.col("cv_mean_v"), F.col("holdout_v")
+    gap = (cv_mean - hold) / F.greatest(F.abs(cv_mean), F.lit(1e-5))
+    base = F.col("beats_baseline_v") == 1
+    overfit_ok = ~(gap > GAP_FAIL)
+    slices_ok = ~(F.col("failed_slices_v") > 0)
+    calib_ok = ~(F.col("ece_v") > ECE_LIMIT) if problem_type == "classification" else F.lit(True)
+    from ..functions.columns import r6
+    return m.select(r6(cv_mean).alias("cv_mean"), r6(F.col("cv_std_v")).alias("cv_std"), r6(hold).alias("holdout"),
+                    r6(gap).alias("rel_gap"), r6(F.col("ece_v")).alias("ece"), base.alias("beats_baseline"),
+                    overfit_ok.alias("overfit_ok"), slices_ok.alias("slices_ok"), calib_ok.alias("calibration_ok"),
+                    (base & overfit_ok & slices_ok & calib_ok).alias("pass_gate"),
+                    (~base).alias("halt"))

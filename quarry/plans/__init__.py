@@ -1,6 +1,7 @@
 """Named queries over the given tables; importing this package registers all of them."""
 
-from . import baseline_plans, drift_plans, eval_plans, explain_plans, framing_plans, prep_plans, quality, split_plans  # noqa: F401
+from . import (baseline_plans, drift_plans, eval_plans, explain_plans, framing_plans, gate_plans,  # noqa: F401
+               prep_plans, quality, split_plans)
 from .registry import ORACLE, QUERIES
 
 

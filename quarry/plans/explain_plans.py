@@ -62,14 +62,16 @@ CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 def _pairs_sql():
     parts = []
+    k = 0
     for i, a in enumerate(CORR_COLS):
         for b in CORR_COLS[i + 1:]:
             x = f"(CASE WHEN {b} IS NOT NULL THEN CAST({a} AS DOUBLE) END)"
             y = f"(CASE WHEN {a} IS NOT NULL THEN CAST({b} AS DOUBLE) END)"
             den = f"(stddev_pop({x}) * stddev_pop({y}))"
             r = f"(CASE WHEN {den} = 0 THEN NULL ELSE covar_pop({x}, {y}) / {den} END)"
-            parts.append(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round({r}, 6) AS corr, "
+            parts.append(f"SELECT {k}::INT AS pair_index, '{a}' AS feature_a, '{b}' AS feature_b, round({r}, 6) AS corr, "
                          f"coalesce(abs({r}) > 0.7, false) AS above_limit FROM lineitem")
+            k += 1
     return sqlkit.union_all(parts)
 
 
