@@ -1,6 +1,6 @@
 """Named queries over the given tables; importing this package registers all of them."""
 
-from . import (baseline_plans, drift_plans, eval_plans, explain_plans, framing_plans, gate_plans,  # noqa: F401
+from . import (baseline_plans, io_plans, drift_plans, eval_plans, explain_plans, framing_plans, gate_plans,  # noqa: F401
                prep_plans, quality, session_plans, split_plans)
 from .registry import ORACLE, QUERIES
 
