@@ -193,9 +193,120 @@ def lex_bin(order: Column, key: Column, thresholds: Sequence[tuple[object, objec
     return total
 
 
+_MAX_DRIVER_GROUPS = 64
+_MAX_TIE_ROWS = 100_000
+
+
 def hash_rank_bins(df: DataFrame, group_cols: Sequence[str], key_cols: Sequence[str], *, seed: int,
-                   fractions_bp: Sequence[int], out_col: str, rounding: str = "ceil",
-                   bucket_shift: int = 14) -> DataFrame:
+                   fractions_bp: Sequence[int], out_col: str, rounding: str = "ceil") -> DataFrame:
+    """Add ``out_col``: the bin of each row in the seeded random order (hash, key) of its group.
+
+    Cuts are fractions in basis points.  Row of rank r in a group of n falls in bin
+    j = #{cuts c : r >= ceil(n*c/10000)} (``rounding="floor"``: floor instead).
+
+    Few groups (the usual case: classes of a label): three bounded aggregates collected on
+    the driver find every cut exactly -- counts per (group, top 14 hash bits), counts per
+    exact hash value inside the cut buckets, and the few rows tied on a cut's hash value --
+    then the bin is a narrow projection with literal thresholds (no join, no shuffle of
+    the rows).  Many groups, or a tie set beyond ``_MAX_TIE_ROWS``: the distributed form.
+    """
+    fast = _hash_rank_bins_driver(df, group_cols, key_cols, seed, fractions_bp, out_col, rounding)
+    if fast is not None:
+        return fast
+    return _hash_rank_bins_distributed(df, group_cols, key_cols, seed=seed, fractions_bp=fractions_bp,
+                                       out_col=out_col, rounding=rounding)
+
+
+def _hash_rank_bins_driver(df, group_cols, key_cols, seed, fractions_bp, out_col, rounding):
+    add = 9999 if rounding == "ceil" else 0
+    g = F.struct(*[F.col(f"`{c}`") for c in group_cols]) if group_cols else F.lit(0)
+    h = phash(key_cols, seed)
+    d = df.select(g.alias("_g"), h.alias("_h"), *[F.col(f"`{k}`") for k in key_cols])
+    lim = _MAX_DRIVER_GROUPS * (1 << 14) + 1
+    c1 = d.groupBy("_g", F.shiftright("_h", 14).alias("_b")).agg(F.count(F.lit(1)).alias("n")).limit(lim).collect()
+    if len(c1) >= lim:
+        return None
+    per_group: dict = {}
+    for r in c1:
+        per_group.setdefault(r["_g"], []).append((r["_b"], r["n"]))
+    if len(per_group) > _MAX_DRIVER_GROUPS:
+        return None
+    # level 1: the bucket holding each cut rank
+    want1 = {}  # (g, j) -> (bucket, rank inside bucket)
+    for gv, rows in per_group.items():
+        rows.sort()
+        n = sum(c for _, c in rows)
+        for j, bp in enumerate(fractions_bp):
+            k = (n * bp + add) // 10000
+            if k >= n:
+                continue
+            cum = 0
+            for b, c in rows:
+                if cum + c > k:
+                    want1[(gv, j)] = (b, k - cum)
+                    break
+                cum += c
+    thresholds: dict = {gv: [] for gv in per_group}
+    if want1:
+        cond = F.lit(False)
+        for gv, b in {(gv, b) for (gv, _), (b, _) in want1.items()}:
+            cond = cond | ((F.col("_g") == F.lit(gv) if not group_cols else F.col("_g") == _struct_lit(gv))
+                           & (F.shiftright("_h", 14) == F.lit(b)))
+        c2 = d.filter(cond).groupBy("_g", "_h").agg(F.count(F.lit(1)).alias("n")).collect()
+        hv: dict = {}
+        for r in c2:
+            hv.setdefault((r["_g"], r["_h"] >> 14), []).append((r["_h"], r["n"]))
+        want2 = {}  # (g, j) -> (hash value, rank among rows with that hash)
+        for (gv, j), (b, r1) in want1.items():
+            cum = 0
+            for hval, c in sorted(hv[(gv, b)]):
+                if cum + c > r1:
+                    want2[(gv, j)] = (hval, r1 - cum)
+                    break
+                cum += c
+        # level 3: the rows tied on a cut's hash value, ordered by key
+        cond = F.lit(False)
+        for gv, hval in {(gv, hval) for (gv, _), (hval, _) in want2.items()}:
+            cond = cond | ((F.col("_g") == F.lit(gv) if not group_cols else F.col("_g") == _struct_lit(gv))
+                           & (F.col("_h") == F.lit(hval)))
+        ties = d.filter(cond).limit(_MAX_TIE_ROWS + 1).collect()
+        if len(ties) > _MAX_TIE_ROWS:
+            return None
+        tie_map: dict = {}
+        for r in ties:
+            tie_map.setdefault((r["_g"], r["_h"]), []).append(tuple(r[k] for k in key_cols))
+        for (gv, j), (hval, r2) in want2.items():
+            keys = sorted(tie_map[(gv, hval)])
+            thresholds[gv].append((hval, keys[r2]))
+    # the bin: number of thresholds at or below (hash, key) of the row's group
+    kstruct = F.struct(*[F.col(f"`{k}`") for k in key_cols])
+
+    def count_for(ths):
+        if not ths:
+            return F.lit(0)
+        total = F.lit(0)
+        for hval, key in ths:
+            kl = F.struct(*[F.lit(v).cast(df.schema[k].dataType) for k, v in zip(key_cols, key)])
+            total = total + ((F.col("_h") > F.lit(hval)) | ((F.col("_h") == F.lit(hval)) & (kstruct >= kl))).cast("int")
+        return total
+    out = df.withColumn("_h", h)
+    if not group_cols:
+        expr = count_for(thresholds.get(0, []))
+    else:
+        gcol = F.struct(*[F.col(f"`{c}`") for c in group_cols])
+        expr = F.lit(0)
+        for gv, ths in thresholds.items():
+            expr = F.when(gcol == _struct_lit(gv), count_for(ths)).otherwise(expr)
+    return out.withColumn(out_col, expr).drop("_h")
+
+
+def _struct_lit(row):
+    return F.struct(*[F.lit(v).alias(k) for k, v in row.asDict().items()])
+
+
+def _hash_rank_bins_distributed(df: DataFrame, group_cols: Sequence[str], key_cols: Sequence[str], *, seed: int,
+                                fractions_bp: Sequence[int], out_col: str, rounding: str = "ceil",
+                                bucket_shift: int = 14) -> DataFrame:
     """Add ``out_col``: the bin of each row in the seeded random order (hash, key) of its group.
 
     Cuts are fractions in basis points.  Row of rank r in a group of n falls in bin
