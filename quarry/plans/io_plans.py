@@ -76,44 +76,52 @@ def write_audit(spark, sf):
     nation = load(spark, sf, "nation")
     rd = F.to_date(F.lit(RUN_DATE))
     root = files.scratch_path(spark, "audit")
-    audit.append(nation.select(F.col("n_nationkey").alias(S), F.col("n_name").alias("name"), rd.alias("run_date")),
-                 root, "sessions")
-    audit.append(steps.select(S, F.lit("risk_failure").alias("agent"), F.lit("next_step").alias("decision_key"),
-                              F.to_json(F.struct("next_step")).alias("decision_value"), rd.alias("run_date")),
-                 root, "agent_decisions")
     cust = load(spark, sf, "customer")
-    audit.append(cust.groupBy(F.col("c_nationkey").alias(S)).agg(F.count(F.lit(1)).alias("n_rows"))
-                 .select(S, F.lit("dummy_most_frequent").alias("model"), "n_rows", rd.alias("run_date")),
-                 root, "model_runs")
-    audit.append(flags.withColumn("run_date", rd), root, "risk_flags")
-    audit.append(appr.withColumn("run_date", rd), root, "human_approvals")
-    return root, steps
+    tables = {
+        "sessions": nation.select(F.col("n_nationkey").alias(S), F.col("n_name").alias("name"), rd.alias("run_date")),
+        "agent_decisions": steps.select(S, F.lit("risk_failure").alias("agent"), F.lit("next_step").alias("decision_key"),
+                                        F.to_json(F.struct("next_step")).alias("decision_value"), rd.alias("run_date")),
+        "model_runs": cust.groupBy(F.col("c_nationkey").alias(S)).agg(F.count(F.lit(1)).alias("n_rows"))
+        .select(S, F.lit("dummy_most_frequent").alias("model"), "n_rows", rd.alias("run_date")),
+        "risk_flags": flags.withColumn("run_date", rd),
+        "human_approvals": appr.withColumn("run_date", rd),
+    }
+    for name, df in tables.items():
+        audit.append(df, root, name)
+    return root, steps, {name: df.schema for name, df in tables.items()}
 
 
 @query("audit_filter", sql=f"WITH {_flags_sql()} SELECT * FROM flags WHERE level = 'critical' AND code = 'TINY_DATASET'")
 def q_audit_filter(spark, sf):
-    root, _ = write_audit(spark, sf)
-    return audit.filter_by(spark, root, "risk_flags", level="critical", code="TINY_DATASET").drop("run_date")
+    root, _, schemas = write_audit(spark, sf)
+    return audit.filter_by(spark, root, "risk_flags", schemas["risk_flags"], level="critical",
+                           code="TINY_DATASET").drop("run_date")
+
+
+_AUDIT_ROWS = {
+    "sessions": "SELECT n_nationkey AS session_id FROM nation",
+    "agent_decisions": "SELECT n_nationkey AS session_id FROM nation",
+    "model_runs": "SELECT DISTINCT c_nationkey AS session_id FROM customer",
+    "risk_flags": "SELECT session_id FROM flags",
+    "human_approvals": "SELECT session_id FROM appr",
+}
 
 
 @query("audit_cascade_delete", sql=f"""WITH {_flags_sql()}, {APPR_SQL}, {CHECK_SQL},
 per AS (SELECT session_id, max((status = 'rejected')::INT) AS rej FROM chk GROUP BY 1),
-doomed AS (SELECT session_id FROM per WHERE rej = 1),
-t AS (SELECT 'sessions' AS table_name, n_nationkey AS session_id FROM nation
-      UNION ALL SELECT 'agent_decisions', n_nationkey FROM nation
-      UNION ALL SELECT 'model_runs', c_nationkey FROM (SELECT DISTINCT c_nationkey FROM customer)
-      UNION ALL SELECT 'risk_flags', session_id FROM flags
-      UNION ALL SELECT 'human_approvals', session_id FROM appr)
-SELECT table_name, count(*)::BIGINT AS n_before, count_if(session_id NOT IN (SELECT session_id FROM doomed))::BIGINT AS n_after
-FROM t GROUP BY table_name""")
+doomed AS (SELECT session_id FROM per WHERE rej = 1)
+""" + sqlkit.union_all([
+    f"SELECT '{t}' AS table_name, count(*)::BIGINT AS n_before, "
+    f"coalesce(count_if(session_id NOT IN (SELECT session_id FROM doomed)), 0)::BIGINT AS n_after FROM ({q})"
+    for t, q in _AUDIT_ROWS.items()]))
 def q_audit_cascade_delete(spark, sf):
-    root, steps = write_audit(spark, sf)
+    root, steps, schemas = write_audit(spark, sf)
     new_root = files.scratch_path(spark, "audit-kept")
-    kept = audit.cascade_delete(spark, root, new_root, steps.filter(F.col("next_step") == "halt"))
+    kept = audit.cascade_delete(spark, root, new_root, steps.filter(F.col("next_step") == "halt"), schemas)
     parts = []
     for t in audit.AUDIT_TABLES:
-        before = audit.read(spark, root, t).agg(F.count(F.lit(1)).alias("n_before"))
-        after = spark.read.parquet(kept[t]).agg(F.count(F.lit(1)).alias("n_after"))
+        before = audit.read(spark, root, t, schemas[t]).agg(F.count(F.lit(1)).alias("n_before"))
+        after = audit.read(spark, new_root, t, schemas[t]).agg(F.count(F.lit(1)).alias("n_after"))
         parts.append(before.withColumn("table_name", F.lit(t)).unionByName(
             after.withColumn("table_name", F.lit(t)), allowMissingColumns=True))
     out = parts[0]

@@ -9,9 +9,10 @@ from ..sources.files import scratch_path
 from ..streaming import drift_monitor
 from .drift_plans import events_halves
 from .registry import query
-from .tables import SCHEMAS
+from .tables import SCHEMAS, load
 
 STREAM_COLS = ["value", "user_id"]
+LANDING_FILES = 8
 
 
 def _events_schema() -> str:
@@ -23,7 +24,10 @@ def q_stream_drift(spark, sf):
     """Rows-only check (the stream's windows follow the session time zone)."""
     base, _ = events_halves(spark, sf)
     edges = drift_monitor.edges_for(base, STREAM_COLS)
-    stream = spark.readStream.schema(_events_schema()).parquet(f"{sf.rstrip('/')}/events.parquet")
+    # the landing folder receives the events as files in time order (one per time range)
+    landing = scratch_path(spark, "events-landing")
+    load(spark, sf, "events").repartitionByRange(LANDING_FILES, "ts").write.parquet(landing)
+    stream = spark.readStream.schema(_events_schema()).option("maxFilesPerTrigger", 2).parquet(landing)
     sink, ckpt = scratch_path(spark, "drift-sink"), scratch_path(spark, "drift-ckpt")
     q = drift_monitor.start(stream, "ts", edges, sink, ckpt)
     q.awaitTermination()

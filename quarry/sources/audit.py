@@ -19,8 +19,10 @@ def append(df: DataFrame, root: str, table: str, run_date_col: str = "run_date")
     return path
 
 
-def read(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{root.rstrip('/')}/{table}")
+def read(spark: SparkSession, root: str, table: str, schema=None) -> DataFrame:
+    """An audit table; pass its schema so an empty table (no data files yet) reads too."""
+    r = spark.read.schema(schema) if schema is not None else spark.read
+    return r.parquet(f"{root.rstrip('/')}/{table}")
 
 
 def get_by_id(spark: SparkSession, root: str, table: str, id_col: str, value) -> DataFrame:
@@ -28,21 +30,21 @@ def get_by_id(spark: SparkSession, root: str, table: str, id_col: str, value) ->
     return read(spark, root, table).filter(F.col(id_col) == F.lit(value))
 
 
-def filter_by(spark: SparkSession, root: str, table: str, **equals) -> DataFrame:
+def filter_by(spark: SparkSession, root: str, table: str, schema=None, **equals) -> DataFrame:
     """S8 conjunctive equality filter."""
-    df = read(spark, root, table)
+    df = read(spark, root, table, schema)
     for k, v in equals.items():
         df = df.filter(F.col(k) == F.lit(v))
     return df
 
 
 def cascade_delete(spark: SparkSession, root: str, new_root: str, doomed: DataFrame,
-                   tables: Sequence[str] = AUDIT_TABLES) -> Mapping[str, str]:
+                   schemas: Mapping[str, object]) -> Mapping[str, str]:
     """Every table without the doomed sessions, written under ``new_root``."""
     ids = doomed.select("session_id").distinct()
     out = {}
-    for t in tables:
-        kept = read(spark, root, t).join(ids, "session_id", "left_anti")
+    for t, schema in schemas.items():
+        kept = read(spark, root, t, schema).join(ids, "session_id", "left_anti")
         path = f"{new_root.rstrip('/')}/{t}"
         kept.write.mode("overwrite").partitionBy("run_date").parquet(path)
         out[t] = path
