@@ -43,12 +43,17 @@ def score_curve(df: DataFrame, label: Column, score: Column, group_cols: Sequenc
     g = base.groupBy(*gcols, "score").agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg"))
     distinct = base.agg(F.approx_count_distinct("score")).first()[0] or 0
     buckets = min(MAX_BUCKETS, max(1, math.ceil(distinct / DISTINCT_SCORES_PER_BUCKET)))
-    if buckets > 1:
-        cuts = g.agg(F.percentile_approx("score", [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
-        splits = [float("-inf")] + sorted(set(cuts)) + [float("inf")]
-        g = Bucketizer(splits=splits, inputCol="score", outputCol="_bk").transform(g)
-    else:
-        g = g.withColumn("_bk", F.lit(0.0))
+    if buckets == 1:
+        # at most DISTINCT_SCORES_PER_BUCKET distinct scores: one window per group is bounded
+        wg = Window.partitionBy(*gcols) if gcols else Window.partitionBy(F.lit(0))
+        wb = wg.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+        return g.select(
+            *gcols, "score", "pos", "neg", F.sum("pos").over(wg).alias("P"), F.sum("neg").over(wg).alias("N"),
+            F.coalesce(F.sum("pos").over(wb), F.lit(0)).alias("pos_below"),
+            F.coalesce(F.sum("neg").over(wb), F.lit(0)).alias("neg_below"))
+    cuts = g.agg(F.percentile_approx("score", [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
+    splits = [float("-inf")] + sorted(set(cuts)) + [float("inf")]
+    g = Bucketizer(splits=splits, inputCol="score", outputCol="_bk").transform(g)
     keys = [*gcols, "_bk"]
     tot = g.groupBy(*keys).agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     wg = Window.partitionBy(*gcols) if gcols else Window.partitionBy(F.lit(0))

@@ -74,3 +74,21 @@ def time_series_folds(df: DataFrame, order: Column, key: str, k: int = N_FOLDS)
 def epoch_micros(col: str) -> Column:
     """Time-zone free ordering value of a timestamp / timestamp_ntz column."""
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(`{col}` AS TIMESTAMP_NTZ))")
+
+
+def time_holdout(df: DataFrame, order: Column, key: str, test_share_bp: int = TEST_SHARE_BP) -> DataFrame:
+    """Z6 (and reference defect 12): a time-series task never gets a random split; the
+    last ceil(20 %) rows in (time, key) order are the holdout."""
+    n = df.count()
+    k = n - (n * test_share_bp + 9999) // 10000
+    if k >= n:
+        return df.withColumn("split", F.lit("train"))
+    th = lex_thresholds(df, order, F.col(key), [k], n)[k]
+    return df.withColumn("split", F.when(lex_bin(order, F.col(key), [th]) == 1, "test").otherwise("train"))
+
+
+def split_method(problem_type: str, cv: str) -> str:
+    """Time order for time-series framing, stratified for classes, random otherwise."""
+    if problem_type == "timeseries" or cv == "TimeSeriesSplit":
+        return "time_ordered"
+    return "stratified" if problem_type == "classification" else "random"

@@ -127,7 +127,15 @@ def cross_validate(folded: DataFrame, target: str, numeric: Sequence[str], categ
             train = train.withColumn("label", F.col(target).cast("double"))
             test = test.withColumn("label", F.col(target).cast("double"))
             label_std = train.agg(F.stddev_pop("label")).first()[0]
-        est = estimator(name, task, n, params, n_classes, label_std=label_std)
+        weight_col = None
+        if task == "classification" and name == "logistic":
+            # M6: balanced class weights n / (k * n_class) from this fold's training rows
+            counts = {r[0]: r[1] for r in train.groupBy(target).count().collect()}  # one row per class
+            tot, kk = sum(counts.values()), len(counts)
+            wmap = F.create_map(*[x for c, m in counts.items() for x in (F.lit(c), F.lit(tot / (kk * m)))])
+            train = train.withColumn("_w", wmap[F.col(target)])
+            weight_col = "_w"
+        est = estimator(name, task, n, params, n_classes, weight_col=weight_col, label_std=label_std)
         model = Pipeline(stages=stages + feature_stages(numeric, categorical) + [est]).fit(train)
         out = model.transform(test)
         keep = ["probability"] if task == "classification" and "probability" in out.columns else []

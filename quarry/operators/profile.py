@@ -151,3 +151,20 @@ def tukey_outliers(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
 
 def _num(v) -> str:
     return "NULL" if v is None else repr(float(v))
+
+
+# First characters that make a spreadsheet cell a formula.
+FORMULA_PREFIXES = ("=", "+", "-", "@")
+
+
+def formula_cells(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Per text column, cells whose first character starts a spreadsheet formula."""
+    cols = list(cols) if cols is not None else [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    aggs = []
+    for i, c in enumerate(cols):
+        v = F.col(f"`{c}`")
+        aggs += [F.count(v).alias(f"n{i}"), F.count_if(F.substring(v, 1, 1).isin(*FORMULA_PREFIXES)).alias(f"s{i}")]
+    wide = df.agg(*aggs)
+    rows = ", ".join(f"'{c}', n{i}, s{i}" for i, c in enumerate(cols))
+    return wide.selectExpr(f"stack({len(cols)}, {rows}) AS (column_name, n_cells, n_formula)").select(
+        "column_name", F.col("n_cells").cast("bigint"), F.col("n_formula").cast("bigint"))

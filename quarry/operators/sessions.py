@@ -119,7 +119,7 @@ def route_after_eval(gate: DataFrame, flags: DataFrame, session_col: str, retrie
     step = (F.when(F.col("halt"), "halt").when(F.col("_auc") == 1, "human_review")
             .when(~F.col("pass_gate") & (F.col(retries_col) < max_retries), "model_strategy")
             .when(~F.col("pass_gate"), "human_review").otherwise("explainability"))
-    return j.select(session_col, step.alias("next_step"))
+    return j.select(session_col, retries_col, step.alias("next_step"))
 
 
 def audit_filter(df: DataFrame, **equals) -> DataFrame:

@@ -172,3 +172,32 @@ def q_risk_flags_pre(spark, sf):
     cust = risk.risk_flags_pre(customer_corrupted(spark, sf), "c_mktsegment").withColumn("table_name", F.lit("customer"))
     reg = risk.risk_flags_pre(load(spark, sf, "region"), "r_name").withColumn("table_name", F.lit("region"))
     return cust.unionByName(reg)
+
+
+def _drop_sql() -> str:
+    ids = []
+    for c, t in PART_LEAK_SCHEMA:
+        if c == "p_retailprice":
+            continue
+        idx = "(count(*) < 0)" if t in ("double", "float") else f"count(DISTINCT {c}) > 0.95 * count(*)"
+        ids.append(f"SELECT '{c}' AS column_name, {idx} AS id_like FROM ({PART_LEAK_SRC})")
+    return f"""WITH lk AS ({leak_sql(PART_LEAK_SRC, PART_LEAK_SCHEMA, 'p_retailprice')}), ids AS ({sqlkit.union_all(ids)})
+SELECT column_name, id_like, suspect AS leakage,
+       CASE WHEN id_like OR suspect THEN 'dropped' ELSE 'feature' END AS role FROM ids JOIN lk USING (column_name)
+UNION ALL SELECT 'p_retailprice', false, false, 'target'"""
+
+
+@query("drop_set", sql=_drop_sql())
+def q_drop_set(spark, sf):
+    """X1 + X2: ID-like and leakage columns dropped, the rest are features."""
+    from pyspark.sql import functions as F
+    from ..operators import prep
+    part = corrupt.target_leakage_inject(load(spark, sf, "part"), "p_retailprice")
+    leak = framing.leakage_suspects(part, "p_retailprice")
+    fr = framing.frame(part, target="p_retailprice")
+    drop, feats = prep.id_like_and_drop(part, "p_retailprice", leak)
+    rows = [(c, c in fr.id_like, c in leak, "dropped" if c in drop else "feature") for c in part.columns
+            if c != "p_retailprice"] + [("p_retailprice", False, False, "target")]
+    body = ", ".join(f"'{c}', {str(i).lower()}, {str(lk).lower()}, '{r}'" for c, i, lk, r in rows)
+    return part.agg(F.count(F.lit(1)).alias("_n")).selectExpr(
+        f"stack({len(rows)}, {body}) AS (column_name, id_like, leakage, role)")

@@ -99,3 +99,20 @@ SELECT round(cv_mean, 6) AS cv_mean, round(cv_std, 6) AS cv_std, round(holdout,
   NOT beats AS halt FROM mt""")
 def q_pass_gate(spark, sf):
     return risk.pass_gate(metric_frame(spark, sf), "classification")
+
+
+@query("route_after_eval", sql=f"""WITH {_metrics_sql()},
+g AS (SELECT beats AND NOT (gap > 0.25) AND NOT (nfail > 0) AND NOT (ece > 0.15) AS pass_gate, NOT beats AS halt,
+             holdout > 0.99 AS suspicious FROM mt)
+SELECT r AS retries, CASE WHEN halt THEN 'halt' WHEN suspicious THEN 'human_review'
+  WHEN NOT pass_gate AND r < 3 THEN 'model_strategy' WHEN NOT pass_gate THEN 'human_review' ELSE 'explainability' END AS next_step
+FROM g, (SELECT unnest(range(0, 4)) AS r)""")
+def q_route_after_eval(spark, sf):
+    """R25 after evaluation for each retry count 0..3 of the same gate row."""
+    from ..operators import sessions
+    m = metric_frame(spark, sf)
+    gate = risk.pass_gate(m, "classification").select(
+        F.lit(0).alias("session_id"), "pass_gate", "halt",
+        F.explode(F.sequence(F.lit(0), F.lit(3))).alias("retries"))
+    flags = risk.post_training_flags(m, "classification").withColumn("session_id", F.lit(0))
+    return sessions.route_after_eval(gate, flags, "session_id", "retries").select("retries", "next_step")

@@ -7,6 +7,7 @@ distributed replacement for reading a sample on one machine).
 
 from __future__ import annotations
 
+import csv
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,7 @@ def header_names(spark: SparkSession, path: str, sep: str) -> list[str]:
     first = spark.read.text(path).limit(1).collect()
     if not first:
         return []
-    return first[0][0].split(sep)
+    return next(csv.reader([first[0][0]], delimiter=sep))
 
 
 def _infer(df: DataFrame) -> DataFrame:
