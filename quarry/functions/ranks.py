@@ -26,6 +26,7 @@ from .columns import phash
 from .materialize import pin
 
 _MAX_WINDOW = 1 << 20
+_MAX_COLLECT = 1 << 22
 _ACCURACY = 100_000
 
 
@@ -106,20 +107,31 @@ def values_at_ranks(df: DataFrame, exprs: dict[str, Column], targets: Sequence[t
         for t in pending:
             s = state[t]
             windows.setdefault((t[0], s["lo"], s["hi"]), []).append(t)
-        keys = list(windows)
-        aggs = []
-        for i, (name, lo, hi) in enumerate(keys):
-            v = exprs[name]
-            aggs.append(F.sort_array(F.collect_list(F.when(_in_window(v, lo, hi), v))).alias(f"w{i}"))
-        row = df.agg(*aggs).first()
-        for i, key in enumerate(keys):
-            vals = row[f"w{i}"]
-            for t in windows[key]:
-                s = state[t]
-                j = t[1] - s["below"]
-                val = vals[j]
-                below = s["below"] + _count_less(vals, val)
-                out[t] = (val, below)
+        # batches of at most _MAX_COLLECT values per driver round trip
+        batches, cur, size = [], [], 0
+        for key, ts in windows.items():
+            cnt = state[ts[0]]["cnt"]
+            if cur and size + cnt > _MAX_COLLECT:
+                batches.append(cur)
+                cur, size = [], 0
+            cur.append(key)
+            size += cnt
+        if cur:
+            batches.append(cur)
+        for keys in batches:
+            aggs = []
+            for i, (name, lo, hi) in enumerate(keys):
+                v = exprs[name]
+                aggs.append(F.sort_array(F.collect_list(F.when(_in_window(v, lo, hi), v))).alias(f"w{i}"))
+            row = df.agg(*aggs).first()
+            for i, key in enumerate(keys):
+                vals = row[f"w{i}"]
+                for t in windows[key]:
+                    s = state[t]
+                    j = t[1] - s["below"]
+                    val = vals[j]
+                    below = s["below"] + _count_less(vals, val)
+                    out[t] = (val, below)
     return out
 
 

@@ -106,21 +106,47 @@ def dummy_cv_classification(df: DataFrame, target: str, key_cols: Sequence[str],
     preds = {"dummy_most_frequent": None, "dummy_stratified": "_strat"}
     if rule_pred:
         preds["rule_model"] = "_rule"
-    rows = []
-    for name, col in preds.items():
-        for c in classes:
-            # most_frequent predicts the class priors for every row: a constant score
-            s = F.lit(0.0) if col is None else (F.col(col) == F.lit(c)).cast("double")
-            rows.append(F.struct(F.lit(name).alias("candidate"), F.lit(c).alias("class_label"),
-                                 (F.col("_y") == F.lit(c)).cast("int").alias("yk"), s.alias("sk")))
-    long = scored.select(fold_col, F.explode(F.array(*rows)).alias("r")).select(fold_col, "r.*")
-    a = auc(long, F.col("yk"), F.col("sk"), [fold_col, "candidate", "class_label"])
-    fold_scores = a.groupBy(fold_col, "candidate").agg(
-        F.when(F.every(F.col("auc").isNotNull()), F.avg("auc")).otherwise(F.lit(0.5)).alias("score"))
+    fold_scores = hard_vote_auc(scored, fold_col, "_y", preds, classes)
     scorer_name = scorer("classification", len(classes))
     return _cv_summary(fold_scores).withColumn("scorer", F.lit(scorer_name))
 
 
+def hard_vote_auc(scored: DataFrame, fold_col: str, y: str, preds: dict, classes: Sequence) -> DataFrame:
+    """Macro one-vs-rest AUC per (fold, candidate) for candidates whose class scores are
+    one-hot votes (or constant: ``None``), from a per-fold confusion table.
+
+    For class c with score 1 on rows voted c: AUC = a(1-b) + (ab + (1-a)(1-b))/2 with
+    a = share of c's rows voted c and b = share of the other rows voted c (ties count
+    one half); a constant score gives 1/2.  No row is multiplied by classes or candidates.
+    """
+    parts = []
+    for name, col in preds.items():
+        if col is None:
+            parts.append(scored.groupBy(fold_col).agg(F.lit(name).alias("candidate"), F.lit(0.5).alias("score")))
+            continue
+        cm = scored.groupBy(fold_col, F.col(y).alias("_a"), F.col(col).alias("_p")).agg(F.count(F.lit(1)).alias("n"))
+        rows = []
+        for c in classes:
+            pos = F.col("_a") == F.lit(c)
+            hit = F.col("_p") == F.lit(c)
+            rows.append(F.struct(F.lit(c).alias("k"), pos.alias("pos"), hit.alias("hit"), F.col("n").alias("n")))
+        per = cm.select(fold_col, F.explode(F.array(*rows)).alias("r")).select(fold_col, "r.*") \
+            .groupBy(fold_col, "k").agg(
+                F.sum(F.when(F.col("pos"), F.col("n"))).alias("P"), F.sum(F.when(~F.col("pos"), F.col("n"))).alias("N"),
+                F.sum(F.when(F.col("pos") & F.col("hit"), F.col("n"))).alias("tp"),
+                F.sum(F.when(~F.col("pos") & F.col("hit"), F.col("n"))).alias("fp"))
+        a = F.coalesce(F.col("tp"), F.lit(0)) / F.col("P")
+        b = F.coalesce(F.col("fp"), F.lit(0)) / F.col("N")
+        auc_k = F.when((F.col("P") > 0) & (F.col("N") > 0), a * (1 - b) + (a * b + (1 - a) * (1 - b)) / 2)
+        parts.append(per.groupBy(fold_col).agg(
+            F.lit(name).alias("candidate"),
+            F.when(F.every(auc_k.isNotNull()), F.avg(auc_k)).otherwise(F.lit(0.5)).alias("score")))
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
+
+
 def dummy_cv_regression(df: DataFrame, target: str, fold_col: str, rule_pred: str | None = None,
                         k: int = 5) -> DataFrame:
     """M3, M4 (+ an optional rule candidate) scored by R^2 per fold."""

@@ -88,9 +88,10 @@ def _psi_from_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
         "pe": F.when(pe == 0, F.lit(PSI_EPS)).otherwise(pe),
         "pa": F.when(pa == 0, F.lit(PSI_EPS)).otherwise(pa),
     })
-    from pyspark.sql import Window
-    w = Window.partitionBy(*keys)
-    c = c.withColumns({"pe": F.col("pe") / F.sum("pe").over(w), "pa": F.col("pa") / F.sum("pa").over(w)})
+    # renormalise with per-column totals joined back by key (a high-cardinality column's
+    # categories stay spread over tasks; a window per column would gather them in one)
+    sums = c.groupBy(*keys).agg(F.sum("pe").alias("_se"), F.sum("pa").alias("_sa"))
+    c = c.join(sums, list(keys)).withColumns({"pe": F.col("pe") / F.col("_se"), "pa": F.col("pa") / F.col("_sa")})
     return c.groupBy(*keys).agg(
         F.sum((F.col("pa") - F.col("pe")) * F.log(F.col("pa") / F.col("pe"))).alias("psi"),
         F.count(F.lit(1)).alias("n_bins"))

@@ -119,8 +119,10 @@ def tukey_outliers(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     """
     cols = list(cols) if cols is not None else [f.name for f in df.schema.fields if is_numeric_type(f.dataType)]
     exprs = {c: as_double(df, c) for c in cols}
-    counts = column_counts(df, exprs)
-    approx = df.agg(*[F.approx_count_distinct(e).alias(c) for c, e in exprs.items()]).first()
+    first = df.agg(*[F.count(e).alias(f"n_{c}") for c, e in exprs.items()],
+                   *[F.approx_count_distinct(e).alias(c) for c, e in exprs.items()]).first()
+    counts = {c: first[f"n_{c}"] for c in cols}
+    approx = first
     low = [c for c in cols if approx[c] < 4 * MIN_DISTINCT_FOR_OUTLIERS]
     distinct = {c: approx[c] for c in cols}
     if low:  # exact only where the sketch cannot decide

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import r6
@@ -66,8 +66,9 @@ def window_psi(spark: SparkSession, sink_path: str, baseline_counts: DataFrame,
     pe, pa = F.col("e") / F.col("ne"), F.col("a") / F.col("na")
     full = full.withColumns({"pe": F.when(pe == 0, F.lit(PSI_EPS)).otherwise(pe),
                              "pa": F.when(pa == 0, F.lit(PSI_EPS)).otherwise(pa)})
-    w = Window.partitionBy("window_start", "window_end", "column_name")
-    full = full.withColumns({"pe": F.col("pe") / F.sum("pe").over(w), "pa": F.col("pa") / F.sum("pa").over(w)})
+    keys = ["window_start", "window_end", "column_name"]
+    sums = full.groupBy(*keys).agg(F.sum("pe").alias("_se"), F.sum("pa").alias("_sa"))
+    full = full.join(sums, keys).withColumns({"pe": F.col("pe") / F.col("_se"), "pa": F.col("pa") / F.col("_sa")})
     out = full.groupBy("window_start", "window_end", "column_name").agg(
         F.first("na").alias("n"), F.sum((F.col("pa") - F.col("pe")) * F.log(F.col("pa") / F.col("pe"))).alias("psi"))
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
