@@ -8,7 +8,7 @@ SOURCES = {p: p.read_text() for p in ROOT.rglob("*.py")}
 
 
 def test_no_local_checkpoint():
-    assert not [p for p, s in SOURCES.items() if "localCheckpoint" in s]
+    assert not [p for p, s in SOURCES.items() if re.search(r"\.localCheckpoint\(", s)]
 
 
 def test_no_cross_join():
