@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -233,14 +234,25 @@ def _hash_rank_bins_driver(df, group_cols, key_cols, seed, fractions_bp, out_col
     add = 9999 if rounding == "ceil" else 0
     g = F.struct(*[F.col(f"`{c}`") for c in group_cols]) if group_cols else F.lit(0)
     h = phash(key_cols, seed)
-    d = df.select(g.alias("_g"), h.alias("_h"), *[F.col(f"`{k}`") for k in key_cols])
+    # the narrow (group, hash, key) projection is hashed once and kept for the level
+    # passes (recomputable from lineage if a block is lost), released before returning
+    d = df.select(g.alias("_g"), h.alias("_h"), *[F.col(f"`{k}`") for k in key_cols]) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _driver_levels(df, d, group_cols, key_cols, h, fractions_bp, out_col, rounding)
+    finally:
+        d.unpersist()
+
+
+def _driver_levels(df, d, group_cols, key_cols, h, fractions_bp, out_col, rounding):
+    add = 9999 if rounding == "ceil" else 0
     lim = _MAX_DRIVER_GROUPS * (1 << 14) + 1
     c1 = d.groupBy("_g", F.shiftright("_h", 14).alias("_b")).agg(F.count(F.lit(1)).alias("n")).limit(lim).collect()
     if len(c1) >= lim:
         return None
     per_group: dict = {}
-    for r in c1:
-        per_group.setdefault(r["_g"], []).append((r["_b"], r["n"]))
+    for gv, b, n in c1:
+        per_group.setdefault(gv, []).append((b, n))
     if len(per_group) > _MAX_DRIVER_GROUPS:
         return None
     # level 1: the bucket holding each cut rank
@@ -264,10 +276,13 @@ def _hash_rank_bins_driver(df, group_cols, key_cols, seed, fractions_bp, out_col
         for gv, b in {(gv, b) for (gv, _), (b, _) in want1.items()}:
             cond = cond | ((F.col("_g") == F.lit(gv) if not group_cols else F.col("_g") == _struct_lit(gv))
                            & (F.shiftright("_h", 14) == F.lit(b)))
-        c2 = d.filter(cond).groupBy("_g", "_h").agg(F.count(F.lit(1)).alias("n")).collect()
+        kmin = F.min(F.struct(*[F.col(f"`{k}`") for k in key_cols])).alias("kmin")
+        c2 = d.filter(cond).groupBy("_g", "_h").agg(F.count(F.lit(1)).alias("n"), kmin).collect()
         hv: dict = {}
+        smallest: dict = {}
         for r in c2:
             hv.setdefault((r["_g"], r["_h"] >> 14), []).append((r["_h"], r["n"]))
+            smallest[(r["_g"], r["_h"])] = tuple(r["kmin"])
         want2 = {}  # (g, j) -> (hash value, rank among rows with that hash)
         for (gv, j), (b, r1) in want1.items():
             cum = 0
@@ -276,20 +291,26 @@ def _hash_rank_bins_driver(df, group_cols, key_cols, seed, fractions_bp, out_col
                     want2[(gv, j)] = (hval, r1 - cum)
                     break
                 cum += c
-        # level 3: the rows tied on a cut's hash value, ordered by key
-        cond = F.lit(False)
-        for gv, hval in {(gv, hval) for (gv, _), (hval, _) in want2.items()}:
-            cond = cond | ((F.col("_g") == F.lit(gv) if not group_cols else F.col("_g") == _struct_lit(gv))
-                           & (F.col("_h") == F.lit(hval)))
-        ties = d.filter(cond).limit(_MAX_TIE_ROWS + 1).collect()
-        if len(ties) > _MAX_TIE_ROWS:
-            return None
-        tie_map: dict = {}
-        for r in ties:
-            tie_map.setdefault((r["_g"], r["_h"]), []).append(tuple(r[k] for k in key_cols))
-        for (gv, j), (hval, r2) in want2.items():
-            keys = sorted(tie_map[(gv, hval)])
-            thresholds[gv].append((hval, keys[r2]))
+        # the cut is the first row of its hash value (the usual case): its key is known
+        for (gv, j), (hval, r2) in list(want2.items()):
+            if r2 == 0:
+                thresholds[gv].append((hval, smallest[(gv, hval)]))
+                del want2[(gv, j)]
+        if want2:
+            # level 3: the rows tied on a cut's hash value, ordered by key
+            cond = F.lit(False)
+            for gv, hval in {(gv, hval) for (gv, _), (hval, _) in want2.items()}:
+                cond = cond | ((F.col("_g") == F.lit(gv) if not group_cols else F.col("_g") == _struct_lit(gv))
+                               & (F.col("_h") == F.lit(hval)))
+            ties = d.filter(cond).limit(_MAX_TIE_ROWS + 1).collect()
+            if len(ties) > _MAX_TIE_ROWS:
+                return None
+            tie_map: dict = {}
+            for r in ties:
+                tie_map.setdefault((r["_g"], r["_h"]), []).append(tuple(r[k] for k in key_cols))
+            for (gv, j), (hval, r2) in want2.items():
+                keys = sorted(tie_map[(gv, hval)])
+                thresholds[gv].append((hval, keys[r2]))
     # the bin: number of thresholds at or below (hash, key) of the row's group
     kstruct = F.struct(*[F.col(f"`{k}`") for k in key_cols])
 

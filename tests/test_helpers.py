@@ -87,3 +87,15 @@ def test_portable_hash_in_range(spark):
     from quarry.functions.columns import phash
     v = spark.range(1000).select(phash(["id"], 42).alias("h")).agg(F.min("h"), F.max("h")).first()
     assert 0 <= v[0] and v[1] < HASH_SPACE
+
+
+def test_driver_and_distributed_bins_agree_with_ties(spark):
+    # every key appears 10 times: cuts land inside tied (hash, key) runs
+    rows = [(i % 997, i % 3) for i in range(9970)]
+    df = spark.createDataFrame(rows, "k long, y long").repartition(5)
+    kw = dict(seed=9, fractions_bp=[1000, 3333, 9000], out_col="b")
+    fast = ranks._hash_rank_bins_driver(df, ["y"], ["k"], 9, [1000, 3333, 9000], "b", "ceil")
+    dist = ranks._hash_rank_bins_distributed(df, ["y"], ["k"], **kw)
+    a = sorted(tuple(r) for r in fast.groupBy("k", "y", "b").count().collect())
+    b = sorted(tuple(r) for r in dist.groupBy("k", "y", "b").count().collect())
+    assert a == b
