@@ -211,7 +211,8 @@ _MAX_TIE_ROWS = 100_000
 
 
 def hash_rank_bins(df: DataFrame, group_cols: Sequence[str], key_cols: Sequence[str], *, seed: int,
-                   fractions_bp: Sequence[int], out_col: str, rounding: str = "ceil") -> DataFrame:
+                   fractions_bp: Sequence[int], out_col: str, rounding: str = "ceil",
+                   hash_cols: Sequence[str] | None = None) -> DataFrame:
     """Add ``out_col``: the bin of each row in the seeded random order (hash, key) of its group.
 
     Cuts are fractions in basis points.  Row of rank r in a group of n falls in bin
@@ -222,18 +223,20 @@ def hash_rank_bins(df: DataFrame, group_cols: Sequence[str], key_cols: Sequence[
     exact hash value inside the cut buckets, and the few rows tied on a cut's hash value --
     then the bin is a narrow projection with literal thresholds (no join, no shuffle of
     the rows).  Many groups, or a tie set beyond ``_MAX_TIE_ROWS``: the distributed form.
+
+    ``hash_cols`` (default: the key) may be a cheaper prefix of the key: the order is then
+    (hash of the prefix, full key), ties being resolved only at the few cut rows.
     """
-    fast = _hash_rank_bins_driver(df, group_cols, key_cols, seed, fractions_bp, out_col, rounding)
+    fast = _hash_rank_bins_driver(df, group_cols, key_cols, seed, fractions_bp, out_col, rounding, hash_cols)
     if fast is not None:
         return fast
     return _hash_rank_bins_distributed(df, group_cols, key_cols, seed=seed, fractions_bp=fractions_bp,
-                                       out_col=out_col, rounding=rounding)
+                                       out_col=out_col, rounding=rounding, hash_cols=hash_cols)
 
 
-def _hash_rank_bins_driver(df, group_cols, key_cols, seed, fractions_bp, out_col, rounding):
-    add = 9999 if rounding == "ceil" else 0
+def _hash_rank_bins_driver(df, group_cols, key_cols, seed, fractions_bp, out_col, rounding, hash_cols=None):
     g = F.struct(*[F.col(f"`{c}`") for c in group_cols]) if group_cols else F.lit(0)
-    h = phash(key_cols, seed)
+    h = phash(hash_cols or key_cols, seed)
     # the narrow (group, hash, key) projection is hashed once and kept for the level
     # passes (recomputable from lineage if a block is lost), released before returning
     d = df.select(g.alias("_g"), h.alias("_h"), *[F.col(f"`{k}`") for k in key_cols]) \
@@ -339,7 +342,7 @@ def _struct_lit(row):
 
 def _hash_rank_bins_distributed(df: DataFrame, group_cols: Sequence[str], key_cols: Sequence[str], *, seed: int,
                                 fractions_bp: Sequence[int], out_col: str, rounding: str = "ceil",
-                                bucket_shift: int = 14) -> DataFrame:
+                                bucket_shift: int = 14, hash_cols: Sequence[str] | None = None) -> DataFrame:
     """Add ``out_col``: the bin of each row in the seeded random order (hash, key) of its group.
 
     Cuts are fractions in basis points.  Row of rank r in a group of n falls in bin
@@ -351,7 +354,7 @@ def _hash_rank_bins_distributed(df: DataFrame, group_cols: Sequence[str], key_co
     knames = [f"_k{i}" for i in range(len(key_cols))]
     d = df.withColumns({
         **{gn: gc for gn, gc in zip(gnames, g)},
-        "_h": phash(key_cols, seed),
+        "_h": phash(hash_cols or key_cols, seed),
         **{kn: F.col(f"`{k}`") for kn, k in zip(knames, key_cols)},
     })
     d = d.withColumn("_b", F.shiftright("_h", bucket_shift))

@@ -32,14 +32,16 @@ def missing_column_names(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
-def _draw(df: DataFrame, key_cols: Sequence[str], frac: float, seed: int, flag: str) -> DataFrame:
+def _draw(df: DataFrame, key_cols: Sequence[str], frac: float, seed: int, flag: str, hash_cols=None) -> DataFrame:
     bp = int(round(frac * 10_000))
-    return hash_rank_bins(df, [], key_cols, seed=seed, fractions_bp=[bp], rounding="floor", out_col=flag)
+    return hash_rank_bins(df, [], key_cols, seed=seed, fractions_bp=[bp], rounding="floor", out_col=flag,
+                          hash_cols=hash_cols)
 
 
-def duplicate_rows(df: DataFrame, key_cols: Sequence[str], frac: float = 0.25, seed: int = SEED) -> DataFrame:
+def duplicate_rows(df: DataFrame, key_cols: Sequence[str], frac: float = 0.25, seed: int = SEED,
+                   hash_cols: Sequence[str] | None = None) -> DataFrame:
     """Append floor(n*frac) copies of rows picked by the seeded hash order."""
-    picked = _draw(df, key_cols, frac, seed, "_pick").filter(F.col("_pick") == 0).drop("_pick")
+    picked = _draw(df, key_cols, frac, seed, "_pick", hash_cols).filter(F.col("_pick") == 0).drop("_pick")
     return df.unionByName(picked)
 
 
@@ -73,16 +75,15 @@ def _leading_keys(df: DataFrame, key_cols: Sequence[str]) -> list[tuple]:
     return [tuple(r) for r in rows]
 
 
-def _is_leading(key_cols: Sequence[str], keys: list[tuple]):
+def _is_leading(df: DataFrame, key_cols: Sequence[str], keys: list[tuple]):
+    # literals carry the key columns' own types (a naive datetime must stay timestamp_ntz)
     if not keys:
         return F.lit(False)
-    if len(key_cols) == 1:
-        return F.col(key_cols[0]).isin([k[0] for k in keys])
     cond = F.lit(False)
     for k in keys:
         one = F.lit(True)
         for c, v in zip(key_cols, k):
-            one = one & (F.col(c) == F.lit(v))
+            one = one & (F.col(c) == F.lit(v).cast(df.schema[c].dataType))
         cond = cond | one
     return cond
 
@@ -91,7 +92,7 @@ def unseen_categories(df: DataFrame, col: str, key_cols: Sequence[str]) -> DataF
     """The first five rows (smallest keys) get a label never seen before."""
     if col not in df.columns:
         return df
-    lead = _is_leading(key_cols, _leading_keys(df, key_cols))
+    lead = _is_leading(df, key_cols, _leading_keys(df, key_cols))
     return df.withColumn(col, F.when(lead, F.lit(UNSEEN_LABEL)).otherwise(F.col(f"`{col}`").cast("string")))
 
 
@@ -106,7 +107,7 @@ def extreme_outliers(df: DataFrame, col: str, key_cols: Sequence[str]) -> DataFr
     if mx is None or mx in (float("inf"), float("-inf")):
         mx = 1.0
     value = (mx + 1) * OUTLIER_SCALE
-    lead = _is_leading(key_cols, _leading_keys(df, key_cols))
+    lead = _is_leading(df, key_cols, _leading_keys(df, key_cols))
     out_type = dt if is_numeric_type(dt) and isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)) else T.DoubleType()
     return df.withColumn(col, F.when(lead, F.lit(value).cast(out_type)).otherwise(c.cast(out_type)))
 

@@ -26,21 +26,26 @@ def _fold_cuts(k: int) -> list[int]:
     return [round(10_000 * i / k) for i in range(1, k)]
 
 
-def stratified_split(df: DataFrame, label: str, key_cols: Sequence[str], seed: int = SPLIT_SEED) -> DataFrame:
+def stratified_split(df: DataFrame, label: str, key_cols: Sequence[str], seed: int = SPLIT_SEED,
+                     hash_cols: Sequence[str] | None = None) -> DataFrame:
     """Per class, the first ceil(20 %) rows of the seeded order are the test set."""
-    b = hash_rank_bins(df, [label], key_cols, seed=seed, fractions_bp=[TEST_SHARE_BP], out_col="_bin")
+    b = hash_rank_bins(df, [label], key_cols, seed=seed, fractions_bp=[TEST_SHARE_BP], out_col="_bin",
+                       hash_cols=hash_cols)
     return b.withColumn("split", F.when(F.col("_bin") == 0, "test").otherwise("train")).drop("_bin")
 
 
-def random_split(df: DataFrame, key_cols: Sequence[str], seed: int = SPLIT_SEED) -> DataFrame:
+def random_split(df: DataFrame, key_cols: Sequence[str], seed: int = SPLIT_SEED,
+                 hash_cols: Sequence[str] | None = None) -> DataFrame:
     """ceil(20 %) of all rows, seeded order."""
-    b = hash_rank_bins(df, [], key_cols, seed=seed, fractions_bp=[TEST_SHARE_BP], out_col="_bin")
+    b = hash_rank_bins(df, [], key_cols, seed=seed, fractions_bp=[TEST_SHARE_BP], out_col="_bin", hash_cols=hash_cols)
     return b.withColumn("split", F.when(F.col("_bin") == 0, "test").otherwise("train")).drop("_bin")
 
 
-def kfold(df: DataFrame, key_cols: Sequence[str], k: int = N_FOLDS, seed: int = FOLD_SEED) -> DataFrame:
+def kfold(df: DataFrame, key_cols: Sequence[str], k: int = N_FOLDS, seed: int = FOLD_SEED,
+          hash_cols: Sequence[str] | None = None) -> DataFrame:
     """Shuffled k-fold; fold i holds ranks [ceil(n*i/k), ceil(n*(i+1)/k))."""
-    return hash_rank_bins(df, [], key_cols, seed=seed, fractions_bp=_fold_cuts(k), out_col="fold")
+    return hash_rank_bins(df, [], key_cols, seed=seed, fractions_bp=_fold_cuts(k), out_col="fold",
+                          hash_cols=hash_cols)
 
 
 def stratified_kfold(df: DataFrame, label: str, key_cols: Sequence[str], k: int = N_FOLDS,

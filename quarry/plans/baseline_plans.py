@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import phash_sql
+from ..functions.materialize import pin
 from ..operators import baselines, folds
 from . import sqlkit
 from .eval_plans import PART_PRED, _auc_sql
@@ -104,9 +105,12 @@ SELECT candidate, 'r2' AS scorer, avg(score) AS cv_mean, stddev_pop(score) AS cv
     f"SELECT 'part' AS table_name, * FROM ({_gate_sql(_reg_cv_sql(), 'regression')})",
 ]))
 def q_dummy_scores(spark, sf):
-    o = folds.kfold(load(spark, sf, "orders").withColumn("rule", F.expr(ORDERS_RULE)), ["o_orderkey"])
+    # folded inputs are read by several passes: pin them once
+    o = load(spark, sf, "orders").select("o_orderkey", "o_orderpriority", F.expr(ORDERS_RULE).alias("rule"))
+    o = pin(folds.kfold(o, ["o_orderkey"]))
     cls = baselines.dummy_cv_classification(o, "o_orderpriority", ["o_orderkey"], "fold", rule_pred="rule")
-    p = folds.kfold(load(spark, sf, "part").withColumn("rule", F.expr(PART_PRED)), ["p_partkey"])
+    p = load(spark, sf, "part").select("p_partkey", "p_retailprice", F.expr(PART_PRED).alias("rule"))
+    p = pin(folds.kfold(p, ["p_partkey"]))
     reg = baselines.dummy_cv_regression(p, "p_retailprice", "fold", rule_pred="rule")
     return baselines.baseline_gate(cls, "classification").withColumn("table_name", F.lit("orders")).unionByName(
         baselines.baseline_gate(reg, "regression").withColumn("table_name", F.lit("part")))

@@ -6,10 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import r6
+from ..functions.materialize import pin
 from ..operators import explain, folds
 from . import sqlkit
 from .eval_plans import LI_BIN_SQL, PART_PRED, li_binary
-from .quality import LI_KEY
+from .quality import LI_HASH, LI_KEY
 from .registry import query
 from .split_plans import _bins_sql
 from .tables import load
@@ -20,7 +21,9 @@ _K = ", ".join(LI_KEY)
 
 
 def li_split(spark, sf):
-    return folds.random_split(load(spark, sf, "lineitem"), LI_KEY)
+    """Holdout draw over the columns the attributions use, pinned once (read twice)."""
+    li = load(spark, sf, "lineitem").select(*LI_KEY, *[c for c in LI_COEFS if c not in LI_KEY])
+    return pin(folds.random_split(li, LI_KEY, hash_cols=LI_HASH))
 
 
 def shap_long(spark, sf):
@@ -30,7 +33,7 @@ def shap_long(spark, sf):
 
 
 def _shap_sql():
-    s = _bins_sql("SELECT * FROM lineitem", LI_KEY, 42, [2000])
+    s = _bins_sql("SELECT * FROM lineitem", LI_KEY, 42, [2000], hash_cols=LI_HASH)
     m = ", ".join(f"avg(CAST({f} AS DOUBLE)) AS m_{f}" for f in LI_COEFS)
     parts = [f"SELECT {_K}, '{f}' AS feature, CAST({f} AS DOUBLE) AS value, {c!r} * (CAST({f} AS DOUBLE) - m_{f}) AS shap FROM t, m"
              for f, c in LI_COEFS.items()]

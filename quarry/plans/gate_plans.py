@@ -6,11 +6,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.materialize import pin
 from ..operators import evaluate, explain, folds, risk
 from . import sqlkit
 from .eval_plans import LI_BIN_SQL, _auc_sql, _ece_sql, _slices_cls_sql, li_binary
 from .explain_plans import CORR_COLS, LI_COEFS, _imp_sql, _pairs_sql
-from .quality import LI_KEY
+from .quality import LI_HASH, LI_KEY
 from .registry import query
 from .split_plans import CUTS, _bins_sql
 
@@ -18,12 +19,23 @@ DUMMY_AUC = 0.5  # a most-frequent dummy scores every row alike: ties give exact
 MAX_PAIRS_LISTED = 5
 
 
+NEEDED = LI_KEY + ["label", "score", "prediction", "l_returnflag", "l_linestatus", "l_quantity",
+                   "l_extendedprice", "l_discount", "l_tax"]
+
+
+def drawn_lineitem(spark, sf):
+    """The binary task's rows with their fold and holdout draws, pinned once (reliable
+    checkpoint): every metric below reads this narrow copy instead of re-hashing."""
+    li = li_binary(spark, sf).select(*NEEDED)
+    li = folds.random_split(folds.kfold(li, LI_KEY, hash_cols=LI_HASH), LI_KEY, hash_cols=LI_HASH)
+    return pin(li)
+
+
 def metric_frame(spark, sf):
-    li = li_binary(spark, sf)
-    folded = folds.kfold(li, LI_KEY)
-    per_fold = evaluate.auc(folded, F.col("label"), F.col("score"), ["fold"])
+    li = drawn_lineitem(spark, sf)
+    per_fold = evaluate.auc(li, F.col("label"), F.col("score"), ["fold"])
     cv = per_fold.agg(F.avg("auc").alias("m"), F.stddev_pop("auc").alias("s"))
-    split = folds.random_split(li, LI_KEY)
+    split = li
     test = split.filter(F.col("split") == "test")
     train = split.filter(F.col("split") == "train")
     hold = evaluate.auc(test, F.col("label"), F.col("score"))
@@ -54,8 +66,9 @@ def metric_frame(spark, sf):
 
 
 def _metrics_sql():
-    folded = "SELECT * EXCLUDE (_bin), _bin AS fold FROM (" + _bins_sql(LI_BIN_SQL, LI_KEY, 43, CUTS) + ")"
-    split = _bins_sql(LI_BIN_SQL, LI_KEY, 42, [2000])
+    folded = "SELECT * EXCLUDE (_bin), _bin AS fold FROM (" + _bins_sql(LI_BIN_SQL, LI_KEY, 43, CUTS,
+                                                                      hash_cols=LI_HASH) + ")"
+    split = _bins_sql(LI_BIN_SQL, LI_KEY, 42, [2000], hash_cols=LI_HASH)
     test = f"SELECT *, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS prediction FROM ({split}) WHERE _bin = 0"
     return f"""cv AS (SELECT avg(auc) AS m, stddev_pop(auc) AS s FROM ({_auc_sql(folded, 'label', 'score', ['fold'])})),
 ho AS (SELECT auc AS h FROM ({_auc_sql(test, 'label', 'score')})),

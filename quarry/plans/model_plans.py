@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import r6
 from ..operators import folds, models
 from .eval_plans import li_binary
-from .quality import LI_KEY
+from .quality import LI_HASH, LI_KEY
 from .registry import query
 from .tables import load
 
@@ -81,7 +81,7 @@ def q_final_importance(spark, sf):
 
 
 def li_calibration_split(spark, sf):
-    s = folds.random_split(li_binary(spark, sf), LI_KEY)
+    s = folds.random_split(li_binary(spark, sf), LI_KEY, hash_cols=LI_HASH)
     return s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
 
 

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from ..operators import folds
-from .quality import LI_KEY
+from .quality import LI_HASH, LI_KEY
 from .registry import query
 from .sqlkit import count_over, rank_over
 from .tables import load
 
 
-def _bins_sql(src, keys, seed, cuts_bp, partition=(), rounding="ceil"):
+def _bins_sql(src, keys, seed, cuts_bp, partition=(), rounding="ceil", hash_cols=None):
     add = 9999 if rounding == "ceil" else 0
-    r, n = rank_over(keys, seed, partition), count_over(partition)
+    r, n = rank_over(keys, seed, partition, hash_cols), count_over(partition)
     terms = " + ".join(f"(_r >= (_n * {c} + {add}) // 10000)::INT" for c in cuts_bp)
     return f"SELECT * EXCLUDE (_r, _n), {terms} AS _bin FROM (SELECT *, {r} AS _r, {n} AS _n FROM ({src}))"
 
@@ -27,9 +27,9 @@ _LIK = ", ".join(LI_KEY)
 
 
 @query("random_split", sql=f"SELECT {_LIK}, CASE WHEN _bin = 0 THEN 'test' ELSE 'train' END AS split FROM ("
-       + _bins_sql(f"SELECT {_LIK} FROM lineitem", LI_KEY, 42, [2000]) + ")")
+       + _bins_sql(f"SELECT {_LIK} FROM lineitem", LI_KEY, 42, [2000], hash_cols=LI_HASH) + ")")
 def q_random_split(spark, sf):
-    return folds.random_split(load(spark, sf, "lineitem").select(*LI_KEY), LI_KEY)
+    return folds.random_split(load(spark, sf, "lineitem").select(*LI_KEY), LI_KEY, hash_cols=LI_HASH)
 
 
 CUTS = [2000, 4000, 6000, 8000]

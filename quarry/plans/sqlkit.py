@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from ..functions.columns import phash_sql
 
 
-def rank_over(key_cols: Sequence[str], seed: int, partition: Sequence[str] = ()) -> str:
+def rank_over(key_cols: Sequence[str], seed: int, partition: Sequence[str] = (),
+              hash_cols: Sequence[str] | None = None) -> str:
     part = f"PARTITION BY {', '.join(partition)} " if partition else ""
-    return f"(row_number() OVER ({part}ORDER BY {phash_sql(key_cols, seed)}, {', '.join(key_cols)}) - 1)"
+    return f"(row_number() OVER ({part}ORDER BY {phash_sql(hash_cols or key_cols, seed)}, {', '.join(key_cols)}) - 1)"
 
 
 def count_over(partition: Sequence[str] = ()) -> str:
@@ -23,10 +24,11 @@ def null_burst(src: str, col: str, key_cols: Sequence[str], frac: float, seed: i
             f"FROM (SELECT *, {rank_over(key_cols, seed)} AS _r, {count_over()} AS _n FROM ({src}))")
 
 
-def duplicate_rows(src: str, key_cols: Sequence[str], frac: float, seed: int = 42) -> str:
+def duplicate_rows(src: str, key_cols: Sequence[str], frac: float, seed: int = 42,
+                   hash_cols: Sequence[str] | None = None) -> str:
     bp = int(round(frac * 10_000))
     return (f"SELECT * FROM ({src}) UNION ALL SELECT * EXCLUDE (_r, _n) FROM "
-            f"(SELECT *, {rank_over(key_cols, seed)} AS _r, {count_over()} AS _n FROM ({src})) "
+            f"(SELECT *, {rank_over(key_cols, seed, (), hash_cols)} AS _r, {count_over()} AS _n FROM ({src})) "
             f"WHERE _r < (_n * {bp}) // 10000")
 
 
