@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .columns import phash
 from .materialize import pin
 
-_MAX_WINDOW = 1 << 20
+_MAX_WINDOW = 1 << 16
 _MAX_COLLECT = 1 << 22
 _ACCURACY = 100_000
 

@@ -120,11 +120,11 @@ def class_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
     r = r.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
                                   2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
                      .otherwise(F.lit(0.0)))
-    tot = r.agg(F.sum("tp").alias("_tp"), F.sum("support").alias("_n"),
-                F.sum(F.col("support") * F.col("f1")).alias("_wf"))
-    out = r.join(tot.select(
-        F.try_divide(F.col("_tp").cast("double"), F.col("_n")).alias("accuracy"),
-        F.try_divide(F.col("_wf"), F.col("_n").cast("double")).alias("f1_weighted")), how="left")
+    w = Window.partitionBy(F.lit(0))  # over the class rows only
+    out = r.withColumns({
+        "accuracy": F.try_divide(F.sum("tp").over(w).cast("double"), F.sum("support").over(w)),
+        "f1_weighted": F.try_divide(F.sum(F.col("support") * F.col("f1")).over(w), F.sum("support").over(w).cast("double")),
+    })
     return out.select("class_label", F.col("support").cast("bigint").alias("support"),
                       F.col("n_predicted").cast("bigint").alias("n_predicted"), F.col("tp").cast("bigint").alias("tp"),
                       r6(F.col("precision")).alias("precision"), r6(F.col("recall")).alias("recall"),
@@ -155,12 +155,12 @@ def ece_bins(df: DataFrame, label: str, prob_cols: Sequence[str] | None = None,
         acc = (arg == y.cast("string")).cast("double")
     edges = _edges_ece()
     b = sum((conf > F.lit(e)).cast("int") for e in edges[1:-1])
-    rows = df.select(conf.alias("conf"), acc.alias("acc"), b.alias("bin"))
-    n = rows.agg(F.count(F.lit(1)).alias("_n"))
-    per = rows.filter(F.col("conf") > 0).groupBy("bin").agg(
+    # rows without a bin (confidence 0) count in the total only: bin -1, dropped after
+    rows = df.select(conf.alias("conf"), acc.alias("acc"), F.when(conf > 0, b).otherwise(-1).alias("bin"))
+    per = rows.groupBy("bin").agg(
         F.count(F.lit(1)).alias("n"), F.avg("conf").alias("mean_conf"), F.avg("acc").alias("accuracy"))
-    per = per.join(n, how="left").withColumn("share", F.col("n") / F.col("_n"))
-    w = Window.partitionBy(F.lit(0))  # over at most ten bin rows
+    w = Window.partitionBy(F.lit(0))  # over at most eleven bin rows
+    per = per.withColumn("share", F.col("n") / F.sum("n").over(w)).filter(F.col("bin") >= 0)
     per = per.withColumn("ece", F.sum(F.col("share") * F.abs(F.col("mean_conf") - F.col("accuracy"))).over(w))
     lo = F.element_at(F.array(*[F.lit(e) for e in edges]), F.col("bin") + 1)
     hi = F.element_at(F.array(*[F.lit(e) for e in edges]), F.col("bin") + 2)

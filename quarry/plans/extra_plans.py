@@ -50,3 +50,40 @@ FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) -
 def q_time_holdout(spark, sf):
     o = load(spark, sf, "orders").select("o_orderkey", "o_orderdate")
     return folds.time_holdout(o, folds.epoch_micros("o_orderdate"), "o_orderkey").select("o_orderkey", "split")
+
+
+def _fp_text(schema) -> str:
+    return ",".join(f"{c}:{t}" for c, t in sorted(schema))
+
+
+def _versions():
+    base = SCHEMAS["orders"]
+    v1 = [(c, "string" if c == "o_totalprice" else t) for c, t in base]
+    v2 = list(reversed(v1))
+    return [("v0", base), ("v1", v1), ("v2", v2)]
+
+
+@query("schema_history", sql=sqlkit.union_all([
+    f"SELECT '{v}' AS version, sha256('{_fp_text(s)}') AS fingerprint, {len(s)} AS n_columns, count(*)::BIGINT AS n_rows, "
+    + (f"sha256('{_fp_text(s)}') <> sha256('{_fp_text(prev)}')" if prev else "false")
+    + f" AS changed, {str(i == 2).lower()} AS latest FROM orders"
+    for i, ((v, s), prev) in enumerate(zip(_versions(), [None] + [x[1] for x in _versions()][:-1]))]))
+def q_schema_history(spark, sf):
+    """A row per schema version (D1 fingerprint, width, rows), changes against the
+    previous version, and the latest one by ``max_by`` over the version rows."""
+    from ..operators import corrupt, drift
+    o = load(spark, sf, "orders")
+    v1 = corrupt.dtype_change(o, "o_totalprice")
+    frames = [("v0", o), ("v1", v1), ("v2", corrupt.changed_column_order(v1))]
+    rows, prev = [], None
+    for v, df in frames:
+        fp = drift.fingerprint(df)
+        rows.append(df.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows")).select(
+            F.lit(v).alias("version"), F.lit(fp).alias("fingerprint"), F.lit(len(df.columns)).alias("n_columns"),
+            "n_rows", F.lit(prev is not None and fp != prev).alias("changed")))
+        prev = fp
+    hist = reduce(DataFrame.unionByName, rows)
+    from pyspark.sql import Window
+    w = Window.partitionBy(F.lit(0))  # over the version rows only
+    return hist.select("version", "fingerprint", "n_columns", "n_rows", "changed",
+                       (F.col("version") == F.max("version").over(w)).alias("latest"))

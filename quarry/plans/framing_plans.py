@@ -159,8 +159,10 @@ CUSTOMER_SRC = sqlkit.duplicate_rows(
 
 
 def customer_corrupted(spark, sf):
+    from ..functions.materialize import pin
     cust = corrupt.null_burst(load(spark, sf, "customer"), "c_acctbal", ["c_custkey"], 0.6)
-    return corrupt.duplicate_rows(cust, ["c_custkey"], 0.30)
+    # read by the profile, duplicate, leakage and target passes: draw once, pin
+    return pin(corrupt.duplicate_rows(cust, ["c_custkey"], 0.30))
 
 
 @query("risk_flags_pre", sql=sqlkit.union_all([

@@ -102,7 +102,8 @@ def _flags_sql():
 
 @query("risk_flags_post", sql=_flags_sql())
 def q_risk_flags_post(spark, sf):
-    return risk.post_training_flags(metric_frame(spark, sf), "classification")
+    # the one metric row feeds every rule: computed once (pinned), then filtered per rule
+    return risk.post_training_flags(pin(metric_frame(spark, sf)), "classification")
 
 
 @query("pass_gate", sql=f"""WITH {_metrics_sql()}

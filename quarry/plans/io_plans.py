@@ -129,3 +129,24 @@ def q_audit_cascade_delete(spark, sf):
         out = out.unionByName(p)
     return out.groupBy("table_name").agg(F.max("n_before").cast("bigint").alias("n_before"),
                                          F.max("n_after").cast("bigint").alias("n_after"))
+
+
+PAGE_SIZE = 10
+CURSOR = 7
+
+
+@query("trace_page", sql=f"""WITH {_flags_sql()}, {APPR_SQL}, {CHECK_SQL},
+per AS (SELECT session_id, max((status = 'rejected')::INT) AS rej, max((status <> 'cleared')::INT) AS op FROM chk GROUP BY 1),
+steps AS (SELECT n.n_nationkey AS session_id, CASE WHEN coalesce(per.rej, 0) = 1 THEN 'halt'
+            WHEN coalesce(per.op, 0) = 1 THEN 'human_review' ELSE 'preprocessing' END AS next_step
+          FROM nation n LEFT JOIN per ON per.session_id = n.n_nationkey)
+SELECT session_id, 'risk_failure' AS agent, 'next_step' AS decision_key, next_step AS decision_value
+FROM steps WHERE session_id > {CURSOR} ORDER BY session_id LIMIT {PAGE_SIZE}""")
+def q_trace_page(spark, sf):
+    """One page of the decision trace after a cursor, read back from the audit table
+    (the page size is the feature: ``filter(> cursor).orderBy.limit``)."""
+    root, _, schemas = write_audit(spark, sf)
+    t = audit.read(spark, root, "agent_decisions", schemas["agent_decisions"])
+    page = t.filter(F.col(S) > F.lit(CURSOR)).orderBy(S, "decision_key").limit(PAGE_SIZE)
+    return page.select(S, "agent", "decision_key",
+                       F.get_json_object("decision_value", "$.next_step").alias("decision_value"))

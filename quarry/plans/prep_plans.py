@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.materialize import pin
 from ..operators import corrupt, folds, prep
 from . import sqlkit
 from .registry import query
@@ -17,7 +18,8 @@ def events_prepared(spark, sf):
     ev = load(spark, sf, "events").withColumn("hour", F.hour("ts"))
     for col, frac, seed in BURSTS:
         ev = corrupt.null_burst(ev, col, ["event_id"], frac, seed)
-    return folds.stratified_split(ev, "event_type", ["event_id"])
+    # read by every fitting pass below: draw once, pin (reliable checkpoint)
+    return pin(folds.stratified_split(ev, "event_type", ["event_id"]))
 
 
 def _events_sql():

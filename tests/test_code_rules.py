@@ -25,3 +25,9 @@ def test_machine_local_temp_only_in_local_fallback():
     users = [p.name for p, s in SOURCES.items() if "tempfile" in s]
     assert users == ["session.py"]
     assert 'if not sc.master.startswith("local")' in SOURCES[ROOT / "session.py"]
+
+
+def test_no_keyless_join():
+    # a join given only ``how=`` pairs every row with every row
+    pat = re.compile(r"\.join\([^,()]+,\s*how=")
+    assert not [p for p, s in SOURCES.items() if pat.search(s)]
