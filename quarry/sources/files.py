@@ -19,8 +19,11 @@ from ..session import ensure_checkpoint_dir
 MISSING_MARKERS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
                    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
-# candidate types, most specific first
-_TYPES = ["bigint", "double", "boolean", "timestamp_ntz"]
+# Fixed value patterns used to classify text before any cast is tried.
+INT_PATTERN = r"^\s*[+-]?[0-9]{1,18}\s*$"
+NUMBER_PATTERN = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+BOOL_WORDS = ("true", "false", "True", "False", "TRUE", "FALSE")
+DATETIME_PATTERN = r"^\s*[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9:.]+)?\s*$"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -38,21 +41,28 @@ def header_names(spark: SparkSession, path: str, sep: str) -> list[str]:
 
 
 def _infer(df: DataFrame) -> DataFrame:
+    """One aggregate decides every column's type: the most specific of bigint, double,
+    boolean, timestamp_ntz that all its non-missing values read as, else string.  Cheap
+    patterns classify each value first; a cast is only tried where the pattern matched."""
     cols = df.columns
     aggs = []
     for i, c in enumerate(cols):
         v = F.col(f"`{c}`")
-        aggs.append(F.count(v).alias(f"n{i}"))
-        for t in _TYPES:
-            aggs.append(F.count(F.expr(f"try_cast(`{c}` AS {t})")).alias(f"{t}_{i}"))
+        aggs += [
+            F.count(v).alias(f"n{i}"),
+            F.count_if(v.rlike(INT_PATTERN)).alias(f"i{i}"),
+            F.count_if(v.rlike(NUMBER_PATTERN)).alias(f"d{i}"),
+            F.count_if(v.isin(*BOOL_WORDS)).alias(f"b{i}"),
+            F.count_if(v.rlike(DATETIME_PATTERN) & F.expr(f"try_cast(`{c}` AS timestamp_ntz)").isNotNull()).alias(f"t{i}"),
+        ]
     row = df.agg(*aggs).first()
     out = []
     for i, c in enumerate(cols):
         n = row[f"n{i}"]
         chosen = "string"
         if n > 0:
-            for t in _TYPES:
-                if row[f"{t}_{i}"] == n:
+            for t, k in (("bigint", "i"), ("double", "d"), ("boolean", "b"), ("timestamp_ntz", "t")):
+                if row[f"{k}{i}"] == n:
                     chosen = t
                     break
         out.append(F.expr(f"try_cast(`{c}` AS {chosen})").alias(c) if chosen != "string" else F.col(f"`{c}`"))
