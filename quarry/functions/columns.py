@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 MISSING_TOKEN = "__missing__"
 SEED = 42
 
-# A portable hash keeps 28 bits of md5 so that Spark and other engines agree row for row.
+# The portable hash keeps 28 bits, so that Spark and other engines agree row for row.
 HASH_BITS = 28
 HASH_SPACE = 1 << HASH_BITS
 
@@ -84,14 +84,46 @@ def key_string(key_cols: Sequence[str]) -> Column:
     return F.concat_ws("|", *[F.col(f"`{k}`").cast("string") for k in key_cols])
 
 
-def phash(key_cols: Sequence[str], seed: int = SEED) -> Column:
-    """Portable 28-bit hash of the key: first 7 hex digits of md5(key || ':' || seed)."""
+# Fixed values of the integer-key hash: a Mersenne prime modulus and three multipliers.
+# Every intermediate stays below 2^63, so Spark (ANSI) and other SQL engines agree exactly.
+_MOD = 2147483647
+_MUL = (48271, 69621, 40692)
+
+
+def _int_mix(cols: Sequence[Column], seed: int) -> Column:
+    h = F.lit(seed % _MOD).cast("bigint")
+    m = F.lit(_MOD)
+    for c in cols:
+        x = F.pmod(c.cast("bigint"), m)
+        h = F.pmod(h * _MUL[0] + x, m)
+        h = F.pmod(h * h + _MUL[1], m)
+        h = F.pmod(h * _MUL[2] + x, m)
+    return F.pmod(h, F.lit(HASH_SPACE))
+
+
+def phash(key_cols: Sequence[str], seed: int = SEED, df: DataFrame | None = None) -> Column:
+    """Portable 28-bit hash of the key.
+
+    Integer keys (``df`` given, all key columns integral): modular multiply/square rounds,
+    a few arithmetic operations per row inside whole-stage codegen.  Other keys: the first
+    7 hex digits of md5(key || ':' || seed).
+    """
+    if df is not None and all(isinstance(df.schema[k].dataType, T.IntegralType) for k in key_cols):
+        return _int_mix([F.col(f"`{k}`") for k in key_cols], seed)
     digest = F.md5(F.concat(key_string(key_cols), F.lit(f":{seed}")))
     return F.conv(F.substring(digest, 1, 7), 16, 10).cast("bigint")
 
 
-def phash_sql(key_sql: Sequence[str], seed: int = SEED) -> str:
+def phash_sql(key_sql: Sequence[str], seed: int = SEED, integer: bool = True) -> str:
     """The same hash in DuckDB SQL (used by the oracle strings)."""
+    if integer:
+        h = f"CAST({seed % _MOD} AS BIGINT)"
+        for k in key_sql:
+            x = f"((CAST({k} AS BIGINT) % {_MOD} + {_MOD}) % {_MOD})"
+            h = f"(({h}) * {_MUL[0]} + {x}) % {_MOD}"
+            h = f"(({h}) * ({h}) + {_MUL[1]}) % {_MOD}"
+            h = f"(({h}) * {_MUL[2]} + {x}) % {_MOD}"
+        return f"(({h}) % {HASH_SPACE})"
     key = "concat_ws('|', " + ", ".join(f"CAST({k} AS VARCHAR)" for k in key_sql) + ")"
     return f"CAST(('0x' || substr(md5({key} || ':{seed}'), 1, 7)) AS BIGINT)"
 

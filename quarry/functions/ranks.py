@@ -236,7 +236,7 @@ def hash_rank_bins(df: DataFrame, group_cols: Sequence[str], key_cols: Sequence[
 
 def _hash_rank_bins_driver(df, group_cols, key_cols, seed, fractions_bp, out_col, rounding, hash_cols=None):
     g = F.struct(*[F.col(f"`{c}`") for c in group_cols]) if group_cols else F.lit(0)
-    h = phash(hash_cols or key_cols, seed)
+    h = phash(hash_cols or key_cols, seed, df)
     # the narrow (group, hash, key) projection is hashed once and kept for the level
     # passes (recomputable from lineage if a block is lost), released before returning
     d = df.select(g.alias("_g"), h.alias("_h"), *[F.col(f"`{k}`") for k in key_cols]) \
@@ -354,7 +354,7 @@ def _hash_rank_bins_distributed(df: DataFrame, group_cols: Sequence[str], key_co
     knames = [f"_k{i}" for i in range(len(key_cols))]
     d = df.withColumns({
         **{gn: gc for gn, gc in zip(gnames, g)},
-        "_h": phash(hash_cols or key_cols, seed),
+        "_h": phash(hash_cols or key_cols, seed, df),
         **{kn: F.col(f"`{k}`") for kn, k in zip(knames, key_cols)},
     })
     d = d.withColumn("_b", F.shiftright("_h", bucket_shift))

@@ -98,7 +98,7 @@ def dummy_cv_classification(df: DataFrame, target: str, key_cols: Sequence[str],
         F.first("_best").alias("_mf"),
         F.sort_array(F.collect_list(F.struct((F.col("_cum") / F.col("_tt")).alias("p"), F.col("_y").alias("c"))))
         .alias("_cdf"))
-    u = phash(key_cols, SEED) / F.lit(float(HASH_SPACE))
+    u = phash(key_cols, SEED, df) / F.lit(float(HASH_SPACE))
     scored = base.join(per_fold, fold_col).withColumns({
         "_strat": F.filter("_cdf", lambda e: e["p"] > u)[0]["c"],
     })

@@ -223,9 +223,11 @@ def target_encode_oof(folded: DataFrame, col: str, target: str, fold_col: str =
     """Z3: out-of-fold mean target per category: (sum - fold sum) / (count - fold count),
     from one grouped pass per (category, fold) joined back by key (no row leaves its fold's
     statistics)."""
-    y = F.col(f"`{target}`").cast("double")
+    # exact decimal sums: the result does not depend on the order rows are added in
+    y = F.col(f"`{target}`").cast("decimal(38,10)")
     per = folded.groupBy(col, fold_col).agg(F.sum(y).alias("_fold_sum"), F.count(y).alias("_fold_n"))
     tot = per.groupBy(col).agg(F.sum("_fold_sum").alias("_all_sum"), F.sum("_fold_n").alias("_all_n"))
     stats = per.join(tot, col).select(col, fold_col, F.try_divide(
-        F.col("_all_sum") - F.col("_fold_sum"), (F.col("_all_n") - F.col("_fold_n")).cast("double")).alias("_te"))
+        (F.col("_all_sum") - F.col("_fold_sum")).cast("double"),
+        (F.col("_all_n") - F.col("_fold_n")).cast("double")).alias("_te"))
     return folded.join(stats, [col, fold_col], "left").withColumnRenamed("_te", f"{col}__te")

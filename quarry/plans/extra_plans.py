@@ -16,11 +16,12 @@ from .split_plans import CUTS, _bins_sql
 from .tables import SCHEMAS, load
 
 
-@query("target_encoding", sql="""WITH t AS (SELECT p_partkey, p_brand, CAST(p_retailprice AS DOUBLE) AS y, _bin AS fold FROM ("""
+@query("target_encoding", sql="""WITH t AS (SELECT p_partkey, p_brand, CAST(p_retailprice AS DECIMAL(38,10)) AS y, _bin AS fold FROM ("""
        + _bins_sql("SELECT * FROM part", ["p_partkey"], 43, CUTS) + """)),
 per AS (SELECT p_brand, fold, sum(y) AS s, count(y) AS c FROM t GROUP BY ALL),
 tot AS (SELECT p_brand, sum(s) AS S_, sum(c) AS C_ FROM per GROUP BY ALL)
-SELECT t.p_partkey, t.p_brand, t.fold, round(CASE WHEN tot.C_ - per.c = 0 THEN NULL ELSE (tot.S_ - per.s) / (tot.C_ - per.c) END, 6)
+SELECT t.p_partkey, t.p_brand, t.fold, round(CASE WHEN tot.C_ - per.c = 0 THEN NULL
+       ELSE CAST(tot.S_ - per.s AS DOUBLE) / CAST(tot.C_ - per.c AS DOUBLE) END, 6)
        AS p_brand__te
 FROM t JOIN per USING (p_brand, fold) JOIN tot USING (p_brand)""")
 def q_target_encoding(spark, sf):

@@ -21,9 +21,9 @@ def session_inputs(spark, sf):
     cust = load(spark, sf, "customer").withColumnRenamed("c_nationkey", S)
     flags = sessions.session_flags(cust, S)
     nation = load(spark, sf, "nation")
-    approvals = nation.filter(phash(["n_nationkey"], 12) < F.lit(HAS_APPROVAL)).select(
+    approvals = nation.filter(phash(["n_nationkey"], 12, nation) < F.lit(HAS_APPROVAL)).select(
         F.col("n_nationkey").alias(S), F.lit("tiny_dataset_proceed").alias("approval_name"),
-        (phash(["n_nationkey"], 11) < F.lit(APPROVED)).alias("approved"), F.concat(F.col("n_name"), F.lit(" ok")).alias("reason"))
+        (phash(["n_nationkey"], 11, nation) < F.lit(APPROVED)).alias("approved"), F.concat(F.col("n_name"), F.lit(" ok")).alias("reason"))
     sess = nation.select(F.col("n_nationkey").alias(S))
     return flags, approvals, sess
 
