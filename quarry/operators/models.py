@@ -10,6 +10,7 @@ Scores are exact: AUC through ``evaluate.auc`` (no binning), R^2 as 1 - SSE/SST.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier)
@@ -35,6 +36,7 @@ SPARK_MAX_DEPTH = 30          # "no limit" becomes Spark's deepest allowed tree
 EXPLAIN_ROWS = 200
 BACKGROUND_ROWS = 20
 SHAPLEY_PERMUTATIONS = 8
+FIT_PARALLELISM = 5
 
 
 def feature_stages(numeric: Sequence[str], categorical: Sequence[str]) -> list:
@@ -110,13 +112,13 @@ def _score(pred: DataFrame, task: str, n_classes: int) -> DataFrame:
 
 
 def cross_validate(folded: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str],
-                   name: str, task: str, params: dict | None = None, k: int = 5) -> DataFrame:
+                   name: str, task: str, params: dict | None = None, k: int = 5, pinned: bool = False) -> DataFrame:
     """Per fold, fit label + preprocessing + model on the other folds, score the fold.
     ``folded`` carries an integer ``fold`` column (from ``operators.folds``)."""
-    data = pin(folded)  # read once, survives executor loss (reliable checkpoint)
+    data = folded if pinned else pin(folded)  # read once, survives executor loss (reliable checkpoint)
     n_classes = data.select(target).distinct().count() if task == "classification" else 0
-    scores = []
-    for i in range(k):
+
+    def fit_fold(i: int) -> DataFrame:
         train, test = data.filter(F.col("fold") != i), data.filter(F.col("fold") == i)
         n = train.count()
         label_std = None
@@ -139,7 +141,12 @@ def cross_validate(folded: DataFrame, target: str, numeric: Sequence[str], categ
         model = Pipeline(stages=stages + feature_stages(numeric, categorical) + [est]).fit(train)
         out = model.transform(test)
         keep = ["probability"] if task == "classification" and "probability" in out.columns else []
-        scores.append(out.select("fold", "label", "prediction", *keep))
+        return out.select("fold", "label", "prediction", *keep)
+
+    # the k fits are independent Spark jobs: submit them together (CrossValidator's
+    # parallelism), the scheduler interleaves their stages on the executors
+    with ThreadPoolExecutor(max_workers=min(k, FIT_PARALLELISM)) as pool:
+        scores = list(pool.map(fit_fold, range(k)))
     pred = scores[0]
     for s in scores[1:]:
         pred = pred.unionByName(s)
@@ -168,8 +175,9 @@ def tune(folded: DataFrame, target: str, numeric, categorical, name: str, task:
     """Cross-validated mean score per grid point; ``best`` marks the maximum (R^2 is
     maximised too)."""
     rows = []
+    data = pin(folded)  # one pinned copy serves every grid point
     for i, p in enumerate(points or grid(name)):
-        cv = cross_validate(folded, target, numeric, categorical, name, task, p)
+        cv = cross_validate(data, target, numeric, categorical, name, task, p, pinned=True)
         rows.append(cv.groupBy("candidate").agg(F.first("cv_mean").alias("cv_mean"), F.first("cv_std").alias("cv_std"))
                     .withColumn("params", F.lit(str(p))).withColumn("point", F.lit(i)))
     out = rows[0]
