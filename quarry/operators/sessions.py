@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import miss
@@ -114,8 +114,15 @@ def route_after_eval(gate: DataFrame, flags: DataFrame, session_col: str, retrie
                      max_retries: int = 3) -> DataFrame:
     """R25 after evaluation: halt > SUSPICIOUS_AUC review > failed gate retries (up to 3,
     then review) > explainability.  ``gate`` has (session, pass_gate, halt, retries)."""
-    auc = flags.filter(F.col("code") == "SUSPICIOUS_AUC").select(session_col).distinct().withColumn("_auc", F.lit(1))
-    j = gate.join(auc, session_col, "left")
+    # gate rows and SUSPICIOUS_AUC markers side by side, the marker spread over its session
+    # by a window (no join: a constant session key would fold into a nested-loop join)
+    marks = flags.filter(F.col("code") == "SUSPICIOUS_AUC").select(
+        session_col, F.lit(None).cast(gate.schema[retries_col].dataType).alias(retries_col),
+        F.lit(None).cast("boolean").alias("pass_gate"), F.lit(None).cast("boolean").alias("halt"),
+        F.lit(1).alias("_m"))
+    u = gate.select(session_col, retries_col, "pass_gate", "halt", F.lit(0).alias("_m")).unionByName(marks)
+    w = Window.partitionBy(session_col)
+    j = u.withColumn("_auc", F.max("_m").over(w)).filter(F.col("_m") == 0)
     step = (F.when(F.col("halt"), "halt").when(F.col("_auc") == 1, "human_review")
             .when(~F.col("pass_gate") & (F.col(retries_col) < max_retries), "model_strategy")
             .when(~F.col("pass_gate"), "human_review").otherwise("explainability"))
