@@ -28,7 +28,7 @@ from .materialize import pin
 
 _MAX_WINDOW = 1 << 16
 _MAX_COLLECT = 1 << 22
-_ACCURACY = 100_000
+_ACCURACY = 10_000
 
 
 def _lit(v):
@@ -68,16 +68,29 @@ def values_at_ranks(df: DataFrame, exprs: dict[str, Column], targets: Sequence[t
         todo = [t for t, s in state.items() if big(s)]
         if not todo:
             break
-        # 1) approximate bounds around each rank, inside its current window
-        aggs = []
-        for i, t in enumerate(todo):
-            s, v = state[t], exprs[t[0]]
+        # 1) approximate bounds around each rank inside its window: one sketch per distinct
+        #    window carries the fractions of every rank that shares it
+        fr = {}
+        groups: dict = {}
+        for t in todo:
+            s = state[t]
             f = (t[1] - s["below"]) / max(s["cnt"] - 1, 1)
-            lo_f, hi_f = max(0.0, f - s["delta"]), min(1.0, f + s["delta"])
-            win = F.when(_in_window(v, s["lo"], s["hi"]), v)
-            aggs.append(F.percentile_approx(win, [lo_f, hi_f], accuracy).alias(f"a{i}"))
+            fr[t] = (max(0.0, f - s["delta"]), min(1.0, f + s["delta"]))
+            groups.setdefault((t[0], s["lo"], s["hi"]), []).append(t)
+        keys = list(groups)
+        aggs = []
+        for i, (name, lo, hi) in enumerate(keys):
+            v = exprs[name]
+            fracs = sorted({x for t in groups[(name, lo, hi)] for x in fr[t]})
+            aggs.append(F.percentile_approx(F.when(_in_window(v, lo, hi), v), fracs, accuracy).alias(f"a{i}"))
         row = df.agg(*aggs).first()
-        bounds = [tuple(row[i]) for i in range(len(todo))]
+        found = {}
+        for i, key in enumerate(keys):
+            fracs = sorted({x for t in groups[key] for x in fr[t]})
+            at = dict(zip(fracs, row[f"a{i}"]))
+            for t in groups[key]:
+                found[t] = (at[fr[t][0]], at[fr[t][1]])
+        bounds = [found[t] for t in todo]
         # 2) exact counts below and inside the narrowed windows
         aggs = []
         for i, t in enumerate(todo):
