@@ -120,12 +120,32 @@ def q_cases_regression(spark, sf):
                     r6(F.col("abs_error")).alias("abs_error"))
 
 
-@query("case_table")
+def _case_table_sql():
+    split = _bins_sql("SELECT * FROM lineitem", LI_KEY, 42, [2000], hash_cols=LI_HASH)
+    t = (f"SELECT *, CASE WHEN prediction = 1 THEN score ELSE 1.0 - score END AS prob_pred, label = prediction AS ok "
+         f"FROM (SELECT *, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS prediction FROM ({LI_BIN_SQL})) "
+         f"WHERE ({_K}) IN (SELECT ({_K}) FROM ({split}) WHERE _bin = 0)")
+    pick = f"SELECT {_K}, label, prediction, prob_pred FROM t"
+    return f"""WITH t AS ({t}),
+c AS ({pick} WHERE ok ORDER BY -prob_pred, {_K} LIMIT 1),
+b AS ({pick} ORDER BY abs(prob_pred - 0.5), {_K} LIMIT 1),
+f AS ({pick} WHERE NOT ok ORDER BY -prob_pred, {_K} LIMIT 1),
+cases AS (SELECT 'highest_confidence_correct' AS case_name, * FROM c UNION ALL SELECT 'borderline', * FROM b
+          UNION ALL SELECT 'failure_case', * FROM (SELECT * FROM f UNION ALL SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM f))),
+sh AS ({_shap_sql()})
+SELECT cases.case_name, {', '.join('cases.' + k for k in LI_KEY)}, cases.label, cases.prediction,
+       round(cases.prob_pred, 6) AS prob_pred, sh.feature, round(sh.value, 6) AS value, round(sh.shap, 6) AS shap
+FROM cases JOIN sh USING ({_K})"""
+
+
+@query("case_table", sql=_case_table_sql())
 def q_case_table(spark, sf):
-    """H9 (rows-only check: case rows joined to their attributions)."""
+    """H9: the three cases of the holdout rows joined to their attributions."""
     s = li_split(spark, sf)
     means = explain.background_means(s.filter(F.col("split") == "train"), list(LI_COEFS))
     test = s.filter(F.col("split") == "test")
     d = li_cases_input(spark, sf).join(test.select(*LI_KEY), LI_KEY, "left_semi")
     cases = explain.cases_classification(d, LI_KEY, "label", "prediction", "prob_pred")
-    return explain.case_table(cases, explain.linear_shap(test, LI_COEFS, means, LI_KEY), LI_KEY)
+    t = explain.case_table(cases, explain.linear_shap(test, LI_COEFS, means, LI_KEY), LI_KEY)
+    return t.select("case_name", *LI_KEY, "label", "prediction", r6(F.col("prob_pred")).alias("prob_pred"),
+                    "feature", r6(F.col("value")).alias("value"), r6(F.col("shap")).alias("shap"))
