@@ -12,7 +12,7 @@ from .registry import query
 from .tables import SCHEMAS, load
 
 STREAM_COLS = ["value", "user_id"]
-LANDING_FILES = 8
+LANDING_FILES = 4
 
 
 def _events_schema() -> str:
