@@ -23,7 +23,9 @@ from ..operators.drift import PSI_EPS, band
 def binned_stream(stream: DataFrame, time_col: str, edges: dict[str, list[float]], window: str,
                   watermark: str) -> DataFrame:
     """Per event: window, column and bin (-1 outside the baseline's outer edges)."""
-    ts = F.col(time_col).cast("timestamp")
+    # the wall-clock time read as UTC: windows do not move with the session time zone
+    ts = F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "
+                f"CAST(`{time_col}` AS TIMESTAMP_NTZ)))")
     s = stream.withColumn("_ts", ts).withWatermark("_ts", watermark)
     parts = []
     for c, e in edges.items():
@@ -41,8 +43,9 @@ def start(stream: DataFrame, time_col: str, edges: dict[str, list[float]], sink_
     counts = binned_stream(stream, time_col, edges, window, watermark)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "column_name",
-                     "bin", "n", F.lit(batch_id).alias("batch_id")) \
+        ntz = "timestampadd(MICROSECOND, unix_micros(w.{}), TIMESTAMP_NTZ'1970-01-01 00:00:00')"
+        batch.select(F.expr(ntz.format("start")).alias("window_start"), F.expr(ntz.format("end")).alias("window_end"),
+                     "column_name", "bin", "n", F.lit(batch_id).alias("batch_id")) \
             .write.mode("append").parquet(sink_path)
 
     w = counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
@@ -71,8 +74,7 @@ def window_psi(spark: SparkSession, sink_path: str, baseline_counts: DataFrame,
     full = full.join(sums, keys).withColumns({"pe": F.col("pe") / F.col("_se"), "pa": F.col("pa") / F.col("_sa")})
     out = full.groupBy("window_start", "window_end", "column_name").agg(
         F.first("na").alias("n"), F.sum((F.col("pa") - F.col("pe")) * F.log(F.col("pa") / F.col("pe"))).alias("psi"))
-    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
-                      F.col("window_end").cast("timestamp_ntz").alias("window_end"), "column_name",
+    return out.select("window_start", "window_end", "column_name",
                       F.col("n").cast("bigint").alias("n"), r6(F.col("psi")).alias("psi"), band(r6(F.col("psi"))).alias("band"))
 
 
