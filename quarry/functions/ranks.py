@@ -19,7 +19,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -250,14 +249,10 @@ def hash_rank_bins(df: DataFrame, group_cols: Sequence[str], key_cols: Sequence[
 def _hash_rank_bins_driver(df, group_cols, key_cols, seed, fractions_bp, out_col, rounding, hash_cols=None):
     g = F.struct(*[F.col(f"`{c}`") for c in group_cols]) if group_cols else F.lit(0)
     h = phash(hash_cols or key_cols, seed, df)
-    # the narrow (group, hash, key) projection is hashed once and kept for the level
-    # passes (recomputable from lineage if a block is lost), released before returning
-    d = df.select(g.alias("_g"), h.alias("_h"), *[F.col(f"`{k}`") for k in key_cols]) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _driver_levels(df, d, group_cols, key_cols, h, fractions_bp, out_col, rounding)
-    finally:
-        d.unpersist()
+    # each level re-scans the narrow (group, hash, key) projection: the hash is a few
+    # integer operations, cheaper than materialising the projection
+    d = df.select(g.alias("_g"), h.alias("_h"), *[F.col(f"`{k}`") for k in key_cols])
+    return _driver_levels(df, d, group_cols, key_cols, h, fractions_bp, out_col, rounding)
 
 
 def _driver_levels(df, d, group_cols, key_cols, h, fractions_bp, out_col, rounding):
@@ -288,12 +283,12 @@ def _driver_levels(df, d, group_cols, key_cols, h, fractions_bp, out_col, roundi
                 cum += c
     thresholds: dict = {gv: [] for gv in per_group}
     if want1:
-        cond = F.lit(False)
-        for gv, b in {(gv, b) for (gv, _), (b, _) in want1.items()}:
-            cond = cond | ((F.col("_g") == F.lit(gv) if not group_cols else F.col("_g") == _struct_lit(gv))
-                           & (F.shiftright("_h", 14) == F.lit(b)))
+        # one reference to the hash per group (``isin``): predicate pushdown copies the hash
+        # expression into every reference, and one copy per cut makes the scan stage slow
+        cond = _match(group_cols, "_b", {(gv, b) for (gv, _), (b, _) in want1.items()})
         kmin = F.min(F.struct(*[F.col(f"`{k}`") for k in key_cols])).alias("kmin")
-        c2 = d.filter(cond).groupBy("_g", "_h").agg(F.count(F.lit(1)).alias("n"), kmin).collect()
+        c2 = d.withColumn("_b", F.shiftright("_h", 14)).filter(cond).groupBy("_g", "_h") \
+            .agg(F.count(F.lit(1)).alias("n"), kmin).collect()
         hv: dict = {}
         smallest: dict = {}
         for r in c2:
@@ -314,10 +309,7 @@ def _driver_levels(df, d, group_cols, key_cols, h, fractions_bp, out_col, roundi
                 del want2[(gv, j)]
         if want2:
             # level 3: the rows tied on a cut's hash value, ordered by key
-            cond = F.lit(False)
-            for gv, hval in {(gv, hval) for (gv, _), (hval, _) in want2.items()}:
-                cond = cond | ((F.col("_g") == F.lit(gv) if not group_cols else F.col("_g") == _struct_lit(gv))
-                               & (F.col("_h") == F.lit(hval)))
+            cond = _match(group_cols, "_h", {(gv, hval) for (gv, _), (hval, _) in want2.items()})
             ties = d.filter(cond).limit(_MAX_TIE_ROWS + 1).collect()
             if len(ties) > _MAX_TIE_ROWS:
                 return None
@@ -349,6 +341,18 @@ def _driver_levels(df, d, group_cols, key_cols, h, fractions_bp, out_col, roundi
     return out.withColumn(out_col, expr).drop("_h")
 
 
+def _match(group_cols, col: str, pairs) -> Column:
+    """Rows whose (group, ``col``) is one of ``pairs``: per group one ``isin`` on ``col``."""
+    by_group: dict = {}
+    for gv, v in pairs:
+        by_group.setdefault(gv, []).append(v)
+    cond = F.lit(False)
+    for gv, vals in by_group.items():
+        g_ok = F.lit(True) if not group_cols else F.col("_g") == _struct_lit(gv)
+        cond = cond | (g_ok & F.col(col).isin(sorted(vals)))
+    return cond
+
+
 def _struct_lit(row):
     return F.struct(*[F.lit(v).alias(k) for k, v in row.asDict().items()])
 
