@@ -99,3 +99,16 @@ def test_driver_and_distributed_bins_agree_with_ties(spark):
     a = sorted(tuple(r) for r in fast.groupBy("k", "y", "b").count().collect())
     b = sorted(tuple(r) for r in dist.groupBy("k", "y", "b").count().collect())
     assert a == b
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(min_value=-50, max_value=50), min_size=30, max_size=400),
+       st.sampled_from([0.0, 0.13, 0.25, 0.5, 0.77, 1.0]))
+def test_exact_quantile_property(spark, vals, p):
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double").repartition(3)
+    got = ranks.exact_quantiles(df, {"v": F.col("v")}, [p], max_window=8, accuracy=50)[("v", p)]
+    assert got == pytest.approx(float(np.percentile(vals, p * 100)), abs=1e-9)
