@@ -232,3 +232,27 @@ def _slices_reg_sql(src, y, p, slices):
 def q_slices_regression(spark, sf):
     o = load(spark, sf, "orders").withColumn("pred", F.expr(ORDERS_PRED))
     return evaluate.slices_regression(o, "o_totalprice", "pred", ORDER_SLICES)
+
+
+def _ece_multi_sql():
+    edges = evaluate._edges_ece()
+    b = " + ".join(f"(conf > {e!r})::INT" for e in edges[1:-1])
+    arr = "[" + ", ".join(repr(e) for e in edges) + "]"
+    pa, pn, pr = (f"p_{k}" for k in CLASSES)
+    # first maximum wins (class order A, N, R)
+    arg = f"CASE WHEN {pa} = conf THEN 'A' WHEN {pn} = conf THEN 'N' ELSE 'R' END"
+    return f"""WITH m AS (SELECT *, greatest({pa}, {pn}, {pr}) AS conf FROM ({LI_MULTI_SQL})),
+t AS (SELECT conf, CASE WHEN {arg} = l_returnflag THEN 1.0 ELSE 0.0 END AS acc FROM m),
+b AS (SELECT conf, acc, CASE WHEN conf > 0 THEN {b} ELSE -1 END AS bin FROM t),
+per AS (SELECT bin, count(*) AS n, avg(conf) AS mean_conf, avg(acc) AS accuracy FROM b GROUP BY bin),
+s AS (SELECT per.*, n / sum(n) OVER () AS share FROM per)
+SELECT bin::INT AS bin, round({arr}[bin + 1], 6) AS lo, round({arr}[bin + 2], 6) AS hi, n::BIGINT AS n, round(share, 6) AS share,
+       round(mean_conf, 6) AS mean_conf, round(accuracy, 6) AS accuracy,
+       round(sum(share * abs(mean_conf - accuracy)) OVER (), 6) AS ece FROM s WHERE bin >= 0"""
+
+
+@query("ece_multiclass", sql=_ece_multi_sql())
+def q_ece_multiclass(spark, sf):
+    """E8, multiclass: argmax class (first on ties) and its probability as confidence."""
+    return evaluate.ece_bins(li_multi(spark, sf), "l_returnflag", prob_cols=[f"p_{k}" for k in CLASSES],
+                             classes=CLASSES)
