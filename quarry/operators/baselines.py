@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import HASH_SPACE, SEED, phash, r6
 from ..functions.ranks import column_counts, exact_quantiles
-from .evaluate import auc
 
 # Imbalance ratio, minority share, candidate tiers and size floors.
 IMBALANCE_RATIO = 10

@@ -172,14 +172,12 @@ def psi(baseline: DataFrame, current: DataFrame, cols: Sequence[str]) -> DataFra
         frames.append(_psi_from_counts(full, ["column_name"]).withColumn("method", F.lit("categories")))
     out = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
     # a column with an empty side scores 0
-    names = ", ".join(f"'{c}'" for c in cols)
     every = baseline.agg(F.count(F.lit(1)).alias("_n")).select(
         F.explode(F.array(*[F.lit(c) for c in cols])).alias("column_name"))
     res = every.join(out, "column_name", "left").select(
         "column_name", F.coalesce("method", F.lit("empty")).alias("method"),
         F.coalesce(F.col("n_bins"), F.lit(0)).cast("bigint").alias("n_bins"),
         r6(F.coalesce("psi", F.lit(0.0))).alias("psi"))
-    del names
     return res.withColumn("band", band(F.col("psi")))
 
 

@@ -35,9 +35,8 @@ def metric_frame(spark, sf):
     li = drawn_lineitem(spark, sf)
     per_fold = evaluate.auc(li, F.col("label"), F.col("score"), ["fold"])
     cv = per_fold.agg(F.avg("auc").alias("m"), F.stddev_pop("auc").alias("s"))
-    split = li
-    test = split.filter(F.col("split") == "test")
-    train = split.filter(F.col("split") == "train")
+    test = li.filter(F.col("split") == "test")
+    train = li.filter(F.col("split") == "train")
     hold = evaluate.auc(test, F.col("label"), F.col("score"))
     ece = evaluate.ece_bins(test, "label", prob="score").agg(F.first("ece").alias("e"))
     sl = evaluate.slices_classification(test, "label", "prediction", "score", ["l_returnflag", "l_linestatus"]) \
@@ -124,7 +123,7 @@ FROM g, (SELECT unnest(range(0, 4)) AS r)""")
 def q_route_after_eval(spark, sf):
     """R25 after evaluation for each retry count 0..3 of the same gate row."""
     from ..operators import sessions
-    m = metric_frame(spark, sf)
+    m = pin(metric_frame(spark, sf))  # the gate and the flags both read the one metric row
     gate = risk.pass_gate(m, "classification").select(
         F.lit(0).alias("session_id"), "pass_gate", "halt",
         F.explode(F.sequence(F.lit(0), F.lit(3))).alias("retries"))
