@@ -112,3 +112,18 @@ def test_exact_quantile_property(spark, vals, p):
     df = spark.createDataFrame([(float(v),) for v in vals], "v double").repartition(3)
     got = ranks.exact_quantiles(df, {"v": F.col("v")}, [p], max_window=8, accuracy=50)[("v", p)]
     assert got == pytest.approx(float(np.percentile(vals, p * 100)), abs=1e-9)
+
+
+def test_hard_vote_auc_equals_exact_auc(spark):
+    from quarry.operators.baselines import hard_vote_auc
+    rnd = random.Random(11)
+    classes = ["a", "b", "c"]
+    rows = [(i % 5, rnd.choice(classes), rnd.choice(classes)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "fold int, y string, vote string")
+    got = {r.fold: r.score for r in hard_vote_auc(df, "fold", "y", {"m": "vote"}, classes).collect()}
+    long = df.select("fold", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("k"), (F.col("y") == c).cast("int").alias("yk"), (F.col("vote") == c).cast("double").alias("sk"))
+        for c in classes])).alias("r")).select("fold", "r.*")
+    exact = evaluate.auc(long, F.col("yk"), F.col("sk"), ["fold", "k"]).groupBy("fold").agg(F.avg("auc").alias("a"))
+    for r in exact.collect():
+        assert got[r.fold] == pytest.approx(r.a, abs=1e-12)
