@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup
+from . import decontaminate, line_dedup, simhash
 from .common import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -51,3 +51,20 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = line_dedup.dedup_lines(docs)
     return clean.select("doc_id", "n_lines", "n_dropped",
                         F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op4_decontaminate")
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontaminate.scan(docs, read_table(spark, sf_dir, "benchmark"), drop_text=True)
+    ids = F.array_join(F.array_sort("hit_items"), ",")
+    return marked.select("doc_id", "n_words", decontaminate.n_hit().alias("n_hit"),
+                         F.size("hit_items").cast("bigint").alias("n_items"),
+                         F.sha2(ids.cast("binary"), 256).alias("items_sha256"),
+                         decontaminate.contaminated().alias("contaminated"))
+
+
+@query("op5_simhash_near_dedup")
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.group_near(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
