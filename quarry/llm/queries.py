@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, quality, simhash
+from . import bpe, decontaminate, line_dedup, quality, simhash
 from .common import crc_remainder, read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -77,3 +82,9 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score_documents(docs, labels)
     return scored.select("doc_id", (crc_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
                          quality.predicted(F.col("score")).alias("predicted"))
+
+
+@query("op10_bpe")
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode_documents(docs, tokenizer_path("word_bpe_49k.json"), ids=False, digests=True, drop_text=True)
