@@ -30,6 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from .common import bounded_batches
 
@@ -81,6 +82,7 @@ class Vocabulary:
         self.byte_level = (conf.get("decoder") or {}).get("type") == "ByteLevel"
         self.byte_of = {c: b for b, c in enumerate(letters)}
         self.table: dict[bytes, bytes] = {}
+        self.spec, self.library = spec, None
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids; _NONE where the pair has no merge."""
@@ -159,6 +161,19 @@ class Vocabulary:
             i = ahead[i]
         return np.array(ids, "<u4").tobytes()
 
+    def words(self, text: str) -> list[bytes]:
+        """The words of one piece of text, as bytes.
+
+        Characters that this Python's Unicode tables do not know yet may have a class in the
+        tokenizer's: such pieces take its own normal form and word split.
+        """
+        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in text if c > "\u02ff"):
+            if self.library is None:
+                self.library = Tokenizer.from_str(self.spec)
+            known = self.library.normalizer.normalize_str(text)
+            return [bytes(self.byte_of[c] for c in w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(known)]
+        return [w.encode() for w in self.pattern.findall(self.normal(text))]
+
     def normal(self, text: str) -> str:
         """NFC, then each character in lower case by itself (no rule looks at its neighbours)."""
         if text.isascii():
@@ -174,7 +189,7 @@ class Vocabulary:
         if len(self.table) + len(chunks) > KEPT:
             self.table.clear()
         todo = [c for c in chunks if c not in self.table]
-        split = [[w.encode() for w in self.pattern.findall(self.normal(c.decode()))] for c in todo]
+        split = [self.words(c.decode()) for c in todo]
         words = list({w for ws in split for w in ws})
         ids = dict(zip(words, self.encode_words(words)))
         for c, ws in zip(todo, split):

@@ -73,6 +73,11 @@ class Scratch:
     def remove(self, n: int) -> None:
         self._delete(f"{self.path}/{n}")
 
+    def keep(self) -> None:
+        """Leave the folder in place until the driver's JVM ends (for frames that are read later)."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
     def _delete(self, at: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
