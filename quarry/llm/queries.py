@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, quality, simhash, topk
+from . import bpe, decontaminate, line_dedup, quality, simhash, topk, toxicity
 from .common import crc_remainder, read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -110,3 +110,12 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 @query("op8_exact_top_k", TOP_K_SQL)
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.pmod(F.col("id"), F.lit(50)) == 0, k=5)
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = quality.training_labels(read_table(spark, sf_dir, "labels"), "toxic", 5, 0)
+    scored = toxicity.score_toxicity(docs, labels)
+    return scored.select("doc_id", (crc_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+                         toxicity.predicted(F.col("score")).alias("predicted"), "n_matches")
