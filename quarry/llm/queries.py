@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, quality, simhash, topk, toxicity
+from . import bpe, decontaminate, line_dedup, lm_score, quality, simhash, topk, toxicity
 from .common import crc_remainder, read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +119,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_toxicity(docs, labels)
     return scored.select("doc_id", (crc_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
                          toxicity.predicted(F.col("score")).alias("predicted"), "n_matches")
+
+
+@query("op6_lm_scoring")
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
