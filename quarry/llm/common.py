@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,7 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Rows of one Arrow batch handed to a Python worker.  Whole texts travel in these batches, so
 #: the default of 10,000 rows could hold a gigabyte of long documents.
 BATCH_ROWS = 512
+PACKAGE_HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +29,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the session's Arrow batch to ``rows`` rows (never raises a smaller setting)."""
+    """Lower the session's Arrow batch to ``rows`` rows (never raises a smaller setting).
+
+    Also tells Python workers where this package lies, for sessions started from another folder.
+    """
+    workers = spark.sparkContext.environment
+    if PACKAGE_HOME not in workers.get("PYTHONPATH", "").split(os.pathsep):
+        workers["PYTHONPATH"] = os.pathsep.join(filter(None, [PACKAGE_HOME, workers.get("PYTHONPATH", "")]))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:

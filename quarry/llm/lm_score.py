@@ -1,14 +1,17 @@
 """Language-model scores by logistic mixing of hashed-context bit predictors.
 
 A text is its lower-cased words between ASCII white space, then one end.  A word is spelled byte by
-byte, closed by a space; the end is a lone space.  Each bit is predicted by six predictors whose
-contexts are the byte's place in the word, the last one to four bytes, and the word so far; the byte
-before a word's first stands for the kind of byte the word before ended with.  A predictor looks up
+byte, closed by a space; the end is a lone space.  A byte is spelled by the bits of its Huffman code (frequent
+bytes take few), and each bit is predicted by five predictors whose contexts are the last one to four
+bytes and the word so far; before a word's first byte stands the last byte beyond ASCII that the text has
+shown, which tells its language.  A predictor looks up
 how often either bit followed its hashed context in the training documents.  The predictions'
 logits are mixed by a set of weights that a gate (how often the two longest contexts have been seen)
-selects; an adaptive table, indexed by the bits of the byte so far and the mixed logit, refines the
+selects; an adaptive table, indexed by the node of the byte code and the mixed logit, refines the
 mixture.  Every step is a binary decision whose two probabilities add to one, so a text's product is
-a probability; -log2 of it over the text's bytes is its bits per byte.
+a probability; -log2 of it over the text's bytes is its bits per byte.  Last, a
+word's spelled probability is mixed with its share of all training tokens; the shares that the two get
+are chosen from ``SHARES`` by the training documents' cost, each counted without its own occurrence.
 
 Learning, as Spark jobs over all training documents: the texts are tokenised once into chunks (rows
 of word lists and word numbers, written to the shared folder); each task counts bits by context over
@@ -23,11 +26,12 @@ words to be counted, and get the counts back by a shuffled join on the word.
 
 Defined cases: a null or empty text is an end alone; a null ``doc_id`` counts as empty text in the
 split and comes back as null; repeated rows are scored each; without training documents the predictors
-know nothing and every bit costs one bit; other columns are not read.
+know nothing and every decision costs one bit (and the base score is 0); other columns are not read.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections.abc import Iterator
@@ -40,149 +44,199 @@ from pyspark.sql import functions as F
 from .bytewords import space_words
 from .common import Scratch, bounded_batches, pin
 
-#: log2 of the slots of each predictor's table: place, one byte, two, three, four bytes, word so far.
-TABLE_BITS = (12, 17, 20, 21, 21, 21)
+#: log2 of the slots of each predictor's table: last byte, two, three, four bytes, word so far.
+TABLE_BITS = (16, 19, 20, 21, 22)
 N = len(TABLE_BITS)
 OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])]).astype(np.int64)
 SLOTS = int(OFFSETS[-1])
 BLOCK = 1 << 15
-#: Text bytes of a chunk, and word bytes handled at a time.
+#: Text bytes of a chunk; words and spelled bytes handled at a time.
 CHUNK = 24 << 20
-STEP = 1 << 16
+WORDS = 40_000
+BATCH = 4096
 PRIOR = 0.4
 LIMIT = 8.0
-GATES = 5 * 4
-RATE = 0.02
+LEVELS = (8, 4)
+GATES = LEVELS[0] * LEVELS[1]
+RATE = 0.05
 REFINE_STEPS = 33
 REFINE_PRIOR = 30.0
 MIX_SHARE = 8
-_FACTORS = np.random.default_rng(11).integers(1, 1 << 63, (N + 3,), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.default_rng(11).integers(1, 1 << 63, (N + 4,), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _kinds() -> np.ndarray:
-    """Kind of a word's last byte: 1 sentence end, 2 other ASCII sign, 3 letter, 4 digit, 5 beyond ASCII."""
-    kind = np.full(256, 2, np.int64)
-    kind[[ord(c) for c in ".!?"]] = 1
-    kind[[*range(65, 91), *range(97, 123)]] = 3
-    kind[48:58] = 4
-    kind[128:] = 5
-    return kind
+def script_mark(word: bytes) -> int:
+    """1..64 by the last byte beyond ASCII of the word (it tells alphabets and languages apart); 0 without one."""
+    if word.isascii():
+        return 0
+    return 1 + max(enumerate(word), key=lambda x: (x[1] >= 0x80, x[0]))[1] % 64
 
 
-_KIND = _kinds()
+class ByteCode:
+    """A Huffman code of bytes: the binary decisions that spell a byte.
 
+    Frequent bytes take few decisions.  ``node[b, t]`` and ``bit[b, t]`` are the t-th decision of byte
+    b, ``size[b]`` their number; every byte has a code, whatever the counts.
+    """
 
-def spell(words: list[bytes], before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, contexts, word number of each byte) of words, each closed by a space.
-
-    ``before``: the kind of the word before each word (0: none).  ``contexts`` is (N, bytes) of hashes.
+    def __init__(self, counts: np.ndarray):
+        heap = [(int(c) + 1, b, (b,)) for b, c in enumerate(counts)]
+        heapq.heapify(heap)
+        paths: dict[int, list[tuple[int, int]]] = {b: [] for b in range(256)}
+        for inner in range(255):
+            (n0, _, zero), (n1, _, one) = heapq.heappop(heap), heapq.heappop(heap)
+            for bit, members in enumerate((zero, one)):
+                for b in members:
+                    paths[b].append((inner, bit))
+            heapq.heappush(heap, (n0 + n1, 256 + inner, zero + one))
+        self.size = np.array([len(paths[b]) for b in range(256)])
+        self.node = np.zeros((256, self.size.max()), np.int64)
+        self.bit = np.zeros((256, self.size.max()), np.int64)
+        for b, path in paths.items():
+            for t, (node, bit) in enumerate(reversed(path)):
+                self.node[b, t], self.bit[b, t] = node, bit
+
+    def decisions(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(which bytes have a t-th decision, its node, its bit) for t = 0, 1, ..."""
+        own = np.arange(len(data))
+        for t in range(self.node.shape[1]):
+            own = own[self.size[data[own]] > t]
+            if not len(own):
+                return
+            yield own, self.node[data[own], t], self.bit[data[own], t]
+
+
+class Spelling:
+    """The distinct steps that spell some words: each step is a byte in its contexts.
+
+    Words that begin alike share their first steps, so sorted words have few steps of their own.
+    ``data`` and ``contexts`` are by step; ``step`` and ``word`` say which step each byte of each word
+    is.  ``before``: the script mark in force before each word (0: none); it stands before a first byte.
     """
-    data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    start = np.cumsum(size) - size
-    word = np.repeat(np.arange(len(words)), size)
-    place = np.arange(len(data)) - start[word]
-    edge = 256 + before[word]
-    symbols = data.astype(np.int64)
-    last = []
-    for k in range(1, 5):
-        back = np.concatenate([np.zeros(min(k, len(data)), np.int64), symbols[:-k]])[:len(data)]
-        last.append(np.where(place >= k, back, np.where(place == k - 1, edge, 300)))
-    power = np.cumprod(np.full(int(place.max(initial=0)) + 1, _FACTORS[N], np.uint64), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        run = np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * power[place], dtype=np.uint64)
-        run = np.concatenate([np.zeros(1, np.uint64), run])
-        prefix = run[:-1] - run[start][word]
-        prefix = np.where(place == 0, edge.astype(np.uint64), prefix)
-        mixed = last[0].astype(np.uint64)
-        parts = [np.minimum(place, 15).astype(np.uint64), mixed]
-        for k in range(1, 4):
-            mixed = mixed * np.uint64(512) + last[k].astype(np.uint64)
-            parts.append(mixed)
-        parts.append(prefix)
-        contexts = np.stack([(p + np.uint64(i + 1)) * _FACTORS[i] for i, p in enumerate(parts)])
-    return data, contexts, word
 
+    def __init__(self, words: list[bytes], before: np.ndarray):
+        raw = np.frombuffer(b" ".join(words) + b" ", np.uint8)
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        start = np.cumsum(size) - size
+        self.word = np.repeat(np.arange(len(words)), size)
+        place = np.arange(len(raw)) - start[self.word]
+        edge = 256 + before[self.word]
+        power = np.cumprod(np.full(int(place.max(initial=0)) + 2, _FACTORS[N], np.uint64), dtype=np.uint64)
+        run = np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[place], dtype=np.uint64)
+        so_far = np.concatenate([np.zeros(1, np.uint64), run[:-1]]) - (run[start] - (raw[start].astype(np.uint64) + np.uint64(1)) * power[0])[self.word]
+        # from the fifth byte on, no context reaches back to the word before
+        near = np.where(place < 4, edge, 0).astype(np.uint64)
+        key = (so_far + raw * power[place + 1]) * _FACTORS[N + 1] + place.astype(np.uint64) * _FACTORS[N + 2] + near
+        _, first, self.step = np.unique(key, return_index=True, return_inverse=True)
+        self.data = raw[first]
+        at, edge = place[first], edge[first]
+        mixed, parts = np.zeros(len(first), np.uint64), []
+        for k in range(1, 5):
+            last = np.where(at >= k, raw[np.maximum(first - k, 0)], np.where(at == k - 1, edge, 300)).astype(np.uint64)
+            mixed = mixed * np.uint64(512) + last
+            parts.append(mixed)
+        parts.append(np.where(at == 0, edge.astype(np.uint64), so_far[first]))
+        self.contexts = [(p + np.uint64(i + 1)) * _FACTORS[i] for i, p in enumerate(parts)]
 
-def slots(contexts: np.ndarray, node: np.ndarray, i: int) -> np.ndarray:
-    """Slot of predictor ``i`` (within its own table) for each context and partial byte."""
-    with np.errstate(over="ignore"):
-        h = contexts[i] + node.astype(np.uint64) * _FACTORS[N + 1]
-        h = (h ^ (h >> np.uint64(29))) * _FACTORS[N + 2]
-        h = h ^ (h >> np.uint64(32))
-    return (h & np.uint64((1 << TABLE_BITS[i]) - 1)).astype(np.int64)
+    def often(self, times: np.ndarray) -> np.ndarray:
+        """How often each step is taken, for words that occur ``times``."""
+        return np.bincount(self.step, times[self.word], len(self.data))
 
 
-def bits(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(node, bit) of the eight bits of each byte, high bit first; node: a one, then the bits so far."""
-    whole = data.astype(np.int64)
-    for t in range(8):
-        yield (1 << t) | (whole >> (8 - t)), (whole >> (7 - t)) & 1
+def slots(context: np.ndarray, node: np.ndarray, i: int) -> np.ndarray:
+    """Slot of predictor ``i`` (within its own table) for each context and node of the byte code."""
+    h = context + node.astype(np.uint64) * _FACTORS[N + 1]
+    h ^= h >> np.uint64(29)
+    h *= _FACTORS[N + 2]
+    return (h >> np.uint64(64 - TABLE_BITS[i])).astype(np.int64)
 
 
 class BitModel:
     """Counts of zeros and ones by slot, mixing weights by gate, and the refining table."""
 
-    def __init__(self, counts: np.ndarray, weights: np.ndarray | None = None, refine: np.ndarray | None = None):
-        total = counts.sum(axis=1)
-        self.logit = np.log((counts[:, 1] + PRIOR) / (counts[:, 0] + PRIOR)).clip(-LIMIT, LIMIT).astype(np.float32)
-        self.seen = np.minimum(np.log2(total + 1), 4).astype(np.uint8)
-        self.weights = np.full((GATES, N), 0.3) if weights is None else weights
+    def __init__(self, code: ByteCode, counts: np.ndarray, weights: np.ndarray | None = None,
+                 refine: np.ndarray | None = None):
+        self.code = code
+        self.logit, self.seen = np.empty(SLOTS, np.float32), np.empty(SLOTS, np.int8)
+        for k in range(0, SLOTS, 1 << 20):
+            zero, one = counts[k:k + (1 << 20)].T.astype(np.float32)
+            self.logit[k:k + (1 << 20)] = np.log((one + PRIOR) / (zero + PRIOR)).clip(-LIMIT, LIMIT)
+            self.seen[k:k + (1 << 20)] = np.log2(zero + one + 1)
+        self.weights = np.full((GATES, N), 1.0 / N) if weights is None else weights
+        self.pace = np.full((GATES, N), 1e-4)
         self.refine = np.zeros((256 * REFINE_STEPS, 2)) if refine is None else refine
 
-    def inputs(self, contexts: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def inputs(self, contexts: list[np.ndarray], node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(logits of the predictors, gate)."""
-        at = [slots(contexts, node, i) + OFFSETS[i] for i in range(N)]
-        x = np.stack([self.logit[a] for a in at], axis=1)
-        gate = self.seen[at[5]].astype(np.int64) * 4 + np.minimum(self.seen[at[3]], 3)
+        x = np.empty((N, len(node)), np.float32)
+        for i in range(N):
+            at = slots(contexts[i], node, i) + OFFSETS[i]
+            x[i] = self.logit[at]
+            if i == 2:
+                gate = np.minimum(self.seen[at] >> 1, LEVELS[1] - 1).astype(np.int64)
+            elif i == N - 1:
+                gate += np.minimum(self.seen[at], LEVELS[0] - 1) * LEVELS[1]
         return x, gate
 
+    def mixed(self, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(logit, probability) of a one under the gate's weights."""
+        logit = (x * self.weights.T.astype(np.float32)[:, gate]).sum(axis=0).clip(-LIMIT, LIMIT)
+        return logit, 1 / (1 + np.exp(-logit))
+
     def refined(self, node: np.ndarray, logit: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cell = node * REFINE_STEPS + np.rint((np.clip(logit, -LIMIT, LIMIT) + LIMIT) * ((REFINE_STEPS - 1) / (2 * LIMIT))).astype(np.int64)
+        """(cell of the refining table, its probability of a one)."""
+        cell = node * REFINE_STEPS + np.rint((logit + LIMIT) * ((REFINE_STEPS - 1) / (2 * LIMIT))).astype(np.int64)
         n0, n1 = self.refine[cell, 0], self.refine[cell, 1]
         return cell, (n1 + REFINE_PRIOR * p) / (n0 + n1 + REFINE_PRIOR)
 
     def word_costs(self, words: list[bytes], before: np.ndarray) -> np.ndarray:
-        """-log2 of the probability of each word after a word of the kind ``before``."""
+        """-log2 of the probability of each word after the script mark ``before``."""
         cost = np.zeros(len(words))
-        for lo, hi in _stretches(words):
-            data, contexts, word = spell(words[lo:hi], before[lo:hi])
-            each = np.zeros(len(data))
-            for node, bit in bits(data):
-                x, gate = self.inputs(contexts, node)
-                logit = np.einsum("ij,ij->i", x, self.weights[gate])
-                p = 1 / (1 + np.exp(-logit))
+        for lo, hi in stretches(words):
+            own = Spelling(words[lo:hi], before[lo:hi])
+            each = np.zeros(len(own.data))
+            for which, node, bit in self.code.decisions(own.data):
+                x, gate = self.inputs([c[which] for c in own.contexts], node)
+                logit, p = self.mixed(x, gate)
                 p = (0.5 * (p + self.refined(node, logit, p)[1])).clip(1e-6, 1 - 1e-6)
-                each -= np.log2(np.where(bit == 1, p, 1 - p))
-            cost[lo:hi] = np.bincount(word, each, hi - lo)
+                each[which] -= np.log2(np.where(bit == 1, p, 1 - p))
+            cost[lo:hi] = np.bincount(own.word, each[own.step], hi - lo)
         return cost
 
     def learn(self, words: list[bytes], before: np.ndarray, times: np.ndarray) -> float:
-        """Online steps over a batch of words that occur ``times``; returns the tokens learned from."""
-        for lo, hi in _stretches(words):
-            data, contexts, word = spell(words[lo:hi], before[lo:hi])
-            often = times[lo:hi][word].astype(float)
-            for node, bit in bits(data):
-                x, gate = self.inputs(contexts, node)
-                logit = np.einsum("ij,ij->i", x, self.weights[gate])
-                p = 1 / (1 + np.exp(-logit))
-                cell, _ = self.refined(node, logit, p)
-                self.refine[:, 0] += np.bincount(cell, often * (1 - bit), len(self.refine))
-                self.refine[:, 1] += np.bincount(cell, often * bit, len(self.refine))
-                step = often * (bit - p)
-                weight = np.bincount(gate, often, GATES)
-                for i in range(N):
-                    change = np.bincount(gate, step * x[:, i], GATES) / np.maximum(weight, 1)
-                    self.weights[:, i] += RATE * change * (weight > 0)
+        """Online steps over a batch of words that occur ``times``; returns the tokens learned from.
+
+        Weights move against the gradient of the coding cost, each at a pace that falls with the
+        gradients it has met.
+        """
+        draw = np.random.default_rng(len(words))
+        for lo, hi in stretches(words):
+            own = Spelling(words[lo:hi], before[lo:hi])
+            often = own.often(times[lo:hi])
+            order = draw.permutation(len(own.data))
+            for k in range(0, len(order), BATCH):
+                part = order[k:k + BATCH]
+                contexts, held = [c[part] for c in own.contexts], often[part]
+                for which, node, bit in self.code.decisions(own.data[part]):
+                    x, gate = self.inputs([c[which] for c in contexts], node)
+                    logit, p = self.mixed(x, gate)
+                    cell, _ = self.refined(node, logit, p)
+                    np.add.at(self.refine, (cell, bit), held[which])
+                    step = held[which] * (bit - p)
+                    total = np.maximum(np.bincount(gate, held[which], GATES), 1e-9)
+                    for i in range(N):
+                        change = np.bincount(gate, step * x[i], GATES) / total
+                        self.pace[:, i] += change * change
+                        self.weights[:, i] += RATE * change / np.sqrt(self.pace[:, i])
         return float(times.sum())
 
 
-def _stretches(words: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of words of about STEP bytes in all."""
+def stretches(words: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of at most WORDS words and about 16 bytes for each of those."""
     lo, held = 0, 0
     for k, w in enumerate(words):
         held += len(w) + 1
-        if held >= STEP:
+        if held >= 16 * WORDS or k - lo + 1 >= WORDS:
             yield lo, k + 1
             lo, held = k + 1, 0
     if lo < len(words):
@@ -224,8 +278,9 @@ def chunks(docs: DataFrame, held_out: int, modulus: int) -> DataFrame:
                 text = value.as_buffer().to_pybytes() if value.is_valid else b""
                 ws = space_words(text)
                 ws.append(b"")
-                for w in set(ws) - known.keys():
-                    known[w] = len(known)
+                for w in ws:
+                    if w not in known:
+                        known[w] = len(known)
                 rows.append(np.fromiter(map(known.__getitem__, ws), np.int32, len(ws)))
                 mark = zlib.crc32(b"" if doc is None else str(doc).encode())
                 ids.append(doc)
@@ -277,34 +332,62 @@ def unpack(data: bytes, lengths: np.ndarray) -> np.ndarray:
 
 
 def _types(batch: pa.RecordBatch, roles: tuple[int, ...]) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
-    """For each chunk and role: its distinct (word, kind of the word before), and how often each occurs."""
+    """For each chunk and role: its distinct (word, script mark before), and how often each occurs."""
     for row in range(batch.num_rows):
-        lengths, flat, before, words = _decoded(batch, row)
+        lengths, flat, before, words, rank = _decoded(batch, row)
         role = np.repeat(np.array(batch["roles"][row].as_py()), lengths)
-        pair = flat * 8 + before
+        pair = rank[flat] * 65 + before
         for r in roles:
             key, times = np.unique(pair[role == r], return_counts=True)
             if len(key):
-                yield r, [words[k] for k in (key >> 3).tolist()], key & 7, times
+                yield r, [words[k] for k in (key // 65).tolist()], key % 65, times
 
 
-def _decoded(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+def _decoded(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """(tokens a document, word numbers, marks before, words in order, place of each number in that order)."""
     lengths = np.array(batch["lengths"][row].as_py(), np.int64)
     flat = unpack(batch["numbers"][row].as_py(), lengths)
     words = batch["words"][row].as_py()
-    kind = np.array([_KIND[w[-1]] if w else 0 for w in words], np.int64)
-    before = np.concatenate([[0], kind[flat[:-1]]])  # an end has kind 0, so a text begins after kind 0
-    return lengths, flat, before, words
+    mark = np.array([script_mark(w) if w else 65 for w in words], np.int64)[flat]  # an end sets the mark back
+    last = np.maximum.accumulate(np.where(mark > 0, np.arange(len(mark)), 0))
+    before = np.concatenate([[0], mark[last][:-1]]) % 65
+    order = sorted(range(len(words)), key=words.__getitem__)
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    return lengths, flat, before, [words[k] for k in order], rank
+
+
+def byte_code(table: DataFrame) -> ByteCode:
+    """The code of bytes by their counts in the training words (each word's own byte and one space)."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, np.int64)
+        for b in batches:
+            for words, trained in zip(b["words"].to_pylist(), b["trained"].to_pylist()):
+                size = np.fromiter(map(len, words), np.int64, len(words))
+                total += np.bincount(np.frombuffer(b"".join(words), np.uint8), np.repeat(trained, size), 256).astype(np.int64)
+                total[32] += sum(trained)
+        yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(total)], ["byte", "n"])
+
+    counts = table.select("words", "trained").mapInArrow(work, "byte int, n bigint").groupBy("byte").agg(F.sum("n").alias("n"))
+    out = np.zeros(256, np.int64)
+    for r in counts.collect():  # 256 rows
+        out[r["byte"]] = r["n"]
+    return ByteCode(out)
 
 
-def _bit_counts(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _bit_counts(table: DataFrame, code: ByteCode) -> tuple[np.ndarray, np.ndarray]:
     """(slots, 2) counts of zeros and ones: of the training documents kept for the tables, and of the others."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {1: np.zeros(2 * SLOTS, np.int64), 2: np.zeros(2 * SLOTS, np.int64)}
+        total = {1: np.zeros(2 * SLOTS, np.int32), 2: np.zeros(2 * SLOTS, np.int32)}
         for b in batches:
             for role, words, before, times in _types(b, (1, 2)):
-                for lo in range(0, len(words), 1 << 17):
-                    _add_bits(total[role], words[lo:lo + (1 << 17)], before[lo:lo + (1 << 17)], times[lo:lo + (1 << 17)])
+                for lo, hi in stretches(words):
+                    own = Spelling(words[lo:hi], before[lo:hi])
+                    often = own.often(times[lo:hi]).astype(np.int32)
+                    for which, node, bit in code.decisions(own.data):
+                        for i in range(N):
+                            at = (slots(own.contexts[i][which], node, i) + OFFSETS[i]) * 2 + bit
+                            np.add.at(total[role], at, often[which])
         for role, counts in total.items():
             for k in range(0, 2 * SLOTS, BLOCK):
                 own = counts[k:k + BLOCK]
@@ -313,61 +396,53 @@ def _bit_counts(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([role], pa.int32()), pa.array([k // BLOCK], pa.int32()),
                          pa.array([at.astype("<u2").tobytes()], pa.binary()),
-                         pa.array([own[at].astype("<i8").tobytes()], pa.binary())], ["role", "block", "at", "n"])
+                         pa.array([own[at].astype("<i4").tobytes()], pa.binary())], ["role", "block", "at", "n"])
 
     def add(key: tuple, part: pa.Table) -> pa.Table:
         own = np.zeros(BLOCK, np.int64)
         for at, n in zip(part["at"], part["n"]):
-            own[np.frombuffer(at.as_buffer(), "<u2")] += np.frombuffer(n.as_buffer(), "<i8")
+            own[np.frombuffer(at.as_buffer(), "<u2")] += np.frombuffer(n.as_buffer(), "<i4")
         at = np.flatnonzero(own)
         return pa.table({"role": [key[0].as_py()], "block": [key[1].as_py()], "at": [at.astype("<u2").tobytes()],
-                         "n": [np.minimum(own[at], 2 ** 31 - 1).astype("<i4").tobytes()]},
+                         "n": [np.minimum(own[at], 2 ** 30).astype("<i4").tobytes()]},
                         schema=pa.schema([("role", pa.int32()), ("block", pa.int32()), ("at", pa.binary()), ("n", pa.binary())]))
 
     sent = table.select("roles", "lengths", "numbers", "words").mapInArrow(work, "role int, block int, at binary, n binary")
     summed = sent.groupBy("role", "block").applyInArrow(add, "role int, block int, at binary, n binary")
     out = {1: np.zeros(2 * SLOTS, np.int32), 2: np.zeros(2 * SLOTS, np.int32)}
-    for r in summed.toLocalIterator():  # two tables of a fixed size, block by block
+    for r in pin(summed).toLocalIterator():  # two tables of a fixed size, block by block
         own = out[r["role"]][r["block"] * BLOCK:(r["block"] + 1) * BLOCK]
         own[np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<i4")
     return out[1].reshape(-1, 2), out[2].reshape(-1, 2)
 
 
-def _add_bits(total: np.ndarray, words: list[bytes], before: np.ndarray, times: np.ndarray) -> None:
-    data, contexts, word = spell(words, before)
-    often = times[word].astype(float)
-    for node, bit in bits(data):
-        for i in range(N):
-            lo, hi = 2 * OFFSETS[i], 2 * OFFSETS[i + 1]
-            total[lo:hi] += np.bincount(slots(contexts, node, i) * 2 + bit, often, hi - lo).astype(np.int64)
-
-
 def fit(table: DataFrame) -> BitModel:
     """Tables, weights and refinement from the chunks' training documents."""
     spark = table.sparkSession
-    first, others = _bit_counts(table)
-    held = spark.sparkContext.broadcast(first)
+    code = byte_code(table)
+    first, others = _bit_counts(table, code)
+    held = spark.sparkContext.broadcast(BitModel(code, first))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, tokens = None, 0.0
+        model, tokens = held.value, 0.0
+        model.weights, model.pace, model.refine = np.full((GATES, N), 1.0 / N), np.full((GATES, N), 1e-4), 0 * model.refine
         for b in batches:
             for _, words, before, times in _types(b, (2,)):
-                model = model or BitModel(held.value)
-                mixed = np.random.default_rng(len(words)).permutation(len(words))
-                tokens += model.learn([words[k] for k in mixed.tolist()], before[mixed], times[mixed])
-        if model is not None:
+                tokens += model.learn(words, before, times)
+        if tokens:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([tokens]), pa.array([model.weights.tobytes()], pa.binary()),
                  pa.array([model.refine.tobytes()], pa.binary())], ["tokens", "weights", "refine"])
 
-    learned = table.select("roles", "lengths", "numbers", "words").mapInArrow(
-        work, "tokens double, weights binary, refine binary")
+    learned = pin(table.select("roles", "lengths", "numbers", "words").mapInArrow(
+        work, "tokens double, weights binary, refine binary"))
     total, weights, refine = 0.0, np.zeros((GATES, N)), np.zeros((256 * REFINE_STEPS, 2))
     for r in learned.toLocalIterator():  # one row a task, added one at a time
         total += r["tokens"]
         weights += r["tokens"] * np.frombuffer(r["weights"]).reshape(GATES, N)
         refine += np.frombuffer(r["refine"]).reshape(-1, 2)
-    return BitModel(first + others, weights / total if total else None, refine)
+    first += others
+    return BitModel(code, first, weights / total if total else None, refine)
 
 
 def word_counts(table: DataFrame) -> DataFrame:
@@ -391,46 +466,76 @@ def score_documents(docs: DataFrame, held_out: int = 2, modulus: int = 7, id_col
         tokens, distinct = sums[0] or 0, sums[1]
         model = spark.sparkContext.broadcast(fit(table))
 
-        def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for row in range(b.num_rows):
-                    lengths, flat, before, words = _decoded(b, row)
-                    key, at = np.unique(flat * 8 + before, return_inverse=True)
-                    cost = model.value.word_costs([words[k] for k in (key >> 3).tolist()], key & 7)
-                    start = np.cumsum(lengths) - lengths
+                    _, flat, before, words, rank = _decoded(b, row)
+                    key, at = np.unique(rank[flat] * 65 + before, return_inverse=True)
+                    cost = model.value.word_costs([words[k] for k in (key // 65).tolist()], key % 65)
+                    kinds = at.astype("<i4")  # which of the chunk's (word, mark) pairs each token is
                     yield pa.RecordBatch.from_arrays(
-                        [b["chunk"].slice(row, 1), pa.array([np.add.reduceat(cost[at], start).tolist()], pa.list_(pa.float64()))],
-                        ["chunk", "cost"])
+                        [b["chunk"].slice(row, 1), b["ids"].slice(row, 1), b["roles"].slice(row, 1), b["n_bytes"].slice(row, 1),
+                         b["lengths"].slice(row, 1), pa.array([pack(_by_use(kinds, cost, flat)[0])], pa.binary()),
+                         *[pa.array([x], pa.binary()) for x in _by_use(kinds, cost, flat)[1:]]], _COST_COLUMNS)
 
-        costs = scratch.stash(table.select("chunk", "roles", "lengths", "numbers", "words").mapInArrow(
-            mixed, "chunk bigint, cost array<double>"))
+        costs = scratch.stash(table.select("chunk", "ids", "roles", "n_bytes", "lengths", "numbers", "words").mapInArrow(
+            spelled, "chunk bigint, ids array<bigint>, roles array<tinyint>, n_bytes array<bigint>, lengths array<int>, "
+                     "pairs binary, cost binary, number binary"))
         wanted = table.select(F.col("chunk").alias("piece"), F.posexplode("words").alias("i", "word"))
         known = wanted.join(counts.hint("shuffle_merge"), "word").select("piece", "i", "c")
-        whole = math.log10(tokens + distinct + 1) if tokens else 0.0
 
         def base(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-            if not left.num_rows:
-                return _SCORES.empty_table()
-            row = left.combine_chunks().to_batches()[0]
-            lengths = np.array(row["lengths"][0].as_py(), np.int64)
-            flat = unpack(row["numbers"][0].as_py(), lengths)
-            c = np.zeros(int(flat.max()) + 1)
-            c[right["i"].to_numpy()] = right["c"].to_numpy()
-            start = np.cumsum(lengths) - lengths
-            gained = np.add.reduceat(np.log10(c + 1)[flat], start)
-            return pa.table([row["ids"][0].values, pa.array(np.array(row["roles"][0].as_py()) == 0), pa.array(lengths),
-                             pa.array(np.add.reduceat((c > 0).astype(np.int64)[flat], start)),
-                             pa.array(gained - lengths * whole), row["cost"][0].values, row["n_bytes"][0].values],
-                            schema=_SCORES)
-
-        left = table.select("chunk", "ids", "roles", "lengths", "numbers", "n_bytes").join(costs, "chunk")
-        scored = left.groupBy("chunk").cogroup(known.groupBy("piece")).applyInArrow(
-            base, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, cost double, n_bytes bigint")
+            return _chunk_scores(left.combine_chunks().to_batches()[0], right, tokens, distinct) if left.num_rows else _SCORES.empty_table()
+
+        scored = scratch.stash(costs.groupBy("chunk").cogroup(known.groupBy("piece")).applyInArrow(
+            base, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, n_bytes bigint, "
+                  "scores array<double>, own array<double>"))
+        sums = scored.select(F.posexplode("own").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()
+        best = max(((r["v"], -r["k"]) for r in sums), default=(0.0, 0))[1] * -1
+        score = F.col("scores")[best]
         return pin(scored.select(
             "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score",
-            (F.col("cost") * -math.log10(2)).alias("score"),
-            (F.col("cost") / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte")))
+            score.alias("score"), (-score / math.log10(2) / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte")))
 
 
+_COST_COLUMNS = ["chunk", "ids", "roles", "n_bytes", "lengths", "pairs", "cost", "number"]
+#: Shares of the exact word counts in the mixture, of which one is chosen (0: spelling alone).
+SHARES = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                     ("base_score", pa.float64()), ("cost", pa.float64()), ("n_bytes", pa.int64())])
+                     ("base_score", pa.float64()), ("n_bytes", pa.int64()), ("scores", pa.list_(pa.float64())),
+                     ("own", pa.list_(pa.float64()))])
+
+
+def _by_use(pairs: np.ndarray, cost: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, bytes, bytes]:
+    """(pair of each token, cost of each pair, word number of each pair), pairs numbered by falling frequency."""
+    order = np.argsort(-np.bincount(pairs, minlength=len(cost)), kind="stable")
+    number = np.empty(len(cost), np.int64)
+    number[order] = np.arange(len(cost))
+    word = np.zeros(len(cost), np.int64)
+    word[pairs] = flat
+    return number[pairs], cost[order].astype("<f4").tobytes(), word[order].astype("<i4").tobytes()
+
+
+def _chunk_scores(row: pa.RecordBatch, right: pa.Table, tokens: int, distinct: int) -> pa.Table:
+    """The scores of a chunk's documents from its spelled costs and the exact counts of its words."""
+    lengths = np.array(row["lengths"][0].as_py(), np.int64)
+    role = np.array(row["roles"][0].as_py())
+    pairs = unpack(row["pairs"][0].as_py(), lengths)
+    spelled = np.exp2(-np.frombuffer(row["cost"][0].as_buffer(), "<f4").astype(float))
+    word = np.frombuffer(row["number"][0].as_buffer(), "<i4")
+    c = np.zeros(int(word.max()) + 1)
+    c[right["i"].to_numpy()] = right["c"].to_numpy()
+    c = c[word]
+    start = np.cumsum(lengths) - lengths
+    total = lambda each: np.add.reduceat(each[pairs], start)
+    scores, own, floor = [], [], 1e-300
+    for share in SHARES:
+        share = share if tokens else 0.0
+        scores.append(total(np.log10(np.maximum((1 - share) * spelled + share * c / max(tokens, 1), floor))))
+        less = (1 - share) * spelled + share * np.maximum(c - 1, 0) / max(tokens - 1, 1)
+        own.append(total(np.log10(np.maximum(less, floor))) * (role > 0))
+    whole = math.log10(tokens + distinct + 1) if tokens else 0.0
+    table = lambda xs: pa.array(np.stack(xs, axis=1).tolist(), pa.list_(pa.float64()))
+    return pa.table([row["ids"][0].values, pa.array(role == 0), pa.array(lengths), pa.array(total((c > 0).astype(np.int64))),
+                     pa.array(total(np.log10(c + 1)) - lengths * whole), row["n_bytes"][0].values, table(scores), table(own)],
+                    schema=_SCORES)

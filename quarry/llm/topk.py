@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, pin
+from .common import Scratch, bounded_batches, pin
 
 SCALE = 256
 BINS = 256
@@ -164,6 +164,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     ``is_query`` is a condition on the column ``id``.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark, 10_000)
     with Scratch(spark) as scratch:
         table = scratch.stash(quantised(vectors, id_col, vec_col, scale))
         queries = table.filter(is_query)
