@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, lm_score, quality, simhash, topk, toxicity
+from . import bpe, decontaminate, line_dedup, lm_score, quality, simhash, token_files, topk, toxicity
 from .common import crc_remainder, read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -124,3 +124,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_lm_scoring")
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op2_token_files")
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.index_documents(docs, tokenizer_path("byte_bpe_50k.json"))
