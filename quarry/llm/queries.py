@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, lm_score, quality, simhash, token_files, topk, toxicity
+from . import bpe, decontaminate, line_dedup, lm_score, quality, quotes, simhash, token_files, topk, toxicity
 from .common import crc_remainder, read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -130,3 +130,28 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_files.index_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+#: What the links must be, from the conversations themselves: a turn answers the one before it.
+QUOTES_SQL = """
+WITH m AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text,
+         lag(turn) OVER w = turn - 1 AND length(trim(lag(text) OVER w)) > 0 AS answers
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), t AS (
+  SELECT *, sum(CASE WHEN answers THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS thread FROM m
+)
+SELECT conv_id, turn, role, CASE WHEN answers THEN turn - 1 END AS parent_turn,
+       min(turn) OVER (PARTITION BY conv_id, thread) AS root_turn,
+       row_number() OVER (PARTITION BY conv_id, thread ORDER BY turn) - 1 AS depth,
+       row_number() OVER (PARTITION BY conv_id, thread ORDER BY turn) AS position,
+       CAST(0 AS BIGINT) AS n_unlinked, sha256(text) AS clean_sha256
+FROM t
+"""
+
+
+@query("op1_quote_links", QUOTES_SQL)
+def op1_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = quotes.link_quotes(quotes.as_mail(read_table(spark, sf_dir, "conversations")))
+    return linked.select("conv_id", "turn", "role", "parent_turn", "root_turn", "depth", "position", "n_unlinked",
+                         F.sha2(F.col("clean_text").cast("binary"), 256).alias("clean_sha256"))
