@@ -7,7 +7,8 @@ the runs of lines between those positions.
 
 Defined cases: a null or empty text is one empty line; a null ``doc_id`` never keeps a shared line
 unless all its holders are null; rows that repeat a ``doc_id`` count as one document when documents
-are counted, and each of them is cleaned; other columns pass through untouched.
+are counted, and each of them is cleaned; other columns pass through untouched, but
+one named like an added column is replaced.
 """
 
 from __future__ import annotations
@@ -54,6 +55,7 @@ def shared_lines(hashes: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the cleaned text in ``text_col`` and the columns ``n_lines`` and ``n_dropped`` added."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")])
     with Scratch(docs.sparkSession) as scratch:
         hashes = scratch.stash(line_hashes(docs, min_chars, id_col, text_col))
         shared = scratch.stash(shared_lines(hashes, min_docs))
