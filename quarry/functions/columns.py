@@ -142,12 +142,22 @@ def r6(c: Column) -> Column:
 
 def unpivot(df: DataFrame, id_cols: Sequence[str], value_cols: Sequence[str], *,
             name_col: str = "column_name", value_col: str = "value", value_type: str = "double") -> DataFrame:
-    """Wide to long with ``stack`` (a narrow Generate, no shuffle)."""
+    """Wide to long by one narrow Generate (no shuffle)."""
     if not value_cols:
         raise ValueError("unpivot needs at least one value column")
-    pairs = ", ".join(f"'{c}', CAST(`{c}` AS {value_type})" for c in value_cols)
     ids = [F.col(f"`{c}`") for c in id_cols]
-    return df.select(*ids, F.expr(f"stack({len(value_cols)}, {pairs}) AS (`{name_col}`, `{value_col}`)"))
+    return long_rows(df, ids, [name_col, value_col], [(c, F.col(f"`{c}`").cast(value_type)) for c in value_cols])
+
+
+def long_rows(df: DataFrame, keep: Sequence[Column], names: Sequence[str], rows: Sequence[Sequence]) -> DataFrame:
+    """One output row per entry of ``rows`` for each input row; entries are columns or plain values.
+
+    Values travel as literals, so any column name can be among them.
+    """
+    def cell(v):
+        return v if isinstance(v, Column) else F.lit(v)
+    structs = [F.struct(*[cell(v).alias(n) for n, v in zip(names, r)]) for r in rows]
+    return df.select(*keep, F.inline(F.array(*structs)))
 
 
 def dtype_name(dt: T.DataType) -> str:

@@ -183,9 +183,9 @@ def baseline_gate(cv: DataFrame, problem_type: str) -> DataFrame:
     need = d * BASELINE_REL if problem_type != "regression" else F.greatest(d + BASELINE_ABS, F.lit(BASELINE_ABS))
     c = c.withColumn("beats_baseline", ~F.col("is_dummy") & (F.col("cv_mean") > need))
     c = c.withColumn("_any", F.max(F.col("beats_baseline").cast("int")).over(w) == 1)
-    best_pass = F.max(F.when(F.col("beats_baseline"), F.col("cv_mean"))).over(w)
-    best_all = F.max("cv_mean").over(w)
-    sel = F.when(F.col("_any"), F.col("beats_baseline") & (F.col("cv_mean") == best_pass)) \
-        .otherwise(F.col("cv_mean") == best_all)
+    # one winner: the highest mean, ties to the first name
+    order = F.struct((-F.col("cv_mean")).alias("m"), F.col("candidate").alias("c"))
+    best = F.min(F.when(F.col("beats_baseline") | ~F.col("_any"), order)).over(w)
+    sel = F.col("candidate") == best["c"]
     return c.select("candidate", "scorer", r6(F.col("cv_mean")).alias("cv_mean"), r6(F.col("cv_std")).alias("cv_std"),
                     "is_dummy", "beats_baseline", sel.alias("selected"))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_double, dtype_name, is_numeric_type, r6
+from ..functions.columns import as_double, dtype_name, is_numeric_type, r6, unpivot
 from ..functions.ranks import column_counts, exact_quantiles
 
 # Fixed values of the PSI rule.
@@ -157,8 +157,7 @@ def psi(baseline: DataFrame, current: DataFrame, cols: Sequence[str]) -> DataFra
         frames.append(_psi_from_counts(full, ["column_name"]).withColumn("method", F.lit("quantile_bins")))
     if categorical:
         def vals(df, side):
-            pairs = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in categorical)
-            return df.selectExpr(f"stack({len(categorical)}, {pairs}) AS (column_name, value)") \
+            return unpivot(df, [], categorical, name_col="column_name", value_type="string") \
                 .filter(F.col("value").isNotNull()).withColumn("_side", F.lit(side))
 
         # a numeric column's categories compare as numbers (1 and 1.0 are one category)
@@ -177,14 +176,15 @@ def psi(baseline: DataFrame, current: DataFrame, cols: Sequence[str]) -> DataFra
     res = every.join(out, "column_name", "left").select(
         "column_name", F.coalesce("method", F.lit("empty")).alias("method"),
         F.coalesce(F.col("n_bins"), F.lit(0)).cast("bigint").alias("n_bins"),
-        r6(F.coalesce("psi", F.lit(0.0))).alias("psi"))
-    return res.withColumn("band", band(F.col("psi")))
+        F.coalesce("psi", F.lit(0.0)).alias("psi"))
+    # the band is decided on the exact value; only the shown one is rounded
+    return res.withColumn("band", band(F.col("psi"))).withColumn("psi", r6(F.col("psi")))
 
 
 def psi_flags(scores: DataFrame, target: str | None = None) -> DataFrame:
     """One warning listing every numeric column (not the target) with PSI >= 0.2."""
     from .risk import DRIFT_DETECTED, WARNING, flag
-    s = scores.filter((F.col("psi") >= PSI_DRIFT) & (F.col("column_name") != F.lit(target or ""))) \
+    s = scores.filter((F.col("band") == "drift") & (F.col("column_name") != F.lit(target or ""))) \
         .agg(F.sort_array(F.collect_list(F.struct("column_name", "psi"))).alias("cols")).filter(F.size("cols") > 0)
     desc = F.concat(F.lit("distribution shift in: "), F.array_join(
         F.transform("cols", lambda x: F.format_string("%s (PSI=%.3f)", x["column_name"], x["psi"])), ", "))

@@ -214,7 +214,10 @@ def slices_classification(df: DataFrame, label: str, prediction: str, score: str
         F.count(F.lit(1)).alias("n"), F.avg((y == F.col(f"`{prediction}`")).cast("double")).alias("acc"),
         (F.min(y) == F.max(y)).alias("single"))
     a = auc(long, y, F.col(f"`{score}`"), ["slice_column", "slice_value"]).select("slice_column", "slice_value", "auc")
-    j = stats.filter(F.col("n") >= SLICE_MIN_ROWS).join(a, ["slice_column", "slice_value"], "left")
+    a = a.select(F.col("slice_column").alias("_c"), F.col("slice_value").alias("_v"), "auc")
+    # a missing slice value is a slice of its own, so the values meet null-safely
+    j = stats.filter(F.col("n") >= SLICE_MIN_ROWS).join(
+        a, (F.col("slice_column") == F.col("_c")) & F.col("slice_value").eqNullSafe(F.col("_v")), "left")
     metric = F.when(F.col("single") | F.col("auc").isNull(), "accuracy").otherwise("auc")
     val = F.when(metric == "auc", F.col("auc")).otherwise(F.col("acc"))
     return j.select("slice_column", "slice_value", F.col("n").cast("bigint").alias("n"), metric.alias("metric"),

@@ -63,17 +63,20 @@ def group_kfold(df: DataFrame, group: str, k: int = N_FOLDS, seed: int = FOLD_SE
 
 def time_series_folds(df: DataFrame, order: Column, key: str, k: int = N_FOLDS) -> DataFrame:
     """T4: with n rows in (time, key) order and test size t = n // (k+1), fold i is the
-    block of ranks [n-(k-i)t, n-(k-i-1)t); earlier rows only ever train (fold -1).
+    block of ranks [n-(k-i)t, n-(k-i-1)t); earlier rows only ever train (fold -1), as do rows
+    without a time, which have no rank.
 
     Cut points are k exact (time, key) thresholds from a bounded rank selection; the fold
     column is then a narrow projection (no shuffle, no window)."""
-    n = df.count()
+    timed = df.filter(order.isNotNull())
+    n = timed.count()
     t = n // (k + 1)
     if t == 0:
         return df.withColumn("fold", F.lit(-1))
     ranks = [n - (k - i) * t for i in range(k)]
-    th = lex_thresholds(df, order, F.col(key), ranks, n)
-    return df.withColumn("fold", lex_bin(order, F.col(key), [th[r] for r in ranks]) - 1)
+    th = lex_thresholds(timed, order, F.col(key), ranks, n)
+    fold = F.when(order.isNotNull(), lex_bin(order, F.col(key), [th[r] for r in ranks]) - 1).otherwise(-1)
+    return df.withColumn("fold", fold)
 
 
 def epoch_micros(col: str) -> Column:
@@ -84,12 +87,14 @@ def epoch_micros(col: str) -> Column:
 def time_holdout(df: DataFrame, order: Column, key: str, test_share_bp: int = TEST_SHARE_BP) -> DataFrame:
     """Z6 (and reference defect 12): a time-series task never gets a random split; the
     last ceil(20 %) rows in (time, key) order are the holdout."""
-    n = df.count()
+    timed = df.filter(order.isNotNull())  # rows without a time only ever train
+    n = timed.count()
     k = n - (n * test_share_bp + 9999) // 10000
     if k >= n:
         return df.withColumn("split", F.lit("train"))
-    th = lex_thresholds(df, order, F.col(key), [k], n)[k]
-    return df.withColumn("split", F.when(lex_bin(order, F.col(key), [th]) == 1, "test").otherwise("train"))
+    th = lex_thresholds(timed, order, F.col(key), [k], n)[k]
+    late = order.isNotNull() & (lex_bin(order, F.col(key), [th]) == 1)
+    return df.withColumn("split", F.when(late, "test").otherwise("train"))
 
 
 def split_method(problem_type: str, cv: str) -> str:

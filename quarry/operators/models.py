@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import r6
 from ..functions.materialize import pin
+from . import prep
 from .evaluate import auc
 
 # The candidate grids and budgets.
@@ -33,7 +34,6 @@ BOOST_ROUNDS = [100, 300, 500]
 BOOST_RATE = [0.01, 0.1, 0.3]
 MAX_ITER = 1000
 SPARK_MAX_DEPTH = 30          # "no limit" becomes Spark's deepest allowed tree
-EXPLAIN_ROWS = 200
 BACKGROUND_ROWS = 20
 SHAPLEY_PERMUTATIONS = 8
 FIT_PARALLELISM = 5
@@ -57,10 +57,6 @@ def feature_stages(numeric: Sequence[str], categorical: Sequence[str]) -> list:
     return stages
 
 
-def label_stage(target: str) -> StringIndexer:
-    return StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc")
-
-
 def estimator(name: str, task: str, n_rows: int, params: dict | None = None, n_classes: int = 2,
               weight_col: str | None = None, label_std: float | None = None):
     """M8-M10 with the reference's parameter meaning mapped onto Spark's."""
@@ -111,24 +107,48 @@ def _score(pred: DataFrame, task: str, n_classes: int) -> DataFrame:
     return g.select("fold", F.when(F.col("sst") > 0, 1 - F.col("sse") / F.col("sst")).otherwise(F.lit(0.0)).alias("score"))
 
 
+class NominalAttribute:
+    """Marks the label column as having ``n`` classes, also where a training part lacks some of them."""
+
+    def __init__(self, n: int):
+        self.meta = {"ml_attr": {"type": "nominal", "name": "label", "num_vals": n}}
+
+    def mark(self, df: DataFrame) -> DataFrame:
+        return df.withMetadata("label", self.meta)
+
+
+def labelled(df: DataFrame, target: str, task: str) -> DataFrame:
+    """The table with the numeric column ``label``: the class's place in alphabetical order, or the value."""
+    if task != "classification":
+        return df.withColumn("label", F.col(f"`{target}`").cast("double"))
+    return StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc").fit(df).transform(df)
+
+
 def cross_validate(folded: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str],
-                   name: str, task: str, params: dict | None = None, k: int = 5, pinned: bool = False) -> DataFrame:
-    """Per fold, fit label + preprocessing + model on the other folds, score the fold.
-    ``folded`` carries an integer ``fold`` column (from ``operators.folds``)."""
+                   name: str, task: str, params: dict | None = None, k: int = 5, pinned: bool = False,
+                   time_ordered: bool = False) -> DataFrame:
+    """Per fold, fit preparation (X5-X12) and model on the training part, score the fold.
+
+    ``folded`` carries an integer ``fold`` column (from ``operators.folds``).  The training part is
+    all other folds; with ``time_ordered`` only earlier ones (a model never sees the future).  Labels
+    are indexed once over the whole table, so a class that only one fold holds is known to all;
+    rows without a label take no part."""
+    if not pinned:
+        folded = labelled(folded.filter(F.col(f"`{target}`").isNotNull()), target, task)
     data = folded if pinned else pin(folded)  # read once, survives executor loss (reliable checkpoint)
-    n_classes = data.select(target).distinct().count() if task == "classification" else 0
+    n_classes = int(data.agg(F.max("label")).first()[0] or 0) + 1 if task == "classification" else 0
 
     def fit_fold(i: int) -> DataFrame:
-        train, test = data.filter(F.col("fold") != i), data.filter(F.col("fold") == i)
+        train = data.filter(F.col("fold") < i) if time_ordered else data.filter(F.col("fold") != i)
+        test = data.filter(F.col("fold") == i)
+        plan = prep.fit_prep(train, numeric, categorical)
+        carry = ["fold", "label", *([target] if task == "classification" else [])]
+        train, test = prep.transform(train, plan, carry), prep.transform(test, plan, carry)
+        if task == "classification":  # the label's classes are those of the whole table
+            classes = NominalAttribute(n_classes)
+            train, test = classes.mark(train), classes.mark(test)
         n = train.count()
-        label_std = None
-        stages = []
-        if task == "classification":
-            stages.append(label_stage(target))
-        else:
-            train = train.withColumn("label", F.col(target).cast("double"))
-            test = test.withColumn("label", F.col(target).cast("double"))
-            label_std = train.agg(F.stddev_pop("label")).first()[0]
+        label_std = None if task == "classification" else train.agg(F.stddev_pop("label")).first()[0]
         weight_col = None
         if task == "classification" and name == "logistic":
             # M6: balanced class weights n / (k * n_class) from this fold's training rows
@@ -138,8 +158,7 @@ def cross_validate(folded: DataFrame, target: str, numeric: Sequence[str], categ
             train = train.withColumn("_w", wmap[F.col(target)])
             weight_col = "_w"
         est = estimator(name, task, n, params, n_classes, weight_col=weight_col, label_std=label_std)
-        model = Pipeline(stages=stages + feature_stages(numeric, categorical) + [est]).fit(train)
-        out = model.transform(test)
+        out = Pipeline(stages=[*prep.feature_stages(plan), est]).fit(train).transform(test)
         keep = ["probability"] if task == "classification" and "probability" in out.columns else []
         return out.select("fold", "label", "prediction", *keep)
 
@@ -171,20 +190,22 @@ def grid(name: str) -> list[dict]:
 
 
 def tune(folded: DataFrame, target: str, numeric, categorical, name: str, task: str,
-         points: Sequence[dict] | None = None) -> DataFrame:
+         points: Sequence[dict] | None = None, time_ordered: bool = False) -> DataFrame:
     """Cross-validated mean score per grid point; ``best`` marks the maximum (R^2 is
     maximised too)."""
     rows = []
-    data = pin(folded)  # one pinned copy serves every grid point
+    data = pin(labelled(folded.filter(F.col(f"`{target}`").isNotNull()), target, task))  # serves every grid point
     for i, p in enumerate(points or grid(name)):
-        cv = cross_validate(data, target, numeric, categorical, name, task, p, pinned=True)
+        cv = cross_validate(data, target, numeric, categorical, name, task, p, pinned=True, time_ordered=time_ordered)
         rows.append(cv.groupBy("candidate").agg(F.first("cv_mean").alias("cv_mean"), F.first("cv_std").alias("cv_std"))
                     .withColumn("params", F.lit(str(p))).withColumn("point", F.lit(i)))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
     w = Window.partitionBy("candidate")
-    return out.withColumn("best", F.col("cv_mean") == F.max("cv_mean").over(w))
+    # one winner: the highest mean, ties to the earlier grid point
+    best = F.min(F.struct((-F.col("cv_mean")).alias("m"), F.col("point").alias("p"))).over(w)
+    return out.withColumn("best", F.col("point") == best["p"])
 
 
 def importances(model: PipelineModel, feature_names: Sequence[str]) -> list[tuple[str, float]]:
@@ -240,8 +261,8 @@ def sampled_shapley(model: PipelineModel, explain: DataFrame, background: DataFr
                     key: str, output: str, permutations: int = SHAPLEY_PERMUTATIONS, seed: int = 42) -> DataFrame:
     """H2/H3: Monte-Carlo Shapley values.  Explained rows x background rows x permutations
     x (k + 1) prefixes are generated by explodes, scored by one ``transform``, and the
-    marginal gains are averaged by ``groupBy(key, feature)``.  Input sizes are bounded by
-    the budgets (200 explained rows, 20 background rows)."""
+    marginal gains are averaged by ``groupBy(key, feature)``.  Every row of ``explain`` is
+    explained; ``background`` is the caller's draw of at most BACKGROUND_ROWS rows."""
     k = len(features)
     x = explain.select(F.col(key).alias("_key"), *[F.col(f).alias(f"x_{f}") for f in features])
     # the background (at most BACKGROUND_ROWS rows) travels as a literal array: each

@@ -18,7 +18,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_double, is_numeric_type, miss, r6
+from ..functions.columns import as_double, is_numeric_type, miss, r6, unpivot
 from ..functions.ranks import column_counts, exact_quantiles
 
 # Imputation bands and the skew rule.
@@ -117,8 +117,7 @@ def fit_prep(train: DataFrame, numeric_cols: Sequence[str], categorical_cols: Se
 
 def most_frequent(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:
     """Per column the most frequent non-missing value, ties to the smallest."""
-    pairs = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in cols)
-    long = df.selectExpr(f"stack({len(cols)}, {pairs}) AS (column_name, value)").filter("value IS NOT NULL")
+    long = unpivot(df, [], cols, name_col="column_name", value_type="string").filter("value IS NOT NULL")
     counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy("column_name").agg(
         F.min_by("value", F.struct((-F.col("n")).alias("neg"), F.col("value").alias("v"))).alias("mode"))
@@ -204,9 +203,22 @@ def onehot_long(df: DataFrame, model: PipelineModel, cols: Sequence[str], key_co
     return out
 
 
-def assemble(df: DataFrame, numeric: Sequence[str], onehot_vectors: Sequence[str], out: str = "features") -> DataFrame:
-    """Side-by-side feature vector, other columns dropped by the caller."""
-    return VectorAssembler(inputCols=[*numeric, *onehot_vectors], outputCol=out, handleInvalid="keep").transform(df)
+def numeric_features(model: PrepModel) -> list[str]:
+    """The numeric columns that ``transform`` produces, indicators behind their column."""
+    return [name for s in model.numeric for name in ([s.column, f"{s.column}__missing"] if s.indicator else [s.column])]
+
+
+def feature_stages(model: PrepModel, out: str = "features") -> list:
+    """One-hot of the filled categories, side by side with the prepared numbers."""
+    cats = list(model.categorical)
+    stages = []
+    if cats:
+        stages.append(StringIndexer(inputCols=cats, outputCols=[f"{c}__idx" for c in cats],
+                                    stringOrderType="alphabetAsc", handleInvalid="keep"))
+        stages.append(OneHotEncoder(inputCols=[f"{c}__idx" for c in cats], outputCols=[f"{c}__vec" for c in cats],
+                                    dropLast=True))
+    inputs = numeric_features(model) + [f"{c}__vec" for c in cats]
+    return [*stages, VectorAssembler(inputCols=inputs, outputCol=out, handleInvalid="keep")]
 
 
 def numeric_and_categorical(df: DataFrame, cols: Sequence[str]) -> tuple[list[str], list[str]]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import (as_double, clean, dtype_name, is_numeric_type, kind_of, miss, r6)
+from ..functions.columns import (as_double, clean, dtype_name, is_numeric_type, kind_of, long_rows, miss, r6)
 from ..functions.ranks import exact_quantiles
 
 # Tukey fences at 1.5 IQR; fewer than 4 distinct values means no outlier score.
@@ -25,11 +25,12 @@ def _orderable(dt: T.DataType) -> bool:
     return not isinstance(dt, (T.MapType, T.StructType, T.ArrayType, T.BinaryType, T.VariantType))
 
 
-def profile_columns(df: DataFrame) -> DataFrame:
+def profile_columns(df: DataFrame, rounded: bool = True) -> DataFrame:
     """Per column name, position, dtype, kind, rows, missing rate, constant flag.
 
     One aggregate over all columns (partial aggregation on every task, a single tiny
-    final merge), then ``stack`` to one row per column.
+    final merge), then one row per column.  ``rounded=False`` keeps the exact rate, for rules
+    that compare it with a limit.
     """
     n = F.count(F.lit(1))
     aggs = [n.alias("_n")]
@@ -43,36 +44,33 @@ def profile_columns(df: DataFrame) -> DataFrame:
             const = m == n
         aggs.append(F.coalesce(const, F.lit(True)).alias(f"k{i}"))
     wide = df.agg(*aggs)
-    rows = ", ".join(
-        f"'{f.name}', {i}, '{dtype_name(f.dataType)}', '{kind_of(f.dataType)}', m{i}, k{i}"
-        for i, f in enumerate(df.schema.fields)
-    )
-    out = wide.selectExpr(
-        "_n AS n_rows",
-        f"stack({len(df.columns)}, {rows}) AS (column_name, position, dtype, kind, missing_rate, is_constant)",
-    )
+    out = long_rows(wide, [F.col("_n").alias("n_rows")],
+                    ["column_name", "position", "dtype", "kind", "missing_rate", "is_constant"],
+                    [(f.name, i, dtype_name(f.dataType), kind_of(f.dataType), F.col(f"m{i}"), F.col(f"k{i}"))
+                     for i, f in enumerate(df.schema.fields)])
+    rate = F.coalesce("missing_rate", F.lit(0.0))
     return out.select(
         "column_name", F.col("position").cast("int").alias("position"), "dtype", "kind",
         F.col("n_rows").cast("bigint").alias("n_rows"),
-        r6(F.coalesce("missing_rate", F.lit(0.0))).alias("missing_rate"), "is_constant",
-    ).orderBy(F.desc("missing_rate"), "column_name")
+        (r6(rate) if rounded else rate).alias("missing_rate"), "is_constant",
+    )
 
 
-def duplicate_ratio(df: DataFrame) -> DataFrame:
+def duplicate_ratio(df: DataFrame, rounded: bool = True) -> DataFrame:
     """Share of rows equal to an earlier row (missing equals missing); 0 when empty.
 
     Exact: a hash aggregate on all columns (partial aggregation first, so local copies
     collapse before the shuffle).
     """
     groups = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_c"))
+    ratio = F.coalesce(F.try_divide((F.col("n_rows") - F.col("n_unique")).cast("double"), F.col("n_rows")), F.lit(0.0))
     return groups.agg(
         F.coalesce(F.sum("_c"), F.lit(0)).cast("bigint").alias("n_rows"),
         F.count(F.lit(1)).cast("bigint").alias("n_unique"),
     ).select(
         "n_rows", "n_unique",
         (F.col("n_rows") - F.col("n_unique")).alias("n_duplicates"),
-        r6(F.coalesce(F.try_divide((F.col("n_rows") - F.col("n_unique")).cast("double"), F.col("n_rows")),
-                      F.lit(0.0))).alias("duplicate_ratio"),
+        (r6(ratio) if rounded else ratio).alias("duplicate_ratio"),
     )
 
 
@@ -94,8 +92,8 @@ def text_kinds(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
             F.count_if(is_bool).alias(f"b{i}"), F.count_if(is_text).alias(f"t{i}"),
         ]
     wide = df.agg(*aggs)
-    rows = ", ".join(f"'{c}', n{i}, a{i}, d{i}, b{i}, t{i}" for i, c in enumerate(cols))
-    long = wide.selectExpr(f"stack({len(cols)}, {rows}) AS (column_name, n_values, n_number, n_datetime, n_boolean, n_text)")
+    long = long_rows(wide, [], ["column_name", "n_values", "n_number", "n_datetime", "n_boolean", "n_text"],
+                     [(c, *[F.col(f"{k}{i}") for k in "nadbt"]) for i, c in enumerate(cols)])
 
     def share(c):
         return r6(F.coalesce(F.try_divide(F.col(c).cast("double"), F.col("n_values").cast("double")), F.lit(0.0)))
@@ -119,15 +117,13 @@ def tukey_outliers(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     """
     cols = list(cols) if cols is not None else [f.name for f in df.schema.fields if is_numeric_type(f.dataType)]
     exprs = {c: as_double(df, c) for c in cols}
-    first = df.agg(*[F.count(e).alias(f"n_{c}") for c, e in exprs.items()],
-                   *[F.approx_count_distinct(e).alias(c) for c, e in exprs.items()]).first()
-    counts = {c: first[f"n_{c}"] for c in cols}
-    approx = first
+    first = df.agg(*[F.count(e) for e in exprs.values()], *[F.approx_count_distinct(e) for e in exprs.values()]).first()
+    counts = dict(zip(cols, first[:len(cols)]))
+    approx = dict(zip(cols, first[len(cols):]))
     low = [c for c in cols if approx[c] < 4 * MIN_DISTINCT_FOR_OUTLIERS]
     distinct = {c: approx[c] for c in cols}
     if low:  # exact only where the sketch cannot decide
-        row = df.agg(*[F.count_distinct(exprs[c]).alias(c) for c in low]).first()
-        distinct.update({c: row[c] for c in low})
+        distinct.update(zip(low, df.agg(*[F.count_distinct(exprs[c]) for c in low]).first()))
     scored = [c for c in cols if counts[c] > 0 and distinct[c] >= MIN_DISTINCT_FOR_OUTLIERS]
     q = exact_quantiles(df, {c: exprs[c] for c in scored}, [0.25, 0.75],
                         counts={c: counts[c] for c in scored}) if scored else {}
@@ -144,17 +140,13 @@ def tukey_outliers(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
             aggs.append(F.lit(0.0).alias(f"s{i}"))
         meta.append((c, q1, q3))
     wide = df.agg(*aggs)
-    rows = ", ".join(
-        f"'{c}', CAST({_num(q1)} AS DOUBLE), CAST({_num(q3)} AS DOUBLE), s{i}" for i, (c, q1, q3) in enumerate(meta))
-    long = wide.selectExpr(f"stack({len(cols)}, {rows}) AS (column_name, q1, q3, outlier_share)")
+    long = long_rows(wide, [], ["column_name", "q1", "q3", "outlier_share"],
+                     [(c, F.lit(q1).cast("double"), F.lit(q3).cast("double"), F.col(f"s{i}"))
+                      for i, (c, q1, q3) in enumerate(meta)])
     return long.select("column_name", r6(F.col("q1")).alias("q1"), r6(F.col("q3")).alias("q3"),
                        r6(F.coalesce("outlier_share", F.lit(0.0))).alias("outlier_share"))
 
 
-def _num(v) -> str:
-    return "NULL" if v is None else repr(float(v))
-
-
 # First characters that make a spreadsheet cell a formula.
 FORMULA_PREFIXES = ("=", "+", "-", "@")
 
@@ -167,6 +159,6 @@ def formula_cells(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
         v = F.col(f"`{c}`")
         aggs += [F.count(v).alias(f"n{i}"), F.count_if(F.substring(v, 1, 1).isin(*FORMULA_PREFIXES)).alias(f"s{i}")]
     wide = df.agg(*aggs)
-    rows = ", ".join(f"'{c}', n{i}, s{i}" for i, c in enumerate(cols))
-    return wide.selectExpr(f"stack({len(cols)}, {rows}) AS (column_name, n_cells, n_formula)").select(
+    return long_rows(wide, [], ["column_name", "n_cells", "n_formula"],
+                     [(c, F.col(f"n{i}"), F.col(f"s{i}")) for i, c in enumerate(cols)]).select(
         "column_name", F.col("n_cells").cast("bigint"), F.col("n_formula").cast("bigint"))

@@ -79,8 +79,8 @@ def union_flags(frames: Sequence[DataFrame]) -> DataFrame:
 def risk_flags_pre(df: DataFrame, target: str | None, approvals: Sequence[str] = ()) -> DataFrame:
     """R1-R11 on one table: profile, duplicate and leakage passes, then filters."""
     approvals = set(approvals)
-    prof = profile.profile_columns(df)
-    dup = profile.duplicate_ratio(df)
+    prof = profile.profile_columns(df, rounded=False)
+    dup = profile.duplicate_ratio(df, rounded=False)
     n_row = prof.filter(F.col("position") == 0)
     out = [
         # R1 (blank header; the pending gate needs an acknowledgement)

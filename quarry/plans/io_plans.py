@@ -25,6 +25,14 @@ def q_csv_roundtrip(spark, sf):
     return _typed(files.load_dataset(spark, path), "orders")
 
 
+@query("csv_quoted_roundtrip", sql="""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, user_id, event_type, value,
+       CASE WHEN props NOT IN ('', 'NA', 'NULL', 'null', 'nan', 'NaN', 'None', 'N/A', 'n/a') THEN props END AS props FROM events""")
+def q_csv_quoted_roundtrip(spark, sf):
+    """Cells with commas and quotes (JSON in props); the types are those the loader infers."""
+    path = files.write_dataset(load(spark, sf, "events"), files.scratch_path(spark, "events") + ".csv", "csv")
+    return files.load_dataset(spark, path)
+
+
 @query("tsv_roundtrip", sql="SELECT * FROM part")
 def q_tsv_roundtrip(spark, sf):
     path = files.write_dataset(load(spark, sf, "part"), files.scratch_path(spark, "part") + ".tsv", "tsv")

@@ -7,20 +7,23 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
-from ..functions.columns import r6
+from ..functions.columns import phash, r6
+from ..functions.materialize import pin
 from ..operators import folds, models
 from .eval_plans import li_binary
 from .quality import LI_HASH, LI_KEY
+from . import sqlkit
 from .registry import query
 from .tables import load
 
 ORD_NUM, ORD_CAT = ["o_totalprice"], ["o_orderstatus"]
-PART_NUM, PART_CAT = ["p_size", "p_partkey"], ["p_brand"]
+PART_NUM, PART_CAT = ["p_size"], ["p_brand"]  # p_partkey is ID-like (X1) and so no feature
 
 
 def orders_folded(spark, sf):
-    o = load(spark, sf, "orders").select("o_orderkey", "o_orderpriority", *ORD_NUM, *ORD_CAT)
-    return folds.stratified_kfold(o, "o_orderpriority", ["o_orderkey"])
+    """Orders are framed as ordered in time (F6), so their folds are blocks of time (T4)."""
+    o = load(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate", *ORD_NUM, *ORD_CAT)
+    return folds.time_series_folds(o, folds.epoch_micros("o_orderdate"), "o_orderkey")
 
 
 def part_folded(spark, sf):
@@ -31,7 +34,44 @@ def part_folded(spark, sf):
 @query("cv_logistic")
 def q_cv_logistic(spark, sf):
     return models.cross_validate(orders_folded(spark, sf), "o_orderpriority", ORD_NUM, ORD_CAT, "logistic",
-                                 "classification", {"C": 1.0})
+                                 "classification", {"C": 1.0}, time_ordered=True)
+
+
+def order_sums(spark, sf):
+    """One row per order: summed quantity and price of its lines, and its first shipping date."""
+    return load(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.sum("l_quantity").alias("quantity"), F.sum("l_extendedprice").alias("price"), F.min("l_shipdate").alias("shipped"))
+
+
+def _cv_ridge_sql():
+    """Ridge on one standardised feature in closed form: mean + z * sum(z y) / (sum(z z) + alpha)."""
+    rank, n = sqlkit.rank_over(["l_orderkey"], folds.FOLD_SEED), sqlkit.count_over()
+    shuffled = " + ".join(f"CASE WHEN _r >= (_n * {c} + 9999) // 10000 THEN 1 ELSE 0 END" for c in folds._fold_cuts(5))
+    return f"""
+WITH o AS (SELECT l_orderkey, sum(l_quantity) AS q, sum(l_extendedprice) AS y, min(l_shipdate) AS t FROM lineitem GROUP BY 1),
+r AS (SELECT *, {rank} AS _r, {n} AS _n, row_number() OVER (ORDER BY t, l_orderkey) - 1 AS _t FROM o),
+f AS (SELECT 'random' AS folds, q, y, {shuffled} AS fold FROM r UNION ALL
+      SELECT 'time', q, y, CAST(CASE WHEN _t < _n - 5 * (_n // 6) THEN -1 ELSE (_t - _n + 5 * (_n // 6)) // (_n // 6) END AS INTEGER) FROM r),
+k AS (SELECT DISTINCT folds, fold FROM f WHERE fold >= 0),
+m AS (SELECT k.folds, k.fold, avg(f.q) AS mq, stddev_pop(f.q) AS sq, avg(f.y) AS my, count(*) AS n,
+             covar_pop(f.q, f.y) / stddev_pop(f.q) * count(*) / (count(*) + 1.0) AS b
+      FROM k JOIN f ON f.folds = k.folds AND (CASE WHEN k.folds = 'time' THEN f.fold < k.fold ELSE f.fold <> k.fold END)
+      GROUP BY 1, 2),
+s AS (SELECT m.folds, m.fold, 1 - sum((y - my - b * (q - mq) / sq) ** 2) / (var_pop(y) * count(*)) AS score
+      FROM m JOIN f USING (folds, fold) GROUP BY 1, 2)
+SELECT folds, 'ridge' AS candidate, fold, round(score, 6) AS score, round(avg(score) OVER (PARTITION BY folds), 6) AS cv_mean,
+       round(stddev_pop(score) OVER (PARTITION BY folds), 6) AS cv_std FROM s"""
+
+
+@query("cv_ridge", sql=_cv_ridge_sql())
+def q_cv_ridge(spark, sf):
+    """Ridge under shuffled folds and under blocks of time."""
+    rows = pin(order_sums(spark, sf))
+    shuffled = folds.kfold(rows, ["l_orderkey"])
+    timed = folds.time_series_folds(rows, folds.epoch_micros("shipped"), "l_orderkey")
+    out = [models.cross_validate(df, "price", ["quantity"], [], "ridge", "regression", {"alpha": 1.0}, time_ordered=t)
+           .select(F.lit(name).alias("folds"), "*") for name, df, t in (("random", shuffled, False), ("time", timed, True))]
+    return out[0].unionByName(out[1])
 
 
 @query("cv_forest")
@@ -48,7 +88,8 @@ def q_cv_boosted(spark, sf):
 
 @query("tune_grid")
 def q_tune_grid(spark, sf):
-    return models.tune(orders_folded(spark, sf), "o_orderpriority", ORD_NUM, ORD_CAT, "logistic", "classification")
+    return models.tune(orders_folded(spark, sf), "o_orderpriority", ORD_NUM, ORD_CAT, "logistic", "classification",
+                       time_ordered=True)
 
 
 def part_split(spark, sf):
@@ -102,7 +143,8 @@ def q_calibrate_isotonic(spark, sf):
 @query("sampled_shapley")
 def q_sampled_shapley(spark, sf):
     s, model = part_forest(spark, sf)
-    # the reference's budgets: 200 explained rows, 20 background rows (smallest keys)
-    explain = s.filter(F.col("split") == "test").orderBy("p_partkey").limit(models.EXPLAIN_ROWS)
-    background = s.filter(F.col("split") == "train").orderBy("p_partkey").limit(models.BACKGROUND_ROWS)
+    # every test row is explained against a seeded draw of training rows (the sampling is the feature)
+    explain = s.filter(F.col("split") == "test")
+    draw = phash(["p_partkey"], df=s)
+    background = s.filter(F.col("split") == "train").orderBy(draw, "p_partkey").limit(models.BACKGROUND_ROWS)
     return models.sampled_shapley(model, explain, background, PART_NUM + PART_CAT, "p_partkey", "prediction")

@@ -23,13 +23,15 @@ MISSING_MARKERS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN",
 INT_PATTERN = r"^\s*[+-]?[0-9]{1,18}\s*$"
 NUMBER_PATTERN = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 BOOL_WORDS = ("true", "false", "True", "False", "TRUE", "FALSE")
-DATETIME_PATTERN = r"^\s*[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9:.]+)?\s*$"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (never a machine-local temp dir)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/quarry-io/{name}-{uuid.uuid4().hex}"
+    at = f"{base}/quarry-io/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)  # removed when the driver's JVM ends
+    return at
 
 
 def header_names(spark: SparkSession, path: str, sep: str) -> list[str]:
@@ -42,7 +44,7 @@ def header_names(spark: SparkSession, path: str, sep: str) -> list[str]:
 
 def _infer(df: DataFrame) -> DataFrame:
     """One aggregate decides every column's type: the most specific of bigint, double,
-    boolean, timestamp_ntz that all its non-missing values read as, else string.  Cheap
+    boolean that all its non-missing values read as, else string.  Cheap
     patterns classify each value first; a cast is only tried where the pattern matched."""
     cols = df.columns
     aggs = []
@@ -53,7 +55,6 @@ def _infer(df: DataFrame) -> DataFrame:
             F.count_if(v.rlike(INT_PATTERN)).alias(f"i{i}"),
             F.count_if(v.rlike(NUMBER_PATTERN)).alias(f"d{i}"),
             F.count_if(v.isin(*BOOL_WORDS)).alias(f"b{i}"),
-            F.count_if(v.rlike(DATETIME_PATTERN) & F.expr(f"try_cast(`{c}` AS timestamp_ntz)").isNotNull()).alias(f"t{i}"),
         ]
     row = df.agg(*aggs).first()
     out = []
@@ -61,23 +62,28 @@ def _infer(df: DataFrame) -> DataFrame:
         n = row[f"n{i}"]
         chosen = "string"
         if n > 0:
-            for t, k in (("bigint", "i"), ("double", "d"), ("boolean", "b"), ("timestamp_ntz", "t")):
+            for t, k in (("bigint", "i"), ("double", "d"), ("boolean", "b")):
                 if row[f"{k}{i}"] == n:
                     chosen = t
                     break
-        out.append(F.expr(f"try_cast(`{c}` AS {chosen})").alias(c) if chosen != "string" else F.col(f"`{c}`"))
+        out.append(F.col(f"`{c}`").try_cast(chosen).alias(c) if chosen != "string" else F.col(f"`{c}`"))
     return df.select(*out)
 
 
-def load_dataset(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """S1/S2/S3 by suffix: .csv, .parquet, .tsv/.txt."""
+def load_dataset(spark: SparkSession, path: str, fmt: str | None = None, multi_line: bool = False) -> DataFrame:
+    """S1/S2/S3 by suffix: .csv, .parquet, .tsv/.txt.
+
+    Quotes inside quoted cells are doubled.  ``multi_line`` allows line breaks in quoted cells; such
+    files can't be split, so each is read by one task.  Dates stay text, as in the reference format.
+    """
     fmt = fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
     if fmt == "parquet":
         return spark.read.parquet(path)
     if fmt not in ("csv", "tsv", "txt"):
         raise ValueError(f"unsupported dataset format: {fmt}")
     sep = "," if fmt == "csv" else "\t"
-    raw = spark.read.csv(path, header=True, sep=sep, inferSchema=False, nullValue=None, emptyValue="")
+    raw = spark.read.csv(path, header=True, sep=sep, inferSchema=False, nullValue=None, emptyValue="", quote='"', escape='"',
+                         multiLine=multi_line)
     names = header_names(spark, path, sep)
     if len(names) == len(raw.columns):
         raw = raw.toDF(*names)
@@ -92,5 +98,5 @@ def write_dataset(df: DataFrame, path: str, fmt: str = "csv") -> str:
         df.write.mode("overwrite").parquet(path)
     else:
         df.write.mode("overwrite").option("header", True).option("sep", sep).option("nullValue", "") \
-            .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+            .option("quote", '"').option("escape", '"').option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
     return path
