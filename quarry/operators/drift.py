@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_double, dtype_name, is_numeric_type, r6, unpivot
+from ..functions.columns import as_double, dtype_name, is_numeric_type, long_rows, r6, unpivot
 from ..functions.ranks import column_counts, exact_quantiles
 
 # Fixed values of the PSI rule.
@@ -33,20 +33,21 @@ def fingerprint(df: DataFrame, ordered: bool = False) -> str:
 
 
 def schema_meta(df: DataFrame) -> DataFrame:
-    """One row per column (name, dtype, position, numeric) with the table's row count."""
-    rows = ", ".join(
-        f"'{f.name}', '{dtype_name(f.dataType)}', {i}, {str(is_numeric_type(f.dataType)).lower()}"
-        for i, f in enumerate(df.schema.fields))
-    return df.agg(F.count(F.lit(1)).alias("n_rows")).selectExpr(
-        "n_rows", f"stack({len(df.columns)}, {rows}) AS (column_name, dtype, position, is_numeric)")
+    """One row per column (name, dtype, position, numeric, values held) with the table's row count."""
+    fields = df.schema.fields
+    held = [F.count(F.col(f"`{f.name}`")).alias(f"v{i}") for i, f in enumerate(fields)]
+    return long_rows(df.agg(F.count(F.lit(1)).alias("n_rows"), *held), [F.col("n_rows")],
+                     ["column_name", "dtype", "position", "is_numeric", "n_values"],
+                     [(f.name, dtype_name(f.dataType), i, is_numeric_type(f.dataType), F.col(f"v{i}"))
+                      for i, f in enumerate(fields)])
 
 
 def schema_diff(baseline: DataFrame, current: DataFrame) -> DataFrame:
-    """D3 with D1: full outer join of the two schema tables."""
+    """D3 with D1: full outer join of the two schema tables, with the values each side holds."""
     b = schema_meta(baseline).select("column_name", F.col("dtype").alias("baseline_dtype"),
-                                     F.col("is_numeric").alias("b_num"))
+                                     F.col("is_numeric").alias("b_num"), F.col("n_values").alias("baseline_values"))
     c = schema_meta(current).select("column_name", F.col("dtype").alias("current_dtype"),
-                                    F.col("is_numeric").alias("c_num"))
+                                    F.col("is_numeric").alias("c_num"), F.col("n_values").alias("current_values"))
     fb, fc = fingerprint(baseline), fingerprint(current)
     j = b.join(c, "column_name", "full_outer")
     status = (F.when(F.col("baseline_dtype").isNull(), "added")
@@ -54,7 +55,7 @@ def schema_diff(baseline: DataFrame, current: DataFrame) -> DataFrame:
               .when(F.col("baseline_dtype") != F.col("current_dtype"), "dtype_changed")
               .otherwise("same"))
     return j.select(
-        "column_name", "baseline_dtype", "current_dtype", status.alias("status"),
+        "column_name", "baseline_dtype", "current_dtype", "baseline_values", "current_values", status.alias("status"),
         (F.coalesce(F.col("b_num"), F.lit(False)) & ~F.coalesce(F.col("c_num"), F.lit(True))).alias("numeric_to_text"),
         F.lit(fb).alias("baseline_fingerprint"), F.lit(fc).alias("current_fingerprint"),
     )

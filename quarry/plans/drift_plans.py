@@ -37,9 +37,10 @@ def sqlkit_q(v):
 
 def _schema_sql():
     rows, fb, fc = _schema_rows()
-    return (f"SELECT v.*, sha256('{fb}') AS baseline_fingerprint, sha256('{fc}') AS current_fingerprint "
-            f"FROM (VALUES {', '.join(rows)}) v(column_name, baseline_dtype, current_dtype, status, numeric_to_text) "
-            f"WHERE (SELECT count(*) FROM orders) >= 0")
+    counts = sqlkit.union_all(f"SELECT '{c}' AS column_name, count({c}) AS n FROM orders" for c, _ in SCHEMAS["orders"])
+    return (f"SELECT v.*, n AS baseline_values, n AS current_values, sha256('{fb}') AS baseline_fingerprint, "
+            f"sha256('{fc}') AS current_fingerprint FROM (VALUES {', '.join(rows)}) "
+            f"v(column_name, baseline_dtype, current_dtype, status, numeric_to_text) JOIN ({counts}) USING (column_name)")
 
 
 @query("schema_diff", sql=_schema_sql())
