@@ -53,7 +53,7 @@ BLOCK = 1 << 15
 #: Text bytes of a chunk; words and spelled bytes handled at a time.
 CHUNK = 24 << 20
 WORDS = 40_000
-BATCH = 4096
+BATCH = 1024
 PRIOR = 0.4
 LIMIT = 8.0
 LEVELS = (8, 4)
