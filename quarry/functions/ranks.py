@@ -366,7 +366,8 @@ def _hash_rank_bins_distributed(df: DataFrame, group_cols: Sequence[str], key_co
     j = #{cuts c : r >= ceil(n*c/10000)} (``rounding="floor"``: floor instead).
     Exact, and no step holds more than one hash bucket of one group's *counts*.
     """
-    g = [F.col(f"`{c}`") for c in group_cols] if group_cols else [F.lit(0)]
+    # as text, so that a missing class is a group like any other in the joins below
+    g = [F.to_json(F.struct(F.col(f"`{c}`").alias("v"))) for c in group_cols] if group_cols else [F.lit(0)]
     gnames = [f"_g{i}" for i in range(len(g))]
     knames = [f"_k{i}" for i in range(len(key_cols))]
     d = df.withColumns({

@@ -18,14 +18,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import r6, safe_corr, unpivot
+from ..functions.columns import long_rows, r6, safe_corr, unpivot
 
 # ECE bins, slice size and gates.
 ECE_BINS = 10
 SLICE_MIN_ROWS = 10
 SLICE_GATE_AUC = 0.55
 SLICE_GATE_R2 = -0.5
-DISTINCT_SCORES_PER_BUCKET = 1_000_000
+DISTINCT_SCORES_PER_BUCKET = 20_000
 MAX_BUCKETS = 4096
 
 
@@ -91,7 +91,7 @@ def pr_curve(df: DataFrame, label: Column, score: Column) -> DataFrame:
     pts = c.select(F.col("score").alias("threshold"),
                    r6(F.when(pp > 0, tp / pp).otherwise(F.lit(0.0))).alias("precision"),
                    r6(F.when(F.col("P") > 0, tp / F.col("P")).otherwise(F.lit(0.0))).alias("recall"))
-    close = c.agg(F.count(F.lit(1)).alias("_n")).select(
+    close = df.sparkSession.range(1).select(
         F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
     return pts.unionByName(close)
 
@@ -108,12 +108,16 @@ def confusion_long(df: DataFrame, label: str, prediction: str) -> DataFrame:
 
 
 def class_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """E1-E3 per class (sorted union of classes), with accuracy and support-weighted F1."""
-    cm = confusion_long(df, label, prediction)
-    per = cm.groupBy(F.col("actual").alias("class_label")).agg(
-        F.sum("n").alias("support"), F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n"))).alias("tp"))
-    pred = cm.groupBy(F.col("predicted").alias("class_label")).agg(F.sum("n").alias("n_predicted"))
-    r = per.join(pred, "class_label")
+    """E1-E3 per class (sorted union of classes), with accuracy and support-weighted F1.
+
+    Row and column sums of the confusion counts are all it needs: the K x K grid is never built."""
+    y, p = F.col(f"`{label}`").cast("string"), F.col(f"`{prediction}`").cast("string")
+    cells = df.filter(y.isNotNull() & p.isNotNull()).groupBy(y.alias("y"), p.alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(0).cast("bigint")
+    tp = F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(none)
+    both = long_rows(cells, [], ["class_label", "support", "n_predicted", "tp"],
+                     [(F.col("y"), F.col("n"), none, tp), (F.col("p"), none, F.col("n"), none)])
+    r = both.groupBy("class_label").agg(*[F.sum(c).alias(c) for c in ("support", "n_predicted", "tp")])
     prec = F.when(F.col("n_predicted") > 0, F.col("tp") / F.col("n_predicted")).otherwise(F.lit(0.0))
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
     r = r.withColumns({"precision": prec, "recall": rec})

@@ -28,7 +28,12 @@ def _fold_cuts(k: int) -> list[int]:
 
 def stratified_split(df: DataFrame, label: str, key_cols: Sequence[str], seed: int = SPLIT_SEED,
                      hash_cols: Sequence[str] | None = None) -> DataFrame:
-    """Per class, the first ceil(20 %) rows of the seeded order are the test set."""
+    """Per class, the first ceil(20 %) rows of the seeded order are the test set.
+
+    A class of one row can't be on both sides: the split is then drawn over all rows (X4)."""
+    smallest = df.groupBy(F.col(f"`{label}`")).count().agg(F.min("count")).first()[0]
+    if smallest is not None and smallest < 2:
+        return random_split(df, key_cols, seed, hash_cols)
     b = hash_rank_bins(df, [label], key_cols, seed=seed, fractions_bp=[TEST_SHARE_BP], out_col="_bin",
                        hash_cols=hash_cols)
     return b.withColumn("split", F.when(F.col("_bin") == 0, "test").otherwise("train")).drop("_bin")

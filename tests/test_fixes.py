@@ -83,3 +83,23 @@ def test_quoted_cells_survive_a_round_trip(spark):
     back = files.load_dataset(spark, path, multi_line=True)
     assert back.schema["n"].dataType.simpleString() == "bigint"
     assert sorted(tuple(r) for r in back.collect()) == rows
+
+
+def test_missing_class_is_a_class_on_both_paths(spark):
+    for n in (4, 100):  # few classes: cuts on the driver; many: the distributed form
+        df = spark.range(40 * n).select("id", F.when(F.col("id") % n > 0, F.col("id") % n).alias("c"))
+        per = folds.stratified_split(df, "c", ["id"]).groupBy("c").agg(F.count_if(F.col("split") == "test").alias("t"))
+        assert {r["t"] for r in per.collect()} == {8}
+
+
+def test_class_of_one_row_falls_back_to_a_random_split(spark):
+    df = spark.range(100).select("id", F.when(F.col("id") == 5, "rare").otherwise("common").alias("c"))
+    got = folds.stratified_split(df, "c", ["id"]).groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in got} == {"test": 20, "train": 80}
+
+
+def test_auc_over_buckets_equals_the_plain_window(spark, monkeypatch):
+    df = spark.range(3000).select((F.col("id") * 7919 % 1009 / 1009).alias("s"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    one = evaluate.auc(df, F.col("y"), F.col("s")).first()["auc"]
+    monkeypatch.setattr(evaluate, "DISTINCT_SCORES_PER_BUCKET", 50)
+    assert abs(evaluate.auc(df, F.col("y"), F.col("s")).first()["auc"] - one) < 1e-12
