@@ -228,6 +228,33 @@ def slices_classification(df: DataFrame, label: str, prediction: str, score: str
                     r6(val).alias("score"), (val >= SLICE_GATE_AUC).alias("pass_gate"))
 
 
+def slices_multiclass(df: DataFrame, label: str, prediction: str, prob_cols: dict[str, str],
+                      slice_cols: Sequence[str]) -> DataFrame:
+    """E13 for more than two classes: per slice (n >= 10) the mean one-vs-rest AUC; accuracy where a
+    slice holds one class (metric "accuracy") or lacks one of several (the AUC is then undefined).
+
+    ``prob_cols``: class -> its probability column.  One unpivot over slices and classes."""
+    y = F.col(f"`{label}`").cast("string")
+    base = df.select(*[F.col(f"`{c}`").cast("string").alias(f"_s{i}") for i, c in enumerate(slice_cols)], y.alias("_y"),
+                     (y == F.col(f"`{prediction}`").cast("string")).cast("double").alias("_hit"),
+                     *[F.col(f"`{c}`").alias(f"_p{i}") for i, c in enumerate(prob_cols.values())])
+    probs = [f"_p{i}" for i in range(len(prob_cols))]
+    long = long_rows(base, [F.col("_y"), F.col("_hit"), *map(F.col, probs)], ["slice_column", "slice_value"],
+                     [(c, F.col(f"_s{i}")) for i, c in enumerate(slice_cols)])
+    keys = ["slice_column", "slice_value"]
+    stats = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_hit").alias("acc"),
+                                    (F.min("_y") == F.max("_y")).alias("single")).filter(F.col("n") >= SLICE_MIN_ROWS)
+    each = long_rows(long, [F.col(k) for k in keys], ["_k", "_is", "_score"],
+                     [(k, (F.col("_y") == F.lit(k)).cast("int"), F.col(p)) for k, p in zip(prob_cols, probs)])
+    a = auc(each, F.col("_is"), F.col("_score"), [*keys, "_k"]).groupBy(*keys).agg(
+        F.when(F.every(F.col("auc").isNotNull()), F.avg("auc")).alias("auc"))
+    a = a.select(F.col("slice_column").alias("_c"), F.col("slice_value").alias("_v"), "auc")
+    j = stats.join(a, (F.col("slice_column") == F.col("_c")) & F.col("slice_value").eqNullSafe(F.col("_v")), "left")
+    val = F.when(F.col("single") | F.col("auc").isNull(), F.col("acc")).otherwise(F.col("auc"))
+    return j.select(*keys, F.col("n").cast("bigint").alias("n"), F.when(F.col("single"), "accuracy").otherwise("auc").alias("metric"),
+                    r6(val).alias("score"), (val >= SLICE_GATE_AUC).alias("pass_gate"))
+
+
 def slices_regression(df: DataFrame, label: str, prediction: str, slice_cols: Sequence[str]) -> DataFrame:
     """R^2 per slice value (n >= 10); gate >= -0.5."""
     long = unpivot(df.select(*slice_cols, label, prediction), [label, prediction], slice_cols,

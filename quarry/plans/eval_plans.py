@@ -214,6 +214,29 @@ def q_slices_classification(spark, sf):
     return evaluate.slices_classification(li_binary(spark, sf), "label", "prediction", "score", LI_SLICES)
 
 
+MULTI_SLICES = ["l_linestatus", "l_linenumber"]
+
+
+def _slices_multi_sql():
+    src = f"SELECT *, CAST(l_linenumber AS VARCHAR) AS _ln FROM ({LI_MULTI_SQL})"
+    long = sqlkit.union_all([f"SELECT '{c}' AS slice_column, CAST({c} AS VARCHAR) AS slice_value, l_returnflag AS y, "
+                             f"CASE WHEN l_returnflag = pred_flag THEN 1.0 ELSE 0.0 END AS hit, "
+                             + ", ".join(f"p_{k}" for k in CLASSES) + f" FROM ({src})" for c in MULTI_SLICES])
+    each = sqlkit.union_all([f"SELECT slice_column, slice_value, '{k}' AS k, CASE WHEN y = '{k}' THEN 1 ELSE 0 END AS is_k, p_{k} AS s "
+                             f"FROM ({long})" for k in CLASSES])
+    return f"""WITH a AS (SELECT slice_column, slice_value, CASE WHEN bool_and(auc IS NOT NULL) THEN avg(auc) END AS auc
+  FROM ({_auc_sql(each, 'is_k', 's', ['slice_column', 'slice_value', 'k'])}) GROUP BY ALL),
+st AS (SELECT slice_column, slice_value, count(*) AS n, avg(hit) AS acc, min(y) = max(y) AS single FROM ({long}) GROUP BY ALL HAVING count(*) >= 10),
+v AS (SELECT st.*, CASE WHEN single OR auc IS NULL THEN acc ELSE auc END AS val FROM st LEFT JOIN a USING (slice_column, slice_value))
+SELECT slice_column, slice_value, n::BIGINT AS n, CASE WHEN single THEN 'accuracy' ELSE 'auc' END AS metric, round(val, 6) AS score,
+       val >= 0.55 AS pass_gate FROM v"""
+
+
+@query("slices_multiclass", sql=_slices_multi_sql())
+def q_slices_multiclass(spark, sf):
+    return evaluate.slices_multiclass(li_multi(spark, sf), "l_returnflag", "pred_flag", {k: f"p_{k}" for k in CLASSES}, MULTI_SLICES)
+
+
 ORDER_SLICES = ["o_orderpriority", "o_orderstatus"]
 
 
