@@ -100,10 +100,3 @@ def time_holdout(df: DataFrame, order: Column, key: str, test_share_bp: int = TE
     th = lex_thresholds(timed, order, F.col(key), [k], n)[k]
     late = order.isNotNull() & (lex_bin(order, F.col(key), [th]) == 1)
     return df.withColumn("split", F.when(late, "test").otherwise("train"))
-
-
-def split_method(problem_type: str, cv: str) -> str:
-    """Time order for time-series framing, stratified for classes, random otherwise."""
-    if problem_type == "timeseries" or cv == "TimeSeriesSplit":
-        return "time_ordered"
-    return "stratified" if problem_type == "classification" else "random"

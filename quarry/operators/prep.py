@@ -221,15 +221,6 @@ def feature_stages(model: PrepModel, out: str = "features") -> list:
     return [*stages, VectorAssembler(inputCols=inputs, outputCol=out, handleInvalid="keep")]
 
 
-def numeric_and_categorical(df: DataFrame, cols: Sequence[str]) -> tuple[list[str], list[str]]:
-    num = [c for c in cols if is_numeric_type(df.schema[c].dataType)]
-    cat = [c for c in cols if c not in num and df.schema[c].dataType.typeName() in ("string", "boolean")]
-    return num, cat
-
-
-def column_counts_of(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
-    return column_counts(df, {c: as_double(df, c) for c in cols})
-
 
 def target_encode_oof(folded: DataFrame, col: str, target: str, fold_col: str = "fold") -> DataFrame:
     """Z3: out-of-fold mean target per category: (sum - fold sum) / (count - fold count),

@@ -131,15 +131,6 @@ def risk_flags_pre(df: DataFrame, target: str | None, approvals: Sequence[str] =
     return union_flags(out)
 
 
-def confidence_level(flags: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
-    """Any critical -> unsafe, any warning -> uncertain, else safe (per group)."""
-    rank = F.max(F.when(F.col("level") == CRITICAL, 3).when(F.col("level") == WARNING, 2)
-                 .when(F.col("level") == INFO, 1).otherwise(0))
-    g = flags.groupBy(*group_cols) if group_cols else flags.groupBy()
-    return g.agg(rank.alias("_r")).select(
-        *group_cols,
-        F.when(F.col("_r") == 3, "unsafe").when(F.col("_r") == 2, "uncertain").otherwise("safe").alias("confidence"))
-
 
 def metrics_row(parts: dict[str, DataFrame]) -> DataFrame:
     """One wide metric row from long (metric, value, text) frames: union, then pivot on

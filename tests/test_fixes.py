@@ -103,3 +103,49 @@ def test_auc_over_buckets_equals_the_plain_window(spark, monkeypatch):
     one = evaluate.auc(df, F.col("y"), F.col("s")).first()["auc"]
     monkeypatch.setattr(evaluate, "DISTINCT_SCORES_PER_BUCKET", 50)
     assert abs(evaluate.auc(df, F.col("y"), F.col("s")).first()["auc"] - one) < 1e-12
+
+
+def codes(flags):
+    return {(r["stage"], r["level"], r["code"]) for r in flags.collect()}
+
+
+def test_every_rule_before_training_fires(spark):
+    rows = [(i % 3, None if i % 10 else 1.0, 7, i % 2, float(i % 2)) for i in range(40)]
+    df = spark.createDataFrame(rows, "a long, gone double, same long, y long, `leak` double").withColumnRenamed("a", " ")
+    got = codes(risk.risk_flags_pre(df, "y"))
+    assert got >= {("profile", risk.CRITICAL, risk.MISSING_COLUMN_NAMES), ("profile", risk.WARNING, risk.HIGH_DUPLICATE_RATIO),
+                   ("profile", risk.WARNING, risk.TINY_DATASET), ("profile", risk.WARNING, risk.HIGH_MISSING_RATE),
+                   ("profile", risk.INFO, risk.CONSTANT_COLUMN), ("profile", risk.WARNING, risk.CLASS_IMBALANCE),
+                   ("pre_training", risk.CRITICAL, risk.TINY_DATASET), ("framing", risk.CRITICAL, risk.LEAKAGE_SUSPECTED),
+                   ("pre_training", risk.CRITICAL, risk.LEAKAGE_SUSPECTED)}
+    halted = codes(risk.risk_flags_pre(df.select("gone", F.lit(1).alias("y")), "y"))
+    assert halted >= {("pre_training", risk.CRITICAL, risk.CONSTANT_COLUMN), ("pre_training", risk.CRITICAL, risk.HIGH_MISSING_RATE)}
+    calm = codes(risk.risk_flags_pre(df, "y", [risk.APPROVE_TINY, risk.APPROVE_LEAKAGE]))
+    assert not {c for s, _, c in calm if s == "pre_training"}
+
+
+def test_every_rule_after_training_fires(spark):
+    cols = ("cv_mean_v double, cv_std_v double, holdout_v double, dominant_share_v double, dominant_share_t string, "
+            "failed_slices_v double, failed_slices_t string, correlated_pairs_v double, correlated_pairs_t string, "
+            "ece_v double, beats_baseline_v double")
+    bad = spark.createDataFrame([(0.9, 0.5, 0.2, 0.95, "x", 2.0, "c=v", 1.0, "a~b", 0.5, 0.0)], cols)
+    got = {r["code"] for r in risk.post_training_flags(bad, "classification").collect()}
+    assert got == {risk.UNSTABLE_CV, risk.DOMINANT_FEATURE, risk.OVERFITTING_FAIL, risk.SLICE_FAILURE, "CORRELATED_FEATURES",
+                   risk.HIGH_CALIBRATION_ERROR}
+    gap = (risk.GAP_WARN + risk.GAP_FAIL) / 2
+    near = spark.createDataFrame([(1.0, 0.0, 1.0 - gap, 0.1, "x", 0.0, "", 0.0, "", 0.0, 1.0)], cols)
+    assert {r["code"] for r in risk.post_training_flags(near, "regression").collect()} == {risk.OVERFITTING_WARN}
+    good = spark.createDataFrame([(0.995, 0.0, 0.9999, 0.1, "x", 0.0, "", 0.0, "", 0.0, 1.0)], cols)
+    assert {r["code"] for r in risk.post_training_flags(good, "classification").collect()} == {risk.SUSPICIOUS_AUC}
+    assert [r["pass_gate"] for m in (bad, good) for r in risk.pass_gate(m, "classification").collect()] == [False, True]
+
+
+def test_drift_rules_fire(spark):
+    base = spark.range(1000).select(F.col("id").cast("double").alias("x"), F.lit("a").alias("c"), F.lit(1).alias("old"))
+    moved = base.select((F.col("x") / 4).alias("x"), F.col("x").cast("string").alias("c2"), F.lit("1").alias("old"))
+    assert {c for _, _, c in codes(drift.schema_flags(drift.schema_diff(base, moved)))} == {risk.SCHEMA_DTYPE_MISMATCH}
+    assert {c for _, _, c in codes(drift.schema_flags(drift.schema_diff(base, base.drop("c"))))} == {risk.DRIFT_DETECTED}
+    scores = drift.psi(base, moved, ["x"])
+    assert scores.first()["band"] == "drift" and drift.psi_flags(scores).count() == 1
+    some = drift.psi(base, base.select((F.col("x") * 0.75).alias("x")), ["x"]).first()
+    assert some["band"] in ("moderate", "drift") and drift.psi(base, base, ["x"]).first()["band"] == "stable"
