@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import space_words
-from .common import Scratch, bounded_batches, pin
+from .common import Scratch, bounded_batches, pin, release
 
 #: log2 of the slots of each predictor's table: last byte, two, three, four bytes, word so far.
 TABLE_BITS = (16, 19, 20, 21, 22)
@@ -55,7 +55,8 @@ CHUNK = 24 << 20
 WORDS = 40_000
 BATCH = 1024
 PRIOR = 0.4
-LIMIT = 8.0
+LIMIT = 7.9
+STEPS = 16
 LEVELS = (8, 4)
 GATES = LEVELS[0] * LEVELS[1]
 RATE = 0.05
@@ -157,10 +158,11 @@ class BitModel:
     def __init__(self, code: ByteCode, counts: np.ndarray, weights: np.ndarray | None = None,
                  refine: np.ndarray | None = None):
         self.code = code
-        self.logit, self.seen = np.empty(SLOTS, np.float32), np.empty(SLOTS, np.int8)
+        # two bytes a slot: the logit in steps of 1 / STEPS, and the bit length of the count
+        self.logit, self.seen = np.empty(SLOTS, np.int8), np.empty(SLOTS, np.int8)
         for k in range(0, SLOTS, 1 << 20):
             zero, one = counts[k:k + (1 << 20)].T.astype(np.float32)
-            self.logit[k:k + (1 << 20)] = np.log((one + PRIOR) / (zero + PRIOR)).clip(-LIMIT, LIMIT)
+            self.logit[k:k + (1 << 20)] = np.rint(np.log((one + PRIOR) / (zero + PRIOR)).clip(-LIMIT, LIMIT) * STEPS)
             self.seen[k:k + (1 << 20)] = np.log2(zero + one + 1)
         self.weights = np.full((GATES, N), 1.0 / N) if weights is None else weights
         self.pace = np.full((GATES, N), 1e-4)
@@ -172,6 +174,7 @@ class BitModel:
         for i in range(N):
             at = slots(contexts[i], node, i) + OFFSETS[i]
             x[i] = self.logit[at]
+            x[i] /= STEPS
             if i == 2:
                 gate = np.minimum(self.seen[at] >> 1, LEVELS[1] - 1).astype(np.int64)
             elif i == N - 1:
@@ -391,31 +394,49 @@ def _bit_counts(table: DataFrame, code: ByteCode) -> tuple[np.ndarray, np.ndarra
         for role, counts in total.items():
             for k in range(0, 2 * SLOTS, BLOCK):
                 own = counts[k:k + BLOCK]
-                at = np.flatnonzero(own)
-                if len(at):
+                if own.any():
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([role], pa.int32()), pa.array([k // BLOCK], pa.int32()),
-                         pa.array([at.astype("<u2").tobytes()], pa.binary()),
-                         pa.array([own[at].astype("<i4").tobytes()], pa.binary())], ["role", "block", "at", "n"])
+                         pa.array([pack_counts(own)], pa.binary())], ["role", "block", "counts"])
 
     def add(key: tuple, part: pa.Table) -> pa.Table:
         own = np.zeros(BLOCK, np.int64)
-        for at, n in zip(part["at"], part["n"]):
-            own[np.frombuffer(at.as_buffer(), "<u2")] += np.frombuffer(n.as_buffer(), "<i4")
-        at = np.flatnonzero(own)
-        return pa.table({"role": [key[0].as_py()], "block": [key[1].as_py()], "at": [at.astype("<u2").tobytes()],
-                         "n": [np.minimum(own[at], 2 ** 30).astype("<i4").tobytes()]},
-                        schema=pa.schema([("role", pa.int32()), ("block", pa.int32()), ("at", pa.binary()), ("n", pa.binary())]))
-
-    sent = table.select("roles", "lengths", "numbers", "words").mapInArrow(work, "role int, block int, at binary, n binary")
-    summed = sent.groupBy("role", "block").applyInArrow(add, "role int, block int, at binary, n binary")
+        for data in part["counts"]:
+            add_counts(own, data.as_py())
+        return pa.table({"role": [key[0].as_py()], "block": [key[1].as_py()], "counts": [pack_counts(np.minimum(own, 2 ** 30))]},
+                        schema=pa.schema([("role", pa.int32()), ("block", pa.int32()), ("counts", pa.binary())]))
+
+    # a task adds up several chunks before it sends: most slots of theirs are the same
+    parts = table.rdd.getNumPartitions()
+    tasks = max(2 * table.sparkSession.sparkContext.defaultParallelism, -(-parts // 8))
+    sent = table.select("roles", "lengths", "numbers", "words").coalesce(min(parts, tasks)).mapInArrow(
+        work, "role int, block int, counts binary")
+    summed = sent.groupBy("role", "block").applyInArrow(add, "role int, block int, counts binary")
     out = {1: np.zeros(2 * SLOTS, np.int32), 2: np.zeros(2 * SLOTS, np.int32)}
     for r in pin(summed).toLocalIterator():  # two tables of a fixed size, block by block
-        own = out[r["role"]][r["block"] * BLOCK:(r["block"] + 1) * BLOCK]
-        own[np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<i4")
+        add_counts(out[r["role"]][r["block"] * BLOCK:(r["block"] + 1) * BLOCK], r["counts"])
     return out[1].reshape(-1, 2), out[2].reshape(-1, 2)
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """The counts that aren't zero: gaps between their places, and a byte each, with the large ones apart."""
+    at = np.flatnonzero(counts)
+    n = counts[at]
+    gaps = np.diff(at, prepend=0).astype("<u2")
+    large = n[n >= 255].astype("<i4")
+    head = np.array([len(at)], "<i4")
+    return zlib.compress(b"".join([head.tobytes(), gaps.tobytes(), np.minimum(n, 255).astype(np.uint8).tobytes(), large.tobytes()]), 1)
+
+
+def add_counts(into: np.ndarray, data: bytes) -> None:
+    raw = zlib.decompress(data)
+    k = int(np.frombuffer(raw, "<i4", 1)[0])
+    at = np.cumsum(np.frombuffer(raw, "<u2", k, 4).astype(np.int64))
+    n = np.frombuffer(raw, np.uint8, k, 4 + 2 * k).astype(np.int64)
+    n[n == 255] = np.frombuffer(raw, "<i4", -1, 4 + 3 * k)
+    into[at] += n.astype(into.dtype)
+
+
 def fit(table: DataFrame) -> BitModel:
     """Tables, weights and refinement from the chunks' training documents."""
     spark = table.sparkSession
@@ -441,6 +462,7 @@ def fit(table: DataFrame) -> BitModel:
         total += r["tokens"]
         weights += r["tokens"] * np.frombuffer(r["weights"]).reshape(GATES, N)
         refine += np.frombuffer(r["refine"]).reshape(-1, 2)
+    held.destroy()
     first += others
     return BitModel(code, first, weights / total if total else None, refine)
 
@@ -465,6 +487,7 @@ def score_documents(docs: DataFrame, held_out: int = 2, modulus: int = 7, id_col
         sums = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
         tokens, distinct = sums[0] or 0, sums[1]
         model = spark.sparkContext.broadcast(fit(table))
+        release(spark)
 
         def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -481,6 +504,8 @@ def score_documents(docs: DataFrame, held_out: int = 2, modulus: int = 7, id_col
         costs = scratch.stash(table.select("chunk", "ids", "roles", "n_bytes", "lengths", "numbers", "words").mapInArrow(
             spelled, "chunk bigint, ids array<bigint>, roles array<tinyint>, n_bytes array<bigint>, lengths array<int>, "
                      "pairs binary, cost binary, number binary"))
+        model.destroy()
+        release(spark)
         wanted = table.select(F.col("chunk").alias("piece"), F.posexplode("words").alias("i", "word"))
         known = wanted.join(counts.hint("shuffle_merge"), "word").select("piece", "i", "c")
 
