@@ -118,7 +118,7 @@ def threads(parents: DataFrame) -> DataFrame:
         moved = heavy_split_join(now.filter(~F.col("done")), above, ["conv", "up"], "n").select(
             "conv", "turn", "parent", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"),
             F.col("end").alias("done"))
-        now = pin(now.filter("done").unionByName(moved))
+        now = pin(now.filter("done").unionByName(moved).repartition("conv", "turn"))  # else parts add up by round
     return now.select("conv", "turn", "parent", F.col("up").alias("root"), "depth")
 
 
