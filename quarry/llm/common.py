@@ -82,7 +82,7 @@ class Scratch:
     def stash(self, df: DataFrame) -> DataFrame:
         self.n += 1
         at = f"{self.path}/{self.n}"
-        df.write.parquet(at)
+        df.write.option("compression", "zstd").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def remove(self, n: int) -> None:

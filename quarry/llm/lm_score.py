@@ -70,7 +70,7 @@ def script_mark(word: bytes) -> int:
     """1..64 by the last byte beyond ASCII of the word (it tells alphabets and languages apart); 0 without one."""
     if word.isascii():
         return 0
-    return 1 + max(enumerate(word), key=lambda x: (x[1] >= 0x80, x[0]))[1] % 64
+    return 1 + next(c for c in reversed(word) if c >= 0x80) % 64
 
 
 class ByteCode:
