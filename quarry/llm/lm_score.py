@@ -381,12 +381,12 @@ def byte_code(table: DataFrame) -> ByteCode:
 def _bit_counts(table: DataFrame, code: ByteCode) -> tuple[np.ndarray, np.ndarray]:
     """(slots, 2) counts of zeros and ones: of the training documents kept for the tables, and of the others."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {1: np.zeros(2 * SLOTS, np.int32), 2: np.zeros(2 * SLOTS, np.int32)}
+        total = {1: np.zeros(2 * SLOTS, np.int64), 2: np.zeros(2 * SLOTS, np.int64)}
         for b in batches:
             for role, words, before, times in _types(b, (1, 2)):
                 for lo, hi in stretches(words):
                     own = Spelling(words[lo:hi], before[lo:hi])
-                    often = own.often(times[lo:hi]).astype(np.int32)
+                    often = own.often(times[lo:hi]).astype(np.int64)
                     for which, node, bit in code.decisions(own.data):
                         for i in range(N):
                             at = (slots(own.contexts[i][which], node, i) + OFFSETS[i]) * 2 + bit
@@ -403,7 +403,7 @@ def _bit_counts(table: DataFrame, code: ByteCode) -> tuple[np.ndarray, np.ndarra
         own = np.zeros(BLOCK, np.int64)
         for data in part["counts"]:
             add_counts(own, data.as_py())
-        return pa.table({"role": [key[0].as_py()], "block": [key[1].as_py()], "counts": [pack_counts(np.minimum(own, 2 ** 30))]},
+        return pa.table({"role": [key[0].as_py()], "block": [key[1].as_py()], "counts": [pack_counts(own)]},
                         schema=pa.schema([("role", pa.int32()), ("block", pa.int32()), ("counts", pa.binary())]))
 
     # a task adds up several chunks before it sends: most slots of theirs are the same
@@ -412,7 +412,7 @@ def _bit_counts(table: DataFrame, code: ByteCode) -> tuple[np.ndarray, np.ndarra
     sent = table.select("roles", "lengths", "numbers", "words").coalesce(min(parts, tasks)).mapInArrow(
         work, "role int, block int, counts binary")
     summed = sent.groupBy("role", "block").applyInArrow(add, "role int, block int, counts binary")
-    out = {1: np.zeros(2 * SLOTS, np.int32), 2: np.zeros(2 * SLOTS, np.int32)}
+    out = {1: np.zeros(2 * SLOTS, np.int64), 2: np.zeros(2 * SLOTS, np.int64)}
     for r in pin(summed).toLocalIterator():  # two tables of a fixed size, block by block
         add_counts(out[r["role"]][r["block"] * BLOCK:(r["block"] + 1) * BLOCK], r["counts"])
     return out[1].reshape(-1, 2), out[2].reshape(-1, 2)
@@ -423,7 +423,7 @@ def pack_counts(counts: np.ndarray) -> bytes:
     at = np.flatnonzero(counts)
     n = counts[at]
     gaps = np.diff(at, prepend=0).astype("<u2")
-    large = n[n >= 255].astype("<i4")
+    large = n[n >= 255].astype("<i8")
     head = np.array([len(at)], "<i4")
     return zlib.compress(b"".join([head.tobytes(), gaps.tobytes(), np.minimum(n, 255).astype(np.uint8).tobytes(), large.tobytes()]), 1)
 
@@ -433,7 +433,7 @@ def add_counts(into: np.ndarray, data: bytes) -> None:
     k = int(np.frombuffer(raw, "<i4", 1)[0])
     at = np.cumsum(np.frombuffer(raw, "<u2", k, 4).astype(np.int64))
     n = np.frombuffer(raw, np.uint8, k, 4 + 2 * k).astype(np.int64)
-    n[n == 255] = np.frombuffer(raw, "<i4", -1, 4 + 3 * k)
+    n[n == 255] = np.frombuffer(raw, "<i8", -1, 4 + 3 * k)
     into[at] += n.astype(into.dtype)
 
 

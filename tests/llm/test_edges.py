@@ -14,7 +14,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quarry.llm import bpe, decontaminate, line_dedup, quality, quotes, simhash, token_files, toxicity
+from quarry.llm import bpe, decontaminate, line_dedup, lm_score, quality, quotes, simhash, token_files, toxicity
 from quarry.llm import queries as Q
 
 from . import brute
@@ -291,3 +291,12 @@ def test_isotonic_is_monotone_and_keeps_means():
 def test_line_dedup_keeps_other_columns(spark, odd):
     out = line_dedup.dedup_lines(spark.read.parquet(f"{odd}/documents.parquet"))
     assert out.columns.count("n_lines") == 1 and {"lang", "score", "n_dropped"} <= set(out.columns) and out.count() == len(documents())
+
+
+def test_op6_counts_beyond_32_bits_keep_their_ratio():
+    counts = np.zeros(2 * lm_score.SLOTS, np.int64)
+    for _ in range(2):  # the sum of two parts, as blocks and the left-out documents' counts are added
+        lm_score.add_counts(counts[:8], lm_score.pack_counts(np.array([3 << 32, 1 << 32, 0, 0, 300, 7, 0, 1 << 30])))
+    assert counts[:8].tolist() == [3 << 33, 1 << 33, 0, 0, 600, 14, 0, 1 << 31]
+    model = lm_score.BitModel(lm_score.ByteCode(np.ones(256)), counts.reshape(-1, 2))
+    assert model.logit[0] == round(-math.log(3) * lm_score.STEPS)
