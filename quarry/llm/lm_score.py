@@ -18,8 +18,9 @@ of word lists and word numbers, written to the shared folder); each task counts
 its chunks, and the counts are summed block by block; one training document in eight is left out of
 the first tables, and on these each task learns the weights online, batch by batch, and fills the
 refining table; weights are averaged by tokens, refinements summed, and the left-out documents' bits
-added to the tables.  The tables have a fixed size (``TABLE_BITS``), so the model that is broadcast
-is bounded, whatever the corpus.
+added to the tables.  Counts are summed under ``WIDE``-bit hashes of (context, node); how many of these
+occur gives each predictor's table its size (``table_bits``), so tables grow with the corpus and at
+most two thirds of a table's slots are in use.
 
 The base score is add-one unigram over exact counts of all training words: chunks send their distinct
 words to be counted, and get the counts back by a shuffled join on the word.
@@ -44,12 +45,15 @@ from pyspark.sql import functions as F
 from .bytewords import space_words
 from .common import Scratch, bounded_batches, pin, release
 
-#: log2 of the slots of each predictor's table: last byte, two, three, four bytes, word so far.
-TABLE_BITS = (16, 19, 20, 21, 22)
-N = len(TABLE_BITS)
-OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])]).astype(np.int64)
-SLOTS = int(OFFSETS[-1])
-BLOCK = 1 << 15
+#: Predictors: last byte, two, three, four bytes, word so far.
+N = 5
+#: Bits of the hash under which counts are summed; a predictor's slot is the upper bits of it.
+WIDE = 37
+#: log2 of a table's least size, and of the least number of blocks in which its counts are summed.
+LEAST_BITS = 12
+BLOCK_BITS = 6
+#: Entries that a task holds of a predictor before it adds them up and sends them.
+HELD = 1 << 22
 #: Text bytes of a chunk; words and spelled bytes handled at a time.
 CHUNK = 24 << 20
 WORDS = 40_000
@@ -144,26 +148,27 @@ class Spelling:
         return np.bincount(self.step, times[self.word], len(self.data))
 
 
-def slots(context: np.ndarray, node: np.ndarray, i: int) -> np.ndarray:
-    """Slot of predictor ``i`` (within its own table) for each context and node of the byte code."""
+def wide_slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Hash of ``WIDE`` bits for each context and node of the byte code."""
     h = context + node.astype(np.uint64) * _FACTORS[N + 1]
     h ^= h >> np.uint64(29)
     h *= _FACTORS[N + 2]
-    return (h >> np.uint64(64 - TABLE_BITS[i])).astype(np.int64)
+    return (h >> np.uint64(64 - WIDE)).astype(np.int64)
+
+
+def table_bits(distinct: int) -> int:
+    """log2 of the slots of a table for so many (context, node) pairs: a third to two thirds of them are used."""
+    return min(max(LEAST_BITS, math.ceil(math.log2(max(1.5 * distinct, 1)))), WIDE)
 
 
 class BitModel:
     """Counts of zeros and ones by slot, mixing weights by gate, and the refining table."""
 
-    def __init__(self, code: ByteCode, counts: np.ndarray, weights: np.ndarray | None = None,
+    def __init__(self, code: ByteCode, bits: list[int], weights: np.ndarray | None = None,
                  refine: np.ndarray | None = None):
-        self.code = code
+        self.code, self.bits = code, bits
         # two bytes a slot: the logit in steps of 1 / STEPS, and the bit length of the count
-        self.logit, self.seen = np.empty(SLOTS, np.int8), np.empty(SLOTS, np.int8)
-        for k in range(0, SLOTS, 1 << 20):
-            zero, one = counts[k:k + (1 << 20)].T.astype(np.float32)
-            self.logit[k:k + (1 << 20)] = np.rint(np.log((one + PRIOR) / (zero + PRIOR)).clip(-LIMIT, LIMIT) * STEPS)
-            self.seen[k:k + (1 << 20)] = np.log2(zero + one + 1)
+        self.logit, self.seen = ([np.zeros(1 << b, np.int8) for b in bits] for _ in range(2))
         self.weights = np.full((GATES, N), 1.0 / N) if weights is None else weights
         self.pace = np.full((GATES, N), 1e-4)
         self.refine = np.zeros((256 * REFINE_STEPS, 2)) if refine is None else refine
@@ -172,13 +177,13 @@ class BitModel:
         """(logits of the predictors, gate)."""
         x = np.empty((N, len(node)), np.float32)
         for i in range(N):
-            at = slots(contexts[i], node, i) + OFFSETS[i]
-            x[i] = self.logit[at]
+            at = wide_slots(contexts[i], node) >> (WIDE - self.bits[i])
+            x[i] = self.logit[i][at]
             x[i] /= STEPS
             if i == 2:
-                gate = np.minimum(self.seen[at] >> 1, LEVELS[1] - 1).astype(np.int64)
+                gate = np.minimum(self.seen[i][at] >> 1, LEVELS[1] - 1).astype(np.int64)
             elif i == N - 1:
-                gate += np.minimum(self.seen[at], LEVELS[0] - 1) * LEVELS[1]
+                gate += np.minimum(self.seen[i][at], LEVELS[0] - 1) * LEVELS[1]
         return x, gate
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -378,78 +383,179 @@ def byte_code(table: DataFrame) -> ByteCode:
     return ByteCode(out)
 
 
-def _bit_counts(table: DataFrame, code: ByteCode) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, 2) counts of zeros and ones: of the training documents kept for the tables, and of the others."""
+def slot_values(zero: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(logit, seen) of slots that counted so many zeros and ones, a byte each."""
+    logit = np.rint(np.log((one + PRIOR) / (zero + PRIOR)).clip(-LIMIT, LIMIT) * STEPS)
+    return logit.astype(np.int8), np.log2(zero + one + 1.0).astype(np.int8)
+
+
+def summed(cells: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct cells in order, the sum of each)."""
+    if not len(cells):
+        return cells, n
+    if len(cells) <= HELD:  # 38 bits of a cell and 22 of its place sort together, faster than argsort
+        both = np.sort(cells << 22 | np.arange(len(cells)))
+        cells, n = both >> 22, n[both & (HELD - 1)]
+    else:
+        order = np.argsort(cells, kind="stable")
+        cells, n = cells[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+    return cells[first], np.add.reduceat(n, first)
+
+
+class _Held:
+    """Counts by cell (slot and bit) that a task has not sent yet."""
+
+    def __init__(self):
+        self.cells, self.counts, self.size, self.limit = [], [], 0, HELD
+
+    def add(self, cells: np.ndarray, counts: np.ndarray) -> bool:
+        """Take counts; whether so many cells are held that they should be sent."""
+        full = False
+        if self.size + len(cells) > self.limit:
+            self.merge()
+            full = self.size > HELD // 2
+            self.limit = max(HELD, 2 * self.size)
+        self.cells.append(cells)
+        self.counts.append(counts)
+        self.size += len(cells)
+        return full
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.cells:
+            cells, counts = summed(np.concatenate(self.cells), np.concatenate(self.counts))
+            self.cells, self.counts, self.size = [cells], [counts], len(cells)
+            return cells, counts
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
+def _bit_counts(table: DataFrame, code: ByteCode) -> DataFrame:
+    """(predictor, block, distinct, first, others, blocks): a block's summed counts by cell (hash and bit).
+
+    ``first`` are those of the training documents kept for the tables, ``others`` those of the left-out
+    ones; ``distinct`` is the block's number of hashes, ``blocks`` log2 of a predictor's number of blocks.
+    """
+    # a task adds up several chunks before it sends: most slots of theirs are the same
+    parts = table.rdd.getNumPartitions()
+    tasks = max(2 * table.sparkSession.sparkContext.defaultParallelism, -(-parts // 8))
+    blocks = max(BLOCK_BITS, parts.bit_length() + 2)
+    width = WIDE + 1 - blocks
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {1: np.zeros(2 * SLOTS, np.int64), 2: np.zeros(2 * SLOTS, np.int64)}
+        held = {(role, i): _Held() for role in (1, 2) for i in range(N)}
+
+        def out(role: int, i: int) -> pa.RecordBatch:
+            cells, n = held[role, i].merge()
+            held[role, i] = _Held()
+            own, first = np.unique(cells >> width, return_index=True)
+            ends = [*first[1:].tolist(), len(cells)]
+            data = [pack_counts(cells[a:b] & ((1 << width) - 1), n[a:b]) for a, b in zip(first.tolist(), ends)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([role] * len(own), pa.int32()), pa.array([i] * len(own), pa.int32()),
+                 pa.array(own, pa.int64()), pa.array(data, pa.binary())], ["role", "predictor", "block", "counts"])
+
         for b in batches:
-            for role, words, before, times in _types(b, (1, 2)):
-                for lo, hi in stretches(words):
-                    own = Spelling(words[lo:hi], before[lo:hi])
-                    often = own.often(times[lo:hi]).astype(np.int64)
+            for role, *types in _types(b, (1, 2)):
+                for lo, hi in stretches(types[0]):
+                    own = Spelling(*(x[lo:hi] for x in types[:-1]))
+                    often = own.often(types[-1][lo:hi]).astype(np.int64)
                     for which, node, bit in code.decisions(own.data):
                         for i in range(N):
-                            at = (slots(own.contexts[i][which], node, i) + OFFSETS[i]) * 2 + bit
-                            np.add.at(total[role], at, often[which])
-        for role, counts in total.items():
-            for k in range(0, 2 * SLOTS, BLOCK):
-                own = counts[k:k + BLOCK]
-                if own.any():
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([role], pa.int32()), pa.array([k // BLOCK], pa.int32()),
-                         pa.array([pack_counts(own)], pa.binary())], ["role", "block", "counts"])
+                            cells = wide_slots(own.contexts[i][which], node) << 1 | bit
+                            if held[role, i].add(cells, often[which]):
+                                yield out(role, i)
+        for role, i in held:
+            yield out(role, i)
 
     def add(key: tuple, part: pa.Table) -> pa.Table:
-        own = np.zeros(BLOCK, np.int64)
-        for data in part["counts"]:
-            add_counts(own, data.as_py())
-        return pa.table({"role": [key[0].as_py()], "block": [key[1].as_py()], "counts": [pack_counts(own)]},
-                        schema=pa.schema([("role", pa.int32()), ("block", pa.int32()), ("counts", pa.binary())]))
+        roles, data, sums = part["role"].to_pylist(), part["counts"], []
+        for role in (1, 2):
+            held = _Held()
+            for r, own in zip(roles, data):
+                if r == role:
+                    held.add(*unpack_counts(own.as_py()))
+            sums.append(held.merge())
+        distinct = len(np.unique(np.concatenate([sums[0][0], sums[1][0]]) >> 1))
+        return pa.table({"predictor": [key[0].as_py()], "block": [key[1].as_py()], "distinct": [distinct],
+                         "first": [pack_counts(*sums[0])], "others": [pack_counts(*sums[1])]}, schema=_BLOCKS)
 
-    # a task adds up several chunks before it sends: most slots of theirs are the same
-    parts = table.rdd.getNumPartitions()
-    tasks = max(2 * table.sparkSession.sparkContext.defaultParallelism, -(-parts // 8))
     sent = table.select("roles", "lengths", "numbers", "words").coalesce(min(parts, tasks)).mapInArrow(
-        work, "role int, block int, counts binary")
-    summed = sent.groupBy("role", "block").applyInArrow(add, "role int, block int, counts binary")
-    out = {1: np.zeros(2 * SLOTS, np.int64), 2: np.zeros(2 * SLOTS, np.int64)}
-    for r in pin(summed).toLocalIterator():  # two tables of a fixed size, block by block
-        add_counts(out[r["role"]][r["block"] * BLOCK:(r["block"] + 1) * BLOCK], r["counts"])
-    return out[1].reshape(-1, 2), out[2].reshape(-1, 2)
-
-
-def pack_counts(counts: np.ndarray) -> bytes:
-    """The counts that aren't zero: gaps between their places, and a byte each, with the large ones apart."""
-    at = np.flatnonzero(counts)
-    n = counts[at]
-    gaps = np.diff(at, prepend=0).astype("<u2")
+        work, "role int, predictor int, block bigint, counts binary")
+    return sent.groupBy("predictor", "block").applyInArrow(
+        add, "predictor int, block bigint, distinct bigint, first binary, others binary").withColumn("blocks", F.lit(blocks))
+
+
+_BLOCKS = pa.schema([("predictor", pa.int32()), ("block", pa.int64()), ("distinct", pa.int64()), ("first", pa.binary()),
+                     ("others", pa.binary())])
+
+
+def fill(model: BitModel, counts: DataFrame, blocks: int, both: bool) -> None:
+    """Set the model's tables from summed counts, block by block; ``both``: also from the left-out documents'."""
+    bits, width = model.bits, WIDE + 1 - blocks
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, block, first, others in zip(*(b[c].to_pylist() for c in ("predictor", "block", "first", "others"))):
+                cells, n = unpack_counts(first)
+                if both:
+                    more = unpack_counts(others)
+                    cells, n = np.concatenate([cells, more[0]]), np.concatenate([n, more[1]])
+                # a block is a stretch of the table's slots, for a slot is the upper bits of the hash
+                slot = cells >> (1 + WIDE - bits[i])
+                sums = np.zeros((1 << (bits[i] - blocks), 2), np.int64)
+                np.add.at(sums, (slot, cells & 1), n)
+                logit, seen = slot_values(sums[:, 0], sums[:, 1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i], pa.int32()), pa.array([block], pa.int64()),
+                     pa.array([zlib.compress(logit.tobytes(), 1)], pa.binary()),
+                     pa.array([zlib.compress(seen.tobytes(), 1)], pa.binary())], ["predictor", "block", "logit", "seen"])
+
+    made = counts.select("predictor", "block", "first", "others").mapInArrow(
+        work, "predictor int, block bigint, logit binary, seen binary")
+    for r in pin(made).toLocalIterator():
+        i, size = r["predictor"], 1 << (bits[r["predictor"]] - blocks)
+        here = slice(r["block"] * size, (r["block"] + 1) * size)
+        model.logit[i][here] = np.frombuffer(zlib.decompress(r["logit"]), np.int8)
+        model.seen[i][here] = np.frombuffer(zlib.decompress(r["seen"]), np.int8)
+
+
+def pack_counts(cells: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending cells by the gaps between them, and a byte for each count, with the large ones apart."""
+    gaps = np.diff(cells, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4)
     large = n[n >= 255].astype("<i8")
-    head = np.array([len(at)], "<i4")
-    return zlib.compress(b"".join([head.tobytes(), gaps.tobytes(), np.minimum(n, 255).astype(np.uint8).tobytes(), large.tobytes()]), 1)
+    head = np.array([len(cells)], "<i8")
+    return zlib.compress(b"".join([head.tobytes(), gaps.T.tobytes(), np.minimum(n, 255).astype(np.uint8).tobytes(), large.tobytes()]), 1)
 
 
-def add_counts(into: np.ndarray, data: bytes) -> None:
+def unpack_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = zlib.decompress(data)
-    k = int(np.frombuffer(raw, "<i4", 1)[0])
-    at = np.cumsum(np.frombuffer(raw, "<u2", k, 4).astype(np.int64))
-    n = np.frombuffer(raw, np.uint8, k, 4 + 2 * k).astype(np.int64)
-    n[n == 255] = np.frombuffer(raw, "<i8", -1, 4 + 3 * k)
-    into[at] += n.astype(into.dtype)
+    k = int(np.frombuffer(raw, "<i8", 1)[0])
+    gaps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * k, 8).reshape(4, k).T).view("<u4").ravel()
+    n = np.frombuffer(raw, np.uint8, k, 8 + 4 * k).astype(np.int64)
+    n[n == 255] = np.frombuffer(raw, "<i8", -1, 8 + 5 * k)
+    return np.cumsum(gaps.astype(np.int64)), n
 
 
 def fit(table: DataFrame) -> BitModel:
     """Tables, weights and refinement from the chunks' training documents."""
     spark = table.sparkSession
     code = byte_code(table)
-    first, others = _bit_counts(table, code)
-    held = spark.sparkContext.broadcast(BitModel(code, first))
+    counts = pin(_bit_counts(table, code))
+    sizes = {r["predictor"]: r for r in counts.groupBy("predictor").agg(
+        F.sum("distinct").alias("n"), F.max("blocks").alias("blocks")).collect()}  # a row a predictor
+    blocks = max((r["blocks"] for r in sizes.values()), default=BLOCK_BITS)
+    bits = [max(table_bits(sizes[i]["n"] if i in sizes else 0), blocks) for i in range(N)]
+    model = BitModel(code, bits)
+    fill(model, counts, blocks, both=False)
+    held = spark.sparkContext.broadcast(model)
+    del model
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, tokens = held.value, 0.0
         model.weights, model.pace, model.refine = np.full((GATES, N), 1.0 / N), np.full((GATES, N), 1e-4), 0 * model.refine
         for b in batches:
-            for _, words, before, times in _types(b, (2,)):
-                tokens += model.learn(words, before, times)
+            for _, *types in _types(b, (2,)):
+                tokens += model.learn(*types)
         if tokens:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([tokens]), pa.array([model.weights.tobytes()], pa.binary()),
@@ -463,8 +569,9 @@ def fit(table: DataFrame) -> BitModel:
         weights += r["tokens"] * np.frombuffer(r["weights"]).reshape(GATES, N)
         refine += np.frombuffer(r["refine"]).reshape(-1, 2)
     held.destroy()
-    first += others
-    return BitModel(code, first, weights / total if total else None, refine)
+    model = BitModel(code, bits, weights / total if total else None, refine)
+    fill(model, counts, blocks, both=True)
+    return model
 
 
 def word_counts(table: DataFrame) -> DataFrame:

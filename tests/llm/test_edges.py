@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from quarry.llm import bpe, decontaminate, line_dedup, lm_score, quality, quotes, simhash, token_files, toxicity
 from quarry.llm import queries as Q
+from quarry.llm.common import Scratch
 
 from . import brute
 
@@ -294,9 +295,20 @@ def test_line_dedup_keeps_other_columns(spark, odd):
 
 
 def test_op6_counts_beyond_32_bits_keep_their_ratio():
-    counts = np.zeros(2 * lm_score.SLOTS, np.int64)
+    part = lm_score.pack_counts(np.array([0, 1, 4, 5, 7]), np.array([3 << 32, 1 << 32, 300, 7, 1 << 30]))
+    held = lm_score._Held()
     for _ in range(2):  # the sum of two parts, as blocks and the left-out documents' counts are added
-        lm_score.add_counts(counts[:8], lm_score.pack_counts(np.array([3 << 32, 1 << 32, 0, 0, 300, 7, 0, 1 << 30])))
-    assert counts[:8].tolist() == [3 << 33, 1 << 33, 0, 0, 600, 14, 0, 1 << 31]
-    model = lm_score.BitModel(lm_score.ByteCode(np.ones(256)), counts.reshape(-1, 2))
-    assert model.logit[0] == round(-math.log(3) * lm_score.STEPS)
+        held.add(*lm_score.unpack_counts(part))
+    cells, n = held.merge()
+    assert cells.tolist() == [0, 1, 4, 5, 7] and n.tolist() == [3 << 33, 1 << 33, 600, 14, 1 << 31]
+    assert lm_score.slot_values(n[:1], n[1:2])[0][0] == round(-math.log(3) * lm_score.STEPS)
+
+
+def test_op6_tables_grow_with_distinct_contexts(spark):
+    def bits(words):
+        docs = spark.createDataFrame([(k, " ".join(words[k::50])) for k in range(50)], "doc_id long, text string")
+        with Scratch(spark) as scratch:
+            return lm_score.fit(scratch.stash(lm_score.chunks(docs, 2, 7))).bits
+    few, many = (bits([hashlib.md5(str(k).encode()).hexdigest()[:12] for k in range(n)]) for n in (500, 20_000))
+    assert max(lm_score.table_bits(n) for n in (1 << 24, 1 << 30)) > 30
+    assert many[-1] >= few[-1] + 4 and many[0] <= 17
