@@ -2,8 +2,9 @@
 
 A text is its lower-cased words between ASCII white space, then one end.  A word is spelled byte by
 byte, closed by a space; the end is a lone space.  A byte is spelled by the bits of its Huffman code (frequent
-bytes take few), and each bit is predicted by five predictors whose contexts are the last one to four
-bytes and the word so far; before a word's first byte stands the last byte beyond ASCII that the text has
+bytes take few), and each bit is predicted by six predictors.  Their contexts are the last one to four
+bytes, which run across the space into the word before; the word so far; and the word so far with the
+word before.  Before any of the word is known, the former of these two has the last byte beyond ASCII that the text has
 shown, which tells its language.  A predictor looks up
 how often either bit followed its hashed context in the training documents.  The predictions'
 logits are mixed by a set of weights that a gate (how often the two longest contexts have been seen)
@@ -45,15 +46,15 @@ from pyspark.sql import functions as F
 from .bytewords import space_words
 from .common import Scratch, bounded_batches, pin, release
 
-#: Predictors: last byte, two, three, four bytes, word so far.
-N = 5
+#: Predictors: last byte, two, three, four bytes, word so far, word so far after the word before.
+N = 6
 #: Bits of the hash under which counts are summed; a predictor's slot is the upper bits of it.
 WIDE = 37
 #: log2 of a table's least size, and of the least number of blocks in which its counts are summed.
 LEAST_BITS = 12
 BLOCK_BITS = 6
 #: Entries that a task holds of a predictor before it adds them up and sends them.
-HELD = 1 << 22
+HELD = 1 << 20
 #: Text bytes of a chunk; words and spelled bytes handled at a time.
 CHUNK = 24 << 20
 WORDS = 40_000
@@ -77,6 +78,23 @@ def script_mark(word: bytes) -> int:
     return 1 + next(c for c in reversed(word) if c >= 0x80) % 64
 
 
+def word_ends(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, its last three bytes from the last on; 300 where it has fewer)."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    end = np.cumsum(size)
+    place = np.arange(len(raw)) - np.repeat(end - size, size)
+    power = np.cumprod(np.full(int(size.max(initial=0)) + 1, _FACTORS[0], np.uint64), dtype=np.uint64)
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[place], dtype=np.uint64)])
+    mixed = (run[end] - run[end - size] + size.astype(np.uint64)) * _FACTORS[1]
+    mixed ^= mixed >> np.uint64(31)
+    tail = np.full((len(words), 3), 300)
+    for k in range(3):
+        has = size > k
+        tail[has, k] = raw[end[has] - 1 - k]
+    return mixed * _FACTORS[2], tail
+
+
 class ByteCode:
     """A Huffman code of bytes: the binary decisions that spell a byte.
 
@@ -114,33 +132,35 @@ class ByteCode:
 class Spelling:
     """The distinct steps that spell some words: each step is a byte in its contexts.
 
-    Words that begin alike share their first steps, so sorted words have few steps of their own.
-    ``data`` and ``contexts`` are by step; ``step`` and ``word`` say which step each byte of each word
-    is.  ``before``: the script mark in force before each word (0: none); it stands before a first byte.
+    Words that begin alike after the same word share their first steps, so sorted words have few steps of
+    their own.  ``data`` and ``contexts`` are by step; ``step`` and ``word`` say which step each byte of each
+    word is.  ``mark``: the script mark in force before each word (0: none); ``before``: hash of the word
+    before; ``tail``: its last three bytes (see ``word_ends``).
     """
 
-    def __init__(self, words: list[bytes], before: np.ndarray):
+    def __init__(self, words: list[bytes], mark: np.ndarray, before: np.ndarray, tail: np.ndarray):
         raw = np.frombuffer(b" ".join(words) + b" ", np.uint8)
         size = np.fromiter(map(len, words), np.int64, len(words)) + 1
         start = np.cumsum(size) - size
         self.word = np.repeat(np.arange(len(words)), size)
         place = np.arange(len(raw)) - start[self.word]
-        edge = 256 + before[self.word]
         power = np.cumprod(np.full(int(place.max(initial=0)) + 2, _FACTORS[N], np.uint64), dtype=np.uint64)
         run = np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[place], dtype=np.uint64)
         so_far = np.concatenate([np.zeros(1, np.uint64), run[:-1]]) - (run[start] - (raw[start].astype(np.uint64) + np.uint64(1)) * power[0])[self.word]
-        # from the fifth byte on, no context reaches back to the word before
-        near = np.where(place < 4, edge, 0).astype(np.uint64)
-        key = (so_far + raw * power[place + 1]) * _FACTORS[N + 1] + place.astype(np.uint64) * _FACTORS[N + 2] + near
+        near = (before + mark.astype(np.uint64)) * _FACTORS[N + 3]
+        key = (so_far + raw * power[place + 1]) * _FACTORS[N + 1] + place.astype(np.uint64) * _FACTORS[N + 2] + near[self.word]
         _, first, self.step = np.unique(key, return_index=True, return_inverse=True)
         self.data = raw[first]
-        at, edge = place[first], edge[first]
+        at, own, so_far = place[first], self.word[first], so_far[first]
+        # what stands before the word: a space, and the bytes before that
+        gone = np.concatenate([np.full((len(words), 1), 32), tail], axis=1)
         mixed, parts = np.zeros(len(first), np.uint64), []
         for k in range(1, 5):
-            last = np.where(at >= k, raw[np.maximum(first - k, 0)], np.where(at == k - 1, edge, 300)).astype(np.uint64)
+            last = np.where(at >= k, raw[np.maximum(first - k, 0)], gone[own, np.clip(k - 1 - at, 0, 3)]).astype(np.uint64)
             mixed = mixed * np.uint64(512) + last
             parts.append(mixed)
-        parts.append(np.where(at == 0, edge.astype(np.uint64), so_far[first]))
+        parts.append(np.where(at == 0, (256 + mark[own]).astype(np.uint64), so_far))
+        parts.append(so_far * _FACTORS[N + 1] + before[own])
         self.contexts = [(p + np.uint64(i + 1)) * _FACTORS[i] for i, p in enumerate(parts)]
 
     def often(self, times: np.ndarray) -> np.ndarray:
@@ -167,8 +187,9 @@ class BitModel:
     def __init__(self, code: ByteCode, bits: list[int], weights: np.ndarray | None = None,
                  refine: np.ndarray | None = None):
         self.code, self.bits = code, bits
-        # two bytes a slot: the logit in steps of 1 / STEPS, and the bit length of the count
-        self.logit, self.seen = ([np.zeros(1 << b, np.int8) for b in bits] for _ in range(2))
+        # a byte a slot: the logit in steps of 1 / STEPS; for the gate's predictors also the bit length of the count
+        self.logit = [np.zeros(1 << b, np.int8) for b in bits]
+        self.seen = {i: np.zeros(1 << bits[i], np.int8) for i in (N - 2, N - 1)}
         self.weights = np.full((GATES, N), 1.0 / N) if weights is None else weights
         self.pace = np.full((GATES, N), 1e-4)
         self.refine = np.zeros((256 * REFINE_STEPS, 2)) if refine is None else refine
@@ -180,7 +201,7 @@ class BitModel:
             at = wide_slots(contexts[i], node) >> (WIDE - self.bits[i])
             x[i] = self.logit[i][at]
             x[i] /= STEPS
-            if i == 2:
+            if i == N - 2:
                 gate = np.minimum(self.seen[i][at] >> 1, LEVELS[1] - 1).astype(np.int64)
             elif i == N - 1:
                 gate += np.minimum(self.seen[i][at], LEVELS[0] - 1) * LEVELS[1]
@@ -197,11 +218,11 @@ class BitModel:
         n0, n1 = self.refine[cell, 0], self.refine[cell, 1]
         return cell, (n1 + REFINE_PRIOR * p) / (n0 + n1 + REFINE_PRIOR)
 
-    def word_costs(self, words: list[bytes], before: np.ndarray) -> np.ndarray:
-        """-log2 of the probability of each word after the script mark ``before``."""
+    def word_costs(self, words: list[bytes], *around: np.ndarray) -> np.ndarray:
+        """-log2 of the probability of each word after what stands ``around`` it (see ``Spelling``)."""
         cost = np.zeros(len(words))
         for lo, hi in stretches(words):
-            own = Spelling(words[lo:hi], before[lo:hi])
+            own = Spelling(words[lo:hi], *(x[lo:hi] for x in around))
             each = np.zeros(len(own.data))
             for which, node, bit in self.code.decisions(own.data):
                 x, gate = self.inputs([c[which] for c in own.contexts], node)
@@ -211,7 +232,7 @@ class BitModel:
             cost[lo:hi] = np.bincount(own.word, each[own.step], hi - lo)
         return cost
 
-    def learn(self, words: list[bytes], before: np.ndarray, times: np.ndarray) -> float:
+    def learn(self, words: list[bytes], *around: np.ndarray, times: np.ndarray) -> float:
         """Online steps over a batch of words that occur ``times``; returns the tokens learned from.
 
         Weights move against the gradient of the coding cost, each at a pace that falls with the
@@ -219,7 +240,7 @@ class BitModel:
         """
         draw = np.random.default_rng(len(words))
         for lo, hi in stretches(words):
-            own = Spelling(words[lo:hi], before[lo:hi])
+            own = Spelling(words[lo:hi], *(x[lo:hi] for x in around))
             often = own.often(times[lo:hi])
             order = draw.permutation(len(own.data))
             for k in range(0, len(order), BATCH):
@@ -339,20 +360,30 @@ def unpack(data: bytes, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _types(batch: pa.RecordBatch, roles: tuple[int, ...]) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
-    """For each chunk and role: its distinct (word, script mark before), and how often each occurs."""
+def _types(batch: pa.RecordBatch, roles: tuple[int, ...]) -> Iterator[tuple[int, list[bytes], tuple, np.ndarray]]:
+    """For each chunk and role: its distinct words with what stands around them, and how often each occurs."""
     for row in range(batch.num_rows):
-        lengths, flat, before, words, rank = _decoded(batch, row)
+        lengths, _, key, words = _decoded(batch, row)
         role = np.repeat(np.array(batch["roles"][row].as_py()), lengths)
-        pair = rank[flat] * 65 + before
+        ends = word_ends(words)
         for r in roles:
-            key, times = np.unique(pair[role == r], return_counts=True)
-            if len(key):
-                yield r, [words[k] for k in (key // 65).tolist()], key % 65, times
+            own, times = np.unique(key[role == r], return_counts=True)
+            if len(own):
+                yield r, *_around(own, words, ends), times
+
+
+def _around(key: np.ndarray, words: list[bytes], ends: tuple[np.ndarray, np.ndarray]) -> tuple[list[bytes], tuple]:
+    """(words, what stands around each) of keys that hold the word before, the script mark and the word."""
+    own, before = key % len(words), key // len(words) // 65
+    return [words[k] for k in own.tolist()], (key // len(words) % 65, ends[0][before], ends[1][before])
 
 
-def _decoded(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """(tokens a document, word numbers, marks before, words in order, place of each number in that order)."""
+def _decoded(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(tokens a document, word numbers, each token's key, words in order).
+
+    A key is the word before (an end: the empty word), the script mark before and the word, words by
+    their place in order.
+    """
     lengths = np.array(batch["lengths"][row].as_py(), np.int64)
     flat = unpack(batch["numbers"][row].as_py(), lengths)
     words = batch["words"][row].as_py()
@@ -362,7 +393,9 @@ def _decoded(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, n
     order = sorted(range(len(words)), key=words.__getitem__)
     rank = np.empty(len(words), np.int64)
     rank[order] = np.arange(len(words))
-    return lengths, flat, before, [words[k] for k in order], rank
+    own = rank[flat]
+    behind = np.concatenate([[0], own[:-1]])  # the empty word is the first in order
+    return lengths, flat, (behind * 65 + before) * len(words) + own, [words[k] for k in order]
 
 
 def byte_code(table: DataFrame) -> ByteCode:
@@ -393,9 +426,11 @@ def summed(cells: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct cells in order, the sum of each)."""
     if not len(cells):
         return cells, n
-    if len(cells) <= HELD:  # 38 bits of a cell and 22 of its place sort together, faster than argsort
-        both = np.sort(cells << 22 | np.arange(len(cells)))
-        cells, n = both >> 22, n[both & (HELD - 1)]
+    if n.max() < 1 << 24:  # 38 bits of a cell and 24 of its count sort together, faster than argsort
+        both = cells << 24
+        both |= n
+        both.sort()
+        cells, n = both >> 24, both & ((1 << 24) - 1)
     else:
         order = np.argsort(cells, kind="stable")
         cells, n = cells[order], n[order]
@@ -455,10 +490,10 @@ def _bit_counts(table: DataFrame, code: ByteCode) -> DataFrame:
                  pa.array(own, pa.int64()), pa.array(data, pa.binary())], ["role", "predictor", "block", "counts"])
 
         for b in batches:
-            for role, *types in _types(b, (1, 2)):
-                for lo, hi in stretches(types[0]):
-                    own = Spelling(*(x[lo:hi] for x in types[:-1]))
-                    often = own.often(types[-1][lo:hi]).astype(np.int64)
+            for role, words, around, times in _types(b, (1, 2)):
+                for lo, hi in stretches(words):
+                    own = Spelling(words[lo:hi], *(x[lo:hi] for x in around))
+                    often = own.often(times[lo:hi]).astype(np.int64)
                     for which, node, bit in code.decisions(own.data):
                         for i in range(N):
                             cells = wide_slots(own.contexts[i][which], node) << 1 | bit
@@ -516,7 +551,8 @@ def fill(model: BitModel, counts: DataFrame, blocks: int, both: bool) -> None:
         i, size = r["predictor"], 1 << (bits[r["predictor"]] - blocks)
         here = slice(r["block"] * size, (r["block"] + 1) * size)
         model.logit[i][here] = np.frombuffer(zlib.decompress(r["logit"]), np.int8)
-        model.seen[i][here] = np.frombuffer(zlib.decompress(r["seen"]), np.int8)
+        if i in model.seen:
+            model.seen[i][here] = np.frombuffer(zlib.decompress(r["seen"]), np.int8)
 
 
 def pack_counts(cells: np.ndarray, n: np.ndarray) -> bytes:
@@ -554,8 +590,8 @@ def fit(table: DataFrame) -> BitModel:
         model, tokens = held.value, 0.0
         model.weights, model.pace, model.refine = np.full((GATES, N), 1.0 / N), np.full((GATES, N), 1e-4), 0 * model.refine
         for b in batches:
-            for _, *types in _types(b, (2,)):
-                tokens += model.learn(*types)
+            for _, words, around, times in _types(b, (2,)):
+                tokens += model.learn(words, *around, times=times)
         if tokens:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([tokens]), pa.array([model.weights.tobytes()], pa.binary()),
@@ -599,18 +635,17 @@ def score_documents(docs: DataFrame, held_out: int = 2, modulus: int = 7, id_col
         def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for row in range(b.num_rows):
-                    _, flat, before, words, rank = _decoded(b, row)
-                    key, at = np.unique(rank[flat] * 65 + before, return_inverse=True)
-                    cost = model.value.word_costs([words[k] for k in (key // 65).tolist()], key % 65)
-                    kinds = at.astype("<i4")  # which of the chunk's (word, mark) pairs each token is
+                    _, _, key, words = _decoded(b, row)
+                    distinct_keys, at = np.unique(key, return_inverse=True)
+                    own, around = _around(distinct_keys, words, word_ends(words))
+                    cost = model.value.word_costs(own, *around)[at].astype("<f4")
                     yield pa.RecordBatch.from_arrays(
                         [b["chunk"].slice(row, 1), b["ids"].slice(row, 1), b["roles"].slice(row, 1), b["n_bytes"].slice(row, 1),
-                         b["lengths"].slice(row, 1), pa.array([pack(_by_use(kinds, cost, flat)[0])], pa.binary()),
-                         *[pa.array([x], pa.binary()) for x in _by_use(kinds, cost, flat)[1:]]], _COST_COLUMNS)
+                         b["lengths"].slice(row, 1), b["numbers"].slice(row, 1), pa.array([cost.tobytes()], pa.binary())], _COST_COLUMNS)
 
         costs = scratch.stash(table.select("chunk", "ids", "roles", "n_bytes", "lengths", "numbers", "words").mapInArrow(
             spelled, "chunk bigint, ids array<bigint>, roles array<tinyint>, n_bytes array<bigint>, lengths array<int>, "
-                     "pairs binary, cost binary, number binary"))
+                     "numbers binary, cost binary"))
         model.destroy()
         release(spark)
         wanted = table.select(F.col("chunk").alias("piece"), F.posexplode("words").alias("i", "word"))
@@ -630,7 +665,7 @@ def score_documents(docs: DataFrame, held_out: int = 2, modulus: int = 7, id_col
             score.alias("score"), (-score / math.log10(2) / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte")))
 
 
-_COST_COLUMNS = ["chunk", "ids", "roles", "n_bytes", "lengths", "pairs", "cost", "number"]
+_COST_COLUMNS = ["chunk", "ids", "roles", "n_bytes", "lengths", "numbers", "cost"]
 #: Shares of the exact word counts in the mixture, of which one is chosen (0: spelling alone).
 SHARES = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
@@ -638,28 +673,17 @@ _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_token
                      ("own", pa.list_(pa.float64()))])
 
 
-def _by_use(pairs: np.ndarray, cost: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, bytes, bytes]:
-    """(pair of each token, cost of each pair, word number of each pair), pairs numbered by falling frequency."""
-    order = np.argsort(-np.bincount(pairs, minlength=len(cost)), kind="stable")
-    number = np.empty(len(cost), np.int64)
-    number[order] = np.arange(len(cost))
-    word = np.zeros(len(cost), np.int64)
-    word[pairs] = flat
-    return number[pairs], cost[order].astype("<f4").tobytes(), word[order].astype("<i4").tobytes()
-
-
 def _chunk_scores(row: pa.RecordBatch, right: pa.Table, tokens: int, distinct: int) -> pa.Table:
     """The scores of a chunk's documents from its spelled costs and the exact counts of its words."""
     lengths = np.array(row["lengths"][0].as_py(), np.int64)
     role = np.array(row["roles"][0].as_py())
-    pairs = unpack(row["pairs"][0].as_py(), lengths)
+    flat = unpack(row["numbers"][0].as_py(), lengths)
     spelled = np.exp2(-np.frombuffer(row["cost"][0].as_buffer(), "<f4").astype(float))
-    word = np.frombuffer(row["number"][0].as_buffer(), "<i4")
-    c = np.zeros(int(word.max()) + 1)
+    c = np.zeros(int(flat.max()) + 1)
     c[right["i"].to_numpy()] = right["c"].to_numpy()
-    c = c[word]
+    c = c[flat]
     start = np.cumsum(lengths) - lengths
-    total = lambda each: np.add.reduceat(each[pairs], start)
+    total = lambda each: np.add.reduceat(each, start)
     scores, own, floor = [], [], 1e-300
     for share in SHARES:
         share = share if tokens else 0.0

@@ -312,3 +312,14 @@ def test_op6_tables_grow_with_distinct_contexts(spark):
     few, many = (bits([hashlib.md5(str(k).encode()).hexdigest()[:12] for k in range(n)]) for n in (500, 20_000))
     assert max(lm_score.table_bits(n) for n in (1 << 24, 1 << 30)) > 30
     assert many[-1] >= few[-1] + 4 and many[0] <= 17
+
+
+def test_op6_learns_phrases_across_words(spark):
+    rnd = random.Random(4)
+    phrase = "the quick brown fox jumps over the lazy dog while seven red boats drift along a quiet river".split()
+    mixed = [rnd.sample(phrase, len(phrase)) for _ in range(30)]
+    rows = [(k, " ".join(phrase)) for k in range(400)] + [(1000 + k, " ".join(m)) for k, m in enumerate(mixed)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bits = {r["doc_id"]: r["bits_per_byte"] for r in lm_score.score_documents(docs).collect()}
+    fluent = np.mean([bits[k] for k in range(400)])
+    assert fluent < 0.8 * np.mean([bits[1000 + k] for k in range(30)])
