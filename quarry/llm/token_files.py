@@ -2,7 +2,7 @@
 
 Texts are put in ascending order of their id by a range partition, encoded, and cut into shards of
 about ``SHARD`` ids.  Each shard is compressed on its own: the most frequent pairs of neighbouring
-symbols become nonterminals, round after round, until no pair is frequent.  A shard's file holds the
+symbols become nonterminals, round after round, until no pair occurs twice or the 16-bit symbols are used up.  A shard's file holds the
 rules, the length of each rule's expansion and the symbols by document, so any stretch of ids of any
 document can be decoded without the rest (``extract``).
 
@@ -32,9 +32,9 @@ from .common import Scratch, bounded_batches, pin
 
 END = 0
 SHARD = 1 << 21
+#: Pairs replaced in one round, and how often a pair must occur.
 PAIRS = 1024
-ROUNDS = 6
-MIN_COUNT = 24
+MIN_COUNT = 2
 #: Pieces of text a worker remembers (about 200 MB); beyond it the table is emptied.
 KEPT = 1_000_000
 # White space as the tokenizer's pattern sees it, without the space itself.
@@ -88,24 +88,36 @@ _ENCODERS: dict[str, Encoder] = {}
 _ODD = np.uint32(2654435761)
 
 
+def _place_in_run(at: np.ndarray) -> np.ndarray:
+    """0, 1, 2, ... within each run of positions that follow one another."""
+    order = np.arange(len(at))
+    return order - np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, order, 0))
+
+
 def compress(ids: np.ndarray, lengths: np.ndarray, terminals: int) -> bytes:
     """The file of one shard: ``ids`` of its documents one after the other, ``lengths`` ids each."""
     s = ids.astype(np.uint32)
     last = np.zeros(len(s), bool)
     last[np.cumsum(lengths) - 1] = True
     left, right = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
-    room = (1 << 16) - terminals
-    for _ in range(ROUNDS):
-        if len(s) < 2 or len(left) >= room:
-            break
+    room, most = (1 << 16) - terminals, PAIRS
+    while len(s) > 1 and len(left) < room:
         key = s[:-1] << np.uint32(16) | s[1:]
         inside = ~last[:-1]  # a pair never holds symbols of two documents
-        pair, count = np.unique(key[inside], return_counts=True)
+        same = np.flatnonzero(inside & (s[:-1] == s[1:]))
+        count_here = inside.copy()
+        count_here[same[_place_in_run(same) % 2 == 1]] = False  # "aaa" holds "aa" once
+        pair, count = np.unique(key[count_here], return_counts=True)
         often = np.flatnonzero(count >= MIN_COUNT)
         if not len(often):
             break
-        best = often[np.argsort(-count[often], kind="stable")[:min(PAIRS, room - len(left))]]
-        pair = np.sort(pair[best])
+        take = min(most, room - len(left))
+        if len(often) > take:
+            held = count[often]
+            least = np.partition(held, -take)[-take]
+            above = often[held > least]
+            often = np.concatenate([above, often[held == least][:take - len(above)]])
+        pair = np.sort(pair[often])
         known = np.zeros(1 << 18, bool)  # a cheap hash leaves few places for the exact search
         known[(pair * _ODD) >> np.uint32(14)] = True
         at = np.flatnonzero(inside & known[(key * _ODD) >> np.uint32(14)])
@@ -113,9 +125,15 @@ def compress(ids: np.ndarray, lengths: np.ndarray, terminals: int) -> bytes:
         hit = pair[no] == key[at]
         at, no = at[hit], no[hit]
         # of matches that overlap in a row, every other one is taken, from the left
-        fresh = np.concatenate([[True], np.diff(at) > 1]) if len(at) else np.zeros(0, bool)
-        run = np.arange(len(at)) - np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        at, no = at[run % 2 == 0], no[run % 2 == 0]
+        taken = _place_in_run(at) % 2 == 0
+        at, no = at[taken], no[taken]
+        used = np.bincount(no, minlength=len(pair)) >= MIN_COUNT  # overlaps may leave a pair too few matches
+        if not used.any():
+            most = 1  # the most frequent pair alone meets no other
+            continue
+        most = PAIRS
+        at, no = at[used[no]], (np.cumsum(used) - 1)[no[used[no]]]
+        pair = pair[used]
         s[at] = terminals + len(left) + no
         last[at] = last[at + 1]
         stay = np.ones(len(s), bool)

@@ -323,3 +323,21 @@ def test_op6_learns_phrases_across_words(spark):
     bits = {r["doc_id"]: r["bits_per_byte"] for r in lm_score.score_documents(docs).collect()}
     fluent = np.mean([bits[k] for k in range(400)])
     assert fluent < 0.8 * np.mean([bits[1000 + k] for k in range(30)])
+
+
+def test_op2_grammar_is_finished():
+    draw = np.random.default_rng(2)
+    passage = draw.integers(0, 5000, 500)
+    docs = [np.concatenate([draw.integers(0, 5000, 3), passage, draw.integers(0, 5000, 3)]) for _ in range(64)]
+    docs += [np.full(n, 7) for n in (1, 2, 3, 9)] + [np.array([8, 8, 8])]
+    lengths = np.array([len(d) for d in docs])
+    file = token_files.ShardFile(token_files.compress(np.concatenate(docs), lengths, 50257))
+    assert all((a == b).all() for a, b in zip(file.documents(), docs))
+    assert (file.doc_symbols[:64] <= 7).all() and file.sizes.max() >= 500
+    pairs, at = Counter(), 0
+    for n in file.doc_symbols.astype(int).tolist():
+        own, k = file.symbols[at:at + n].tolist(), 0
+        for k in range(n - 1):
+            pairs[own[k], own[k + 1]] += own[k] != own[k + 1]
+        at += n
+    assert max(pairs.values()) < 2
