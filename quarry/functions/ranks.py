@@ -3,7 +3,9 @@
 ``values_at_ranks``  value at an exact rank of a column: an approximate quantile narrows a
                      value window around the rank, one counting pass fixes the rank of the
                      window's lower edge, and only a window of at most ``max_window`` values
-                     is ever collected (repeat the narrowing while the window is larger).
+                     is ever collected (repeat the narrowing while the window is larger; a
+                     window that narrows no more is grouped by value, and split at one of
+                     its values while it has more than ``max_window`` distinct ones).
 ``exact_quantiles``  linear-interpolated quantiles on top of it (same as ``quantile_cont``).
 ``lex_thresholds``   the (order value, key) pair at given ranks of a lexicographic order.
 ``hash_rank_bins``   exact per-group bins of a seeded random order (splits and folds):
@@ -58,13 +60,16 @@ def values_at_ranks(df: DataFrame, exprs: dict[str, Column], targets: Sequence[t
         n = counts[name]
         if not 0 <= k < n:
             raise ValueError(f"rank {k} outside 0..{n - 1} for {name}")
-        state[(name, k)] = {"lo": None, "hi": None, "below": 0, "cnt": n, "delta": 3.0 / accuracy}
+        state[(name, k)] = {"lo": None, "hi": None, "below": 0, "cnt": n, "delta": 3.0 / accuracy, "stuck": False}
 
     def big(s):
         return s["cnt"] > max_window and not (s["lo"] is not None and s["lo"] == s["hi"])
 
+    def narrows(s):
+        return big(s) and not s["stuck"]
+
     for _ in range(12):
-        todo = [t for t, s in state.items() if big(s)]
+        todo = [t for t, s in state.items() if narrows(s)]
         if not todo:
             break
         # 1) approximate bounds around each rank inside its window: one sketch per distinct
@@ -104,7 +109,7 @@ def values_at_ranks(df: DataFrame, exprs: dict[str, Column], targets: Sequence[t
             a, b = bounds[i]
             below, cnt = s["below"] + int(row[f"b{i}"]), int(row[f"n{i}"])
             if below <= t[1] < below + cnt:
-                s.update(lo=a, hi=b, below=below, cnt=cnt)
+                s.update(lo=a, hi=b, below=below, cnt=cnt, stuck=cnt == s["cnt"])
             else:  # the sketch missed (its guarantee is probabilistic at the edges): widen
                 s["delta"] *= 8
     out: dict[tuple[str, int], tuple[object, int]] = {}
@@ -112,6 +117,8 @@ def values_at_ranks(df: DataFrame, exprs: dict[str, Column], targets: Sequence[t
     for t, s in state.items():
         if s["lo"] is not None and s["lo"] == s["hi"]:
             out[t] = (s["lo"], s["below"])
+        elif big(s):
+            out[t] = _value_by_counts(df, exprs[t[0]], s["lo"], s["hi"], s["below"], t[1], max_window)
         else:
             pending.append(t)
     if pending:
@@ -148,6 +155,29 @@ def values_at_ranks(df: DataFrame, exprs: dict[str, Column], targets: Sequence[t
     return out
 
 
+def _value_by_counts(df: DataFrame, v: Column, lo, hi, below: int, k: int, max_rows: int) -> tuple[object, int]:
+    """(value of rank k, number of values below it) from at most ``max_rows`` + 1 (value, count) rows at a time."""
+    inside = _in_window(v, lo, hi)
+    while True:
+        rows = df.select(F.when(inside, v).alias("v")).filter(F.col("v").isNotNull()).groupBy("v") \
+            .agg(F.count(F.lit(1)).alias("n")).limit(max_rows + 1).orderBy("v").collect()
+        if len(rows) <= max_rows:
+            for val, n in rows:
+                if k < below + n:
+                    return val, below
+                below += n
+            raise ValueError(f"rank {k} outside its window")
+        pivot = rows[len(rows) // 2]["v"]
+        less, same = df.agg(F.count_if(inside & (v < _lit(pivot))), F.count_if(inside & (v == _lit(pivot)))).first()
+        if k < below + less:
+            inside = inside & (v < _lit(pivot))
+        elif k < below + less + same:
+            return pivot, below + less
+        else:
+            below += less + same
+            inside = inside & (v > _lit(pivot))
+
+
 def _count_less(sorted_vals, val) -> int:
     lo, hi = 0, len(sorted_vals)
     while lo < hi:

@@ -127,3 +127,19 @@ def test_hard_vote_auc_equals_exact_auc(spark):
     exact = evaluate.auc(long, F.col("yk"), F.col("sk"), ["fold", "k"]).groupBy("fold").agg(F.avg("auc").alias("a"))
     for r in exact.collect():
         assert got[r.fold] == pytest.approx(r.a, abs=1e-12)
+
+
+def test_median_between_two_hot_values_collects_no_window(spark, monkeypatch):
+    df = spark.range(10_000).select((F.col("id") % 2).cast("double").alias("v")).repartition(3)
+
+    def refuse(*_):
+        raise AssertionError("a window of all rows would be collected")
+
+    monkeypatch.setattr(ranks.F, "collect_list", refuse)
+    assert ranks.exact_quantiles(df, {"v": F.col("v")}, [0.5], max_window=50, accuracy=100)[("v", 0.5)] == 0.5
+
+
+def test_rank_by_counts_splits_windows_of_many_values(spark):
+    df = spark.range(900).select((F.col("id") % 300).alias("v")).repartition(3)
+    for k in (0, 1, 449, 450, 899):
+        assert ranks._value_by_counts(df, F.col("v"), None, None, 0, k, 20) == (k // 3, k // 3 * 3)
