@@ -57,7 +57,8 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "£": "l"}
 
 _LETTERS = str.maketrans({**{c: k for k, cs in HOMOGLYPHS.items() for c in cs}, **DIGITS, "l": "i"})
-_SIGN = re.compile("(?<=[^\\W_])[" + re.escape("".join(SIGNS)) + "](?=[^\\W_])")
+# A run of signs before a letter or digit, or after one; "!" and "|" at the end of a word, or doubled, are punctuation.
+_SIGN = re.compile(r"(?:[@$€£]|(?<![!|])[!|](?![!|]))+(?=[^\W_])|(?<=[^\W_])[@$€£]+")
 _DIGITS = str.maketrans({**DIGITS, "l": "i"})
 
 
@@ -66,10 +67,10 @@ def words(text: bytes) -> list[bytes]:
     s = text.decode("utf-8", "replace")
     if not s.isascii():
         s = unicodedata.normalize("NFKD", s)
-        s = "".join([c for c in s if c < "̀" or unicodedata.category(c) not in ("Mn", "Cf")])
+        s = "".join([c for c in s if c < "\x80" or unicodedata.category(c) not in ("Mn", "Cf")])
     s = s.lower()
     if any(c in s for c in SIGNS):
-        s = _SIGN.sub(lambda m: SIGNS[m[0]], s)
+        s = _SIGN.sub(lambda m: "".join(map(SIGNS.__getitem__, m[0])), s)
     return folded(s.translate(_DIGITS if s.isascii() else _LETTERS).encode("utf-8", "replace")).split()
 
 

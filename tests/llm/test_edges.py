@@ -341,3 +341,9 @@ def test_op2_grammar_is_finished():
             pairs[own[k], own[k + 1]] += own[k] != own[k + 1]
         at += n
     assert max(pairs.values()) < 2
+
+
+def test_toxicity_folds_soft_hyphens_and_signs_at_word_edges():
+    assert toxicity.words("id\u00adiot !diot $hit a$$hole a$$ idiot! id!ot".encode()) == [
+        b"idiot", b"idiot", b"shit", b"asshoie", b"ass", b"idiot", b"idiot"]
+    assert toxicity.words("idiot!! wait!!what $ !".encode()) == [b"idiot", b"wait", b"what"]
