@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, lm_score, quality, quotes, simhash, token_files, topk, toxicity
+from . import (bpe, collocations, decontaminate, lexical, line_dedup, lm_score, packing, quality, quotes, simhash,
+               token_files, topk, toxicity)
 from .common import crc_remainder, read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -155,3 +156,93 @@ def op1_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = quotes.link_quotes(quotes.as_mail(read_table(spark, sf_dir, "conversations")))
     return linked.select("conv_id", "turn", "role", "parent_turn", "root_turn", "depth", "position", "n_unlinked",
                          F.sha2(F.col("clean_text").cast("binary"), 256).alias("clean_sha256"))
+
+
+LEXICAL_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(text, {_AZ}), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ts
+  FROM documents WHERE text IS NOT NULL
+), g AS (
+  SELECT count(*) AS big_n, CAST(sum(len(ts)) AS BIGINT) AS big_l FROM d WHERE len(ts) > 0
+), i AS (
+  SELECT row_number() OVER () AS iid, item_id,
+         unnest(regexp_extract_all(translate(text, {_AZ}), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) AS term
+  FROM benchmark WHERE text IS NOT NULL
+), q AS (
+  SELECT iid, item_id, term, count(*) AS times FROM i GROUP BY ALL
+), t AS (
+  SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(ts) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2.0 * max(big_n) + 2)::DOUBLE / (2.0 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM t, g GROUP BY term
+), m AS (
+  SELECT rid, doc_id, 25 + (75 * len(ts) * big_n) // big_l AS m FROM d, g WHERE len(ts) > 0
+), s AS (
+  SELECT iid, item_id, rid, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN t USING (term) JOIN w USING (term) JOIN m USING (rid) GROUP BY ALL
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+  FROM s WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query("op11_ranked_search", LEXICAL_SQL)
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.search(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
+
+
+@query("op12_best_fit_packing")
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), capacity=2048)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+COLLOCATIONS_SQL = f"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(text, {_AZ}), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+), s AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\x09]+'), lambda x: x <> '') AS ws FROM p
+), total AS (
+  SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM s GROUP BY lang
+), g AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i
+        FROM s, (SELECT unnest(range(1, 6)) AS k) WHERE len(ws) >= k)
+), f AS (
+  SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100
+), c AS (
+  SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1
+), sub AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, ws, a, m, unnest(range(1, k - m + 2)) AS i
+        FROM (SELECT *, unnest(range(2, k)) AS m FROM c)) GROUP BY ALL
+), kept AS (
+  SELECT c.* FROM c LEFT JOIN sub USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a
+), cuts AS (
+  SELECT kept.lang, kept.phrase, kept.a, n, cut, l.a AS l, r.a AS r,
+         CAST((1000::HUGEINT * kept.a * n) // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept) kept
+  JOIN total USING (lang)
+  JOIN f l ON l.lang = kept.lang AND l.phrase = array_to_string(kept.ws[1:cut], ' ')
+  JOIN f r ON r.lang = kept.lang AND r.phrase = array_to_string(kept.ws[cut + 1:kept.k], ' ')
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
+@query("op13_collocations", COLLOCATIONS_SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("text", "lang")
+    return collocations.collocations(docs, top=2000, min_count=100)
