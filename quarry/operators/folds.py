@@ -9,10 +9,13 @@ No step sorts the table or puts a class or a time range into one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import phash
+from ..functions.materialize import pin
 from ..functions.ranks import hash_rank_bins, lex_bin, lex_thresholds
 
 # Holdout share, number of folds, seeds of the split and of the folds.
@@ -20,6 +23,10 @@ TEST_SHARE_BP = 2000
 N_FOLDS = 5
 SPLIT_SEED = 42
 FOLD_SEED = 43
+#: A group with more than this part of all rows is placed by name.
+HEAVY_PARTS = 10_000
+#: Hashes (28 bits) in one range of the first round of sums.
+HASH_RANGE = 1 << 14
 
 
 def _fold_cuts(k: int) -> list[int]:
@@ -59,11 +66,103 @@ def stratified_kfold(df: DataFrame, label: str, key_cols: Sequence[str], k: int
     return hash_rank_bins(df, [label], key_cols, seed=seed, fractions_bp=_fold_cuts(k), out_col="fold")
 
 
+@dataclass
+class GroupFolds:
+    """Where every group goes: heavy groups by name, all others by the range their hash lies in."""
+    heavy: dict  # group -> fold
+    cuts: list[int]  # a light group's fold is the number of cuts that its hash reaches
+    seed: int = FOLD_SEED
+
+    def apply(self, df: DataFrame, group: str) -> DataFrame:
+        """``df`` with the column ``fold``: a narrow projection for light groups, a small lookup for heavy ones."""
+        h = phash([group], self.seed, df)
+        light = sum((F.when(h >= c, 1).otherwise(0) for c in self.cuts), F.lit(0))
+        # rows without a group are a group of their own; its hash is that of the empty key
+        light = F.when(F.col(f"`{group}`").isNull(), F.lit(self.heavy.get(None, 0))).otherwise(light)
+        named = [(g, f) for g, f in self.heavy.items() if g is not None]
+        if not named:
+            return df.withColumn("fold", light.cast("int"))
+        kind = df.schema[group].dataType.simpleString()
+        look = df.sparkSession.createDataFrame(named, f"_heavy {kind}, _fold int")  # at most HEAVY_PARTS rows
+        joined = df.join(F.broadcast(look), F.col(f"`{group}`") == F.col("_heavy"), "left")
+        return joined.withColumn("fold", F.coalesce("_fold", light.cast("int"))).drop("_heavy", "_fold")
+
+
+def fill(loads: Sequence[int], rest: int) -> list[int]:
+    """How many of ``rest`` rows each fold takes so that all folds reach one level (full ones take none).
+
+    The level is the least of the levels that the m smallest folds would reach alone, in whole rows."""
+    low = sorted(loads)
+    level = min((rest + sum(low[:m])) // m for m in range(1, len(low) + 1))
+    return [max(0, level - x) for x in loads]
+
+
+def balanced_groups(sizes: DataFrame, group: str, k: int = N_FOLDS, seed: int = FOLD_SEED) -> GroupFolds:
+    """Assign whole groups to ``k`` folds of nearly equal numbers of rows.
+
+    ``sizes`` has a row for each group with its ``n_rows``.  Groups that hold more than 1/HEAVY_PARTS of
+    the rows (fewer than HEAVY_PARTS at any size), and the rows without a group, go one by one, the
+    largest first, to the fold with the fewest rows so far.  All others are light: in the order of
+    their hash they fill up the folds to one level.  Which hash a fold begins at follows from sums by
+    hash range, then by hash inside the ranges that are cut; nothing is sorted and no light group is
+    collected.  Groups that share a hash stay together."""
+    total = sizes.agg(F.sum("n_rows")).first()[0] or 0
+    is_heavy = (F.col("n_rows") * HEAVY_PARTS > total) | F.col(f"`{group}`").isNull()
+    heavy = sorted(((r[0], r[1]) for r in sizes.filter(is_heavy).select(F.col(f"`{group}`"), "n_rows").collect()),
+                   key=lambda r: (-r[1], r[0] is not None, r[0]))
+    loads, where = [0] * k, {}
+    for g, n in heavy:
+        f = loads.index(min(loads))
+        where[g] = f
+        loads[f] += n
+    shares = fill(loads, total - sum(loads))
+    edges = [sum(shares[:f]) for f in range(1, k)]  # rows of light groups before each fold
+    light = sizes.filter(~is_heavy).select(phash([group], seed, sizes).alias("h"), "n_rows")
+
+    def sums(df: DataFrame, key: Column) -> list[tuple[int, int]]:
+        rows = df.groupBy(key.alias("b")).agg(F.sum("n_rows").alias("n")).collect()  # at most 2^14 a range
+        return sorted((int(r["b"]), int(r["n"])) for r in rows)
+
+    ranges = sums(light, F.col("h").bitwiseAND(~(HASH_RANGE - 1)))
+    cut_ranges = {}  # range -> rows before it
+    before = 0
+    for b, n in ranges:
+        if any(before < e <= before + n for e in edges):
+            cut_ranges[b] = before
+        before += n
+    inside = light.filter(F.col("h").bitwiseAND(~(HASH_RANGE - 1)).isin(list(cut_ranges))) if cut_ranges else None
+    exact: dict[int, list] = {}
+    for h, n in sums(inside, F.col("h")) if inside is not None else []:
+        exact.setdefault(h & ~(HASH_RANGE - 1), []).append((h, n))
+    cuts = []
+    for e in edges:
+        # the first hash with at least e rows before it
+        cut = ranges[-1][0] + HASH_RANGE if ranges else 0
+        if e <= 0:
+            cut = 0
+        for b, at in cut_ranges.items():
+            if at < e <= at + sum(n for _, n in exact[b]):
+                run = at
+                cut = b + HASH_RANGE
+                for h, n in exact[b]:
+                    if run >= e:
+                        cut = h
+                        break
+                    run += n
+        cuts.append(cut)
+    return GroupFolds(where, cuts, seed)
+
+
 def group_kfold(df: DataFrame, group: str, k: int = N_FOLDS, seed: int = FOLD_SEED) -> DataFrame:
-    """Whole groups per fold; the groups (not rows) are split into k equal-count bins
-    of the seeded order.  Returns one row per group with its size and fold."""
-    groups = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"))
-    return hash_rank_bins(groups, [], [group], seed=seed, fractions_bp=_fold_cuts(k), out_col="fold")
+    """Whole groups per fold, folds balanced by rows.  One row per group with its size and fold."""
+    sizes = pin(df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows")))
+    return balanced_groups(sizes, group, k, seed).apply(sizes, group)
+
+
+def group_folded(df: DataFrame, group: str, k: int = N_FOLDS, seed: int = FOLD_SEED) -> DataFrame:
+    """T3 on the rows: ``df`` with the column ``fold``.  The rows aren't shuffled for it."""
+    sizes = pin(df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows")))
+    return balanced_groups(sizes, group, k, seed).apply(df, group)
 
 
 def time_series_folds(df: DataFrame, order: Column, key: str, k: int = N_FOLDS) -> DataFrame:

@@ -14,6 +14,7 @@ from .eval_plans import li_binary
 from .quality import LI_HASH, LI_KEY
 from . import sqlkit
 from .registry import query
+from .split_plans import group_folds_ctes
 from .tables import load
 
 ORD_NUM, ORD_CAT = ["o_totalprice"], ["o_orderstatus"]
@@ -74,6 +75,27 @@ def q_cv_ridge(spark, sf):
     return out[0].unionByName(out[1])
 
 
+def _cv_groups_sql():
+    """Ridge on one standardised feature in closed form, under folds of whole orders."""
+    ctes = group_folds_ctes("SELECT l_orderkey AS g, count(*) AS n_rows FROM lineitem GROUP BY 1")
+    return f"""WITH RECURSIVE {ctes},
+f AS (SELECT l_quantity AS q, l_extendedprice AS y, fold FROM lineitem JOIN gf ON g = l_orderkey),
+m AS (SELECT k.fold, avg(f.q) AS mq, stddev_pop(f.q) AS sq, avg(f.y) AS my,
+             covar_pop(f.q, f.y) / stddev_pop(f.q) * count(*) / (count(*) + 1.0) AS b
+      FROM (SELECT DISTINCT fold FROM f) k JOIN f ON f.fold <> k.fold GROUP BY 1),
+s AS (SELECT m.fold, 1 - sum((y - my - b * (q - mq) / sq) ** 2) / (var_pop(y) * count(*)) AS score FROM m JOIN f USING (fold) GROUP BY 1)
+SELECT 'ridge' AS candidate, fold::INT AS fold, round(score, 6) AS score, round(avg(score) OVER (), 6) AS cv_mean,
+       round(stddev_pop(score) OVER (), 6) AS cv_std FROM s"""
+
+
+@query("cv_ridge_groups", sql=_cv_groups_sql())
+def q_cv_ridge_groups(spark, sf):
+    """The lines of an order are never on both sides of a fold."""
+    li = load(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice")
+    return models.cross_validate(folds.group_folded(li, "l_orderkey"), "l_extendedprice", ["l_quantity"], [], "ridge",
+                                 "regression", {"alpha": 1.0})
+
+
 @query("cv_forest")
 def q_cv_forest(spark, sf):
     return models.cross_validate(part_folded(spark, sf), "p_retailprice", PART_NUM, PART_CAT, "random_forest",
