@@ -2,8 +2,8 @@
 every fold (T6), grid tuning (T7), final importances (T10), calibration (T13, T14) and
 sampled Shapley attributions (H2, H3).
 
-The training table is read once and cached with its fold column; every fold refits the
-whole ``Pipeline`` (imputer, encoder, assembler, scaler, model) on the other folds.
+The training table is read once and pinned with its fold column; every fold refits the preparation
+(``prep.fit_prep``), the encoder and the model on the other folds, and so does the final fit.
 Scores are exact: AUC through ``evaluate.auc`` (no binning), R^2 as 1 - SSE/SST.
 """
 
@@ -11,19 +11,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier)
-from pyspark.ml.feature import (Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler)
+from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import r6
 from ..functions.materialize import pin
 from . import prep
 from .evaluate import auc
+from .explain import DOMINANT_SHARE
 
 # The candidate grids and budgets.
 LOGISTIC_C = [0.01, 0.1, 1.0, 10.0]
@@ -39,24 +41,6 @@ SHAPLEY_PERMUTATIONS = 8
 FIT_PARALLELISM = 5
 
 
-def feature_stages(numeric: Sequence[str], categorical: Sequence[str]) -> list:
-    """Median imputation, sorted one-hot with unseen -> zeros, assembler, standard scaler."""
-    stages = []
-    num_out = [f"{c}__imp" for c in numeric]
-    if numeric:
-        stages.append(Imputer(inputCols=list(numeric), outputCols=num_out, strategy="median"))
-    cat_vec = []
-    if categorical:
-        idx = [f"{c}__idx" for c in categorical]
-        cat_vec = [f"{c}__vec" for c in categorical]
-        stages.append(StringIndexer(inputCols=list(categorical), outputCols=idx, stringOrderType="alphabetAsc",
-                                    handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=idx, outputCols=cat_vec, dropLast=True))
-    stages.append(VectorAssembler(inputCols=num_out + cat_vec, outputCol="_raw", handleInvalid="keep"))
-    stages.append(StandardScaler(inputCol="_raw", outputCol="features", withMean=False, withStd=True))
-    return stages
-
-
 def estimator(name: str, task: str, n_rows: int, params: dict | None = None, n_classes: int = 2,
               weight_col: str | None = None, label_std: float | None = None):
     """M8-M10 with the reference's parameter meaning mapped onto Spark's."""
@@ -208,9 +192,57 @@ def tune(folded: DataFrame, target: str, numeric, categorical, name: str, task:
     return out.withColumn("best", F.col("point") == best["p"])
 
 
-def importances(model: PipelineModel, feature_names: Sequence[str]) -> list[tuple[str, float]]:
-    """Model importances, else mean |coefficient|, else equal shares."""
-    est = model.stages[-1]
+@dataclass
+class FinalModel:
+    """The preparation (X5-X12) and the model, both fitted on the whole training split."""
+    plan: prep.PrepModel
+    pipeline: PipelineModel
+    inputs: list[str]
+    names: list[str]  # of the vector's slots: numbers, then a slot for each category
+
+    @property
+    def estimator(self):
+        return self.pipeline.stages[-1]
+
+    def prepared(self, df: DataFrame) -> DataFrame:
+        """The columns that are no inputs, and the assembled vector ``features``."""
+        keep = [c for c in df.columns if c not in self.inputs]
+        return PipelineModel(self.pipeline.stages[:-1]).transform(prep.transform(df, self.plan, keep))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.estimator.transform(self.prepared(df))
+
+
+def fit_final(train: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], name: str, task: str,
+              params: dict | None = None) -> FinalModel:
+    """Refit on the training split with the preparation that cross-validation uses.
+
+    Rows without a target take no part.  Logistic models weigh classes as in T6 (M6)."""
+    train = labelled(train.filter(F.col(f"`{target}`").isNotNull()), target, task)
+    plan = prep.fit_prep(train, numeric, categorical)
+    data = pin(prep.transform(train, plan, ["label"]))
+    seen = data.agg(F.count("label").alias("n"), F.max("label").alias("top"), F.stddev_pop("label").alias("sd")).first()
+    n_classes = int(seen["top"] or 0) + 1 if task == "classification" else 0
+    weight_col = None
+    if task == "classification":
+        data = NominalAttribute(n_classes).mark(data)
+        if name == "logistic":
+            of_class = data.groupBy("label").agg(F.count(F.lit(1)).alias("_k"))
+            weight = F.lit(float(seen["n"])) / (F.lit(float(of_class.count())) * F.col("_k"))
+            data, weight_col = data.join(F.broadcast(of_class), "label").withColumn("_w", weight), "_w"
+            data = NominalAttribute(n_classes).mark(data)
+    est = estimator(name, task, seen["n"], params, n_classes, weight_col, None if task == "classification" else seen["sd"])
+    pipeline = Pipeline(stages=[*prep.feature_stages(plan), est]).fit(data)
+    names = prep.numeric_features(plan)
+    for stage in pipeline.stages:
+        if isinstance(stage, StringIndexerModel):
+            names += [f"{c}_{v}" for c, labels in zip(plan.categorical, stage.labelsArray) for v in labels]
+    return FinalModel(plan, pipeline, [*numeric, *categorical], names)
+
+
+def importances(model: FinalModel) -> list[tuple[str, float]]:
+    """Model importances, else mean |coefficient|, else equal shares; one entry for each slot."""
+    est = model.estimator
     if hasattr(est, "featureImportances"):
         vals = est.featureImportances.toArray().tolist()
     elif hasattr(est, "coefficientMatrix"):
@@ -219,8 +251,17 @@ def importances(model: PipelineModel, feature_names: Sequence[str]) -> list[tupl
     elif hasattr(est, "coefficients"):
         vals = [abs(v) for v in est.coefficients.toArray().tolist()]
     else:
-        vals = [1.0 / len(feature_names)] * len(feature_names)
-    return list(zip(feature_names, vals))
+        vals = [1.0 / len(model.names)] * len(model.names)
+    return list(zip(model.names, vals))
+
+
+def importance_rows(spark: SparkSession, rows: Sequence[tuple[str, float]]) -> DataFrame:
+    """(feature, importance, share, is_dominant) of the model's slots."""
+    total = sum(v for _, v in rows)
+    share = [v / total if total else 0.0 for _, v in rows]
+    out = spark.createDataFrame([(f, v, s, s > DOMINANT_SHARE) for (f, v), s in zip(rows, share)],
+                                "feature string, importance double, share double, is_dominant boolean")
+    return out.withColumns({"importance": r6(F.col("importance")), "share": r6(F.col("share"))})
 
 
 def platt(valid: DataFrame, score: str, label: str) -> LogisticRegression:
@@ -257,17 +298,19 @@ def apply_isotonic(model, df: DataFrame, score: str) -> DataFrame:
     return out.withColumnRenamed("prediction", "calibrated").drop("_s")
 
 
-def sampled_shapley(model: PipelineModel, explain: DataFrame, background: DataFrame, features: Sequence[str],
-                    key: str, output: str, permutations: int = SHAPLEY_PERMUTATIONS, seed: int = 42) -> DataFrame:
-    """H2/H3: Monte-Carlo Shapley values.  Explained rows x background rows x permutations
+def sampled_shapley(model, explain: DataFrame, background: DataFrame, features: Sequence[str], key: str, output: str,
+                    permutations: int = SHAPLEY_PERMUTATIONS, seed: int = 42,
+                    max_background: int = BACKGROUND_ROWS) -> DataFrame:
+    """H2/H3: Monte-Carlo Shapley values (``attribution`` has the exact ones).  Explained rows x background rows x permutations
     x (k + 1) prefixes are generated by explodes, scored by one ``transform``, and the
     marginal gains are averaged by ``groupBy(key, feature)``.  Every row of ``explain`` is
-    explained; ``background`` is the caller's draw of at most BACKGROUND_ROWS rows."""
+    explained; ``background`` is the caller's draw of at most ``max_background`` rows, and refused beyond."""
     k = len(features)
     x = explain.select(F.col(key).alias("_key"), *[F.col(f).alias(f"x_{f}") for f in features])
-    # the background (at most BACKGROUND_ROWS rows) travels as a literal array: each
-    # explained row explodes it, no join
-    bg = background.select(*features).limit(BACKGROUND_ROWS).collect()
+    # the background travels as a literal array: each explained row explodes it, no join
+    bg = background.select(*features).limit(max_background + 1).collect()
+    if len(bg) > max_background:
+        raise ValueError(f"the background has more than {max_background} rows")
     b_arr = F.array(*[F.struct(F.lit(i).alias("_b"), *[F.lit(r[f]).alias(f"b_{f}") for f in features])
                       for i, r in enumerate(bg)])
     # a seeded permutation per (row, draw): sort feature indices by a hash of (key, draw, index)

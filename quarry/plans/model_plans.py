@@ -4,17 +4,18 @@ importances (T10, H5), Platt and isotonic calibration (T13, T14), sampled Shaple
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import functions as F
 
-from ..functions.columns import phash, r6
+from ..functions.columns import phash, phash_sql, r6
 from ..functions.materialize import pin
-from ..operators import folds, models
+from ..operators import attribution, folds, models
 from .eval_plans import li_binary
 from .quality import LI_HASH, LI_KEY
 from . import sqlkit
 from .registry import query
-from .split_plans import group_folds_ctes
+from .split_plans import _bins_sql, group_folds_ctes
 from .tables import load
 
 ORD_NUM, ORD_CAT = ["o_totalprice"], ["o_orderstatus"]
@@ -120,27 +121,123 @@ def part_split(spark, sf):
 
 
 def part_forest(spark, sf):
-    s = part_split(spark, sf)
-    train = s.filter(F.col("split") == "train").withColumn("label", F.col("p_retailprice").cast("double"))
-    est = models.estimator("random_forest", "regression", 0, {"n_estimators": 100, "max_depth": 10})
-    return s, Pipeline(stages=models.feature_stages(PART_NUM, PART_CAT) + [est]).fit(train)
+    """A forest with the preparation that cross-validation uses, refitted on the training split."""
+    s = pin(part_split(spark, sf))
+    train = s.filter(F.col("split") == "train")
+    return s, models.fit_final(train, "p_retailprice", PART_NUM, PART_CAT, "random_forest", "regression",
+                               {"n_estimators": 100, "max_depth": 10})
 
 
 @query("final_importance")
 def q_final_importance(spark, sf):
     """Refit on the training split, importances with share and dominance."""
+    _, model = part_forest(spark, sf)
+    return models.importance_rows(spark, models.importances(model))
+
+
+@query("forest_attribution", sql="SELECT p_partkey, true AS adds_up FROM ("
+       + _bins_sql("SELECT p_partkey FROM part", ["p_partkey"], 42, [2000]) + ") WHERE _bin = 0")
+def q_forest_attribution(spark, sf):
+    """H2: exact attributions of every test row by a forest of 100 trees; a row's add up to prediction minus mean."""
     s, model = part_forest(spark, sf)
-    width = model.stages[-1].numFeatures
-    n_brands = width - len(PART_NUM)
-    names = PART_NUM + [f"p_brand_{i}" for i in range(n_brands)]
-    rows = models.importances(model, names)
-    body = ", ".join(f"'{f}', CAST({v!r} AS DOUBLE)" for f, v in rows)
-    imp = s.agg(F.count(F.lit(1)).alias("_n")).selectExpr(f"stack({len(rows)}, {body}) AS (feature, importance)")
-    from pyspark.sql import Window
-    w = Window.partitionBy(F.lit(0))
-    share = F.col("importance") / F.sum("importance").over(w)
-    return imp.select("feature", r6(F.col("importance")).alias("importance"), r6(share).alias("share"),
-                      (share > 0.5).alias("is_dominant"))
+    test = model.prepared(s.filter(F.col("split") == "test").select("p_partkey", *PART_NUM, *PART_CAT))
+    shap = attribution.tree_shap(test, model.estimator, "p_partkey", model.names)
+    mean = attribution.expected_value(attribution.tree_paths(model.estimator))
+    total = shap.groupBy("p_partkey").agg(F.sum("shap").alias("total"))
+    pred = model.estimator.transform(test).select("p_partkey", "prediction")
+    return total.join(pred, "p_partkey").select(
+        "p_partkey", (F.abs(F.col("total") - (F.col("prediction") - mean)) < 1e-6).alias("adds_up"))
+
+
+TREE_FEATURES = ["l_quantity", "l_discount"]
+TREE_LABEL = "l_quantity + 400 * l_discount"
+
+
+def _tree_sql():
+    """A regression tree of two levels by exhaustive search, and its Shapley values by listing the subsets."""
+    rows = _bins_sql(f"SELECT *, {TREE_LABEL} AS y FROM lineitem", LI_KEY, 42, [2000], hash_cols=LI_HASH)
+    long = sqlkit.union_all([f"SELECT node, {i} AS f, {c}::DOUBLE AS x, y FROM nd" for i, c in enumerate(TREE_FEATURES)])
+    keys = ", ".join(LI_KEY)
+
+    def best(nodes):
+        """(node, f, thr): the split with the largest drop of the squared error."""
+        return f"""(WITH nd AS ({nodes}), lg AS ({long}),
+  g AS (SELECT node, f, x, count(*) AS n, sum(y) AS s FROM lg GROUP BY ALL),
+  c AS (SELECT node, f, x, lead(x) OVER w AS nx, sum(n) OVER w AS nl, sum(s) OVER w AS sl,
+               sum(n) OVER (PARTITION BY node, f) AS n, sum(s) OVER (PARTITION BY node, f) AS s
+        FROM g WINDOW w AS (PARTITION BY node, f ORDER BY x))
+  SELECT node, f, (x + nx) / 2 AS thr FROM c WHERE nx IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(sl * sl / nl + (s - sl) * (s - sl) / (n - nl), 3) DESC, f, x) = 1)"""
+    val = "CASE f WHEN 0 THEN " + f"{TREE_FEATURES[0]} ELSE {TREE_FEATURES[1]} END"
+
+    def known(s):  # value of the coalition: known splits are followed, others are averaged by the rows below
+        def step(node, left, right):
+            follow = f"CASE WHEN ({'list_contains([' + ', '.join(map(str, s)) + '], ' + node + '.f)' if s else 'false'}) THEN "                      f"(CASE WHEN (CASE {node}.f WHEN 0 THEN e.{TREE_FEATURES[0]} ELSE e.{TREE_FEATURES[1]} END) <= {node}.thr THEN {left} ELSE {right} END) "
+            return follow + f"ELSE ({node}.nl * ({left}) + {node}.nr * ({right})) / ({node}.nl + {node}.nr) END"
+        return step("r", step("a", "a.ml", "a.mr"), step("b", "b.ml", "b.mr"))
+    return f"""WITH s AS ({rows}), tr AS (SELECT * FROM s WHERE _bin <> 0), e AS (SELECT * FROM s WHERE _bin = 0),
+r0 AS (SELECT * FROM {best("SELECT 0 AS node, * FROM tr")}),
+l1 AS (SELECT tr.*, CASE WHEN {val} <= thr THEN 1 ELSE 2 END AS node FROM tr, r0),
+r1 AS (SELECT * FROM {best("SELECT node, * EXCLUDE (node) FROM l1")}),
+st AS (SELECT r1.node, r1.f, r1.thr, count_if({val} <= thr) AS nl, count_if({val} > thr) AS nr,
+              avg(y) FILTER ({val} <= thr) AS ml, avg(y) FILTER ({val} > thr) AS mr FROM r1 JOIN l1 ON l1.node = r1.node GROUP BY ALL),
+r AS (SELECT f, thr, (SELECT nl + nr FROM st WHERE node = 1) AS nl, (SELECT nl + nr FROM st WHERE node = 2) AS nr FROM r0),
+v AS (SELECT {keys}, {', '.join('e.' + c for c in TREE_FEATURES)}, {known([])} AS v_, {known([0])} AS v0, {known([1])} AS v1, {known([0, 1])} AS v01
+      FROM e, r, (SELECT * FROM st WHERE node = 1) a, (SELECT * FROM st WHERE node = 2) b)
+SELECT {keys}, '{TREE_FEATURES[0]}' AS feature, {TREE_FEATURES[0]}::DOUBLE AS value, round(((v0 - v_) + (v01 - v1)) / 2, 6) AS shap FROM v
+UNION ALL SELECT {keys}, '{TREE_FEATURES[1]}', {TREE_FEATURES[1]}::DOUBLE, round(((v1 - v_) + (v01 - v0)) / 2, 6) FROM v"""
+
+
+@query("tree_attribution", sql=_tree_sql())
+def q_tree_attribution(spark, sf):
+    """H2: a regression tree of two levels over lineitem, every test row attributed exactly."""
+    li = load(spark, sf, "lineitem").select(*LI_KEY, *TREE_FEATURES, F.expr(TREE_LABEL).alias("label"))
+    s = pin(folds.random_split(li, LI_KEY, hash_cols=LI_HASH))
+    vectors = VectorAssembler(inputCols=TREE_FEATURES, outputCol="features")
+    tree = DecisionTreeRegressor(maxDepth=2, maxBins=64, labelCol="label", featuresCol="features")
+    model = tree.fit(vectors.transform(s.filter(F.col("split") == "train")))
+    test = vectors.transform(s.filter(F.col("split") == "test")).withColumn("key", F.struct(*LI_KEY))
+    shap = attribution.tree_shap(test, model, "key", TREE_FEATURES)
+    return shap.select("key.*", "feature", "value", r6(F.col("shap")).alias("shap"))
+
+
+KERNEL_FEATURES = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _kernel_sql():
+    """Least squares on three features by Cramer's rule; a linear model's attributions against the background."""
+    rows = _bins_sql("SELECT * FROM lineitem", LI_KEY, 42, [2000], hash_cols=LI_HASH)
+    keys = ", ".join(LI_KEY)
+    y = "l_extendedprice"
+    cov = [[f"covar_pop({a}, {b})" for b in KERNEL_FEATURES] for a in KERNEL_FEATURES]
+    names = [[f"c{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    rhs = ["y0", "y1", "y2"]
+
+    def det(m):
+        return (f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]})"
+                f" + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))")
+    put = [f"{cov[i][j]} AS {names[i][j]}" for i in range(3) for j in range(i, 3)] + [f"covar_pop({f}, {y}) AS y{i}" for i, f in enumerate(KERNEL_FEATURES)]
+    beta = [f"{det([[rhs[i] if j == k else names[i][j] for j in range(3)] for i in range(3)])} / {det(names)} AS b{k}" for k in range(3)]
+    bg = ", ".join(f"avg({f}) AS m{i}" for i, f in enumerate(KERNEL_FEATURES))
+    return f"""WITH s AS ({rows}), tr AS (SELECT * FROM s WHERE _bin <> 0), e AS (SELECT * FROM s WHERE _bin = 0),
+c AS (SELECT {', '.join(put)} FROM tr), b AS (SELECT {', '.join(beta)} FROM c),
+g AS (SELECT {bg} FROM (SELECT * FROM tr ORDER BY {phash_sql(LI_HASH, 42)}, {keys} LIMIT 20))
+""" + sqlkit.union_all([f"SELECT {keys}, '{f}' AS feature, {f}::DOUBLE AS value, round(b{i} * ({f} - m{i}), 5) AS shap FROM e, b, g"
+                        for i, f in enumerate(KERNEL_FEATURES)])
+
+
+@query("kernel_attribution", sql=_kernel_sql())
+def q_kernel_attribution(spark, sf):
+    """H3: all coalitions of three features over a background of 20 rows; on a linear model the values are H1's."""
+    li = load(spark, sf, "lineitem").select(*LI_KEY, *[c for c in KERNEL_FEATURES if c not in LI_KEY], "l_extendedprice")
+    s = pin(folds.random_split(li, LI_KEY, hash_cols=LI_HASH))
+    train, test = (s.filter(F.col("split") == x) for x in ("train", "test"))
+    vectors = VectorAssembler(inputCols=KERNEL_FEATURES, outputCol="features")
+    model = LinearRegression(solver="normal", labelCol="l_extendedprice", featuresCol="features").fit(vectors.transform(train))
+    draw = train.orderBy(phash(LI_HASH, df=train), *LI_KEY).limit(attribution.BACKGROUND_ROWS)  # the feature's own size
+    shap = attribution.kernel_shap(lambda df: model.transform(vectors.transform(df)), test.withColumn("key", F.struct(*LI_KEY)),
+                                   draw, KERNEL_FEATURES, "key", "prediction")
+    return shap.select("key.*", "feature", "value", F.round("shap", 5).alias("shap"))
 
 
 def li_calibration_split(spark, sf):
