@@ -1,5 +1,5 @@
 """Model candidates on ``pyspark.ml`` (M8-M10), cross-validation with preprocessing inside
-every fold (T6), grid tuning (T7), final importances (T10), calibration (T13, T14) and
+every fold (T6), grid tuning (T7), final importances (T10) and
 sampled Shapley attributions (H2, H3).
 
 The training table is read once and pinned with its fold column; every fold refits the preparation
@@ -15,9 +15,9 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier)
-from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -264,40 +264,6 @@ def importance_rows(spark: SparkSession, rows: Sequence[tuple[str, float]]) -> D
     return out.withColumns({"importance": r6(F.col("importance")), "share": r6(F.col("share"))})
 
 
-def platt(valid: DataFrame, score: str, label: str) -> LogisticRegression:
-    """Platt scaling with the smoothed targets, as a weighted two-row expansion:
-    each row becomes (1, t) and (0, 1 - t) with t = (N+ + 1)/(N+ + 2) for positives and
-    1/(N- + 2) for negatives; one unregularised 1-feature logistic fit."""
-    cnt = valid.agg(F.sum(F.col(label)).alias("p"), F.count(F.lit(1)).alias("n")).first()
-    pos, neg = cnt["p"], cnt["n"] - cnt["p"]
-    hi, lo = (pos + 1.0) / (pos + 2.0), 1.0 / (neg + 2.0)
-    t = F.when(F.col(label) == 1, F.lit(hi)).otherwise(F.lit(lo))
-    two = valid.select(F.col(score).cast("double").alias("_s"), t.alias("_t")).select(
-        "_s", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("_t").alias("w")),
-                                F.struct(F.lit(0.0).alias("label"), (1 - F.col("_t")).alias("w")))).alias("r")) \
-        .select("_s", "r.*")
-    feats = VectorAssembler(inputCols=["_s"], outputCol="features").transform(two)
-    return LogisticRegression(regParam=0.0, weightCol="w", maxIter=MAX_ITER, standardization=False).fit(feats)
-
-
-def apply_platt(model, df: DataFrame, score: str) -> DataFrame:
-    feats = VectorAssembler(inputCols=["_s"], outputCol="features").transform(df.withColumn("_s", F.col(score).cast("double")))
-    out = model.transform(feats)
-    return out.withColumn("calibrated", vector_to_array("probability")[1]).drop("_s", "features", "rawPrediction",
-                                                                                 "probability", "prediction")
-
-
-def isotonic(valid: DataFrame, score: str, label: str):
-    """Isotonic map of scores (pool-adjacent-violators, distributed in Spark)."""
-    return IsotonicRegression(featuresCol="_s", labelCol="_y", isotonic=True).fit(
-        valid.select(F.col(score).cast("double").alias("_s"), F.col(label).cast("double").alias("_y")))
-
-
-def apply_isotonic(model, df: DataFrame, score: str) -> DataFrame:
-    out = model.transform(df.withColumn("_s", F.col(score).cast("double")))
-    return out.withColumnRenamed("prediction", "calibrated").drop("_s")
-
-
 def sampled_shapley(model, explain: DataFrame, background: DataFrame, features: Sequence[str], key: str, output: str,
                     permutations: int = SHAPLEY_PERMUTATIONS, seed: int = 42,
                     max_background: int = BACKGROUND_ROWS) -> DataFrame:

@@ -1,6 +1,5 @@
-"""Queries on ``pyspark.ml`` fits (rows-only checks: fitted models have no SQL oracle):
-CV of logistic / forest / boosted candidates (M8-M10, T6, X12), grid tuning (T7), final
-importances (T10, H5), Platt and isotonic calibration (T13, T14), sampled Shapley (H2, H3)."""
+"""Queries on fitted models: CV of the candidates (M8-M10, T6, X12), grid tuning (T7), final
+importances (T10, H5), Platt and isotonic calibration (T13, T14), attributions (H2, H3)."""
 
 from __future__ import annotations
 
@@ -10,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import phash, phash_sql, r6
 from ..functions.materialize import pin
-from ..operators import attribution, folds, models
-from .eval_plans import li_binary
+from ..operators import attribution, calibrate, folds, models
+from .eval_plans import LI_BIN_SQL, li_binary
 from .quality import LI_HASH, LI_KEY
 from . import sqlkit
 from .registry import query
@@ -241,22 +240,46 @@ def q_kernel_attribution(spark, sf):
 
 
 def li_calibration_split(spark, sf):
-    s = folds.random_split(li_binary(spark, sf), LI_KEY, hash_cols=LI_HASH)
-    return s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
+    s = pin(folds.random_split(li_binary(spark, sf).select(*LI_KEY, "label", "score"), LI_KEY, hash_cols=LI_HASH))
+    return s.filter(F.col("split") == "train").drop("split"), s.filter(F.col("split") == "test").drop("split")
 
 
-@query("calibrate_sigmoid")
-def q_calibrate_sigmoid(spark, sf):
-    valid, test = li_calibration_split(spark, sf)
-    m = models.platt(valid, "score", "label")
-    return models.apply_platt(m, test.select(*LI_KEY, "label", "score"), "score")
+_CAL_SPLIT = ("s AS (" + _bins_sql(LI_BIN_SQL, LI_KEY, 42, [2000], hash_cols=LI_HASH)
+              + "), tr AS (SELECT * FROM s WHERE _bin <> 0), te AS (SELECT * FROM s WHERE _bin = 0)")
 
 
-@query("calibrate_isotonic")
+@query("calibrate_sigmoid", sql=f"""WITH RECURSIVE {_CAL_SPLIT},
+c AS (SELECT sum(label)::DOUBLE AS p, count(*) - sum(label)::DOUBLE AS n FROM tr),
+t AS (SELECT score AS x, CASE WHEN label = 1 THEN (p + 1) / (p + 2) ELSE 1 / (n + 2) END AS t, count(*) AS w FROM tr, c GROUP BY ALL),
+nt AS (SELECT 0 AS it, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b UNION ALL
+  SELECT it + 1, a + (g1 * h00 - g0 * h01) / (h11 * h00 - h01 * h01), b + (g0 * h11 - g1 * h01) / (h11 * h00 - h01 * h01) FROM (
+    SELECT it, a, b, sum(w * (t - q)) AS g0, sum(w * (t - q) * x) AS g1, sum(w * q * (1 - q)) AS h00,
+           sum(w * q * (1 - q) * x) AS h01, sum(w * q * (1 - q) * x * x) AS h11
+    FROM (SELECT it, a, b, x, t, w, 1 / (1 + exp(-(a * x + b))) AS q FROM nt, t WHERE it < 25) GROUP BY it, a, b)),
+f AS (SELECT a, b FROM nt WHERE it = 25)
+SELECT {', '.join(LI_KEY)}, label, round(score, 6) AS score, round(1 / (1 + exp(-(a * score + b))), 5) AS calibrated FROM te, f""")
+def q_calibrate_sigmoid(spark, sf):
+    """Platt's map of the held-out scores; the SQL iterates Newton's method."""
+    valid, test = li_calibration_split(spark, sf)
+    out = calibrate.apply_platt(calibrate.platt(valid, "score", "label"), test, "score")
+    return out.withColumns({"score": r6(F.col("score")), "calibrated": F.round("calibrated", 5)})
+
+
+@query("calibrate_isotonic", sql=f"""WITH {_CAL_SPLIT},
+v AS (SELECT score, sum(label)::DOUBLE AS s, count(*) AS n FROM tr GROUP BY score),
+p AS (SELECT score, s, n, row_number() OVER (ORDER BY score) AS i, sum(s) OVER (ORDER BY score) AS cs, sum(n) OVER (ORDER BY score) AS cn FROM v),
+ab AS (SELECT a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS m FROM p a JOIN p b ON b.i >= a.i),
+mb AS (SELECT a, b, min(m) OVER (PARTITION BY a ORDER BY b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM ab),
+fit AS (SELECT p.score, max(m) AS g FROM mb JOIN p ON p.i = mb.b GROUP BY p.score),
+lo AS (SELECT te.*, fit.score AS x0, fit.g AS g0 FROM te ASOF LEFT JOIN fit ON te.score >= fit.score),
+hi AS (SELECT lo.*, fit.score AS x1, fit.g AS g1 FROM lo ASOF LEFT JOIN fit ON lo.score <= fit.score)
+SELECT {', '.join(LI_KEY)}, label, round(score, 6) AS score, round(CASE WHEN x0 IS NULL THEN g1 WHEN x1 IS NULL OR x0 = x1 THEN g0
+       ELSE g0 + (g1 - g0) * (score - x0) / (x1 - x0) END, 6) AS calibrated FROM hi""")
 def q_calibrate_isotonic(spark, sf):
+    """The isotonic map; the SQL takes the largest over starts of the smallest mean over ends."""
     valid, test = li_calibration_split(spark, sf)
-    m = models.isotonic(valid, "score", "label")
-    return models.apply_isotonic(m, test.select(*LI_KEY, "label", "score"), "score")
+    out = calibrate.apply_isotonic(calibrate.isotonic(valid, "score", "label"), test, "score")
+    return out.withColumns({"score": r6(F.col("score")), "calibrated": r6(F.col("calibrated"))})
 
 
 @query("sampled_shapley")
