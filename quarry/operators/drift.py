@@ -137,22 +137,16 @@ def psi(baseline: DataFrame, current: DataFrame, cols: Sequence[str]) -> DataFra
             for c, e in edges.items():
                 v = as_double(df, c)
                 inner = sum((v >= F.lit(x)).cast("int") for x in e[1:-1]) if len(e) > 2 else F.lit(0)
-                out.append(F.when(v.isNotNull() & (v >= F.lit(e[0])) & (v <= F.lit(e[-1])), inner).otherwise(-1)
-                           .alias(f"_b_{c}"))
-                out.append(v.isNotNull().cast("int").alias(f"_p_{c}"))
-            return df.select("_side", *out)
-        u = bins(side_b).unionByName(bins(side_c))
-        pairs = ", ".join(f"'{c}', `_b_{c}`, `_p_{c}`" for c in edges)
-        long = u.selectExpr("_side", f"stack({len(edges)}, {pairs}) AS (column_name, bin, present)") \
-            .filter("present = 1")
+                inside = F.when(v.isNotNull() & (v >= F.lit(e[0])) & (v <= F.lit(e[-1])), inner).otherwise(-1)
+                out.append((c, inside, v.isNotNull()))
+            return long_rows(df, [F.col("_side")], ["column_name", "bin", "present"], out)
+        long = bins(side_b).unionByName(bins(side_c)).filter("present")
         cnt = long.groupBy("column_name", "bin").agg(
             F.count_if(F.col("_side") == 0).alias("e"), F.count_if(F.col("_side") == 1).alias("a"))
         tot = cnt.groupBy("column_name").agg(F.sum("e").alias("ne"), F.sum("a").alias("na"))
         # every bin 0..k-1 takes part (an empty bin gets the epsilon on both sides)
-        spec = ", ".join(f"'{c}', {len(e) - 1}" for c, e in edges.items())
-        allbins = baseline.agg(F.count(F.lit(1)).alias("_n")).selectExpr(
-            f"stack({len(edges)}, {spec}) AS (column_name, k)") \
-            .select("column_name", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("bin"))
+        allbins = baseline.sparkSession.createDataFrame(
+            [(c, b) for c, e in edges.items() for b in range(len(e) - 1)], "column_name string, bin int")
         full = allbins.join(cnt.filter("bin >= 0"), ["column_name", "bin"], "left").fillna(0, ["e", "a"]) \
             .join(tot, "column_name").filter((F.col("ne") > 0) & (F.col("na") > 0))
         frames.append(_psi_from_counts(full, ["column_name"]).withColumn("method", F.lit("quantile_bins")))

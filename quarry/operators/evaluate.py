@@ -26,7 +26,6 @@ SLICE_MIN_ROWS = 10
 SLICE_GATE_AUC = 0.55
 SLICE_GATE_R2 = -0.5
 DISTINCT_SCORES_PER_BUCKET = 20_000
-MAX_BUCKETS = 4096
 
 
 def _edges_ece() -> list[float]:
@@ -36,13 +35,16 @@ def _edges_ece() -> list[float]:
 
 
 def score_curve(df: DataFrame, label: Column, score: Column, group_cols: Sequence[str] = ()) -> DataFrame:
-    """Per (group, distinct score): pos, neg, pos_below, neg_below, P, N (label is 0/1)."""
+    """Per (group, distinct score): pos, neg, pos_below, neg_below, P, N (label is 0/1).
+
+    Rows without a score (null or NaN) or label take no part, whatever the number of scores."""
     gcols = list(group_cols)
     base = df.select(*[F.col(f"`{c}`") for c in gcols], label.cast("long").alias("_y"),
-                     score.cast("double").alias("score")).filter(F.col("score").isNotNull() & F.col("_y").isNotNull())
+                     score.cast("double").alias("score"))
+    base = base.filter(F.col("score").isNotNull() & ~F.isnan("score") & F.col("_y").isNotNull())
     g = base.groupBy(*gcols, "score").agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg"))
     distinct = base.agg(F.approx_count_distinct("score")).first()[0] or 0
-    buckets = min(MAX_BUCKETS, max(1, math.ceil(distinct / DISTINCT_SCORES_PER_BUCKET)))
+    buckets = max(1, math.ceil(distinct / DISTINCT_SCORES_PER_BUCKET))
     if buckets == 1:
         # at most DISTINCT_SCORES_PER_BUCKET distinct scores: one window per group is bounded
         wg = Window.partitionBy(*gcols) if gcols else Window.partitionBy(F.lit(0))
@@ -51,7 +53,7 @@ def score_curve(df: DataFrame, label: Column, score: Column, group_cols: Sequenc
             *gcols, "score", "pos", "neg", F.sum("pos").over(wg).alias("P"), F.sum("neg").over(wg).alias("N"),
             F.coalesce(F.sum("pos").over(wb), F.lit(0)).alias("pos_below"),
             F.coalesce(F.sum("neg").over(wb), F.lit(0)).alias("neg_below"))
-    cuts = g.agg(F.percentile_approx("score", [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
+    cuts = g.agg(F.percentile_approx("score", [i / buckets for i in range(1, buckets)], max(10_000, 4 * buckets))).first()[0]
     splits = [float("-inf")] + sorted(set(cuts)) + [float("inf")]
     g = Bucketizer(splits=splits, inputCol="score", outputCol="_bk").transform(g)
     keys = [*gcols, "_bk"]

@@ -8,13 +8,15 @@ sorted; the median-error case uses the bounded rank selection.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_double, r6, safe_corr
+from ..functions.columns import as_double, r6
 from ..functions.ranks import lex_thresholds
 
 # The correlated-pair threshold and the dominant-feature share.
@@ -53,15 +55,64 @@ def global_importance(shap_long: DataFrame, coefs: dict[str, float] | None = Non
                     (share > DOMINANT_SHARE).alias("is_dominant"))
 
 
+#: A pair's variance counts as none below this part of its sum of squares (rounding of equal values).
+FLAT = 1e-12
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def pair_sums(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(a, b, n, sx, sy, sxx, syy, sxy) for every pair a < b of column numbers, over the rows that have both.
+
+    Every task multiplies blocks of rows with their masks (four matrix products give all pairs' sums) and
+    hands out one row a column; the rows of a column add up by element.  Values are taken from the
+    column's mean, so that sums of squares keep their digits."""
+    k = len(cols)
+    values = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(cols)])
+    means = values.agg(*[F.avg(f"c{i}") for i in range(k)]).first()
+    shift = np.array([0.0 if m is None or not math.isfinite(m) else m for m in means])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, k, k))
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]).astype(float) - shift
+            has = ~np.isnan(x)
+            x = np.where(has, x, 0.0)
+            m = has.astype(float)
+            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        n, s, q, p = total
+        own = {"n": n, "sx": s, "sy": s.T, "sxx": q, "syy": q.T, "sxy": p}
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(k), pa.int32()), *(pa.array([own[c][i, i + 1:] for i in range(k)], pa.list_(pa.float64())) for c in _SUMS)],
+            ["a", *_SUMS])
+
+    def add(part: pa.Table) -> pa.Table:
+        sums = [np.sum(part.column(c).to_pylist(), axis=0) for c in _SUMS]
+        return pa.table({"a": part.column("a")[:1], **{c: pa.array([s], pa.list_(pa.float64())) for c, s in zip(_SUMS, sums)}})
+
+    kinds = "a int, " + ", ".join(f"{c} array<double>" for c in _SUMS)
+    rows = values.mapInArrow(work, kinds).groupBy("a").applyInArrow(add, kinds)
+    each = rows.select("a", F.posexplode(F.arrays_zip(*_SUMS)).alias("at", "s"))
+    return each.select("a", (F.col("a") + 1 + F.col("at")).alias("b"), *[F.col(f"s.{c}").alias(c) for c in _SUMS])
+
+
 def correlated_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """H6: |Pearson| of every pair (upper triangle, pairwise complete) in one aggregate."""
-    pairs = list(combinations(cols, 2))
-    row = df.agg(*[safe_corr(as_double(df, a), as_double(df, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    body = ", ".join(f"{i}, '{a}', '{b}', r{i}" for i, (a, b) in enumerate(pairs))
-    long = row.selectExpr(f"stack({len(pairs)}, {body}) AS (pair_index, feature_a, feature_b, corr)")
-    return long.select(F.col("pair_index").cast("int").alias("pair_index"), "feature_a", "feature_b",
-                       r6(F.col("corr")).alias("corr"),
-                       F.coalesce(F.abs("corr") > CORR_LIMIT, F.lit(False)).alias("above_limit"))
+    """H6: |Pearson| of every pair (upper triangle, pairwise complete); null where a side is constant."""
+    k = len(cols)
+    if k < 2:
+        return df.sparkSession.createDataFrame(
+            [], "pair_index int, feature_a string, feature_b string, corr double, above_limit boolean")
+    s = pair_sums(df, cols)
+    vx = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), F.col("n"))
+    vy = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), F.col("n"))
+    cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
+    varied = (vx > FLAT * F.col("sxx")) & (vy > FLAT * F.col("syy"))
+    corr = F.when(varied, F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)))
+    names = F.array(*[F.lit(c) for c in cols])
+    index = (F.col("a") * (2 * k - F.col("a") - 1) / 2 + F.col("b") - F.col("a") - 1).cast("int")
+    return s.select(index.alias("pair_index"), F.get(names, F.col("a")).alias("feature_a"), F.get(names, F.col("b")).alias("feature_b"),
+                    corr.alias("corr")).select(
+        "pair_index", "feature_a", "feature_b", r6(F.col("corr")).alias("corr"),
+        F.coalesce(F.abs("corr") > CORR_LIMIT, F.lit(False)).alias("above_limit"))
 
 
 def cases_classification(df: DataFrame, key_cols: Sequence[str], label: str, pred: str, prob_pred: str) -> DataFrame:

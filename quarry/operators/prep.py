@@ -13,12 +13,12 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_double, is_numeric_type, miss, r6, unpivot
+from ..functions.columns import as_double, is_numeric_type, long_rows, miss, r6, unpivot
+from ..functions.materialize import pin
 from ..functions.ranks import column_counts, exact_quantiles
 
 # Imputation bands and the skew rule.
@@ -155,14 +155,10 @@ def plan_rows(train: DataFrame, model: PrepModel) -> DataFrame:
     for c, mode in model.categorical.items():
         rows.append((c, c, "categorical", None, "most_frequent", None, None, "onehot", None, None))
 
-    def lit(v):
-        return "CAST(NULL AS DOUBLE)" if v is None else f"CAST({float(v)!r} AS DOUBLE)"
-    body = ", ".join(
-        f"'{f}', '{src}', '{k}', {lit(rate)}, '{imp}', {lit(fill)}, {lit(sk)}, '{sc}', {lit(mu)}, {lit(sd)}"
-        for f, src, k, rate, imp, fill, sk, sc, mu, sd in rows)
-    t = train.agg(F.count(F.lit(1)).alias("n_train")).selectExpr(
-        "n_train", f"stack({len(rows)}, {body}) AS (feature, source_column, kind, missing_rate, imputation, "
-                   "fill_value, skewness, scaling, mean, std)")
+    named = ["feature", "source_column", "kind", "missing_rate", "imputation", "fill_value", "skewness", "scaling", "mean", "std"]
+    kinds = dict.fromkeys(["missing_rate", "fill_value", "skewness", "mean", "std"], "double")
+    cells = [[F.lit(v if v is None or n not in kinds else float(v)).cast(kinds.get(n, "string")) for n, v in zip(named, r)] for r in rows]
+    t = long_rows(train.agg(F.count(F.lit(1)).alias("n_train")), [F.col("n_train")], named, cells)
     return t.select("feature", "source_column", "kind", r6(F.col("missing_rate")).alias("missing_rate"), "imputation",
                     r6(F.col("fill_value")).alias("fill_value"), r6(F.col("skewness")).alias("skewness"), "scaling",
                     r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"),
@@ -178,29 +174,44 @@ def id_like_and_drop(df: DataFrame, target: str, leakage: Sequence[str] = ()) ->
     return drop, feats
 
 
-def onehot_model(train: DataFrame, cols: Sequence[str]) -> PipelineModel:
-    """X11: categories sorted ascending, unseen values map to the all-zero vector
-    (``handleInvalid='keep'`` adds one slot and ``dropLast`` removes exactly that slot)."""
-    idx = StringIndexer(inputCols=list(cols), outputCols=[f"{c}__idx" for c in cols],
-                        stringOrderType="alphabetAsc", handleInvalid="keep")
-    enc = OneHotEncoder(inputCols=[f"{c}__idx" for c in cols], outputCols=[f"{c}__vec" for c in cols], dropLast=True)
-    return Pipeline(stages=[idx, enc]).fit(train)
-
-
-def onehot_long(df: DataFrame, model: PipelineModel, cols: Sequence[str], key_cols: Sequence[str]) -> DataFrame:
-    """One row per (key, column): the value and the index of its hot slot (NULL: all zeros)."""
-    from pyspark.ml.functions import vector_to_array
-    t = model.transform(df)
-    parts = []
-    for c in cols:
-        hot = F.array_position(vector_to_array(F.col(f"{c}__vec")), 1.0)
-        parts.append(t.select(*key_cols, F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value"),
-                              F.when(hot > 0, (hot - 1).cast("int")).alias("onehot_index"),
-                              F.size(vector_to_array(F.col(f"{c}__vec"))).alias("width")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+@dataclass
+class Categories:
+    """X11: (column_name, value, n, index) of all categories, and how many slots each column has."""
+    index: DataFrame
+    widths: dict[str, int]
+
+
+def category_index(train: DataFrame, cols: Sequence[str]) -> Categories:
+    """X11: categories numbered from 0 in ascending order, column by column.
+
+    The distinct values are cut into sorted ranges; a value's number is its place in its range plus the
+    sizes of the column's earlier ranges.  No list of values is gathered; missing values have no number."""
+    cols = list(cols)
+    long = unpivot(train, [], cols, value_type="string").filter("value IS NOT NULL")
+    distinct = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranged = pin(distinct.repartitionByRange("column_name", "value").withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("column_name", "part").agg(F.count(F.lit(1)).alias("size"))  # a row a column and range
+    before = Window.partitionBy("column_name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
+    place = F.row_number().over(Window.partitionBy("column_name", "part").orderBy("value")) - 1
+    numbered = ranged.withColumn("place", place).join(F.broadcast(offsets), ["column_name", "part"])
+    index = pin(numbered.select("column_name", "value", "n", (F.col("start") + F.col("place")).alias("index")))
+    widths = {r["column_name"]: r["w"] for r in index.groupBy("column_name").agg(F.count(F.lit(1)).alias("w")).collect()}
+    return Categories(index, {c: widths.get(c, 0) for c in cols})
+
+
+def onehot_long(df: DataFrame, categories: Categories, cols: Sequence[str], key_cols: Sequence[str]) -> DataFrame:
+    """One row per (key, column): the value, the index of its hot slot (NULL: all zeros) and the width.
+
+    A slot is kept as (index, width), never as a vector."""
+    keys = [f"_k{i}" for i in range(len(key_cols))]  # a key may be named like the columns added here
+    base = df.select(*[F.col(f"`{k}`").alias(a) for k, a in zip(key_cols, keys)], *[F.col(f"`{c}`") for c in cols])
+    long = unpivot(base, keys, cols, value_type="string")
+    hot = categories.index.select("column_name", "value", F.col("index").alias("onehot_index"))
+    width = F.create_map(*[x for c, w in categories.widths.items() for x in (F.lit(c), F.lit(w))])
+    return long.join(hot, ["column_name", "value"], "left").select(
+        *[F.col(a).alias(k) for k, a in zip(key_cols, keys)], "column_name", "value", "onehot_index",
+        width[F.col("column_name")].alias("width"))
 
 
 def numeric_features(model: PrepModel) -> list[str]:

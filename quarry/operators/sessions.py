@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import miss
+from ..functions.columns import long_rows, miss
 from .risk import (APPROVAL_FOR_CODE, CONSTANT_COLUMN, CRITICAL, HIGH_MISSING_RATE, INFO, MISSING_LIMIT,
                    TINY_DATASET, TINY_ROWS, WARNING)
 
@@ -31,8 +31,8 @@ def session_flags(df: DataFrame, session_col: str) -> DataFrame:
         aggs += [(m / n).alias(f"m{i}"),
                  ((m == n) | ((m == 0) & (F.min(F.col(f"`{c}`")) == F.max(F.col(f"`{c}`"))))).alias(f"k{i}")]
     g = df.groupBy(session_col).agg(*aggs)
-    per_col = g.selectExpr(session_col, f"stack({len(cols)}, " +
-                           ", ".join(f"'{c}', m{i}, k{i}" for i, c in enumerate(cols)) + ") AS (feature, rate, const)")
+    per_col = long_rows(g, [F.col(f"`{session_col}`")], ["feature", "rate", "const"],
+                        [(c, F.col(f"m{i}"), F.col(f"k{i}")) for i, c in enumerate(cols)])
     parts = [
         g.filter(F.col("_n") < TINY_ROWS).select(session_col, F.lit("profile").alias("stage"), F.lit(WARNING).alias("level"),
                                                   F.lit(TINY_DATASET).alias("code"), F.lit(None).cast("string").alias("feature"),

@@ -16,7 +16,6 @@ from .registry import query
 from .split_plans import CUTS, _bins_sql
 
 DUMMY_AUC = 0.5  # a most-frequent dummy scores every row alike: ties give exactly one half
-MAX_PAIRS_LISTED = 5
 
 
 NEEDED = LI_KEY + ["label", "score", "prediction", "l_returnflag", "l_linestatus", "l_quantity",
@@ -48,8 +47,7 @@ def metric_frame(spark, sf):
         .agg(F.max("importance_share").alias("s"), F.max_by("feature", "importance_share").alias("f"))
     pairs = explain.correlated_pairs(li, CORR_COLS).filter("above_limit").agg(
         F.count(F.lit(1)).alias("k"),
-        F.slice(F.sort_array(F.collect_list(F.struct("pair_index", F.concat_ws("~", "feature_a", "feature_b").alias("p")))),
-                1, MAX_PAIRS_LISTED).alias("ps"))
+        F.sort_array(F.collect_list(F.struct("pair_index", F.concat_ws("~", "feature_a", "feature_b").alias("p")))).alias("ps"))
     m = risk.metric
     return risk.metrics_row({
         "cv_mean": m(cv, "cv_mean", F.col("m")),
@@ -75,8 +73,8 @@ ec AS (SELECT first(ece) AS e FROM ({_ece_sql(test, 'label', 'score')})),
 sl AS (SELECT count(*) AS k, coalesce(string_agg(slice_column || '=' || slice_value, ', ' ORDER BY slice_column || '=' || slice_value), '') AS names
        FROM ({_slices_cls_sql(test, ['l_returnflag', 'l_linestatus'])}) WHERE NOT pass_gate),
 im AS (SELECT max(importance_share) AS s, arg_max(feature, importance_share) AS f FROM ({_imp_sql()})),
-pr AS (SELECT count(*) AS k, coalesce(string_agg(CASE WHEN rn <= 5 THEN feature_a || '~' || feature_b END, ', ' ORDER BY pair_index), '') AS ps
-       FROM (SELECT *, row_number() OVER (ORDER BY pair_index) AS rn FROM ({_pairs_sql()}) WHERE above_limit)),
+pr AS (SELECT count(*) AS k, coalesce(string_agg(feature_a || '~' || feature_b, ', ' ORDER BY pair_index), '') AS ps
+       FROM ({_pairs_sql()}) WHERE above_limit),
 mt AS (SELECT cv.m AS cv_mean, cv.s AS cv_std, ho.h AS holdout, ec.e AS ece, sl.k AS nfail, sl.names AS fail_names,
               im.s AS dom, im.f AS dom_f, pr.k AS npairs, pr.ps AS pairs, (cv.m > 0.5 * 1.05) AS beats,
               (cv.m - ho.h) / greatest(abs(cv.m), 1e-5) AS gap FROM cv, ho, ec, sl, im, pr)"""

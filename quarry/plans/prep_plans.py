@@ -119,5 +119,5 @@ def q_onehot_long(spark, sf):
     fit, app = orders_for_onehot(spark, sf)
     modes = prep.most_frequent(fit, ["o_orderstatus"])
     app = app.withColumn("o_orderstatus", F.coalesce("o_orderstatus", F.lit(modes["o_orderstatus"])))
-    model = prep.onehot_model(fit, OH_COLS)
-    return prep.onehot_long(app, model, OH_COLS, ["o_orderkey"])
+    out = prep.onehot_long(app, prep.category_index(fit, OH_COLS), OH_COLS, ["o_orderkey"])
+    return out.withColumns({c: F.col(c).cast("int") for c in ("onehot_index", "width")})

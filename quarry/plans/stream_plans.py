@@ -46,8 +46,8 @@ p AS (SELECT *, CASE WHEN e / ne = 0 THEN 1e-4 ELSE e / ne END AS pe, CASE WHEN
 r AS (SELECT *, pe / sum(pe) OVER (PARTITION BY column_name, w) AS qe, pa / sum(pa) OVER (PARTITION BY column_name, w) AS qa FROM p)
 SELECT make_timestamp(w) AS window_start, make_timestamp(w + {WEEK_US}) AS window_end, column_name, first(na)::BIGINT AS n,
        round(sum((qa - qe) * ln(qa / qe)), 6) AS psi,
-       CASE WHEN round(sum((qa - qe) * ln(qa / qe)), 6) < 0.1 THEN 'stable'
-            WHEN round(sum((qa - qe) * ln(qa / qe)), 6) < 0.2 THEN 'moderate' ELSE 'drift' END AS band
+       CASE WHEN sum((qa - qe) * ln(qa / qe)) < 0.1 THEN 'stable'
+            WHEN sum((qa - qe) * ln(qa / qe)) < 0.2 THEN 'moderate' ELSE 'drift' END AS band
 FROM r GROUP BY column_name, w"""
 
 
@@ -56,23 +56,22 @@ def q_stream_drift(spark, sf):
     """Events replayed in time order through a file stream; PSI per 7-day window."""
     base, _ = events_halves(spark, sf)
     edges = drift_monitor.edges_for(base, STREAM_COLS)
-    # the landing folder receives the events in time order: one file per time range, written
-    # one after the other (a file stream takes files in arrival order; the watermark drops
-    # events that arrive after their window closed)
+    # the landing folder receives the events in time order, one time range after the other, each written
+    # by as many tasks as it has partitions; the monitor is run after each and goes on from its checkpoint
+    # (the watermark drops events that arrive after their window closed)
     landing = scratch_path(spark, "events-landing")
     ev = load(spark, sf, "events")
     cuts = ev.agg(F.percentile_approx(F.col("ts"), [i / LANDING_FILES for i in range(1, LANDING_FILES)])).first()[0]
     bounds = [None, *cuts, None]
+    sink, ckpt = scratch_path(spark, "drift-sink"), scratch_path(spark, "drift-ckpt")
     for lo, hi in zip(bounds[:-1], bounds[1:]):
         part = ev
         if lo is not None:
             part = part.filter(F.col("ts") >= F.lit(lo).cast("timestamp_ntz"))
         if hi is not None:
             part = part.filter(F.col("ts") < F.lit(hi).cast("timestamp_ntz"))
-        part.coalesce(1).write.mode("append").parquet(landing)
-    stream = spark.readStream.schema(_events_schema()).option("maxFilesPerTrigger", 2).parquet(landing)
-    sink, ckpt = scratch_path(spark, "drift-sink"), scratch_path(spark, "drift-ckpt")
-    q = drift_monitor.start(stream, "ts", edges, sink, ckpt)
-    q.awaitTermination()
+        part.write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(_events_schema()).parquet(landing)
+        drift_monitor.start(stream, "ts", edges, sink, ckpt).awaitTermination()
     return drift_monitor.window_psi(spark, sink, drift_monitor.baseline_bins(base, edges),
                                     {c: len(e) - 1 for c, e in edges.items()})

@@ -20,7 +20,8 @@ MISSING_MARKERS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN",
                    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 # Fixed value patterns used to classify text before any cast is tried.
-INT_PATTERN = r"^\s*[+-]?[0-9]{1,18}\s*$"
+INT_PATTERN = r"^\s*[+-]?[0-9]{1,19}\s*$"
+WIDE_PATTERN = r"^\s*[+-]?[0-9]{1,38}\s*$"
 NUMBER_PATTERN = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 BOOL_WORDS = ("true", "false", "True", "False", "TRUE", "FALSE")
 
@@ -43,8 +44,8 @@ def header_names(spark: SparkSession, path: str, sep: str) -> list[str]:
 
 
 def _infer(df: DataFrame) -> DataFrame:
-    """One aggregate decides every column's type: the most specific of bigint, double,
-    boolean that all its non-missing values read as, else string.  Cheap
+    """One aggregate decides every column's type: the most specific of bigint, decimal(38,0) (whole
+    numbers beyond 64 bits), double, boolean that all its non-missing values read as, else string.  Cheap
     patterns classify each value first; a cast is only tried where the pattern matched."""
     cols = df.columns
     aggs = []
@@ -52,7 +53,8 @@ def _infer(df: DataFrame) -> DataFrame:
         v = F.col(f"`{c}`")
         aggs += [
             F.count(v).alias(f"n{i}"),
-            F.count_if(v.rlike(INT_PATTERN)).alias(f"i{i}"),
+            F.count_if(v.rlike(INT_PATTERN) & v.try_cast("bigint").isNotNull()).alias(f"i{i}"),
+            F.count_if(v.rlike(WIDE_PATTERN)).alias(f"w{i}"),
             F.count_if(v.rlike(NUMBER_PATTERN)).alias(f"d{i}"),
             F.count_if(v.isin(*BOOL_WORDS)).alias(f"b{i}"),
         ]
@@ -62,7 +64,7 @@ def _infer(df: DataFrame) -> DataFrame:
         n = row[f"n{i}"]
         chosen = "string"
         if n > 0:
-            for t, k in (("bigint", "i"), ("double", "d"), ("boolean", "b")):
+            for t, k in (("bigint", "i"), ("decimal(38,0)", "w"), ("double", "d"), ("boolean", "b")):
                 if row[f"{k}{i}"] == n:
                     chosen = t
                     break

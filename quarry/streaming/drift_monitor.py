@@ -75,7 +75,7 @@ def window_psi(spark: SparkSession, sink_path: str, baseline_counts: DataFrame,
     out = full.groupBy("window_start", "window_end", "column_name").agg(
         F.first("na").alias("n"), F.sum((F.col("pa") - F.col("pe")) * F.log(F.col("pa") / F.col("pe"))).alias("psi"))
     return out.select("window_start", "window_end", "column_name",
-                      F.col("n").cast("bigint").alias("n"), r6(F.col("psi")).alias("psi"), band(r6(F.col("psi"))).alias("band"))
+                      F.col("n").cast("bigint").alias("n"), r6(F.col("psi")).alias("psi"), band(F.col("psi")).alias("band"))
 
 
 def baseline_bins(baseline: DataFrame, edges: dict[str, list[float]]) -> DataFrame:

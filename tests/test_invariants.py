@@ -66,7 +66,7 @@ def test_null_burst_goes_to_median_with_indicator(spark):
 def test_unseen_category_is_all_zero(spark):
     o = load(spark, SMALL, "orders").select("o_orderkey", "o_orderpriority")
     bad = corrupt.unseen_categories(o, "o_orderpriority", ["o_orderkey"])
-    m = prep.onehot_model(o, ["o_orderpriority"])
+    m = prep.category_index(o, ["o_orderpriority"])
     long = prep.onehot_long(bad, m, ["o_orderpriority"], ["o_orderkey"])
     unseen = long.filter(F.col("value") == corrupt.UNSEEN_LABEL)
     assert unseen.count() == 5 and unseen.filter(F.col("onehot_index").isNotNull()).count() == 0
