@@ -34,15 +34,19 @@ LONGEST = 5
 MIN_COUNT = 100
 TOP = 2000
 #: Bytes of text handled at a time (texts are cut between words).
-STRETCH = 4 << 20
+STRETCH = 2 << 20
 #: Distinct hashes a task holds before it hands out its summaries.
-HELD = 4_000_000
+HELD = 3_000_000
 #: Bytes of text for each hash partition, and the largest number of partitions.
-PARTITION_BYTES = 128 << 20
+PARTITION_BYTES = 32 << 20
 MOST_PARTITIONS = 1 << 14
-#: Bits of the bitmap of one length: 32 for each survivor possible, at most 2^28 (32 MB).
+#: Counters of a merged summary, as a multiple of mass / threshold: what is subtracted stays below threshold / ROOM.
+ROOM = 4
+#: Bits of the bitmap of one length: 32 for each phrase that can reach the threshold, at most 2^28 (32 MB),
+#: and how many of them a survivor sets.
 BITS_EACH = 32
 MOST_BITS = 1 << 28
+PROBES = 4
 #: Phrases a task counts before it hands out their counts.
 COUNTED = 200_000
 UNKNOWN = "und"
@@ -57,6 +61,7 @@ _BREAK = re.compile(rb"[.,;:!?\x0a-\x0d\x20\x09]")
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_ODD = [np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263)]  # published multipliers
 _OF_BYTE = np.random.default_rng(13).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -189,16 +194,25 @@ def _tail(data: bytes, at: int, end: int) -> int:
     return end - to
 
 
+def probes(slots: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The ``PROBES`` places of each slot among 2^bits."""
+    return [((slots * odd) >> np.uint32(32 - bits)).astype(np.int64) for odd in _ODD]
+
+
 class Bitmap:
-    """Survivors' hashes: each hash partition owns the same number of bits."""
+    """Survivors' hashes, each as a few bits: each hash partition owns the same number of bits."""
 
     def __init__(self, partitions: int, bits: int, words: np.ndarray):
         self.partitions, self.bits, self.words = partitions, bits, words  # bits: log2 of a partition's bits
 
     def holds(self, h: np.ndarray) -> np.ndarray:
         part, slot = place(h, self.partitions)
-        at = (part.astype(np.int64) << self.bits) | (slot >> np.uint32(32 - self.bits)).astype(np.int64)
-        return (self.words[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        base = part.astype(np.int64) << self.bits
+        out = np.ones(len(h), bool)
+        for place_ in probes(slot, self.bits):
+            at = base | place_
+            out &= (self.words[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return out
 
 
 def place(h: np.ndarray, partitions: int) -> tuple[np.ndarray, np.ndarray]:
@@ -290,7 +304,7 @@ def _survivors(summaries: DataFrame, partitions: int, threshold: int) -> Bitmap:
             summaries.groupBy("part").agg(F.sum("mass").alias("mass")).collect()}
     most = max(mass.values(), default=0)
     wanted = min(MOST_BITS // partitions, BITS_EACH * (most // threshold + 1))
-    bits = max(3, min(32, wanted.bit_length() - 1))
+    bits = max(3, min(31, wanted.bit_length() - 1))
     held = summaries.sparkSession.sparkContext.broadcast(mass)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,15 +312,15 @@ def _survivors(summaries: DataFrame, partitions: int, threshold: int) -> Bitmap:
         sure: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(1 << (bits - 3), np.uint8))
 
         def mark(part: int, slots: np.ndarray) -> None:
-            at = (slots >> np.uint32(32 - bits)).astype(np.int64)
-            np.bitwise_or.at(sure[part], at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+            for at in probes(slots, bits):
+                np.bitwise_or.at(sure[part], at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
 
         for b in batches:
             for part, keys, counts in zip(*(b.column(c).to_pylist() for c in ("part", "keys", "counts"))):
                 keys, counts = np.frombuffer(keys, "<u4"), np.frombuffer(counts, "<u4").astype(np.int64)
                 alone = counts >= threshold
                 mark(part, keys[alone])
-                own = merged.setdefault(part, Summary(held.value[part] // threshold + 1))
+                own = merged.setdefault(part, Summary(ROOM * (held.value[part] // threshold + 1)))
                 own.add(keys[~alone], counts[~alone])
         for part, own in merged.items():
             mark(part, own.survivors(threshold))
