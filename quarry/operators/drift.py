@@ -103,12 +103,9 @@ def band(psi) -> F.Column:
     return F.when(psi < PSI_STABLE, "stable").when(psi < PSI_DRIFT, "moderate").otherwise("drift")
 
 
-def psi(baseline: DataFrame, current: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """D4 + D5 per column: numeric columns with more than 10 distinct baseline values are
-    binned at the baseline's 11 linear percentiles; the others compare category shares.
-    Values outside the outer edges are not counted but stay in the denominator."""
-    cols = list(cols)
-    numeric = [c for c in cols if is_numeric_type(baseline.schema[c].dataType)]
+def bin_edges(baseline: DataFrame, numeric: Sequence[str]) -> dict[str, list[float]]:
+    """The edges of every numeric column with more than 10 distinct values: its 11 linear percentiles,
+    without repeats, the outer ones padded."""
     b_exprs = {c: as_double(baseline, c) for c in numeric}
     bn = column_counts(baseline, b_exprs) if numeric else {}
     sketch = baseline.agg(*[F.approx_count_distinct(b_exprs[c]).alias(c) for c in numeric]).first() if numeric else {}
@@ -128,6 +125,16 @@ def psi(baseline: DataFrame, current: DataFrame, cols: Sequence[str]) -> DataFra
             e[0] -= PSI_EDGE_PAD
             e[-1] += PSI_EDGE_PAD
             edges[c] = e
+    return edges
+
+
+def psi(baseline: DataFrame, current: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """D4 + D5 per column: numeric columns with more than 10 distinct baseline values are
+    binned at the baseline's 11 linear percentiles; the others compare category shares.
+    Values outside the outer edges are not counted but stay in the denominator."""
+    cols = list(cols)
+    numeric = [c for c in cols if is_numeric_type(baseline.schema[c].dataType)]
+    edges = bin_edges(baseline, numeric)
     categorical = [c for c in cols if c not in edges]
     frames = []
     side_b, side_c = baseline.withColumn("_side", F.lit(0)), current.withColumn("_side", F.lit(1))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import corrupt, drift, risk
+from ..functions.columns import r6
+from ..operators import corrupt, drift, risk, versions
+from ..sources.files import scratch_path
 from . import sqlkit
 from .registry import query
 from .tables import SCHEMAS, kind, load
@@ -140,3 +142,48 @@ def q_drift_flags(spark, sf):
     base, cur = events_halves(spark, sf)
     scores = drift.psi(base, cur, PSI_NUMERIC)
     return risk.union_flags([drift.schema_flags(diff), drift.psi_flags(scores)])
+
+
+# three versions of orders, of different years; the last has its price as text and its columns reversed
+VERSION_YEARS = [("v0", 0, 1997), ("v1", 1997, 1999), ("v2", 1999, 9999)]
+VERSION_NUMERIC, VERSION_CATEGORIES = ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderpriority", "o_orderstatus"]
+
+
+def _history_sql():
+    def rows(i):
+        _, lo, hi = VERSION_YEARS[i]
+        price = "CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice * 1.5 ELSE o_totalprice END AS o_totalprice" if i == 1 else "o_totalprice AS o_totalprice"
+        return f"SELECT * REPLACE ({price}) FROM orders WHERE year(o_orderdate) >= {lo} AND year(o_orderdate) < {hi}"
+    base = SCHEMAS["orders"]
+    text = [(c, "string" if c == "o_totalprice" else t) for c, t in base]
+    schemas = [base, base, text[::-1]]
+    marks = [",".join(f"{c}:{t}" for c, t in sorted(x)) for x in schemas]
+    parts = []
+    for i, (v, _, _) in enumerate(VERSION_YEARS):
+        listed = ", ".join(f"('{c}', {p}::INT, '{t}')" for p, (c, t) in enumerate(schemas[i]))
+        psi = "SELECT NULL::VARCHAR AS column_name, NULL::VARCHAR AS method, NULL::BIGINT AS n_bins, NULL::DOUBLE AS psi WHERE false"
+        if i:
+            body = sqlkit.union_all([f"SELECT * FROM {p}" for p in [*map(_psi_numeric_sql, VERSION_NUMERIC), *map(_psi_categorical_sql, VERSION_CATEGORIES)]])
+            psi = f"WITH base AS ({rows(i - 1)}), cur AS ({rows(i)}) {body}"
+        changed = str(i > 0 and marks[i] != marks[i - 1]).lower()
+        parts.append(f"SELECT '{v}' AS version, {i}::INT AS no, sha256('{marks[i]}') AS fingerprint, {len(base)}::INT AS n_columns, "
+                     f"(SELECT count(*) FROM ({rows(i)})) AS n_rows, {changed} AS changed, {str(i == 2).lower()} AS latest, c.column_name, c.position, c.dtype, "
+                     f"method, n_bins, psi, CASE WHEN psi IS NOT NULL THEN {_band('psi')} END AS band "
+                     f"FROM (VALUES {listed}) c(column_name, position, dtype) LEFT JOIN ({psi}) p USING (column_name)")
+    return sqlkit.union_all(parts)
+
+
+@query("version_history", sql=_history_sql())
+def q_version_history(spark, sf):
+    """Three versions recorded one after the other, each compared with the stored bins of the one before."""
+    path = scratch_path(spark, "versions")
+    o = load(spark, sf, "orders")
+    dearer = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice") * 1.5).otherwise(F.col("o_totalprice"))
+    for v, lo, hi in VERSION_YEARS:
+        df = o.filter((F.year("o_orderdate") >= lo) & (F.year("o_orderdate") < hi))
+        if v == "v1":
+            df = df.withColumn("o_totalprice", dearer)
+        if v == "v2":
+            df = corrupt.changed_column_order(corrupt.dtype_change(df, "o_totalprice"))
+        versions.record(df, path, v)
+    return versions.history(spark, path).withColumn("psi", r6(F.col("psi")))
