@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier)
@@ -108,10 +108,10 @@ def labelled(df: DataFrame, target: str, task: str) -> DataFrame:
     return StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc").fit(df).transform(df)
 
 
-def cross_validate(folded: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str],
-                   name: str, task: str, params: dict | None = None, k: int = 5, pinned: bool = False,
-                   time_ordered: bool = False) -> DataFrame:
-    """Per fold, fit preparation (X5-X12) and model on the training part, score the fold.
+def fold_scores(folded: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str],
+                name: str, task: str, params: dict | None = None, k: int = 5, pinned: bool = False,
+                time_ordered: bool = False) -> DataFrame:
+    """(candidate, fold, score): per fold, fit preparation (X5-X12) and model on the training part, score the fold.
 
     ``folded`` carries an integer ``fold`` column (from ``operators.folds``).  The training part is
     all other folds; with ``time_ordered`` only earlier ones (a model never sees the future).  Labels
@@ -154,9 +154,16 @@ def cross_validate(folded: DataFrame, target: str, numeric: Sequence[str], categ
     for s in scores[1:]:
         pred = pred.unionByName(s)
     per_fold = _score(pred, task, max(n_classes, 2))
-    out = per_fold.withColumn("candidate", F.lit(name))
+    return per_fold.select(F.lit(name).alias("candidate"), F.col("fold").cast("int").alias("fold"), "score")
+
+
+def cross_validate(folded: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str],
+                   name: str, task: str, params: dict | None = None, k: int = 5, pinned: bool = False,
+                   time_ordered: bool = False) -> DataFrame:
+    """Every fold's score with the candidate's mean and population deviation, rounded for show."""
+    out = fold_scores(folded, target, numeric, categorical, name, task, params, k, pinned, time_ordered)
     w = Window.partitionBy("candidate")  # over k fold rows
-    return out.select("candidate", F.col("fold").cast("int"), r6(F.col("score")).alias("score"),
+    return out.select("candidate", "fold", r6(F.col("score")).alias("score"),
                       r6(F.avg("score").over(w)).alias("cv_mean"), r6(F.stddev_pop("score").over(w)).alias("cv_std"))
 
 
@@ -199,6 +206,7 @@ class FinalModel:
     pipeline: PipelineModel
     inputs: list[str]
     names: list[str]  # of the vector's slots: numbers, then a slot for each category
+    classes: list[str] = field(default_factory=list)  # of a classifier, in order of their index
 
     @property
     def estimator(self):
@@ -219,6 +227,7 @@ def fit_final(train: DataFrame, target: str, numeric: Sequence[str], categorical
 
     Rows without a target take no part.  Logistic models weigh classes as in T6 (M6)."""
     train = labelled(train.filter(F.col(f"`{target}`").isNotNull()), target, task)
+    classes = train.schema["label"].metadata.get("ml_attr", {}).get("vals", [])
     plan = prep.fit_prep(train, numeric, categorical)
     data = pin(prep.transform(train, plan, ["label"]))
     seen = data.agg(F.count("label").alias("n"), F.max("label").alias("top"), F.stddev_pop("label").alias("sd")).first()
@@ -237,7 +246,7 @@ def fit_final(train: DataFrame, target: str, numeric: Sequence[str], categorical
     for stage in pipeline.stages:
         if isinstance(stage, StringIndexerModel):
             names += [f"{c}_{v}" for c, labels in zip(plan.categorical, stage.labelsArray) for v in labels]
-    return FinalModel(plan, pipeline, [*numeric, *categorical], names)
+    return FinalModel(plan, pipeline, [*numeric, *categorical], names, classes)
 
 
 def importances(model: FinalModel) -> list[tuple[str, float]]:
