@@ -638,7 +638,7 @@ def score_documents(docs: DataFrame, held_out: int = 2, modulus: int = 7, id_col
                     _, _, key, words = _decoded(b, row)
                     distinct_keys, at = np.unique(key, return_inverse=True)
                     own, around = _around(distinct_keys, words, word_ends(words))
-                    cost = model.value.word_costs(own, *around)[at].astype("<f4")
+                    cost = model.value.word_costs(own, *around)[at].astype("<f8")
                     yield pa.RecordBatch.from_arrays(
                         [b["chunk"].slice(row, 1), b["ids"].slice(row, 1), b["roles"].slice(row, 1), b["n_bytes"].slice(row, 1),
                          b["lengths"].slice(row, 1), b["numbers"].slice(row, 1), pa.array([cost.tobytes()], pa.binary())], _COST_COLUMNS)
@@ -674,22 +674,27 @@ _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_token
 
 
 def _chunk_scores(row: pa.RecordBatch, right: pa.Table, tokens: int, distinct: int) -> pa.Table:
-    """The scores of a chunk's documents from its spelled costs and the exact counts of its words."""
+    """The scores of a chunk's documents from its spelled costs and the exact counts of its words.
+
+    Everything is added as logarithms, so a word of any length costs what its bytes cost."""
     lengths = np.array(row["lengths"][0].as_py(), np.int64)
     role = np.array(row["roles"][0].as_py())
     flat = unpack(row["numbers"][0].as_py(), lengths)
-    spelled = np.exp2(-np.frombuffer(row["cost"][0].as_buffer(), "<f4").astype(float))
+    spelled = -np.frombuffer(row["cost"][0].as_buffer(), "<f8") * math.log(2)
     c = np.zeros(int(flat.max()) + 1)
     c[right["i"].to_numpy()] = right["c"].to_numpy()
     c = c[flat]
     start = np.cumsum(lengths) - lengths
     total = lambda each: np.add.reduceat(each, start)
-    scores, own, floor = [], [], 1e-300
+    with np.errstate(divide="ignore"):  # a word that wasn't seen has the logarithm of 0
+        counted = np.log(c) - math.log(max(tokens, 1))
+        without = np.log(np.maximum(c - 1, 0)) - math.log(max(tokens - 1, 1))
+    scores, own = [], []
     for share in SHARES:
         share = share if tokens else 0.0
-        scores.append(total(np.log10(np.maximum((1 - share) * spelled + share * c / max(tokens, 1), floor))))
-        less = (1 - share) * spelled + share * np.maximum(c - 1, 0) / max(tokens - 1, 1)
-        own.append(total(np.log10(np.maximum(less, floor))) * (role > 0))
+        mixed = lambda seen, s=share: spelled if s == 0 else np.logaddexp(math.log(1 - s) + spelled, math.log(s) + seen)
+        scores.append(total(mixed(counted)) / math.log(10))
+        own.append(total(mixed(without)) / math.log(10) * (role > 0))
     whole = math.log10(tokens + distinct + 1) if tokens else 0.0
     table = lambda xs: pa.array(np.stack(xs, axis=1).tolist(), pa.list_(pa.float64()))
     return pa.table([row["ids"][0].values, pa.array(role == 0), pa.array(lengths), pa.array(total((c > 0).astype(np.int64))),
