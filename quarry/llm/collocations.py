@@ -48,7 +48,7 @@ BITS_EACH = 32
 MOST_BITS = 1 << 28
 PROBES = 4
 #: Phrases a task counts before it hands out their counts.
-COUNTED = 200_000
+COUNTED = 300_000
 UNKNOWN = "und"
 
 # Marks between pieces, white space between words.
@@ -336,35 +336,59 @@ def _survivors(summaries: DataFrame, partitions: int, threshold: int) -> Bitmap:
     return Bitmap(partitions, bits, words)
 
 
-def _counts(rows: DataFrame, bitmaps, longest: int) -> DataFrame:
-    """Second pass: (lang, words, phrase, n) counted by task; the row of no words holds the number of all words."""
+_COUNTS = "part int, lang array<string>, words array<int>, phrase array<string>, n array<bigint>"
+
+
+def _counts(rows: DataFrame, bitmaps, partitions: int, longest: int) -> DataFrame:
+    """Second pass: each task's counts, one row for each hash partition it met.
+
+    The entries of no words hold the number of all words of each language."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bitmaps.value
-        total: dict[tuple[str, int, str], int] = defaultdict(int)
+        total: dict[tuple[int, str, int, str], int] = defaultdict(int)
 
         def out() -> pa.RecordBatch:
-            columns = [*zip(*total.keys()), list(total.values())]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int32(), pa.string(), pa.int64()])],
-                ["lang", "words", "phrase", "n"])
+            by: dict[int, list] = defaultdict(list)
+            for (part, lang, n, phrase), k in total.items():
+                by[part].append((lang, n, phrase, k))
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.int64()]
+            lists = [pa.array([[e[i] for e in own] for own in by.values()], pa.list_(t)) for i, t in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), *lists], ["part", "lang", "words", "phrase", "n"])
 
         for s in stretches(batches):
             for lang, k in zip(s.langs, np.bincount(s.text[s.new], minlength=len(s.langs)).tolist()):
                 if k:
-                    total[lang, 0, ""] += k
+                    total[lang_hash(lang) % partitions, lang, 0, ""] += k
             for n, at, h in s.grams(known, longest):
                 keep = known[n - 1].holds(h)
                 at, h = at[keep], h[keep]
-                _, first, counts = np.unique(h, return_index=True, return_counts=True)
-                for i, k in zip(at[first].tolist(), counts.tolist()):
-                    total[s.langs[s.text[i]], n, s.phrase(i, n)] += k
+                h, first, counts = np.unique(h, return_index=True, return_counts=True)
+                part, _ = place(h, partitions)
+                for p, i, k in zip(part.tolist(), at[first].tolist(), counts.tolist()):
+                    total[p, s.langs[s.text[i]], n, s.phrase(i, n)] += k
             if len(total) > COUNTED:
                 yield out()
                 total.clear()
         if total:
             yield out()
 
-    return rows.mapInArrow(work, "lang string, words int, phrase string, n bigint")
+    return rows.mapInArrow(work, _COUNTS)
+
+
+def _summed(counts: DataFrame, partitions: int, min_count: int) -> DataFrame:
+    """(lang, words, phrase, n): the tasks' counts of each hash partition added up, rare phrases left out."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[str, int, str], int] = defaultdict(int)
+        for b in batches:
+            entries = [b.column(c).flatten().to_pylist() for c in ("lang", "words", "phrase", "n")]
+            for lang, words, phrase, n in zip(*entries):
+                total[lang, words, phrase] += n
+        kept = [(*key, n) for key, n in total.items() if n >= min_count or key[1] == 0]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in kept], t) for i, t in enumerate([pa.string(), pa.int32(), pa.string(), pa.int64()])],
+            ["lang", "words", "phrase", "n"])
+
+    return counts.repartition(partitions, "part").mapInArrow(work, "lang string, words int, phrase string, n bigint")
 
 
 def frequent_phrases(docs: DataFrame, scratch: Scratch, min_count: int = MIN_COUNT, longest: int = LONGEST,
@@ -384,9 +408,8 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, min_count: int = MIN_COU
         found = scratch.stash(_summaries(rows, spark.sparkContext.broadcast(list(bitmaps)), n, partitions, min_count))
         bitmaps.append(_survivors(found, partitions, min_count))
         scratch.remove(scratch.n)
-    counted = _counts(rows, spark.sparkContext.broadcast(bitmaps), longest)
-    total = counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
-    return scratch.stash(total.filter((F.col("n") >= min_count) | (F.col("words") == 0)))
+    counted = _counts(rows, spark.sparkContext.broadcast(bitmaps), partitions, longest)
+    return scratch.stash(_summed(counted, partitions, min_count))
 
 
 def _part(phrase: Column, first: Column, last: Column) -> Column:
