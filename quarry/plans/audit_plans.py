@@ -79,16 +79,16 @@ def q_audit_store_cascade(spark, sf):
 
 
 @query("audit_lookup", sql=f"""WITH {_N}
-SELECT md5('m:' || c_custkey) AS id, sid AS session_id, c_custkey::VARCHAR AS mlflow_run_id, c_acctbal > 0 AS is_selected, run_date
+SELECT md5('m:' || c_custkey) AS id, sid AS session_id, c_custkey::VARCHAR AS mlflow_run_id, c_acctbal > 0 AS is_selected, run_date::VARCHAR AS run_date
 FROM c WHERE c_custkey = 7 UNION ALL
-SELECT md5('m:' || c_custkey), sid, c_custkey::VARCHAR, c_acctbal > 0, run_date FROM c WHERE n_nationkey = 3 AND c_acctbal > 0""")
+SELECT md5('m:' || c_custkey), sid, c_custkey::VARCHAR, c_acctbal > 0, run_date::VARCHAR FROM c WHERE n_nationkey = 3 AND c_acctbal > 0""")
 def q_audit_lookup(spark, sf):
     """A run by its id, and the selected runs of one session."""
     store = AuditStore(spark, scratch_path(spark, "audit-store"))
     store.append({"model_runs": audit_rows(spark, sf)["model_runs"]})
     ids = spark.range(1).select(_id("m", "7").alias("m"), _id("s", "3").alias("s")).first()
     found = store.get_by_id("model_runs", ids["m"]).unionByName(store.filter_by("model_runs", session_id=ids["s"], is_selected=True))
-    return found.select("id", S, "mlflow_run_id", "is_selected", "run_date")
+    return found.select("id", S, "mlflow_run_id", "is_selected", F.col("run_date").cast("string").alias("run_date"))
 
 
 # eight sessions by customer: one with missing prices, one with a constant status, four tiny ones, two plain ones
