@@ -22,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +35,8 @@ END = 0
 OPEN_BINS = 4096
 #: Pieces of which the longest is placed first.
 STRETCH = 8192
-#: Bytes of text encoded at a time.
-TEXT = 16 << 20
+#: Characters of text encoded at a time.
+TEXT = 12 << 20
 #: Pieces of one stream of the second level.
 STREAM = 1 << 16
 
@@ -125,25 +124,19 @@ def _sequence_names(level: int):
     return lambda number: part << 40 | number << 1 | level
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """(ids, texts) of about ``TEXT`` bytes at a time; a batch with more is cut."""
-    held: list[tuple[pa.Array, pa.Array]] = []
-    size = 0
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of about ``TEXT`` characters at a time, or of one longer text."""
+    ids, texts, size = [], [], 0
     for b in batches:
-        values = b.column("text").cast(pa.large_string())
-        ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < b.num_rows:
-            before = ends[at - 1] if at else 0
-            to = min(b.num_rows, int(np.searchsorted(ends, before + TEXT - size)) + 1)
-            held.append((b.column("doc_id").slice(at, to - at), values.slice(at, to - at)))
-            size += int(ends[to - 1] - before)
-            at = to
+        for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            ids.append(doc)
+            texts.append(text or "")
+            size += len(texts[-1])
             if size >= TEXT:
-                yield tuple(map(pa.concat_arrays, zip(*held)))
-                held, size = [], 0
-    if held:
-        yield tuple(map(pa.concat_arrays, zip(*held)))
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if texts:
+        yield ids, texts
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END,
@@ -161,12 +154,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, packer, name = encoder(held.value), Packer(capacity), _sequence_names(0)
-        stop, waiting = np.array([end], tokens.kind), []
+        stop, waiting = np.array([end], tokens.kind).tobytes(), []
         for doc_ids, texts in _texts(batches):
-            ids, lengths = tokens.encode(texts)
-            ends = np.cumsum(lengths)
-            for doc, a, b in zip(doc_ids.to_pylist(), (ends - lengths).tolist(), ends.tolist()):
-                waiting += cut(doc, np.concatenate([ids[a:b], stop]), capacity)
+            for doc, ids in zip(doc_ids, tokens.encode(texts)):
+                waiting += cut(doc, np.frombuffer(ids + stop, tokens.kind), capacity)
                 if len(waiting) >= STRETCH:
                     packer.add_all(waiting)
                     waiting = []

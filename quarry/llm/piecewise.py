@@ -1,10 +1,10 @@
 """Token ids of many texts by the tokenizers library, each distinct piece of text encoded once.
 
-The byte-level pattern never joins what stands before a lone space with what follows it, so the ids of
-a text are those of its pieces, one after the other.  The pieces of a stretch of texts are numbered by
-Arrow's dictionary encoding; only pieces that a worker hasn't met before go to the library, and the ids
-of the texts are gathered from those of the pieces.  A trailing run of ``. , ; : ! ?`` behind a letter or
-digit, and a lone line break between visible characters, end a piece as well.
+The byte-level pattern never joins what stands before a lone space with what follows it, so the ids of a
+text are those of its pieces, one after the other.  A trailing run of ``. , ; : ! ?`` behind a letter or
+digit, and a lone line break between visible characters, part a piece once more.  A worker remembers the
+strings it has met; only new ones go to the library, many to a text, parted by line breaks, which are
+tokens of their own there.
 
 Texts in which a space meets other white space, or that hold special tokens, are encoded whole.
 """
@@ -12,6 +12,8 @@ Texts in which a space meets other white space, or that hold special tokens, are
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterable
 from itertools import accumulate, chain
 
 import numpy as np
@@ -19,18 +21,40 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from .token_files import _ASCII_PAIRS, _PAIRS_OF_SPACES
+from .token_files import _SPACES
 
-#: Pieces in the younger of a worker's two tables (about 100 MB each); when it is full it becomes the older one.
+#: Entries of the younger of the memory's two tables (about 100 MB each); a full one becomes the older one.
 KEPT = 500_000
-#: Pieces sent to the library in one call.
-CALL = 10_000
+#: Strings in one text, and texts in one call of the library.
+JOINED = 32
+CALL = 1_000
 # Marks that the pattern always parts from the letter or digit before them.
 MARKS = ".,;:!?"
+_VISIBLE = re.compile(r" ?\S+")
+#: A space beside other white space, as Arrow's regular expressions have it.
+_SPACED = f" [ {_SPACES}]|[{_SPACES}] "
+
+
+class Memory:
+    """Strings and their packed ids: two tables, so that what is met again and again stays."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        """The keys that aren't known; the known ones are in the younger table afterwards."""
+        if len(self.young) > KEPT:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = [k for k in keys if k not in young]
+        met = [k for k in new if k in old]
+        young.update((k, old[k]) for k in met)
+        return [k for k in new if k not in old] if met else new
 
 
 class PieceEncoder:
-    """One tokenizer with a bounded memory of pieces: two tables, so that what is met again and again stays."""
+    """One tokenizer with a bounded memory of the strings that pieces are made of."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
@@ -40,8 +64,9 @@ class PieceEncoder:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.strings = Memory()
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None  # the id of a line break
 
     def library(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed."""
@@ -53,46 +78,66 @@ class PieceEncoder:
             out += [flat[a:b] for a, b in zip(ends, ends[1:])]
         return out
 
-    def _learn(self, keys: set[str]) -> None:
-        """Afterwards every key is in the younger table."""
-        if len(self.young) > KEPT:
-            self.old, self.young = self.young, {}
-        missing = [k for k in keys if k not in self.young]
-        met = [k for k in missing if k in self.old]
-        self.young.update((k, self.old[k]) for k in met)
-        new = [k for k in missing if k not in self.old] if met else missing
-        self.young.update(zip(new, self.library(new)))
+    def _strings(self, keys: list[str]) -> list[bytes]:
+        """Ids of each key, for keys of a space at most and visible characters many to a text."""
+        plain = [k for k in keys if self.line is not None and _VISIBLE.fullmatch(k)]
+        found = {}
+        size = self.kind.itemsize
+        for lo in range(0, len(plain), JOINED * CALL):
+            part = plain[lo:lo + JOINED * CALL]
+            texts = ["\n".join(part[k:k + JOINED]) for k in range(0, len(part), JOINED)]
+            coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            ids = [x for e in coded for x in (e.ids, (self.line,))]
+            flat = np.fromiter(chain.from_iterable(ids), self.kind, sum(map(len, ids)))
+            ends = (np.flatnonzero(flat == self.line) * size).tolist()
+            raw = flat.tobytes()
+            found.update(zip(part, [raw[a:b] for a, b in zip([0, *(x + size for x in ends)], ends)]))
+        other = [k for k in keys if k not in found]
+        found.update(zip(other, self.library(other)))
+        return [found[k] for k in keys]
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece with a space before it."""
-        cut = [split_piece(p) for p in pieces]
-        self._learn({k for keys in cut for k in keys})
-        get = self.young.__getitem__
-        return [get(keys[0]) if len(keys) == 1 else b"".join(map(get, keys)) for keys in cut]
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, number of ids of each text); null counts as empty."""
-        values = pc.fill_null(texts, "").cast(pa.large_string())
-        strings = values.to_pylist()
-        whole = np.array([any(x in t for x in self.special) or any(
-            x in t for x in (_ASCII_PAIRS if t.isascii() else _PAIRS_OF_SPACES)) for t in strings], bool)
-        split = pc.split_pattern(pc.if_else(pa.array(whole), "", values), " ")
+        # most pieces are one string; the others are tuples
+        cut = [" " + p if p and p[-1] not in MARKS and "\n" not in p else split_piece(p) for p in pieces]
+        wanted = {k for k in cut if type(k) is str}
+        wanted.update(chain.from_iterable(k for k in cut if type(k) is tuple))
+        new = self.strings.missing(wanted)
+        self.strings.young.update(zip(new, self._strings(new)))
+        get = self.strings.young.__getitem__
+        return [get(k) if type(k) is str else b"".join(map(get, k)) for k in cut]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, packed as ``kind``.
+
+        Arrow numbers the distinct pieces; the ids of all texts are gathered by these numbers."""
+        values = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(values, _SPACED)
+        for x in self.special:
+            odd = pc.or_(odd, pc.match_substring(values, x))
+        whole = odd.to_pylist()
+        split = pc.split_pattern(pc.if_else(odd, "", values), " ")
         starts = split.offsets.to_numpy()
         flat = split.values.dictionary_encode()
-        of_piece = self._pieces(flat.dictionary.to_pylist())
-        # a text's first piece has no space before it; whole texts have that one piece
-        of_first = self.library([t if w else t[:e] if (e := t.find(" ")) >= 0 else t for t, w in zip(strings, whole)])
-        lengths = np.fromiter((len(x) // self.kind.itemsize for x in chain(of_piece, of_first)), np.int64,
-                              len(of_piece) + len(of_first))
-        held = np.frombuffer(b"".join(chain(of_piece, of_first)), self.kind)
+        # no piece holds a space, so they come over as one string
+        one = pa.ListArray.from_arrays(pa.array([0, len(flat.dictionary)], pa.int32()), flat.dictionary)
+        pieces = pc.binary_join(one, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ") if len(flat.dictionary) else []
+        # a text's first piece has no space before it; a whole text is that one piece
+        firsts = self.library([t if w or (e := t.find(" ")) < 0 else t[:e] for t, w in zip(texts, whole)])
+        coded = [*self._pieces(pieces), *firsts]
+        size = self.kind.itemsize
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // size
+        held = np.frombuffer(b"".join(coded), self.kind)
         begins = np.cumsum(lengths) - lengths
         which = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        which[starts[:-1]] = len(of_piece) + np.arange(len(strings))
-        size = lengths[which]
-        ends = np.cumsum(size)
-        at = np.repeat(begins[which] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-        upto = np.concatenate([[0], ends])
-        return held[at], upto[starts[1:]] - upto[starts[:-1]]
+        which[starts[:-1]] = len(pieces) + np.arange(len(texts))
+        of_piece = lengths[which]
+        ends = np.cumsum(of_piece)
+        at = np.repeat((begins[which] - (ends - of_piece)).astype(np.int32), of_piece)
+        at += np.arange(len(at), dtype=np.int32)
+        raw = held[at].tobytes()
+        edges = (np.concatenate([[0], ends])[starts] * size).tolist()
+        return [raw[a:b] for a, b in zip(edges, edges[1:])]
 
 
 def split_piece(piece: str) -> tuple[str, ...]:
