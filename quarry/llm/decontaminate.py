@@ -9,7 +9,7 @@ benchmark is dealt into blocks of that size and the documents pass each block in
 so far travelling with them; no case is dropped at any size.
 
 Defined cases: a null or empty text has no words and no hits; an item without words is ignored;
-items that share an ``item_id`` count once; a null ``item_id`` counts as the id ''.  A column of
+items that share an ``item_id`` count once, repeated items are looked up once; a null ``item_id`` counts as the id ''.  A column of
 the documents that is named like an added column is replaced.
 """
 
@@ -138,7 +138,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text_col: str =
     base = [c for c in docs.columns if c not in _ADDED.names]
     docs = docs.select(*[F.col(f"`{c}`") for c in base])
     with Scratch(spark) as scratch:
-        segments = scratch.stash(item_segments(benchmark, n))
+        segments = scratch.stash(item_segments(benchmark, n).distinct())  # repeated items would fill one block
         count = segments.count()
         n_blocks = 1 if count <= BLOCK_SEGMENTS else -(-count // (BLOCK_SEGMENTS // 2))
         if n_blocks == 1:

@@ -12,7 +12,7 @@ and query, whatever the number of rows.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows
 with a null id; vectors meet only vectors of their own length (those of other lengths are no
-candidates); a query that is listed twice is answered twice; rows that share an id are candidates
+candidates); a query that is listed twice is looked up once and answered twice; rows that share an id are candidates
 each by itself, but never for a query of that id; other columns are not read.
 """
 
@@ -167,7 +167,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     bounded_batches(spark, 10_000)
     with Scratch(spark) as scratch:
         table = scratch.stash(quantised(vectors, id_col, vec_col, scale))
-        queries = table.filter(is_query)
+        # repeated queries would fill one block, so each is asked once
+        queries = scratch.stash(table.filter(is_query).groupBy("id", "v").agg(F.count("*").alias("times")))
         size = table.agg(F.max(F.greatest(F.abs(F.array_max("v")), F.abs(F.array_min("v")))), F.max(F.size("v"))).first()
         largest, dim = size[0] or 0, max(1, size[1] or 0)
         per_block = max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * dim)))
@@ -175,10 +176,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
         best, order = None, Window.partitionBy("query_id", "block", "q").orderBy(F.desc("score"), "vec_id")
         for b in range(n_blocks):
             own = queries if n_blocks == 1 else queries.filter(F.pmod(F.xxhash64("id", "v"), F.lit(n_blocks)) == b)
-            rows = [(r["id"], r["v"]) for r in own.collect()]  # at most per_block rows
+            # at most per_block rows, in the order in which a block numbers them
+            rows = sorted(((r["id"], r["v"], r["times"]) for r in own.collect()), key=lambda r: len(r[1]))
             if rows:
-                near = _block_top(table, rows, k, largest).withColumn("block", F.lit(b))
-                top = pin(near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+                near = _block_top(table, [r[:2] for r in rows], k, largest).withColumn("block", F.lit(b))
+                ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+                times = spark.createDataFrame([(q, r[2]) for q, r in enumerate(rows)], "q int, times bigint")
+                each = F.explode(F.sequence(F.lit(1), F.col("times")))  # a row of answers for every row that asked
+                top = pin(ranked.join(F.broadcast(times), "q").withColumn("_each", each)
                           .select("query_id", "rank", "vec_id", "score"))
                 best = top if best is None else best.unionByName(top)
     return best if best is not None else spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")

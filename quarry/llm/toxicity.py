@@ -36,7 +36,6 @@ LABELLED = 200_000
 MIN_DOCS = 4
 MIN_WEIGHT = 1.5
 MIN_G2 = 20.0
-MAX_TERMS = 20_000
 PREFIXES = (5, 6, 7)
 EXCEPTION_DOCS = 3
 EXCEPTION_WEIGHT = 0.5
@@ -138,8 +137,9 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
     own = (labels.filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).groupBy("doc_id")
            .agg((F.avg("label") >= 0.5).cast("int").alias("y"))
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED))
-    own = F.broadcast(own.withColumnRenamed("doc_id", "__id"))  # at most LABELLED ids and bits
-    return docs.join(own, F.col(f"`{id_col}`") == F.col("__id")).select(F.col(f"`{text_col}`").alias("text"), "y")
+    own = F.broadcast(own)  # at most LABELLED ids and bits
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return rows.join(own, "doc_id").select("text", "y")
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Lexicon({}, [])
     listed = _with_odds(_count(rows, lambda t: terms_of(words(t))).filter(F.col("toxic") >= MIN_DOCS), n_toxic, n_clean)
     listed = listed.filter((F.col("weight") >= MIN_WEIGHT) & (F.col("g2") >= MIN_G2))
-    best = listed.orderBy(F.desc("g2"), "term").limit(MAX_TERMS).select("term", "weight").collect()
+    best = listed.orderBy(F.desc("g2"), "term").select("term", "weight").collect()  # terms of the labelled sample
     lexicon = Lexicon({bytes(r["term"]).decode("latin-1"): r["weight"] for r in best}, [])
     held = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -206,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return out
 
     odds = _with_odds(_count(rows, phrases).filter(F.col("clean") >= EXCEPTION_DOCS), n_toxic, n_clean)
-    spared = (odds.filter(F.col("weight") <= EXCEPTION_WEIGHT).orderBy(F.desc("clean"), "term").limit(MAX_TERMS)
+    spared = (odds.filter(F.col("weight") <= EXCEPTION_WEIGHT).orderBy(F.desc("clean"), "term")
               .select("term").collect())
     lexicon.exceptions = sorted(bytes(r["term"]).decode("latin-1") for r in spared)
     lexicon.automaton = None
