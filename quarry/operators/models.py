@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import r6
-from ..functions.materialize import pin
+from ..functions.materialize import pin, spread
 from . import prep
 from .evaluate import auc
 from .explain import DOMINANT_SHARE
@@ -39,6 +39,8 @@ SPARK_MAX_DEPTH = 30          # "no limit" becomes Spark's deepest allowed tree
 BACKGROUND_ROWS = 20
 SHAPLEY_PERMUTATIONS = 8
 FIT_PARALLELISM = 5
+#: Training rows that one task of a fit takes at most: a forest keeps some 600 bytes of each.
+MOST_ROWS = 500_000
 
 
 def estimator(name: str, task: str, n_rows: int, params: dict | None = None, n_classes: int = 2,
@@ -229,7 +231,7 @@ def fit_final(train: DataFrame, target: str, numeric: Sequence[str], categorical
     train = labelled(train.filter(F.col(f"`{target}`").isNotNull()), target, task)
     classes = train.schema["label"].metadata.get("ml_attr", {}).get("vals", [])
     plan = prep.fit_prep(train, numeric, categorical)
-    data = pin(prep.transform(train, plan, ["label"]))
+    data = spread(pin(prep.transform(train, plan, ["label"])), MOST_ROWS)
     seen = data.agg(F.count("label").alias("n"), F.max("label").alias("top"), F.stddev_pop("label").alias("sd")).first()
     n_classes = int(seen["top"] or 0) + 1 if task == "classification" else 0
     weight_col = None
@@ -276,34 +278,49 @@ def importance_rows(spark: SparkSession, rows: Sequence[tuple[str, float]]) -> D
 def sampled_shapley(model, explain: DataFrame, background: DataFrame, features: Sequence[str], key: str, output: str,
                     permutations: int = SHAPLEY_PERMUTATIONS, seed: int = 42,
                     max_background: int = BACKGROUND_ROWS) -> DataFrame:
-    """H2/H3: Monte-Carlo Shapley values (``attribution`` has the exact ones).  Explained rows x background rows x permutations
-    x (k + 1) prefixes are generated by explodes, scored by one ``transform``, and the
-    marginal gains are averaged by ``groupBy(key, feature)``.  Every row of ``explain`` is
-    explained; ``background`` is the caller's draw of at most ``max_background`` rows, and refused beyond."""
+    """H2/H3: Monte-Carlo Shapley values (``attribution`` has the exact ones): a feature's mean marginal gain over
+    background rows x permutations.  Every row of ``explain`` is explained; ``background`` is the caller's draw
+    of at most ``max_background`` rows, and refused beyond.
+
+    Permutations share their prefixes, so the model scores each of a row's coalitions once for each background
+    row, all features known once for each row, and none known once in all.  A coalition carries how often a
+    feature's gain ends at it, less how often it begins there, and the values are one sum by ``key``."""
     k = len(features)
     x = explain.select(F.col(key).alias("_key"), *[F.col(f).alias(f"x_{f}") for f in features])
     # the background travels as a literal array: each explained row explodes it, no join
     bg = background.select(*features).limit(max_background + 1).collect()
     if len(bg) > max_background:
         raise ValueError(f"the background has more than {max_background} rows")
-    b_arr = F.array(*[F.struct(F.lit(i).alias("_b"), *[F.lit(r[f]).alias(f"b_{f}") for f in features])
-                      for i, r in enumerate(bg)])
+    if not bg:
+        raise ValueError("the background is empty")
+    kinds = {f: explain.schema[f].dataType for f in features}
+    b_arr = F.array(*[F.struct(*[F.lit(r[f]).cast(kinds[f]).alias(f"b_{f}") for f in features]) for r in bg])
+    nothing = explain.sparkSession.createDataFrame([tuple(r) for r in bg], background.select(*features).schema)
+    f_none = model.transform(nothing.withColumn("_key", F.lit(0))).agg(F.avg(F.col(output).cast("double"))).first()[0]
     # a seeded permutation per (row, draw): sort feature indices by a hash of (key, draw, index)
-    perm = F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.struct(
-        F.xxhash64(F.col("_key"), F.col("_p"), j, F.lit(seed)).alias("h"), j.alias("j")))), lambda s: s["j"])
-    grid_ = x.select("*", F.explode(b_arr).alias("_bg")).select("*", "_bg.*").drop("_bg")
-    grid_ = grid_.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))) \
-        .withColumn("_perm", perm).withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(k))))
-    # feature j comes from x when its position in the permutation is < step
-    cols = []
-    for j, f in enumerate(features):
-        pos = F.array_position(F.col("_perm"), F.lit(j)) - 1
-        cols.append(F.when(pos < F.col("_step"), F.col(f"x_{f}")).otherwise(F.col(f"b_{f}")).alias(f))
-    pts = grid_.select("_key", "_b", "_p", "_perm", "_step", *cols)
-    scored = model.transform(pts).select("_key", "_b", "_p", "_perm", "_step", F.col(output).cast("double").alias("_f"))
-    w = Window.partitionBy("_key", "_b", "_p").orderBy("_step")  # k + 1 rows each
-    gains = scored.withColumn("_g", F.col("_f") - F.lag("_f").over(w)).filter(F.col("_step") > 0) \
-        .withColumn("_j", F.element_at(F.col("_perm"), F.col("_step")))
-    names = F.array(*[F.lit(f) for f in features])
-    return gains.groupBy("_key", "_j").agg(F.avg("_g").alias("shap")).select(
-        F.col("_key").alias(key), F.element_at(names, F.col("_j") + 1).alias("feature"), r6(F.col("shap")).alias("shap"))
+    index = F.sequence(F.lit(0), F.lit(k - 1))
+    perms = F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), lambda p: F.transform(F.array_sort(F.transform(
+        index, lambda j: F.struct(F.xxhash64(F.col("_key"), p, j, F.lit(seed)).alias("h"), j.alias("j")))), lambda s: s["j"]))
+    # the prefixes: the features known, the one that came last and the one that comes next (none: -1)
+    ways = F.flatten(F.transform(F.col("_perms"), lambda perm: F.transform(F.sequence(F.lit(1), F.lit(k)), lambda step: F.struct(
+        F.transform(index, lambda j: F.array_position(perm, j) <= step).alias("known"),
+        F.element_at(perm, step).alias("last"),
+        F.when(step < k, F.get(perm, step)).otherwise(-1).alias("next")))))
+    weights = F.transform(F.array_distinct(F.col("_ways.known")), lambda known: F.struct(known.alias("known"), F.transform(
+        index, lambda j: F.aggregate(F.filter("_ways", lambda w: w["known"] == known), F.lit(0), lambda n, w:
+                                     n + F.when(w["last"] == j, 1).when(w["next"] == j, -1).otherwise(0))).alias("weight")))
+    full = F.forall("_c.known", lambda known: known)
+    firsts = F.transform(index, lambda j: F.size(F.filter("_perms", lambda perm: F.get(perm, F.lit(0)) == j)))
+    rows = x.withColumn("_perms", perms).withColumn("_ways", ways).select(
+        "*", F.explode(weights).alias("_c")).withColumn("_full", full)
+    rows = rows.withColumn("_bg", F.explode(F.when(F.col("_full"), F.slice(b_arr, 1, 1)).otherwise(b_arr)))
+    pts = rows.select("_key", "_full", F.col("_c.weight").alias("_weight"), F.when(F.col("_full"), firsts).alias("_firsts"), *[
+        F.when(F.get("_c.known", F.lit(j)), F.col(f"x_{f}")).otherwise(F.col("_bg")[f"b_{f}"]).alias(f) for j, f in enumerate(features)])
+    scored = model.transform(pts).select("_key", "_full", "_weight", "_firsts", F.col(output).cast("double").alias("_f"))
+    # the outputs of a coalition count by its share of the background
+    share = F.when(F.col("_full"), F.lit(1.0)).otherwise(1.0 / len(bg)) * F.col("_f")
+    gain = [F.sum(F.get("_weight", F.lit(j)) * share) - F.sum(F.get("_firsts", F.lit(j))) * F.lit(f_none) for j in range(k)]
+    n = F.count_if("_full")  # rows of the key: one, else the mean gain is once more shared among them
+    sums = scored.groupBy("_key").agg(*[(g / (permutations * n * n)).alias(f"_p{j}") for j, g in enumerate(gain)])
+    out = F.array(*[F.struct(F.lit(f).alias("feature"), r6(F.col(f"_p{j}")).alias("shap")) for j, f in enumerate(features)])
+    return sums.select(F.col("_key").alias(key), F.inline(out)).withColumn("shap", F.col("shap") + F.lit(0.0))  # no -0

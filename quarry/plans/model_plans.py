@@ -8,7 +8,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import functions as F
 
 from ..functions.columns import phash, phash_sql, r6
-from ..functions.materialize import pin
+from ..functions.materialize import pin, spread
 from ..operators import attribution, calibrate, folds, models
 from .eval_plans import LI_BIN_SQL, li_binary
 from .quality import LI_HASH, LI_KEY
@@ -121,7 +121,7 @@ def part_split(spark, sf):
 
 def part_forest(spark, sf):
     """A forest with the preparation that cross-validation uses, refitted on the training split."""
-    s = pin(part_split(spark, sf))
+    s = spread(pin(part_split(spark, sf)))
     train = s.filter(F.col("split") == "train")
     return s, models.fit_final(train, "p_retailprice", PART_NUM, PART_CAT, "random_forest", "regression",
                                {"n_estimators": 100, "max_depth": 10})
