@@ -5,7 +5,8 @@ path every feature has one condition (an interval, or a set of categories) and o
 training rows that goes the path's way at that feature's nodes.  With o_j = 1 where a row meets the condition
 and z_j the share, a leaf is worth value * prod(o_j for known j) * prod(z_j for the others), and its Shapley
 values follow from the symmetric sums of that product, whatever the row.  Rows that meet the same conditions
-of a leaf have the same values there, so each pattern is computed once in a batch.
+of a leaf have the same values there, so each pattern is computed once in a batch; and rows between the same
+thresholds of the whole model (a cell) have the same attributions, so each cell is computed once in a batch.
 
 Other models.  All coalitions of the features (or a seeded draw where there are too many) form one
 weighted least-squares problem whose left side doesn't depend on the row: it is solved once, and a row's
@@ -31,8 +32,9 @@ BACKGROUND_ROWS = 20
 #: Features up to which every coalition is weighed; beyond, MAX_COALITIONS are drawn in pairs.
 ALL_COALITIONS = 11
 MAX_COALITIONS = 2048
-#: Rows explained at a time in a task.
+#: Rows explained at a time in a task, and numbers of the rows that a task looks through for equal cells.
 ROWS = 4096
+LOOK_THROUGH = 1 << 22
 
 
 @dataclass
@@ -46,7 +48,8 @@ class Condition:
     def holds(self, x: np.ndarray) -> np.ndarray:
         if self.allowed is not None:
             return np.isin(x, list(self.allowed))
-        return ~(x <= self.low) & ((x <= self.high) | (self.high == math.inf))  # NaN goes right, as in the trees
+        above = ~(x <= self.low) | (self.low == -math.inf)
+        return above & ((x <= self.high) | (self.high == math.inf))  # NaN goes right, as in the trees
 
 
 @dataclass
@@ -160,25 +163,69 @@ def path_attributions(paths: Sequence[Path], x: np.ndarray) -> np.ndarray:
     return out
 
 
+def model_edges(paths: Sequence[Path], width: int) -> list[np.ndarray | None]:
+    """Per feature the thresholds that any path has, in order; None for a feature that splits by categories."""
+    edges: list = [set() for _ in range(width)]
+    for p in paths:
+        for f, c in zip(p.features, p.conditions):
+            if c.allowed is not None:
+                edges[f] = None
+            elif edges[f] is not None:
+                edges[f].update(t for t in (c.low, c.high) if math.isfinite(t))
+    return [None if e is None else np.array(sorted(e)) for e in edges]
+
+
+def model_cells(edges: Sequence[np.ndarray | None], x: np.ndarray) -> np.ndarray:
+    """Where each row lies between the model's thresholds: rows of one cell meet the same conditions of every path."""
+    return np.column_stack([np.where(np.isnan(x[:, f]), -1.0, x[:, f]) if e is None else np.searchsorted(e, x[:, f]).astype(float)
+                            for f, e in enumerate(edges)])
+
+
+def cell_attributions(paths: Sequence[Path], edges: Sequence[np.ndarray | None], x: np.ndarray) -> np.ndarray:
+    """``path_attributions``, each cell of the model computed once."""
+    if not x.size:
+        return np.zeros(x.shape)
+    _, first, which = np.unique(model_cells(edges, x), axis=0, return_index=True, return_inverse=True)
+    one = x[first]
+    cells = np.concatenate([path_attributions(paths, one[lo:lo + ROWS]) for lo in range(0, len(one), ROWS)])
+    return cells[which.reshape(-1)]
+
+
 def tree_shap(df: DataFrame, model, key: str, names: Sequence[str], features_col: str = "features",
-              class_index: int | None = None) -> DataFrame:
-    """H2: (key, feature, value, shap) of every row and feature, exactly.  ``df`` holds the assembled vectors."""
+              class_index: int | None = None, paths: Sequence[Path] | None = None) -> DataFrame:
+    """H2: (key, feature, value, shap) of every row and feature, exactly.  ``df`` holds the assembled vectors.
+
+    ``paths`` are the model's ``tree_paths`` where the caller has them.  A task gathers LOOK_THROUGH numbers
+    of rows before it explains them: the walk over all leaves is taken once for each cell of the model, of
+    which there are no more than thresholds and categories allow, whatever the rows."""
     spark = df.sparkSession
-    held = spark.sparkContext.broadcast(tree_paths(model, class_index))  # the model, as the executors have it anyway
+    paths = tree_paths(model, class_index) if paths is None else paths
     names = list(names)
+    held = spark.sparkContext.broadcast((paths, model_edges(paths, len(names))))  # the model, as the executors have it anyway
     rows = df.select(F.col(f"`{key}`").alias("key"), vector_to_array(F.col(features_col)).alias("x"))
     kind = rows.schema["key"].dataType.simpleString()
 
+    def explained(keys: pa.Table, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        shap = cell_attributions(*held.value, x)
+        key_of = keys.column("key").combine_chunks()
+        label = pa.array(names, pa.string())
+        for lo in range(0, len(x), ROWS):
+            n = len(x[lo:lo + ROWS])
+            yield pa.RecordBatch.from_arrays(
+                [key_of.take(pa.array(np.repeat(np.arange(lo, lo + n), len(names)))), label.take(pa.array(np.tile(np.arange(len(names)), n))),
+                 pa.array(x[lo:lo + n].ravel()), pa.array(shap[lo:lo + n].ravel())], ["key", "feature", "value", "shap"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        xs: list[np.ndarray] = []
         for b in batches:
-            for lo in range(0, b.num_rows, ROWS):
-                part = b.slice(lo, ROWS)
-                x = np.array(part.column("x").to_pylist(), float).reshape(part.num_rows, len(names))
-                shap = path_attributions(held.value, x)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("key").take(pa.array(np.repeat(np.arange(len(x)), len(names)))),
-                     pa.array(names * len(x)), pa.array(x.ravel()), pa.array(shap.ravel())],
-                    ["key", "feature", "value", "shap"])
+            kept.append(b.select(["key"]))
+            xs.append(b.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, len(names)))
+            if sum(x.size for x in xs) >= LOOK_THROUGH:
+                yield from explained(pa.Table.from_batches(kept), np.concatenate(xs))
+                kept, xs = [], []
+        if kept:
+            yield from explained(pa.Table.from_batches(kept), np.concatenate(xs))
 
     out = rows.mapInArrow(work, f"key {kind}, feature string, value double, shap double")
     return out.withColumnRenamed("key", key)

@@ -140,8 +140,9 @@ def q_forest_attribution(spark, sf):
     """H2: exact attributions of every test row by a forest of 100 trees; a row's add up to prediction minus mean."""
     s, model = part_forest(spark, sf)
     test = model.prepared(s.filter(F.col("split") == "test").select("p_partkey", *PART_NUM, *PART_CAT))
-    shap = attribution.tree_shap(test, model.estimator, "p_partkey", model.names)
-    mean = attribution.expected_value(attribution.tree_paths(model.estimator))
+    paths = attribution.tree_paths(model.estimator)
+    shap = attribution.tree_shap(test, model.estimator, "p_partkey", model.names, paths=paths)
+    mean = attribution.expected_value(paths)
     total = shap.groupBy("p_partkey").agg(F.sum("shap").alias("total"))
     pred = model.estimator.transform(test).select("p_partkey", "prediction")
     return total.join(pred, "p_partkey").select(
