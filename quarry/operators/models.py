@@ -2,8 +2,9 @@
 every fold (T6), grid tuning (T7), final importances (T10) and
 sampled Shapley attributions (H2, H3).
 
-The training table is read once and pinned with its fold column; every fold refits the preparation
-(``prep.fit_prep``), the encoder and the model on the other folds, and so does the final fit.
+The training table is read once and pinned with its fold column, over as many tasks as its rows keep busy;
+every fold refits the preparation (``prep.fit_parts``, all folds in the same passes), the encoder and the
+model on the other folds, and so does the final fit.
 Scores are exact: AUC through ``evaluate.auc`` (no binning), R^2 as 1 - SSE/SST.
 """
 
@@ -18,7 +19,7 @@ from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsR
 from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import r6
@@ -39,7 +40,7 @@ SPARK_MAX_DEPTH = 30          # "no limit" becomes Spark's deepest allowed tree
 BACKGROUND_ROWS = 20
 SHAPLEY_PERMUTATIONS = 8
 FIT_PARALLELISM = 5
-#: Training rows that one task of a fit takes at most: a forest keeps some 600 bytes of each.
+#: Training rows that one task of a tree fit takes at most: a forest keeps some 600 bytes of each.
 MOST_ROWS = 500_000
 
 
@@ -75,6 +76,10 @@ def estimator(name: str, task: str, n_rows: int, params: dict | None = None, n_c
     raise ValueError(f"unknown candidate {name}")
 
 
+def most_rows(name: str) -> int | None:
+    return MOST_ROWS if name in ("random_forest", "boosted_trees") else None
+
+
 def _score(pred: DataFrame, task: str, n_classes: int) -> DataFrame:
     """Exact per-fold score: AUC (binary), macro one-vs-rest AUC, or R^2."""
     if task == "classification":
@@ -110,48 +115,83 @@ def labelled(df: DataFrame, target: str, task: str) -> DataFrame:
     return StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc").fit(df).transform(df)
 
 
-def fold_scores(folded: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str],
+@dataclass
+class Part:
+    """A fold's training part: which rows, their number, the label's deviation or the classes' counts, the preparation."""
+    fold: int
+    inside: Column
+    n: int
+    label_std: float | None
+    classes: dict
+    plan: prep.PrepModel
+
+
+@dataclass
+class Folded:
+    """A pinned, labelled table with the training part of each fold."""
+    data: DataFrame
+    n_classes: int
+    parts: list[Part]
+
+
+def fit_folds(folded: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], task: str, k: int = 5,
+              pinned: bool = False, time_ordered: bool = False, most: int | None = None) -> Folded:
+    """What a fold's fits need besides the model, for all folds in the passes that one fold takes.
+
+    The training part is all other folds; with ``time_ordered`` only earlier ones (a model never sees the
+    future).  Labels are indexed once over the whole table, so a class that only one fold holds is known to
+    all; rows without a label take no part.  ``most`` limits the rows that a task reads."""
+    if not pinned:
+        # read once, survives executor loss (reliable checkpoint)
+        folded = spread(pin(labelled(folded.filter(F.col(f"`{target}`").isNotNull()), target, task)), most)
+    inside = [F.col("fold") < i if time_ordered else F.col("fold") != i for i in range(k)]
+    seen = folded.agg(F.max("label").alias("top"), *[F.count_if(p).alias(f"n{i}") for i, p in enumerate(inside)],
+                      *[F.stddev_pop(F.when(p, F.col("label"))).alias(f"sd{i}") for i, p in enumerate(inside)]).first()
+    counts = []
+    if task == "classification":  # one row per class
+        counts = folded.groupBy(F.col(f"`{target}`")).agg(*[F.count_if(p).alias(f"n{i}") for i, p in enumerate(inside)]).collect()
+    plans = prep.fit_parts(folded, inside, numeric, categorical)
+    return Folded(folded, int(seen["top"] or 0) + 1 if task == "classification" else 0, [
+        Part(i, p, seen[f"n{i}"], seen[f"sd{i}"], {r[0]: r[f"n{i}"] for r in counts if r[f"n{i}"]}, plans[i])
+        for i, p in enumerate(inside)])
+
+
+def fold_scores(folded: DataFrame | Folded, target: str, numeric: Sequence[str], categorical: Sequence[str],
                 name: str, task: str, params: dict | None = None, k: int = 5, pinned: bool = False,
                 time_ordered: bool = False) -> DataFrame:
     """(candidate, fold, score): per fold, fit preparation (X5-X12) and model on the training part, score the fold.
 
-    ``folded`` carries an integer ``fold`` column (from ``operators.folds``).  The training part is
-    all other folds; with ``time_ordered`` only earlier ones (a model never sees the future).  Labels
-    are indexed once over the whole table, so a class that only one fold holds is known to all;
-    rows without a label take no part."""
-    if not pinned:
-        folded = labelled(folded.filter(F.col(f"`{target}`").isNotNull()), target, task)
-    data = folded if pinned else pin(folded)  # read once, survives executor loss (reliable checkpoint)
-    n_classes = int(data.agg(F.max("label")).first()[0] or 0) + 1 if task == "classification" else 0
-
-    def fit_fold(i: int) -> DataFrame:
-        train = data.filter(F.col("fold") < i) if time_ordered else data.filter(F.col("fold") != i)
-        test = data.filter(F.col("fold") == i)
-        plan = prep.fit_prep(train, numeric, categorical)
+    ``folded`` carries an integer ``fold`` column (from ``operators.folds``), or is what ``fit_folds``
+    made of it: the preparations are then fitted already, for all candidates that share them."""
+    if not isinstance(folded, Folded):
+        folded = fit_folds(folded, target, numeric, categorical, task, k, pinned, time_ordered, most_rows(name))
+    data, n_classes = folded.data, folded.n_classes
+
+    def fit_fold(part: Part) -> DataFrame:
+        plan = part.plan
         carry = ["fold", "label", *([target] if task == "classification" else [])]
-        train, test = prep.transform(train, plan, carry), prep.transform(test, plan, carry)
+        train = prep.transform(data.filter(part.inside), plan, carry)
+        test = prep.transform(data.filter(F.col("fold") == part.fold), plan, carry)
         if task == "classification":  # the label's classes are those of the whole table
             classes = NominalAttribute(n_classes)
             train, test = classes.mark(train), classes.mark(test)
-        n = train.count()
-        label_std = None if task == "classification" else train.agg(F.stddev_pop("label")).first()[0]
         weight_col = None
         if task == "classification" and name == "logistic":
             # M6: balanced class weights n / (k * n_class) from this fold's training rows
-            counts = {r[0]: r[1] for r in train.groupBy(target).count().collect()}  # one row per class
-            tot, kk = sum(counts.values()), len(counts)
-            wmap = F.create_map(*[x for c, m in counts.items() for x in (F.lit(c), F.lit(tot / (kk * m)))])
+            tot, kk = sum(part.classes.values()), len(part.classes)
+            wmap = F.create_map(*[x for c, m in part.classes.items() for x in (F.lit(c), F.lit(tot / (kk * m)))])
             train = train.withColumn("_w", wmap[F.col(target)])
             weight_col = "_w"
-        est = estimator(name, task, n, params, n_classes, weight_col=weight_col, label_std=label_std)
+        est = estimator(name, task, part.n, params, n_classes, weight_col=weight_col,
+                        label_std=None if task == "classification" else part.label_std)
         out = Pipeline(stages=[*prep.feature_stages(plan), est]).fit(train).transform(test)
         keep = ["probability"] if task == "classification" and "probability" in out.columns else []
         return out.select("fold", "label", "prediction", *keep)
 
     # the k fits are independent Spark jobs: submit them together (CrossValidator's
     # parallelism), the scheduler interleaves their stages on the executors
-    with ThreadPoolExecutor(max_workers=min(k, FIT_PARALLELISM)) as pool:
-        scores = list(pool.map(fit_fold, range(k)))
+    with ThreadPoolExecutor(max_workers=min(len(folded.parts), FIT_PARALLELISM)) as pool:
+        scores = list(pool.map(fit_fold, folded.parts))
     pred = scores[0]
     for s in scores[1:]:
         pred = pred.unionByName(s)
@@ -159,7 +199,7 @@ def fold_scores(folded: DataFrame, target: str, numeric: Sequence[str], categori
     return per_fold.select(F.lit(name).alias("candidate"), F.col("fold").cast("int").alias("fold"), "score")
 
 
-def cross_validate(folded: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str],
+def cross_validate(folded: DataFrame | Folded, target: str, numeric: Sequence[str], categorical: Sequence[str],
                    name: str, task: str, params: dict | None = None, k: int = 5, pinned: bool = False,
                    time_ordered: bool = False) -> DataFrame:
     """Every fold's score with the candidate's mean and population deviation, rounded for show."""
@@ -187,9 +227,9 @@ def tune(folded: DataFrame, target: str, numeric, categorical, name: str, task:
     """Cross-validated mean score per grid point; ``best`` marks the maximum (R^2 is
     maximised too)."""
     rows = []
-    data = pin(labelled(folded.filter(F.col(f"`{target}`").isNotNull()), target, task))  # serves every grid point
+    data = fit_folds(folded, target, numeric, categorical, task, time_ordered=time_ordered, most=most_rows(name))  # serves every grid point
     for i, p in enumerate(points or grid(name)):
-        cv = cross_validate(data, target, numeric, categorical, name, task, p, pinned=True, time_ordered=time_ordered)
+        cv = cross_validate(data, target, numeric, categorical, name, task, p)
         rows.append(cv.groupBy("candidate").agg(F.first("cv_mean").alias("cv_mean"), F.first("cv_std").alias("cv_std"))
                     .withColumn("params", F.lit(str(p))).withColumn("point", F.lit(i)))
     out = rows[0]
@@ -231,7 +271,7 @@ def fit_final(train: DataFrame, target: str, numeric: Sequence[str], categorical
     train = labelled(train.filter(F.col(f"`{target}`").isNotNull()), target, task)
     classes = train.schema["label"].metadata.get("ml_attr", {}).get("vals", [])
     plan = prep.fit_prep(train, numeric, categorical)
-    data = spread(pin(prep.transform(train, plan, ["label"])), MOST_ROWS)
+    data = spread(pin(prep.transform(train, plan, ["label"])), most_rows(name))
     seen = data.agg(F.count("label").alias("n"), F.max("label").alias("top"), F.stddev_pop("label").alias("sd")).first()
     n_classes = int(seen["top"] or 0) + 1 if task == "classification" else 0
     weight_col = None

@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import as_double, is_numeric_type, long_rows, miss, r6, unpivot
 from ..functions.materialize import pin
-from ..functions.ranks import column_counts, exact_quantiles
+from ..functions.ranks import exact_quantiles
 
 # Imputation bands and the skew rule.
 KNN_LOW = 0.05
 KNN_HIGH = 0.30
 SKEW_LIMIT = 1.5
+#: Columns times parts that one pass takes.
+MASKED_COLUMNS = 64
 
 
 @dataclass
@@ -65,64 +67,90 @@ def _indicator(df: DataFrame, s: NumericStep) -> Column:
 
 def fit_prep(train: DataFrame, numeric_cols: Sequence[str], categorical_cols: Sequence[str] = ()) -> PrepModel:
     """X5-X10, X13 fitted on ``train``."""
-    model = PrepModel()
-    numeric_cols, categorical_cols = list(numeric_cols), list(categorical_cols)
+    return fit_parts(train, [F.lit(True)], numeric_cols, categorical_cols)[0]
+
+
+def fit_parts(df: DataFrame, parts: Sequence[Column], numeric_cols: Sequence[str],
+              categorical_cols: Sequence[str] = ()) -> list[PrepModel]:
+    """X5-X10, X13 fitted on each part of ``df`` (the rows that meet its condition), in the passes that one part takes."""
+    numeric_cols, categorical_cols, parts = list(numeric_cols), list(categorical_cols), list(parts)
+    together = max(1, MASKED_COLUMNS // max(1, len(numeric_cols) + len(categorical_cols)))
+    if len(parts) > together:
+        return [m for lo in range(0, len(parts), together)
+                for m in fit_parts(df, parts[lo:lo + together], numeric_cols, categorical_cols)]
+    models = [PrepModel() for _ in parts]
     if numeric_cols:
-        n_expr = F.count(F.lit(1))
-        aggs = [n_expr.alias("_n")]
-        for i, c in enumerate(numeric_cols):
-            x = as_double(train, c)
-            aggs += [F.count(x).alias(f"c{i}"), F.min(x).alias(f"m{i}"), F.skewness(x).alias(f"s{i}"),
-                     F.avg(x).alias(f"a{i}")]
-        row = train.agg(*aggs).first()
-        n = row["_n"]
-        steps = []
-        for i, c in enumerate(numeric_cols):
-            cnt = row[f"c{i}"]
-            rate = (n - cnt) / n if n else 0.0
-            knn = KNN_LOW < rate <= KNN_HIGH
-            indicator = knn or rate > 0
-            imputation = "knn_imputer_5" if knn else ("median_with_indicator" if indicator else "median")
-            g1 = row[f"s{i}"]
-            # bias-corrected sample skewness from the population value
-            skew = g1 * math.sqrt(cnt * (cnt - 1)) / (cnt - 2) if g1 is not None and cnt > 2 else None
-            mn = row[f"m{i}"]
-            log1p = mn is not None and mn >= 0 and skew is not None and abs(skew) > SKEW_LIMIT
-            # a single-column KNN imputer has no distances: it falls back to the mean
-            fill = row[f"a{i}"] if knn else None
-            steps.append(NumericStep(c, rate, imputation, fill, indicator, skew, log1p))
-        med = [s for s in steps if s.imputation != "knn_imputer_5"]
-        if med:
-            exprs = {s.column: as_double(train, s.column) for s in med}
-            q = exact_quantiles(train, exprs, [0.5])
-            for s in med:
-                s.fill_value = q[(s.column, 0.5)]
         aggs = []
-        for i, s in enumerate(steps):
-            v = _imputed(train, s)
-            aggs += [F.avg(v).alias(f"mu{i}"), F.stddev_pop(v).alias(f"sd{i}")]
-            if s.indicator:
-                ind = _indicator(train, s)
-                aggs += [F.avg(ind).alias(f"imu{i}"), F.stddev_pop(ind).alias(f"isd{i}")]
-        row = train.agg(*aggs).first()
-        for i, s in enumerate(steps):
-            s.mean, s.std = row[f"mu{i}"], row[f"sd{i}"]
-            if s.indicator:
-                s.ind_mean, s.ind_std = row[f"imu{i}"], row[f"isd{i}"]
-        model.numeric = steps
+        for p, inside in enumerate(parts):
+            aggs.append(F.count_if(inside).alias(f"n{p}"))
+            for i, c in enumerate(numeric_cols):
+                x = F.when(inside, as_double(df, c))
+                aggs += [F.count(x).alias(f"c{p}_{i}"), F.min(x).alias(f"m{p}_{i}"), F.skewness(x).alias(f"s{p}_{i}"),
+                         F.avg(x).alias(f"a{p}_{i}")]
+        row = df.agg(*aggs).first()
+        for p, model in enumerate(models):
+            n = row[f"n{p}"]
+            for i, c in enumerate(numeric_cols):
+                cnt = row[f"c{p}_{i}"]
+                rate = (n - cnt) / n if n else 0.0
+                knn = KNN_LOW < rate <= KNN_HIGH
+                indicator = knn or rate > 0
+                imputation = "knn_imputer_5" if knn else ("median_with_indicator" if indicator else "median")
+                g1 = row[f"s{p}_{i}"]
+                # bias-corrected sample skewness from the population value
+                skew = g1 * math.sqrt(cnt * (cnt - 1)) / (cnt - 2) if g1 is not None and cnt > 2 else None
+                mn = row[f"m{p}_{i}"]
+                log1p = mn is not None and mn >= 0 and skew is not None and abs(skew) > SKEW_LIMIT
+                # a single-column KNN imputer has no distances: it falls back to the mean
+                fill = row[f"a{p}_{i}"] if knn else None
+                model.numeric.append(NumericStep(c, rate, imputation, fill, indicator, skew, log1p))
+        exprs, counts = {}, {}
+        for p, model in enumerate(models):
+            for i, s in enumerate(model.numeric):
+                if s.imputation != "knn_imputer_5":
+                    exprs[(p, i)] = F.when(parts[p], as_double(df, s.column))
+                    counts[(p, i)] = row[f"c{p}_{i}"]
+        if exprs:
+            q = exact_quantiles(df, exprs, [0.5], counts=counts)
+            for p, i in exprs:
+                models[p].numeric[i].fill_value = q[((p, i), 0.5)]
+        aggs = []
+        for p, model in enumerate(models):
+            for i, s in enumerate(model.numeric):
+                v = F.when(parts[p], _imputed(df, s))
+                aggs += [F.avg(v).alias(f"mu{p}_{i}"), F.stddev_pop(v).alias(f"sd{p}_{i}")]
+                if s.indicator:
+                    ind = F.when(parts[p], _indicator(df, s))
+                    aggs += [F.avg(ind).alias(f"imu{p}_{i}"), F.stddev_pop(ind).alias(f"isd{p}_{i}")]
+        row = df.agg(*aggs).first()
+        for p, model in enumerate(models):
+            for i, s in enumerate(model.numeric):
+                s.mean, s.std = row[f"mu{p}_{i}"], row[f"sd{p}_{i}"]
+                if s.indicator:
+                    s.ind_mean, s.ind_std = row[f"imu{p}_{i}"], row[f"isd{p}_{i}"]
     if categorical_cols:
-        model.categorical = most_frequent(train, categorical_cols)
-    return model
+        for model, modes in zip(models, _modes(df, parts, categorical_cols)):
+            model.categorical = modes
+    return models
 
 
 def most_frequent(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:
     """Per column the most frequent non-missing value, ties to the smallest."""
-    long = unpivot(df, [], cols, name_col="column_name", value_type="string").filter("value IS NOT NULL")
-    counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("column_name").agg(
-        F.min_by("value", F.struct((-F.col("n")).alias("neg"), F.col("value").alias("v"))).alias("mode"))
-    found = {r["column_name"]: r["mode"] for r in best.collect()}  # one row per column
-    return {c: found.get(c) for c in cols}
+    return _modes(df, [F.lit(True)], cols)[0]
+
+
+def _modes(df: DataFrame, parts: Sequence[Column], cols: Sequence[str]) -> list[dict[str, str | None]]:
+    """``most_frequent`` in each part."""
+    free = "_" * (1 + max(map(len, df.columns)))  # longer than any column's name
+    marks = [f"{free}{p}" for p in range(len(parts))]
+    marked = df.select("*", *[inside.alias(m) for inside, m in zip(parts, marks)])
+    long = unpivot(marked, marks, cols, name_col="column_name", value_type="string").filter("value IS NOT NULL")
+    counts = long.groupBy("column_name", "value").agg(*[F.count_if(m).alias(m) for m in marks])
+    best = counts.groupBy("column_name").agg(*[
+        F.min_by("value", F.when(F.col(m) > 0, F.struct((-F.col(m)).alias("neg"), F.col("value").alias("v")))).alias(m)
+        for m in marks])
+    found = {r["column_name"]: r for r in best.collect()}  # one row per column
+    return [{c: found[c][m] if c in found else None for c in cols} for m in marks]
 
 
 def _safe_std(sd):
