@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_numeric_type
-from ..functions.materialize import pin
+from ..functions.materialize import pin, spread
 from . import baselines, evaluate, explain, folds, models, prep, risk, sessions
 
 
@@ -62,15 +62,18 @@ def run(df: DataFrame, target: str, task: str, key_cols: Sequence[str], candidat
         *[F.col(f"`{c}`") for c in dict.fromkeys([*keys, target, *features, *slice_cols])])
     split = folds.random_split(rows, keys, hash_cols=hash_cols) if task == "regression" else \
         folds.stratified_split(rows, target, keys, hash_cols=hash_cols)
-    split = pin(split)
+    split = spread(pin(split))
     train, test = (split.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
-    folded = pin(folds.kfold(train, keys, hash_cols=hash_cols) if task == "regression" else folds.stratified_kfold(train, target, keys))
+    # with the label of the fits, so that they needn't write the table once more
+    folded = pin(models.labelled(folds.kfold(train, keys, hash_cols=hash_cols), target, task) if task == "regression" else
+                 folds.stratified_kfold(train, target, keys))
+    parts = models.fit_folds(folded, target, numeric, categorical, task, pinned=task == "regression")
     if task == "regression":
         cv = baselines.dummy_cv_regression(folded, target, "fold")
     else:
         cv = baselines.dummy_cv_classification(folded, target, keys, "fold")
     scorer = cv.select("scorer").first()[0]
-    real = [models.fold_scores(folded, target, numeric, categorical, name, task, p).groupBy("candidate").agg(
+    real = [models.fold_scores(parts, target, numeric, categorical, name, task, p).groupBy("candidate").agg(
         F.avg("score").alias("cv_mean"), F.stddev_pop("score").alias("cv_std")) for name, p in candidates.items()]
     cv = pin(reduce(DataFrame.unionByName, real, cv.select("candidate", "cv_mean", "cv_std")).withColumn("scorer", F.lit(scorer)))
     ranked = pin(baselines.baseline_gate(cv, task))
@@ -99,7 +102,7 @@ def run(df: DataFrame, target: str, task: str, key_cols: Sequence[str], candidat
         F.count(F.lit(1)).alias("k"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(
             "pair_index", F.concat_ws("~", "feature_a", "feature_b").alias("p")))), lambda x: x["p"]), ", ").alias("names"))
     own = exact.filter(F.col("candidate") == name)
-    parts = {
+    found = {
         "cv_mean": m(own, "cv_mean", F.col("cv_mean")), "cv_std": m(own, "cv_std", F.col("cv_std")),
         "beats_baseline": m(own, "beats_baseline", F.col("beats_baseline").cast("double")),
         "holdout": m(hold, "holdout", F.col("h")), "ece": m(ece, "ece", F.col("e")),
@@ -109,8 +112,8 @@ def run(df: DataFrame, target: str, task: str, key_cols: Sequence[str], candidat
     if slices is not None:
         failed = slices.filter(~F.col("pass_gate")).agg(
             F.count(F.lit(1)).alias("k"), F.concat_ws(", ", F.sort_array(F.collect_list(F.concat_ws("=", "slice_column", "slice_value")))).alias("names"))
-        parts["failed_slices"] = m(failed, "failed_slices", F.col("k"), F.col("names"))
+        found["failed_slices"] = m(failed, "failed_slices", F.col("k"), F.col("names"))
     else:
-        parts["failed_slices"] = m(own, "failed_slices", F.lit(0.0), F.lit(""))
-    metrics = pin(risk.metrics_row(parts))
+        found["failed_slices"] = m(own, "failed_slices", F.lit(0.0), F.lit(""))
+    metrics = pin(risk.metrics_row(found))
     return Verdict(ranked, name, metrics, risk.post_training_flags(metrics, task), risk.pass_gate(metrics, task))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -80,15 +81,18 @@ def verdict(spark, sf, target: str) -> chain.Verdict:
 @query("chain_verdict", sql=sqlkit.union_all([_gate_sql(t, y) for t, y in TASKS.items()]))
 def q_chain_verdict(spark, sf):
     """Two tasks run from the table to their next steps."""
-    parts = []
-    for task, target in TASKS.items():
+
+    def of(task: str, target: str) -> DataFrame:
         v = verdict(spark, sf, target)
         dummy = v.candidates.filter("is_dummy").agg(F.max("cv_mean").alias("best_dummy"))
         m = v.metrics.select(F.col("dominant_share_v").alias("s"), F.col("dominant_share_t").alias("f"), F.col("failed_slices_v").alias("k"))
         one = [x.withColumn("task", F.lit(task)) for x in (dummy, m, v.gate, v.next_steps([0, 3]))]
         row = reduce(lambda a, b: a.join(b, "task"), one)
-        parts.append(row.select(
+        return row.select(
             "task", F.lit(v.selected).alias("selected"), r6(F.col("best_dummy")).alias("best_dummy"), "cv_mean", "cv_std", "holdout",
             F.round("rel_gap", 4).alias("rel_gap"), F.round("s", 4).alias("dominant_share"), F.col("f").alias("dominant_feature"),
-            F.col("k").cast("bigint").alias("failed_slices"), "beats_baseline", "pass_gate", "retries", "next_step"))
-    return reduce(DataFrame.unionByName, parts)
+            F.col("k").cast("bigint").alias("failed_slices"), "beats_baseline", "pass_gate", "retries", "next_step")
+
+    # the chains are independent: one's single aggregates run beside the other's passes
+    with ThreadPoolExecutor(max_workers=len(TASKS)) as pool:
+        return reduce(DataFrame.unionByName, pool.map(of, TASKS, TASKS.values()))
