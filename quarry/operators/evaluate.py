@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import long_rows, r6, safe_corr, unpivot
+from ..functions.materialize import pin
 
 # ECE bins, slice size and gates.
 ECE_BINS = 10
@@ -42,8 +43,9 @@ def score_curve(df: DataFrame, label: Column, score: Column, group_cols: Sequenc
     base = df.select(*[F.col(f"`{c}`") for c in gcols], label.cast("long").alias("_y"),
                      score.cast("double").alias("score"))
     base = base.filter(F.col("score").isNotNull() & ~F.isnan("score") & F.col("_y").isNotNull())
-    g = base.groupBy(*gcols, "score").agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg"))
-    distinct = base.agg(F.approx_count_distinct("score")).first()[0] or 0
+    # computed once: the rows below may cost a model's prediction each
+    g = pin(base.groupBy(*gcols, "score").agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg")))
+    distinct = g.agg(F.approx_count_distinct("score")).first()[0] or 0
     buckets = max(1, math.ceil(distinct / DISTINCT_SCORES_PER_BUCKET))
     if buckets == 1:
         # at most DISTINCT_SCORES_PER_BUCKET distinct scores: one window per group is bounded
