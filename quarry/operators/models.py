@@ -87,8 +87,9 @@ def _score(pred: DataFrame, task: str, n_classes: int) -> DataFrame:
         if probs is None:  # one-vs-rest without probabilities: hard votes as scores
             probs = F.array(*[(F.col("prediction") == k).cast("double") for k in range(n_classes)])
         classes = list(range(n_classes)) if n_classes > 2 else [1]
+        pred = pin(pred.select("fold", "label", probs.alias("_s")))  # read several times, predicted once
         long = pred.select("fold", F.explode(F.array(*[
-            F.struct(F.lit(k).alias("k"), (F.col("label") == k).cast("int").alias("y"), probs[k].alias("s"))
+            F.struct(F.lit(k).alias("k"), (F.col("label") == k).cast("int").alias("y"), F.col("_s")[k].alias("s"))
             for k in classes])).alias("r")).select("fold", "r.*")
         a = auc(long, F.col("y"), F.col("s"), ["fold", "k"])
         return a.groupBy("fold").agg(F.when(F.every(F.col("auc").isNotNull()), F.avg("auc"))

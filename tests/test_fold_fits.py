@@ -1,6 +1,7 @@
 """What the folds' fits share: one pass for all preparations, one for the scores, parts of even size."""
 
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from quarry.functions.materialize import LEAST_ROWS, pin
@@ -49,7 +50,9 @@ def test_scores_are_computed_once(spark):
         for b in batches:
             seen.add(b.num_rows)
             yield b
-    df = spark.range(n).select((F.col("id") % 2).cast("int").alias("y"), F.col("id").cast("double").alias("s"))
-    got = evaluate.auc(df.mapInArrow(count, df.schema), F.col("y"), F.col("s")).first()
-    assert got["auc"] == pytest.approx(0.5 + 1 / n)
+    df = spark.range(n).select(F.lit(0).alias("fold"), (F.col("id") % 2).cast("double").alias("label"), F.col("id").cast("double").alias("s"))
+    pred = df.mapInArrow(count, df.schema).select("fold", "label", F.lit(0.0).alias("prediction"), array_to_vector(
+        F.array(-F.col("s"), F.col("s"))).alias("probability"))
+    got = models._score(pred, "classification", 2).first()
+    assert got["score"] == pytest.approx(0.5 + 1 / n)
     assert seen.value == n
