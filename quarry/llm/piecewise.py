@@ -21,15 +21,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from .token_files import _SPACES
-
 #: Entries of the younger of the memory's two tables (about 100 MB each); a full one becomes the older one.
 KEPT = 500_000
 #: Strings in one text, and texts in one call of the library.
 JOINED = 32
 CALL = 1_000
+# White space as the tokenizer's pattern sees it, without the space itself.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
 # Marks that the pattern always parts from the letter or digit before them.
 MARKS = ".,;:!?"
+_MARK, _ALNUM = np.full(256, -1), np.zeros(256, bool)
+_MARK[list(MARKS.encode())] = np.arange(len(MARKS))
+_ALNUM[[b for b in range(128) if chr(b).isalnum()]] = True
 _VISIBLE = re.compile(r" ?\S+")
 #: A space beside other white space, as Arrow's regular expressions have it.
 _SPACED = f" [ {_SPACES}]|[{_SPACES}] "
@@ -67,6 +70,7 @@ class PieceEncoder:
         self.strings = Memory()
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None  # the id of a line break
+        self.marks = self.library(list(MARKS))
 
     def library(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed."""
@@ -119,26 +123,55 @@ class PieceEncoder:
         split = pc.split_pattern(pc.if_else(odd, "", values), " ")
         starts = split.offsets.to_numpy()
         flat = split.values.dictionary_encode()
+        marked, mark = _marked(flat.dictionary)
+        bare = pc.utf8_rtrim(flat.dictionary.filter(pa.array(marked)), MARKS)
+        rest = flat.dictionary.filter(pa.array(~marked))
+        strings = pa.chunked_array([rest, bare], pa.large_string()).combine_chunks().dictionary_encode()
         # no piece holds a space, so they come over as one string
-        one = pa.ListArray.from_arrays(pa.array([0, len(flat.dictionary)], pa.int32()), flat.dictionary)
-        pieces = pc.binary_join(one, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ") if len(flat.dictionary) else []
+        one = pa.ListArray.from_arrays(pa.array([0, len(strings.dictionary)], pa.int32()), strings.dictionary)
+        pieces = pc.binary_join(one, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ") if len(strings.dictionary) else []
+        coded = [*self._pieces(pieces), *self.marks, b""]
+        number = np.empty((len(marked), 2), np.int64)  # the string before the mark, and the mark or nothing
+        number[~marked, 0], number[marked, 0] = np.split(strings.indices.to_numpy(zero_copy_only=False), [len(rest)])
+        number[:, 1] = len(pieces) + np.where(marked, mark, len(MARKS))
+        held, lengths = self._gathered(*self._joined(coded), number.ravel())
         # a text's first piece has no space before it; a whole text is that one piece
-        firsts = self.library([t if w or (e := t.find(" ")) < 0 else t[:e] for t, w in zip(texts, whole)])
-        coded = [*self._pieces(pieces), *firsts]
-        size = self.kind.itemsize
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // size
-        held = np.frombuffer(b"".join(coded), self.kind)
-        begins = np.cumsum(lengths) - lengths
+        firsts, of_first = self._joined(self.library([t if w or (e := t.find(" ")) < 0 else t[:e] for t, w in zip(texts, whole)]))
         which = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        which[starts[:-1]] = len(pieces) + np.arange(len(texts))
-        of_piece = lengths[which]
-        ends = np.cumsum(of_piece)
-        at = np.repeat((begins[which] - (ends - of_piece)).astype(np.int32), of_piece)
-        at += np.arange(len(at), dtype=np.int32)
-        raw = held[at].tobytes()
-        edges = (np.concatenate([[0], ends])[starts] * size).tolist()
+        which[starts[:-1]] = len(marked) + np.arange(len(texts))
+        ids, of_piece = self._gathered(np.concatenate([held, firsts]), np.concatenate([lengths.reshape(-1, 2).sum(axis=1), of_first]), which)
+        raw = ids.tobytes()
+        edges = (np.concatenate([[0], np.cumsum(of_piece)])[starts] * self.kind.itemsize).tolist()
         return [raw[a:b] for a, b in zip(edges, edges[1:])]
 
+    def _joined(self, coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, the number of each string's)."""
+        return np.frombuffer(b"".join(coded), self.kind), np.fromiter(map(len, coded), np.int64, len(coded)) // self.kind.itemsize
+
+    @staticmethod
+    def _gathered(held: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of the strings that ``which`` names, one after the other, and the number of each string's)."""
+        begins, of = np.cumsum(lengths) - lengths, lengths[which]
+        ends = np.cumsum(of)
+        at = np.repeat((begins[which] - (ends - of)).astype(np.int32), of)
+        at += np.arange(len(at), dtype=np.int32)
+        return held[at], of
+
+
+def _marked(pieces: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces that are visible characters up to an ASCII letter or digit and one mark behind it, the mark's place).
+
+    These come apart before the mark (see ``split_piece``); pieces that need a closer look aren't among them."""
+    ends = np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1, 8 * pieces.offset)
+    raw = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)
+    long = np.diff(ends) >= 2
+    behind = np.where(long, ends[1:], 2)
+    if not long.any():
+        return long, np.zeros(len(pieces), np.int64)
+    mark = _MARK[raw[behind - 1]]
+    lined = pc.match_substring(pieces, "\n").to_numpy(zero_copy_only=False)
+    return long & (mark >= 0) & _ALNUM[raw[behind - 2]] & ~lined, mark
+
 
 def split_piece(piece: str) -> tuple[str, ...]:
     """The strings whose ids, one after the other, are those of a space and the piece."""

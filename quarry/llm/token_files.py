@@ -20,72 +20,26 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from .common import Scratch, bounded_batches, pin
+from .piecewise import encoder
 
 END = 0
 SHARD = 1 << 21
 #: Pairs replaced in one round, and how often a pair must occur.
 PAIRS = 1024
 MIN_COUNT = 2
-#: Pieces of text a worker remembers (about 200 MB); beyond it the table is emptied.
-KEPT = 1_000_000
-# White space as the tokenizer's pattern sees it, without the space itself.
-_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
-_ASCII_PAIRS = ["  ", *(p for c in _SPACES if c < "\x80" for p in (" " + c, c + " "))]
-_PAIRS_OF_SPACES = ["  ", *(p for c in _SPACES for p in (" " + c, c + " "))]
-
-
-class Encoder:
-    """Ids by the tokenizers library; pieces that begin with a lone space are encoded once and remembered.
-
-    The byte-level pattern never joins what stands before a space between two visible characters
-    with what follows, so the ids of a text are those of its pieces, one after the other.  Texts in
-    which a space meets other white space, or that hold special tokens, are encoded whole.
-    """
-
-    def __init__(self, spec: str):
-        self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.table: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        ends = [0, *accumulate(2 * len(x) for x in ids)]
-        flat = np.fromiter(chain.from_iterable(ids), "<u2", ends[-1] // 2).tobytes()
-        return [flat[a:b] for a, b in zip(ends, ends[1:])]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 16-bit integers."""
-        whole = [any(x in t for x in self.special) or any(
-            x in t for x in (_ASCII_PAIRS if t.isascii() else _PAIRS_OF_SPACES)) for t in texts]
-        lists = [[] if w else t.split(" ") for t, w in zip(texts, whole)]
-        wanted: set[str] = set()
-        for pieces in lists:
-            wanted.update(pieces[1:])
-        if len(self.table) + len(wanted) > KEPT:
-            self.table.clear()
-        todo = [p for p in wanted if p not in self.table]
-        for k in range(0, len(todo), 10_000):
-            part = todo[k:k + 10_000]
-            self.table.update(zip(part, self._whole([" " + p for p in part])))
-        firsts = iter(self._whole([p[0] for p in lists if p]))
-        others = iter(self._whole([t for t, w in zip(texts, whole) if w]))
-        get = self.table.__getitem__
-        return [next(others) if w else next(firsts) + b"".join(map(get, p[1:])) for p, w in zip(lists, whole)]
-
-
-_ENCODERS: dict[str, Encoder] = {}
-_ODD = np.uint32(2654435761)
+#: Characters of text encoded at a time.
+TEXT = 12 << 20
+#: log2 of the places that pairs are hashed to.
+PLACES = 18
+#: A key that no pair has: the last symbol is made when no room is left for others.
+_NO_PAIR = np.uint32((1 << 32) - 1)
 
 
 def _place_in_run(at: np.ndarray) -> np.ndarray:
@@ -94,36 +48,66 @@ def _place_in_run(at: np.ndarray) -> np.ndarray:
     return order - np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, order, 0))
 
 
+def _frequent(key: np.ndarray, take: int, guess: int) -> tuple[np.ndarray, int]:
+    """(the ``take`` most frequent pairs in order, a count that all of them reach); ties go to the smaller pair.
+
+    Every pair occurs ``MIN_COUNT`` times.  ``guess`` is where the search begins; it falls until enough pairs
+    occur so often."""
+    key = np.sort(key)
+    key = key[:np.searchsorted(key, _NO_PAIR)]
+    guess = min(guess, len(key) // take)  # not more can occur so often
+    while True:
+        guess = max(guess, MIN_COUNT)
+        often = key[guess - 1:][key[guess - 1:] == key[:len(key) - guess + 1]]
+        pair = often[np.concatenate([[True], often[1:] != often[:-1]])[:len(often)]]
+        if len(pair) >= take or guess == MIN_COUNT:
+            break
+        guess = guess * 3 // 4 if guess > 8 else guess - 1
+    if len(pair) <= take:
+        return pair, guess
+    count = np.searchsorted(key, pair, "right") - np.searchsorted(key, pair)
+    least = int(np.partition(count, -take)[-take])
+    above, ties = pair[count > least], pair[count == least]
+    return np.sort(np.concatenate([above, ties[:take - len(above)]])), least
+
+
+def _matches(key: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions that hold one of the pairs, which one)."""
+    factor, no = 2654435761, np.arange(1, len(pair) + 1)
+    while True:  # a factor under which no two pairs share a place
+        hashed = lambda k, f=np.uint32(factor): (k * f) >> np.uint32(32 - PLACES)
+        table = np.zeros(1 << PLACES, np.uint16)
+        table[hashed(pair)] = no
+        if (table[hashed(pair)] == no).all():
+            break
+        factor = (factor * 1664525 + 1013904222) % (1 << 32) | 1
+    which = table[hashed(key)]
+    at = np.flatnonzero(which != 0)
+    which = which[at].astype(np.int64) - 1
+    hit = pair[which] == key[at]
+    return at[hit], which[hit]
+
+
 def compress(ids: np.ndarray, lengths: np.ndarray, terminals: int) -> bytes:
     """The file of one shard: ``ids`` of its documents one after the other, ``lengths`` ids each."""
     s = ids.astype(np.uint32)
-    last = np.zeros(len(s), bool)
-    last[np.cumsum(lengths) - 1] = True
-    left, right = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
-    room, most = (1 << 16) - terminals, PAIRS
+    last = np.cumsum(lengths) - 1  # each document's last symbol
+    left, right, sizes = np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.ones(terminals, np.uint32)
+    room, most, guess = (1 << 16) - terminals, PAIRS, len(s)
     while len(s) > 1 and len(left) < room:
-        key = s[:-1] << np.uint32(16) | s[1:]
-        inside = ~last[:-1]  # a pair never holds symbols of two documents
-        same = np.flatnonzero(inside & (s[:-1] == s[1:]))
-        count_here = inside.copy()
-        count_here[same[_place_in_run(same) % 2 == 1]] = False  # "aaa" holds "aa" once
-        pair, count = np.unique(key[count_here], return_counts=True)
-        often = np.flatnonzero(count >= MIN_COUNT)
-        if not len(often):
+        key = s[:-1] << np.uint32(16)
+        key |= s[1:]
+        key[last[:-1]] = _NO_PAIR  # a pair never holds symbols of two documents
+        same = np.flatnonzero(s[:-1] == s[1:])
+        same = same[key[same] != _NO_PAIR]
+        same = same[_place_in_run(same) % 2 == 1]  # "aaa" holds "aa" once
+        double = key[same]
+        key[same] = _NO_PAIR
+        pair, guess = _frequent(key, min(most, room - len(left)), guess)
+        if not len(pair):
             break
-        take = min(most, room - len(left))
-        if len(often) > take:
-            held = count[often]
-            least = np.partition(held, -take)[-take]
-            above = often[held > least]
-            often = np.concatenate([above, often[held == least][:take - len(above)]])
-        pair = np.sort(pair[often])
-        known = np.zeros(1 << 18, bool)  # a cheap hash leaves few places for the exact search
-        known[(pair * _ODD) >> np.uint32(14)] = True
-        at = np.flatnonzero(inside & known[(key * _ODD) >> np.uint32(14)])
-        no = np.minimum(np.searchsorted(pair, key[at]), len(pair) - 1)
-        hit = pair[no] == key[at]
-        at, no = at[hit], no[hit]
+        key[same] = double
+        at, no = _matches(key, pair)
         # of matches that overlap in a row, every other one is taken, from the left
         taken = _place_in_run(at) % 2 == 0
         at, no = at[taken], no[taken]
@@ -135,16 +119,13 @@ def compress(ids: np.ndarray, lengths: np.ndarray, terminals: int) -> bytes:
         at, no = at[used[no]], (np.cumsum(used) - 1)[no[used[no]]]
         pair = pair[used]
         s[at] = terminals + len(left) + no
-        last[at] = last[at + 1]
         stay = np.ones(len(s), bool)
         stay[at + 1] = False
-        s, last = s[stay], last[stay]
-        left = np.concatenate([left, pair >> np.uint32(16)])
-        right = np.concatenate([right, pair & np.uint32(0xFFFF)])
-    sizes = np.ones(terminals + len(left), np.uint32)
-    for k, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
-        sizes[terminals + k] = sizes[a] + sizes[b]
-    symbols = np.diff(np.concatenate([[0], np.flatnonzero(last) + 1]))
+        s = s[stay]
+        last = last - np.searchsorted(at + 1, last, "right")
+        a, b = pair >> np.uint32(16), pair & np.uint32(0xFFFF)
+        left, right, sizes = np.concatenate([left, a]), np.concatenate([right, b]), np.concatenate([sizes, sizes[a] + sizes[b]])
+    symbols = np.diff(last, prepend=-1)
     return b"".join([
         b"RPG1", struct.pack("<IIIQ", terminals, len(left), len(lengths), len(s)), left.astype("<u4").tobytes(),
         right.astype("<u4").tobytes(), sizes[terminals:].astype("<u4").tobytes(), symbols.astype("<u8").tobytes(),
@@ -168,20 +149,25 @@ class ShardFile:
 
         self.left, self.right, self.sizes = take(rules, "<u4"), take(rules, "<u4"), take(rules, "<u4")
         self.doc_symbols, self.doc_ids, self.symbols = take(docs, "<u8"), take(docs, "<u8"), take(n, "<u2")
-        # expansions of all rules, one after the other; a rule only holds terminals and earlier rules
-        parts: list[np.ndarray] = []
-        for a, b in zip(self.left.tolist(), self.right.tolist()):
-            both = [np.array([x]) if x < self.terminals else parts[x - self.terminals] for x in (a, b)]
-            parts.append(np.concatenate(both))
-        self.flat = np.concatenate([np.arange(self.terminals), *parts])
+        # expansions of all symbols, one after the other; a rule only holds terminals and earlier rules, and is
+        # written once all that it holds have been
         self.size = np.concatenate([np.ones(self.terminals, np.int64), self.sizes.astype(np.int64)])
         self.start = np.cumsum(self.size) - self.size
+        self.flat = np.arange(self.size.sum(), dtype=np.uint32)
+        sides, done = np.stack([self.left, self.right]).astype(np.int64), self.terminals
+        while done < len(self.size):
+            later = np.flatnonzero(sides[:, done - self.terminals:].max(axis=0) >= done)
+            upto = done + int(later[0]) if len(later) else len(self.size)
+            held = self.expand(sides[:, done - self.terminals:upto - self.terminals].T.ravel())
+            self.flat[self.start[done]:self.start[done] + len(held)] = held
+            done = upto
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         size = self.size[symbols]
         first = np.cumsum(size) - size
-        shift = np.repeat(self.start[symbols] - first, size)
-        return self.flat[np.arange(len(shift)) + shift]
+        at = np.repeat(self.start[symbols] - first, size)
+        at += np.arange(len(at))
+        return self.flat[at]
 
     def documents(self) -> Iterator[np.ndarray]:
         """The ids of each document in turn, a bounded stretch of symbols at a time."""
@@ -201,6 +187,21 @@ class ShardFile:
         return self.expand(own[a:b])[skip:skip + hi - lo]
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts, about ``TEXT`` characters at a time."""
+    docs, texts, size = [], [], 0
+    for b in batches:
+        for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
+            docs.append(doc)
+            texts.append(text or "")
+            size += len(texts[-1])
+            if size >= TEXT:
+                yield docs, texts
+                docs, texts, size = [], [], 0
+    if docs:
+        yield docs, texts
+
+
 _FILE_COLUMNS = "part bigint, seq bigint, start_in_part bigint, n_ids bigint, ids array<bigint>, file binary"
 
 
@@ -216,14 +217,11 @@ def write_files(docs: DataFrame, path: str, tokenizer_path: str, end: int = END,
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         from pyspark import TaskContext
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
-        spec = held.value
-        encoder = _ENCODERS.setdefault(spec, None) or Encoder(spec)
-        _ENCODERS[spec] = encoder
-        terminals = max(encoder.tokenizer.get_vocab_size(with_added_tokens=True), end + 1)
+        own = encoder(held.value)
+        if own.kind != "<u2":
+            raise ValueError("token files hold ids of 16 bits")
+        terminals = max(own.size, end + 1)
         part, seq, done, count = TaskContext.get().partitionId(), 0, 0, 0
         ids, data, stop = [], [], np.array([end], "<u2").tobytes()
 
@@ -235,8 +233,8 @@ def write_files(docs: DataFrame, path: str, tokenizer_path: str, end: int = END,
                  pa.array([count], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([file], pa.binary())],
                 ["part", "seq", "start_in_part", "n_ids", "ids", "file"])
 
-        for b in batches:
-            for doc, coded in zip(b["doc_id"].to_pylist(), encoder.encode([t or "" for t in b["text"].to_pylist()])):
+        for docs, texts in _stretches(batches):
+            for doc, coded in zip(docs, own.encode(texts)):
                 ids.append(doc)
                 data.append(coded + stop)
                 count += len(coded) // 2 + 1
