@@ -1,10 +1,9 @@
 """Token ids of many texts by the tokenizers library, each distinct piece of text encoded once.
 
 The byte-level pattern never joins what stands before a lone space with what follows it, so the ids of a
-text are those of its pieces, one after the other.  A trailing run of ``. , ; : ! ?`` behind a letter or
-digit, and a lone line break between visible characters, part a piece once more.  A worker remembers the
-strings it has met; only new ones go to the library, many to a text, parted by line breaks, which are
-tokens of their own there.
+text are those of its pieces, one after the other.  A trailing run of ``. , ; : ! ?`` behind an ASCII letter or
+digit, and a lone line break between visible characters, part a piece once more.  Arrow parts and numbers the
+pieces.  A worker remembers the strings it has met; only new ones go to the library, many to a text.
 
 Texts in which a space meets other white space, or that hold special tokens, are encoded whole.
 """
@@ -12,8 +11,6 @@ Texts in which a space meets other white space, or that hold special tokens, are
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Iterable
 from itertools import accumulate, chain
 
 import numpy as np
@@ -21,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Entries of the younger of the memory's two tables (about 100 MB each); a full one becomes the older one.
+#: Entries of the younger of the memory's two tables; a full one becomes the older one.
 KEPT = 500_000
 #: Strings in one text, and texts in one call of the library.
 JOINED = 32
@@ -30,27 +27,53 @@ CALL = 1_000
 _SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
 # Marks that the pattern always parts from the letter or digit before them.
 MARKS = ".,;:!?"
-_VISIBLE = re.compile(r" ?\S+")
-#: A space beside other white space, as Arrow's regular expressions have it.
+#: A space beside other white space; visible characters behind a space or none; lines of them.
 _SPACED = f" [ {_SPACES}]|[{_SPACES}] "
+_VISIBLE = f"^ ?[^ {_SPACES}]+$"
+_LINES = f"^[^ {_SPACES}]+(\n[^ {_SPACES}]+)+$"
+# Fixed value: the character that stands for a space in byte-level vocabularies.
+SPACE = "Ġ"
+_STRING = pa.large_string()
+
+
+class Table:
+    """Strings and their ids."""
+
+    def __init__(self):
+        self.strings = pa.array([], _STRING)
+        self.ids, self.lengths = np.zeros(0, np.uint16), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.strings)
+
+    def places(self, keys: pa.LargeStringArray) -> np.ndarray:
+        """The place of each key, -1 where it isn't held."""
+        if not len(self):
+            return np.full(len(keys), -1)
+        return pc.index_in(keys, self.strings).fill_null(-1).to_numpy().astype(np.int64)
+
+    def add(self, strings: pa.LargeStringArray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.strings = pa.concat_arrays([self.strings, strings])
+        self.ids = np.concatenate([self.ids, ids]) if len(self.ids) else ids
+        self.lengths = np.concatenate([self.lengths, lengths])
 
 
 class Memory:
-    """Strings and their packed ids: two tables, so that what is met again and again stays."""
+    """Strings and their ids in two tables, so that what is met again and again stays.
+
+    A string that follows a space is held without it; one that doesn't has a space put before it, for none
+    holds a space."""
 
     def __init__(self):
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young, self.old = Table(), Table()
 
-    def missing(self, keys: Iterable[str]) -> list[str]:
-        """The keys that aren't known; the known ones are in the younger table afterwards."""
+    def turn(self) -> Table:
+        """The younger table; a full one becomes the older one before."""
+        if not len(self.young):
+            self.young = Table()
         if len(self.young) > KEPT:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        new = [k for k in keys if k not in young]
-        met = [k for k in new if k in old]
-        young.update((k, old[k]) for k in met)
-        return [k for k in new if k not in old] if met else new
+            self.old, self.young = self.young, Table()
+        return self.young
 
 
 class PieceEncoder:
@@ -67,6 +90,12 @@ class PieceEncoder:
         self.strings = Memory()
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None  # the id of a line break
+        self.lines = np.arange(self.size) == self.line
+        # ids that begin with a space, where the vocabulary writes it as byte-level ones do
+        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens
+        self.starts = np.zeros(self.size, bool) if space == [SPACE] else None
+        if self.starts is not None:
+            self.starts[[i for name, i in self.tokenizer.get_vocab().items() if name[0] == SPACE]] = True
 
     def library(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed."""
@@ -78,34 +107,91 @@ class PieceEncoder:
             out += [flat[a:b] for a, b in zip(ends, ends[1:])]
         return out
 
-    def _strings(self, keys: list[str]) -> list[bytes]:
-        """Ids of each key, for keys of a space at most and visible characters many to a text."""
-        plain = [k for k in keys if self.line is not None and _VISIBLE.fullmatch(k)]
-        found = {}
-        size = self.kind.itemsize
-        for lo in range(0, len(plain), JOINED * CALL):
-            part = plain[lo:lo + JOINED * CALL]
-            texts = ["\n".join(part[k:k + JOINED]) for k in range(0, len(part), JOINED)]
-            coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            ids = [x for e in coded for x in (e.ids, (self.line,))]
-            flat = np.fromiter(chain.from_iterable(ids), self.kind, sum(map(len, ids)))
-            ends = (np.flatnonzero(flat == self.line) * size).tolist()
-            raw = flat.tobytes()
-            found.update(zip(part, [raw[a:b] for a, b in zip([0, *(x + size for x in ends)], ends)]))
-        other = [k for k in keys if k not in found]
-        found.update(zip(other, self.library(other)))
-        return [found[k] for k in keys]
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece with a space before it."""
-        # most pieces are one string; the others are tuples
-        cut = [" " + p if p and p[-1] not in MARKS and "\n" not in p else split_piece(p) for p in pieces]
-        wanted = {k for k in cut if type(k) is str}
-        wanted.update(chain.from_iterable(k for k in cut if type(k) is tuple))
-        new = self.strings.missing(wanted)
-        self.strings.young.update(zip(new, self._strings(new)))
-        get = self.strings.young.__getitem__
-        return [get(k) if type(k) is str else b"".join(map(get, k)) for k in cut]
+    def _new(self, keys: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray, np.ndarray, np.ndarray]:
+        """(the keys anew ordered, their ids, how many each has, the order); see ``Memory``."""
+        visible = pc.match_substring_regex(keys, _VISIBLE).to_numpy(zero_copy_only=False)
+        close = pc.starts_with(keys, " ").to_numpy(zero_copy_only=False)  # no space before them in the text
+        behind = visible & ~close if self.starts is not None else np.zeros(len(keys), bool)
+        alone = visible & close if self.line is not None else np.zeros(len(keys), bool)
+        order = [np.flatnonzero(x) for x in (behind, alone, ~behind & ~alone)]
+        own = [keys.take(pa.array(x)) for x in order]
+        coded = [self._joined(_strings_of(own[0]), " ", self.starts),
+                 self._joined([k[1:] for k in own[1].to_pylist()], "\n", self.lines),
+                 self._flat(self.library([k[1:] if k[:1] == " " else " " + k for k in own[2].to_pylist()]))]
+        return (pa.concat_arrays(own), *(np.concatenate(x) for x in zip(*coded)), np.concatenate(order))
+
+    def _joined(self, strings: list[str], gap: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of strings of visible characters, how many each has), many to a text; ``gap`` stands before each.
+
+        Of each string's ids only the first, or the gap's own, is one of ``starts``."""
+        ids = []
+        for lo in range(0, len(strings), JOINED * CALL):
+            part = strings[lo:lo + JOINED * CALL]
+            texts = [gap + gap.join(part[k:k + JOINED]) for k in range(0, len(part), JOINED)]
+            ids += [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(ids), self.kind, sum(map(len, ids)))
+        first = np.flatnonzero(starts[flat]) if len(flat) else np.zeros(0, np.int64)
+        if len(first) != len(strings):
+            raise ValueError("the tokenizer joins words")
+        lengths = np.diff(np.append(first, len(flat)))
+        if gap != " ":
+            return flat[~starts[flat]], lengths - 1
+        return flat, lengths
+
+    def _places(self, keys: pa.LargeStringArray) -> np.ndarray:
+        """The place of each key in the younger table, in which all of them are afterwards; keys are distinct."""
+        young, old = self.strings.young, self.strings.old
+        at = young.places(keys)
+        missing = np.flatnonzero(at < 0)
+        if len(missing) and len(old):
+            there = old.places(keys.take(pa.array(missing)))
+            met = missing[there >= 0]
+            there = there[there >= 0]
+            at[met] = len(young) + np.arange(len(met))
+            young.add(keys.take(pa.array(met)), _gathered(old.ids, old.lengths, there)[0], old.lengths[there])
+            missing = np.flatnonzero(at < 0)
+        if len(missing):
+            strings, ids, lengths, order = self._new(keys.take(pa.array(missing)))
+            at[missing[order]] = len(young) + np.arange(len(missing))
+            young.add(strings, ids, lengths)
+        return at
+
+    def _pieces(self, pieces: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of the pieces, each with a space before it, in another order; how many each has; each piece's place)."""
+        young = self.strings.turn()
+        broken = pc.match_substring_regex(pieces, _LINES).to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(~broken), np.flatnonzero(broken)])
+        single = pieces.filter(pa.array(~broken))
+        split = pc.split_pattern(pieces.filter(pa.array(broken)), "\n")
+        lines = pa.concat_arrays([single, split.flatten()])
+        upto = np.concatenate([np.arange(1, len(single) + 1), len(single) + split.offsets.to_numpy()[1:]])  # a piece's lines
+        first = np.zeros(len(lines), bool)
+        first[np.concatenate([[0], upto[:-1]])] = True
+        core = pc.utf8_rtrim(lines, MARKS)
+        marked = pc.and_(pc.not_equal(pc.binary_length(core), pc.binary_length(lines)),
+                         pc.match_substring_regex(core, "[0-9A-Za-z]$"))
+        marked = pc.and_not(marked, pc.match_substring(lines, "\n"))
+        core = pc.if_else(marked, core, lines)
+        core = pc.if_else(pa.array(first), core, _close(core))
+        marks = _close(pc.replace_substring_regex(lines.filter(marked), f"(?s)^.*[^{MARKS}]", ""))
+        parts = pa.concat_arrays([core, marks, pa.array([" \n"], _STRING)]).dictionary_encode()
+        code = self._places(parts.dictionary)[parts.indices.to_numpy()]
+        # a line's parts: the break before it, itself, its marks
+        marked = marked.to_numpy(zero_copy_only=False)
+        end = np.cumsum(1 + marked + ~first)
+        which = np.empty(end[-1], np.int64)
+        which[end[marked] - 1] = code[len(core):-1]
+        which[end - 1 - marked] = code[:len(core)]
+        which[(end - 2 - marked)[~first]] = code[-1]
+        ids, ends = _gathered(young.ids, young.lengths, which)
+        place = np.empty(len(pieces), np.int64)
+        place[order] = np.arange(len(pieces))
+        return ids, np.diff(ends[end[upto - 1] - 1], prepend=0), place
+
+    def _flat(self, coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, how many each has)."""
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // self.kind.itemsize
+        return np.frombuffer(b"".join(coded), self.kind), lengths
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed as ``kind``.
@@ -119,38 +205,43 @@ class PieceEncoder:
         split = pc.split_pattern(pc.if_else(odd, "", values), " ")
         starts = split.offsets.to_numpy()
         flat = split.values.dictionary_encode()
-        # no piece holds a space, so they come over as one string
-        one = pa.ListArray.from_arrays(pa.array([0, len(flat.dictionary)], pa.int32()), flat.dictionary)
-        pieces = pc.binary_join(one, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ") if len(flat.dictionary) else []
         # a text's first piece has no space before it; a whole text is that one piece
-        firsts = self.library([t if w or (e := t.find(" ")) < 0 else t[:e] for t, w in zip(texts, whole)])
-        coded = [*self._pieces(pieces), *firsts]
-        size = self.kind.itemsize
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // size
-        held = np.frombuffer(b"".join(coded), self.kind)
-        begins = np.cumsum(lengths) - lengths
-        which = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        which[starts[:-1]] = len(pieces) + np.arange(len(texts))
-        of_piece = lengths[which]
-        ends = np.cumsum(of_piece)
-        at = np.repeat((begins[which] - (ends - of_piece)).astype(np.int32), of_piece)
-        at += np.arange(len(at), dtype=np.int32)
-        raw = held[at].tobytes()
-        edges = (np.concatenate([[0], ends])[starts] * size).tolist()
+        firsts = self._flat(self.library([t if w or (e := t.find(" ")) < 0 else t[:e] for t, w in zip(texts, whole)]))
+        coded = firsts
+        if len(flat.dictionary):
+            held, lengths, place = self._pieces(flat.dictionary)
+            coded = np.concatenate([held, firsts[0]]), np.concatenate([lengths, firsts[1]])
+            which = place[flat.indices.to_numpy()]
+        else:
+            which = np.zeros(0, np.int64)
+        which[starts[:-1]] = len(flat.dictionary) + np.arange(len(texts))
+        ids, ends = _gathered(*coded, which)
+        raw = ids.tobytes()
+        edges = (np.concatenate([[0], ends])[starts] * self.kind.itemsize).tolist()
         return [raw[a:b] for a, b in zip(edges, edges[1:])]
 
 
-def split_piece(piece: str) -> tuple[str, ...]:
-    """The strings whose ids, one after the other, are those of a space and the piece."""
-    if "\n" not in piece:
-        core = piece.rstrip(MARKS)
-        if len(core) == len(piece) or not core or not core[-1].isalnum():
-            return (" " + piece,)
-        return (" " + core, piece[len(core):])
-    lines = piece.split("\n")
-    if any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
-        return (" " + piece,)
-    return (*split_piece(lines[0]), *chain.from_iterable(("\n", x) for x in lines[1:]))
+def _strings_of(values: pa.LargeStringArray) -> list[str]:
+    """The values, of which none holds a space; they come over as one string."""
+    if not len(values):
+        return []
+    one = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    return pc.binary_join(one, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+
+
+def _close(values: pa.LargeStringArray) -> pa.LargeStringArray:
+    """The values as keys of strings that no space stands before."""
+    return pc.binary_join_element_wise(pa.scalar("", _STRING), values, pa.scalar(" ", _STRING))
+
+
+def _gathered(held: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the ids of the entries ``which`` one after the other, where each of them ends); an entry has ``lengths`` ids."""
+    begins = np.cumsum(lengths) - lengths
+    size = lengths[which]
+    ends = np.cumsum(size)
+    at = np.repeat((begins[which] - (ends - size)).astype(np.int32), size)
+    at += np.arange(len(at), dtype=np.int32)
+    return held[at], ends
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
