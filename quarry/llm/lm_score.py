@@ -15,13 +15,18 @@ word's spelled probability is mixed with its share of all training tokens; the s
 are chosen from ``SHARES`` by the training documents' cost, each counted without its own occurrence.
 
 Learning, as Spark jobs over all training documents: the texts are tokenised once into chunks (rows
-of word lists and word numbers, written to the shared folder); each task counts bits by context over
-its chunks, and the counts are summed block by block; one training document in eight is left out of
-the first tables, and on these each task learns the weights online, batch by batch, and fills the
-refining table; weights are averaged by tokens, refinements summed, and the left-out documents' bits
-added to the tables.  Counts are summed under ``WIDE``-bit hashes of (context, node); how many of these
-occur gives each predictor's table its size (``table_bits``), so tables grow with the corpus and at
-most two thirds of a table's slots are in use.
+of word lists and word numbers, written to the shared folder).  What spells a word is settled by the word before, the
+script mark and the word; chunks send their distinct ones of these with their counts to the part that the
+word before belongs to, where they are added up, so each is spelled once for the whole corpus.
+All counts of the last predictor (the word so far with the word before) arise inside that part and never travel.
+The other predictors' bits are counted from the distinct words (contexts inside a word) and the distinct
+pairs of a word's end and the next word's start (contexts across a space), and summed block by block.
+One training document in eight is left out of the first counts, and on these each task learns the weights online,
+batch by batch, and fills the refining table; weights are averaged by tokens, refinements summed, and the
+left-out documents' bits added to the tables.  Counts are summed under ``WIDE``-bit hashes of (context, node); how
+many of these occur gives each predictor's table its size (``table_bits``), so tables grow with the corpus and at
+most two thirds of a table's slots are in use; the last predictor has such a table for each run of words before.
+Costs go back to the chunks as one number for each of their distinct triples.
 
 The base score is add-one unigram over exact counts of all training words: chunks send their distinct
 words to be counted, and get the counts back by a shuffled join on the word.
@@ -37,13 +42,14 @@ import heapq
 import math
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytewords import space_words
 from .common import Scratch, bounded_batches, pin, release
 
 #: Predictors: last byte, two, three, four bytes, word so far, word so far after the word before.
@@ -58,7 +64,14 @@ HELD = 1 << 20
 #: Text bytes of a chunk; words and spelled bytes handled at a time.
 CHUNK = 24 << 20
 WORDS = 40_000
+#: Distinct (word before, mark, word) handled at a time, unless one word before has more; steps looked up at a time.
+TRIPLES = 10_000
+STEPS_HELD = 1 << 14
+#: Decisions between two steps of the weights.
 BATCH = 1024
+#: Parts by the word before, for each chunk of text, and the least number of them.
+PARTS = 2
+LEAST_PARTS = 8
 PRIOR = 0.4
 LIMIT = 7.9
 STEPS = 16
@@ -143,15 +156,28 @@ class Spelling:
         size = np.fromiter(map(len, words), np.int64, len(words)) + 1
         start = np.cumsum(size) - size
         self.word = np.repeat(np.arange(len(words)), size)
-        place = np.arange(len(raw)) - start[self.word]
+        spot = np.arange(len(raw))
+        place = spot - start[self.word]
         power = np.cumprod(np.full(int(place.max(initial=0)) + 2, _FACTORS[N], np.uint64), dtype=np.uint64)
         run = np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[place], dtype=np.uint64)
-        so_far = np.concatenate([np.zeros(1, np.uint64), run[:-1]]) - (run[start] - (raw[start].astype(np.uint64) + np.uint64(1)) * power[0])[self.word]
-        near = (before + mark.astype(np.uint64)) * _FACTORS[N + 3]
-        key = (so_far + raw * power[place + 1]) * _FACTORS[N + 1] + place.astype(np.uint64) * _FACTORS[N + 2] + near[self.word]
-        _, first, self.step = np.unique(key, return_index=True, return_inverse=True)
+        # a byte is a step of its own if the word differs from the one in front of it up to there
+        shift, least = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        if len(words) > 1:
+            shift[1:] = size[:-1]
+            least[1:] = np.where((before[1:] == before[:-1]) & (mark[1:] == mark[:-1]) & (tail[1:] == tail[:-1]).all(axis=1), size[:-1], 0)
+        differs = (raw != raw[spot - shift[self.word]]) | (place >= least[self.word])
+        new = np.maximum.accumulate(np.where(differs, spot, -1)) >= start[self.word]
+        first = np.flatnonzero(new)
+        by_place = np.argsort(place.astype(np.uint16) if len(power) < 1 << 16 else place, kind="stable")
+        filled = np.maximum.accumulate(np.where(new[by_place], spot, 0))
+        self.step = np.empty(len(raw), np.int64)
+        self.step[by_place] = (np.cumsum(new) - 1)[by_place[filled]]
+        self.place = place[first]
+        so_far = run[first] - (raw[first].astype(np.uint64) + np.uint64(1)) * power[place[first]]
+        opened = start[self.word[first]]
+        so_far -= run[opened] - (raw[opened].astype(np.uint64) + np.uint64(1)) * power[0]
         self.data = raw[first]
-        at, own, so_far = place[first], self.word[first], so_far[first]
+        at, own = self.place, self.word[first]
         # what stands before the word: a space, and the bytes before that
         gone = np.concatenate([np.full((len(words), 1), 32), tail], axis=1)
         mixed, parts = np.zeros(len(first), np.uint64), []
@@ -182,94 +208,148 @@ def table_bits(distinct: int) -> int:
 
 
 class BitModel:
-    """Counts of zeros and ones by slot, mixing weights by gate, and the refining table."""
+    """Counts of zeros and ones by slot (but the last predictor's), mixing weights by gate, and the refining table."""
 
     def __init__(self, code: ByteCode, bits: list[int], weights: np.ndarray | None = None,
                  refine: np.ndarray | None = None):
         self.code, self.bits = code, bits
-        # a byte a slot: the logit in steps of 1 / STEPS; for the gate's predictors also the bit length of the count
+        # a byte a slot: the logit in steps of 1 / STEPS; for the gate's predictor also its level, four slots a byte
         self.logit = [np.zeros(1 << b, np.int8) for b in bits]
-        self.seen = {i: np.zeros(1 << bits[i], np.int8) for i in (N - 2, N - 1)}
+        self.seen = {N - 2: np.zeros(1 << bits[N - 2] - 2, np.uint8)}
         self.weights = np.full((GATES, N), 1.0 / N) if weights is None else weights
         self.pace = np.full((GATES, N), 1e-4)
         self.refine = np.zeros((256 * REFINE_STEPS, 2)) if refine is None else refine
 
-    def inputs(self, contexts: list[np.ndarray], node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(logits of the predictors, gate)."""
+    def blocks(self, own: Spelling, steps: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+        """(steps, decisions of each, its step, node, bit, hash for the last predictor), STEPS_HELD steps at a time."""
+        deep = self.code.node.shape[1]
+        steps = np.arange(len(own.data)) if steps is None else steps
+        for lo in range(0, len(steps), STEPS_HELD):
+            part = steps[lo:lo + STEPS_HELD]
+            data = own.data[part].astype(np.int64)
+            size = self.code.size[data]
+            which = np.repeat(part, size)
+            at = np.repeat(data * deep - np.cumsum(size) + size, size)
+            at += np.arange(len(which))
+            node = self.code.node.ravel()[at]
+            yield part, size, which, node, self.code.bit.ravel()[at], wide_slots(np.repeat(own.contexts[N - 1][part], size), node)
+
+    def inputs(self, own: Spelling, block: tuple, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(logits of the predictors, gate); ``last``: the last predictor's counts by slot and bit."""
+        part, size, _, node, _, wide = block
         x = np.empty((N, len(node)), np.float32)
-        for i in range(N):
-            at = wide_slots(contexts[i], node) >> (WIDE - self.bits[i])
+        salt = _SALTS[node]
+        for i in range(N - 1):
+            h = np.repeat(own.contexts[i][part], size)
+            h += salt
+            h ^= h >> np.uint64(29)
+            h *= _FACTORS[N + 2]
+            h >>= np.uint64(64 - self.bits[i])
+            at = h.view(np.int64)
             x[i] = self.logit[i][at]
-            x[i] /= STEPS
             if i == N - 2:
-                gate = np.minimum(self.seen[i][at] >> 1, LEVELS[1] - 1).astype(np.int64)
-            elif i == N - 1:
-                gate += np.minimum(self.seen[i][at], LEVELS[0] - 1) * LEVELS[1]
+                gate = (self.seen[i][at >> 2] >> ((at & 3) << 1).astype(np.uint8) & 3).astype(np.int64)
+        x[:N - 1] *= np.float32(1 / STEPS)
+        at = wide & (len(last) // 2 - 1)
+        zero, one = last[2 * at], last[2 * at + 1]
+        x[N - 1] = np.log((one + np.float32(PRIOR)) / (zero + np.float32(PRIOR))).clip(-LIMIT, LIMIT)
+        gate += _LEVEL[np.minimum(zero + one, len(_LEVEL) - 1).astype(np.int64)]
         return x, gate
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(logit, probability) of a one under the gate's weights."""
-        logit = (x * self.weights.T.astype(np.float32)[:, gate]).sum(axis=0).clip(-LIMIT, LIMIT)
+        weights = self.weights.T.astype(np.float32)
+        logit = x[0] * weights[0][gate]
+        for i in range(1, N):
+            logit += x[i] * weights[i][gate]
+        logit = logit.clip(-LIMIT, LIMIT)
         return logit, 1 / (1 + np.exp(-logit))
 
-    def refined(self, node: np.ndarray, logit: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(cell of the refining table, its probability of a one)."""
-        cell = node * REFINE_STEPS + np.rint((logit + LIMIT) * ((REFINE_STEPS - 1) / (2 * LIMIT))).astype(np.int64)
-        n0, n1 = self.refine[cell, 0], self.refine[cell, 1]
-        return cell, (n1 + REFINE_PRIOR * p) / (n0 + n1 + REFINE_PRIOR)
-
-    def word_costs(self, words: list[bytes], *around: np.ndarray) -> np.ndarray:
-        """-log2 of the probability of each word after what stands ``around`` it (see ``Spelling``)."""
-        cost = np.zeros(len(words))
-        for lo, hi in stretches(words):
-            own = Spelling(words[lo:hi], *(x[lo:hi] for x in around))
+    def cells(self, node: np.ndarray, logit: np.ndarray) -> np.ndarray:
+        """Cells of the refining table."""
+        return node * REFINE_STEPS + np.rint((logit + np.float32(LIMIT)) * np.float32((REFINE_STEPS - 1) / (2 * LIMIT))).astype(np.int64)
+
+    def counted(self, runs: list[tuple], times: np.ndarray) -> tuple[np.ndarray, list | None]:
+        """The last predictor's counts by slot and bit, of triples that occur ``times``; the spelling if it is one run."""
+        kept, last = None, None
+        if len(runs) == 1:
+            own = Spelling(*runs[0][1:])
+            kept = own, list(self.blocks(own))
+        total = sum(len(b[2]) for b in kept[1]) if kept else sum(int(self.code.size[Spelling(*r[1:]).data].sum()) for r in runs)
+        slots = 1 << table_bits(total)
+        for at, *run in runs:
+            own, blocks = kept or (o := Spelling(*run), self.blocks(o))
+            often = own.often(times[at])
+            cells, n = [], []
+            for _, _, which, _, bit, wide in blocks:
+                cells.append((wide & (slots - 1)) << 1 | bit)
+                n.append(often[which])
+            more = np.bincount(np.concatenate(cells), np.concatenate(n), 2 * slots).astype(np.float32)
+            last = more if last is None else last + more
+        return last, kept
+
+    def word_costs(self, runs: list[tuple], times: np.ndarray) -> np.ndarray:
+        """-log2 of the probability of each triple of ``runs`` (see ``_runs``); ``times``: occurrences in training."""
+        last, kept = self.counted(runs, times)
+        cost = np.zeros(len(times), np.float32)
+        refined = ((self.refine[:, 1] + 0.0) / (total := self.refine.sum(axis=1) + REFINE_PRIOR)).astype(np.float32)
+        pull = (REFINE_PRIOR / total).astype(np.float32)
+        for at, *run in runs:
+            own, blocks = kept or (o := Spelling(*run), self.blocks(o))
             each = np.zeros(len(own.data))
-            for which, node, bit in self.code.decisions(own.data):
-                x, gate = self.inputs([c[which] for c in own.contexts], node)
-                logit, p = self.mixed(x, gate)
-                p = (0.5 * (p + self.refined(node, logit, p)[1])).clip(1e-6, 1 - 1e-6)
-                each[which] -= np.log2(np.where(bit == 1, p, 1 - p))
-            cost[lo:hi] = np.bincount(own.word, each[own.step], hi - lo)
+            for block in blocks:
+                part, size, which, node, bit, _ = block
+                logit, p = self.mixed(*self.inputs(own, block, last))
+                cell = self.cells(node, logit)
+                p = (np.float32(0.5) * (p + refined[cell] + pull[cell] * p)).clip(1e-6, 1 - 1e-6)
+                nats = np.log(np.where(bit == 1, p, 1 - p))
+                each[part] = np.add.reduceat(nats, np.cumsum(size) - size)
+            cost[at] = np.bincount(own.word, each[own.step], len(run[0])) / -math.log(2)
         return cost
 
-    def learn(self, words: list[bytes], *around: np.ndarray, times: np.ndarray) -> float:
-        """Online steps over a batch of words that occur ``times``; returns the tokens learned from.
+    def learn(self, runs: list[tuple], first: np.ndarray, times: np.ndarray) -> float:
+        """Online steps over triples that occur ``times`` in the left-out documents, and ``first`` in the others.
 
-        Weights move against the gradient of the coding cost, each at a pace that falls with the
-        gradients it has met.
+        Returns the tokens learned from.  Weights move against the gradient of the coding cost, each at a
+        pace that falls with the gradients it has met.
         """
-        draw = np.random.default_rng(len(words))
-        for lo, hi in stretches(words):
-            own = Spelling(words[lo:hi], *(x[lo:hi] for x in around))
-            often = own.often(times[lo:hi])
-            order = draw.permutation(len(own.data))
-            for k in range(0, len(order), BATCH):
-                part = order[k:k + BATCH]
-                contexts, held = [c[part] for c in own.contexts], often[part]
-                for which, node, bit in self.code.decisions(own.data[part]):
-                    x, gate = self.inputs([c[which] for c in contexts], node)
-                    logit, p = self.mixed(x, gate)
-                    cell, _ = self.refined(node, logit, p)
-                    np.add.at(self.refine, (cell, bit), held[which])
-                    step = held[which] * (bit - p)
-                    total = np.maximum(np.bincount(gate, held[which], GATES), 1e-9)
+        last, kept = self.counted(runs, first)
+        for at, *run in runs:
+            own = kept[0] if kept else Spelling(*run)
+            often = own.often(times[at])
+            for block in self.blocks(own, np.flatnonzero(often)):
+                _, _, which, node, bit, _ = block
+                x, gate = self.inputs(own, block, last)
+                held = often[which]
+                order = np.random.default_rng(len(held)).permutation(len(held))
+                x, gate, node, bit, held = x[:, order], gate[order], node[order], bit[order], held[order]
+                for k in range(0, len(order), BATCH):
+                    b = slice(k, k + BATCH)
+                    logit, p = self.mixed(x[:, b], gate[b])
+                    np.add.at(self.refine, (self.cells(node[b], logit), bit[b]), held[b])
+                    step = held[b] * (bit[b] - p)
+                    total = np.maximum(np.bincount(gate[b], held[b], GATES), 1e-9)
                     for i in range(N):
-                        change = np.bincount(gate, step * x[i], GATES) / total
+                        change = np.bincount(gate[b], step * x[i, b], GATES) / total
                         self.pace[:, i] += change * change
                         self.weights[:, i] += RATE * change / np.sqrt(self.pace[:, i])
         return float(times.sum())
 
 
+_SALTS = np.arange(256, dtype=np.uint64) * _FACTORS[N + 1]
+#: The gate's upper part by how often the last predictor's slot was counted.
+_LEVEL = np.minimum(np.log2(np.arange(1 << LEVELS[0]) + 1).astype(np.int64), LEVELS[0] - 1) * LEVELS[1]
+
+
 def stretches(words: list[bytes]) -> Iterator[tuple[int, int]]:
     """Ranges of at most WORDS words and about 16 bytes for each of those."""
-    lo, held = 0, 0
-    for k, w in enumerate(words):
-        held += len(w) + 1
-        if held >= 16 * WORDS or k - lo + 1 >= WORDS:
-            yield lo, k + 1
-            lo, held = k + 1, 0
-    if lo < len(words):
-        yield lo, len(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    lo = 0
+    while lo < len(words):
+        held = ends[lo - 1] if lo else 0
+        hi = min(int(np.searchsorted(ends, held + 16 * WORDS)) + 1, lo + WORDS, len(words))
+        yield lo, hi
+        lo = hi
 
 
 def chunks(docs: DataFrame, held_out: int, modulus: int) -> DataFrame:
@@ -283,50 +363,63 @@ def chunks(docs: DataFrame, held_out: int, modulus: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part, no = TaskContext.get().partitionId(), 0
-        known, ids, sizes, roles, rows, held = {b"": 0}, [], [], [], [], 0
+        ids, sizes, roles, counts, found, held = [], [], [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            flat = np.concatenate(rows)
-            lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+            code = pa.concat_arrays(found).dictionary_encode()
+            lengths = np.concatenate(counts) + 1
+            # number 0 is the end, the last token of each text
+            flat = np.zeros(int(lengths.sum()), np.int64)
+            token = np.ones(len(flat), bool)
+            token[np.cumsum(lengths) - 1] = False
+            flat[token] = code.indices.to_numpy() + 1
+            words = pa.concat_arrays([pa.array([b""], pa.binary()), code.dictionary])
             role = np.array(roles)
-            order = np.argsort(-np.bincount(flat, minlength=len(known)), kind="stable")
-            number = np.empty(len(known), np.int32)
-            number[order] = np.arange(len(known), dtype=np.int32)
+            order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+            number = np.empty(len(words), np.int32)
+            number[order] = np.arange(len(words), dtype=np.int32)
             flat = number[flat]
-            words = list(known)
-            words = [words[k] for k in order.tolist()]
-            trained = np.bincount(flat[np.repeat(role > 0, lengths)], minlength=len(words))
+            trained, apart = (np.bincount(flat[np.repeat(of, lengths)], minlength=len(words)) for of in (role > 0, role == 2))
+            listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             return pa.RecordBatch.from_arrays(
                 [pa.array([(part << 32) + no], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
                  pa.array([sizes], pa.list_(pa.int64())), pa.array([roles], pa.list_(pa.int8())),
-                 pa.array([lengths.tolist()], pa.list_(pa.int32())), pa.array([pack(flat)], pa.binary()),
-                 pa.array([words], pa.list_(pa.binary())), pa.array([trained], pa.list_(pa.int64()))], _CHUNK_COLUMNS)
+                 listed(pa.array(lengths.astype(np.int32))), pa.array([pack(flat)], pa.binary()),
+                 listed(words.take(pa.array(order))), listed(pa.array(trained.astype(np.int64))),
+                 listed(pa.array(apart.astype(np.int64)))], _CHUNK_COLUMNS)
 
         for b in batches:
-            for doc, value in zip(b["doc_id"].to_pylist(), b["text"]):
-                text = value.as_buffer().to_pybytes() if value.is_valid else b""
-                ws = space_words(text)
-                ws.append(b"")
-                for w in ws:
-                    if w not in known:
-                        known[w] = len(known)
-                rows.append(np.fromiter(map(known.__getitem__, ws), np.int32, len(ws)))
-                mark = zlib.crc32(b"" if doc is None else str(doc).encode())
-                ids.append(doc)
-                sizes.append(len(text))
-                roles.append(0 if mark % modulus == held_out else 2 if mark // modulus % MIX_SHARE == 0 else 1)
-                held += len(text) + 8
+            texts = b["text"].cast(pa.string()).fill_null("")
+            size = pc.binary_length(texts).to_numpy().astype(np.int64)
+            lo = 0
+            while lo < len(texts):
+                # as many texts as the chunk has room for, one at least
+                hi = min(lo + int(np.searchsorted(np.cumsum(size[lo:] + 8), CHUNK - held)) + 1, len(texts))
+                lists = pc.ascii_split_whitespace(pc.ascii_lower(texts[lo:hi]))
+                flat = lists.flatten()
+                real = pc.not_equal(flat, "")
+                ends = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False), dtype=np.int64)])
+                places = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64)])
+                counts.append(np.diff(ends[places]))
+                found.append(flat.filter(real).cast(pa.binary()))
+                for doc in b["doc_id"][lo:hi].to_pylist():
+                    mark = zlib.crc32(b"" if doc is None else str(doc).encode())
+                    ids.append(doc)
+                    roles.append(0 if mark % modulus == held_out else 2 if mark // modulus % MIX_SHARE == 0 else 1)
+                sizes += size[lo:hi].tolist()
+                held += int(size[lo:hi].sum()) + 8 * (hi - lo)
                 if held >= CHUNK:
                     yield out()
-                    known, ids, sizes, roles, rows, held, no = {b"": 0}, [], [], [], [], 0, no + 1
-        if rows:
+                    ids, sizes, roles, counts, found, held, no = [], [], [], [], [], 0, no + 1
+                lo = hi
+        if ids:
             yield out()
 
     return docs.mapInArrow(work, "chunk bigint, ids array<bigint>, n_bytes array<bigint>, roles array<tinyint>, "
-                                 "lengths array<int>, numbers binary, words array<binary>, trained array<bigint>")
+                                 "lengths array<int>, numbers binary, words array<binary>, trained array<bigint>, apart array<bigint>")
 
 
-_CHUNK_COLUMNS = ["chunk", "ids", "n_bytes", "roles", "lengths", "numbers", "words", "trained"]
+_CHUNK_COLUMNS = ["chunk", "ids", "n_bytes", "roles", "lengths", "numbers", "words", "trained", "apart"]
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -339,6 +432,16 @@ def pack(numbers: np.ndarray) -> bytes:
     return zlib.compress(out.tobytes(), 1)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second bytes, and so on (small numbers compress well so)."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def unplanes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def unpack(data: bytes, lengths: np.ndarray) -> np.ndarray:
     raw = np.frombuffer(zlib.decompress(data), "<u2").astype(np.int64)
     # a number's first cell: not one of the two cells after a mark; marks themselves start a number
@@ -360,58 +463,134 @@ def unpack(data: bytes, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _types(batch: pa.RecordBatch, roles: tuple[int, ...]) -> Iterator[tuple[int, list[bytes], tuple, np.ndarray]]:
-    """For each chunk and role: its distinct words with what stands around them, and how often each occurs."""
-    for row in range(batch.num_rows):
-        lengths, _, key, words = _decoded(batch, row)
-        role = np.repeat(np.array(batch["roles"][row].as_py()), lengths)
-        ends = word_ends(words)
-        for r in roles:
-            own, times = np.unique(key[role == r], return_counts=True)
-            if len(own):
-                yield r, *_around(own, words, ends), times
-
-
-def _around(key: np.ndarray, words: list[bytes], ends: tuple[np.ndarray, np.ndarray]) -> tuple[list[bytes], tuple]:
-    """(words, what stands around each) of keys that hold the word before, the script mark and the word."""
-    own, before = key % len(words), key // len(words) // 65
-    return [words[k] for k in own.tolist()], (key // len(words) % 65, ends[0][before], ends[1][before])
-
-
-def _decoded(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """(tokens a document, word numbers, each token's key, words in order).
+def _decoded(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(tokens a document, distinct keys, each token's place among them, words in order).
 
     A key is the word before (an end: the empty word), the script mark before and the word, words by
     their place in order.
     """
     lengths = np.array(batch["lengths"][row].as_py(), np.int64)
     flat = unpack(batch["numbers"][row].as_py(), lengths)
-    words = batch["words"][row].as_py()
-    mark = np.array([script_mark(w) if w else 65 for w in words], np.int64)[flat]  # an end sets the mark back
+    words = batch["words"][row].values
+    mark = np.array([script_mark(w) if w else 65 for w in words.to_pylist()], np.int64)[flat]  # an end sets the mark back
     last = np.maximum.accumulate(np.where(mark > 0, np.arange(len(mark)), 0))
     before = np.concatenate([[0], mark[last][:-1]]) % 65
-    order = sorted(range(len(words)), key=words.__getitem__)
+    order = pc.sort_indices(words)
     rank = np.empty(len(words), np.int64)
-    rank[order] = np.arange(len(words))
+    rank[order.to_numpy()] = np.arange(len(words))
     own = rank[flat]
     behind = np.concatenate([[0], own[:-1]])  # the empty word is the first in order
-    return lengths, flat, (behind * 65 + before) * len(words) + own, [words[k] for k in order]
+    keys, at = np.unique((behind * 65 + before) * len(words) + own, return_inverse=True)
+    return lengths, keys, at, words.take(order)
+
+
+def _part_of(words: list[bytes], parts: int) -> np.ndarray:
+    """The part that each word's followers belong to."""
+    return ((word_ends(words)[0] >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+
 
+def triples(table: DataFrame, parts: int) -> DataFrame:
+    """One row a part: its distinct (word before, mark, word) in order, with their counts, and where chunks have them.
 
-def byte_code(table: DataFrame) -> ByteCode:
+    ``keys`` are gaps between keys (as ``_decoded`` has them, over the part's own ``words``); ``first`` and
+    ``others`` count training documents kept for the tables and left out; ``at`` has the places of the
+    triples of each of ``chunks``, ``sizes`` many, in the chunk's order.
+    """
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                lengths, keys, at, words = _decoded(b, row)
+                role = np.repeat(np.array(b["roles"][row].as_py(), np.int8), lengths)
+                first, others = (np.bincount(at[role == r], minlength=len(keys)) for r in (1, 2))
+                before, word = np.divmod(keys, len(words))
+                before, mark = np.divmod(before, 65)
+                part = _part_of(words.to_pylist(), parts).astype(np.int16 if parts < 1 << 15 else np.int64)[before]
+                order = np.argsort(part, kind="stable")
+                ends = np.searchsorted(part[order], np.arange(parts + 1))
+                rank = np.empty(len(words), np.int32)
+                for p in range(parts):
+                    own = order[ends[p]:ends[p + 1]]
+                    if not len(own):
+                        continue
+                    x, y = before[own], word[own]
+                    uses = np.zeros(len(words), bool)
+                    uses[x] = uses[y] = True
+                    used = np.flatnonzero(uses)
+                    rank[used] = np.arange(len(used), dtype=np.int32)
+                    data = [np.diff(rank[x], prepend=np.int32(0)), np.diff(rank[y], prepend=np.int32(0)), mark[own].astype(np.uint8),
+                            first[own], others[own]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([p], pa.int32()), b["chunk"].slice(row, 1), pa.array([zlib.compress(b" ".join(words.take(pa.array(used)).to_pylist()), 1)], pa.binary()),
+                         *(pa.array([planes(d)], pa.binary()) for d in data)],
+                        ["part", "chunk", "words", "before", "word", "mark", "first", "others"])
+
+    def merge(key: tuple, rows: pa.Table) -> pa.Table:
+        lists = [zlib.decompress(w).split(b" ") for w in rows["words"].to_pylist()]
+        code = pa.array([w for ws in lists for w in ws], pa.binary()).dictionary_encode()
+        order = pc.sort_indices(code.dictionary)
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        place = rank[code.indices.to_numpy()]
+        read = lambda c, kind: [unplanes(x, kind) for x in rows[c].to_pylist()]
+        mark = read("mark", "u1")
+        sizes = [len(x) for x in mark]
+        shift = np.repeat(np.cumsum([0, *map(len, lists)])[:-1], sizes)
+        before, word = (place[np.concatenate([np.cumsum(x) for x in read(c, "<i4")]) + shift] for c in ("before", "word"))
+        keys, at = np.unique((before * 65 + np.concatenate(mark)) * len(order) + word, return_inverse=True)
+        n = [np.bincount(at, np.concatenate(read(c, "<i8")), len(keys)).astype("<i8") for c in ("first", "others")]
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([b" ".join(code.dictionary.take(order).to_pylist())], pa.binary()),
+                         *(pa.array([planes(x)], pa.binary()) for x in (np.diff(keys, prepend=0), *n)),
+                         pa.array([rows["chunk"].to_pylist()], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())),
+                         pa.array([planes(np.diff(at, prepend=0).astype("<i4"))], pa.binary())], schema=_PARTS)
+
+    sent = table.select("chunk", "roles", "lengths", "numbers", "words").mapInArrow(
+        send, "part int, chunk bigint, words binary, before binary, word binary, mark binary, first binary, others binary")
+    return sent.repartition(parts, "part").groupBy("part").applyInArrow(
+        merge, "part int, words binary, keys binary, first binary, others binary, chunks array<bigint>, sizes array<bigint>, at binary")
+
+
+_PARTS = pa.schema([("part", pa.int32()), ("words", pa.binary()), ("keys", pa.binary()), ("first", pa.binary()), ("others", pa.binary()),
+                    ("chunks", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("at", pa.binary())])
+
+
+def _part(batch: pa.RecordBatch, row: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, words before, marks, words' places, counts kept for the tables, left-out counts) of a part's triples."""
+    words = batch["words"][row].as_py().split(b" ")
+    gaps, first, others = (unplanes(batch[c][row].as_py(), "<i8") for c in ("keys", "first", "others"))
+    before, word = np.divmod(np.cumsum(gaps), len(words))
+    before, mark = np.divmod(before, 65)
+    return words, before, mark, word, first, others
+
+
+def _runs(words: list[bytes], ends: tuple[np.ndarray, np.ndarray], before: np.ndarray, mark: np.ndarray,
+          word: np.ndarray) -> Iterator[tuple[slice, list[tuple]]]:
+    """Stretches of triples that hold all of their words before, each cut into runs (slice in it, what ``Spelling`` takes)."""
+    cuts = [*np.flatnonzero(np.diff(before, prepend=-1)).tolist(), len(before)]
+    lo = 0
+    for k, hi in enumerate(cuts[1:], 1):
+        if hi - lo < TRIPLES and hi < len(before) and cuts[k + 1] - lo <= 2 * TRIPLES:
+            continue
+        own = [words[w] for w in word[lo:hi].tolist()]
+        yield slice(lo, hi), [
+            (slice(a, b), own[a:b], mark[lo + a:lo + b], ends[0][before[lo + a:lo + b]], ends[1][before[lo + a:lo + b]])
+            for a, b in stretches(own)]
+        lo = hi
+
+
+def byte_code(counts: DataFrame) -> ByteCode:
     """The code of bytes by their counts in the training words (each word's own byte and one space)."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256, np.int64)
         for b in batches:
-            for words, trained in zip(b["words"].to_pylist(), b["trained"].to_pylist()):
-                size = np.fromiter(map(len, words), np.int64, len(words))
-                total += np.bincount(np.frombuffer(b"".join(words), np.uint8), np.repeat(trained, size), 256).astype(np.int64)
-                total[32] += sum(trained)
+            words, c = b["word"].to_pylist(), b["c"].to_numpy()
+            size = np.fromiter(map(len, words), np.int64, len(words))
+            total += np.bincount(np.frombuffer(b"".join(words), np.uint8), np.repeat(c, size), 256).astype(np.int64)
+            total[32] += c.sum()
         yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(total)], ["byte", "n"])
 
-    counts = table.select("words", "trained").mapInArrow(work, "byte int, n bigint").groupBy("byte").agg(F.sum("n").alias("n"))
+    sums = counts.select("word", "c").mapInArrow(work, "byte int, n bigint").groupBy("byte").agg(F.sum("n").alias("n"))
     out = np.zeros(256, np.int64)
-    for r in counts.collect():  # 256 rows
+    for r in sums.collect():  # 256 rows
         out[r["byte"]] = r["n"]
     return ByteCode(out)
 
@@ -464,24 +643,24 @@ class _Held:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
 
 
-def _bit_counts(table: DataFrame, code: ByteCode) -> DataFrame:
+def _bit_counts(counts: DataFrame, parts: DataFrame, code: ByteCode, chunked: int) -> DataFrame:
     """(predictor, block, distinct, first, others, blocks): a block's summed counts by cell (hash and bit).
 
     ``first`` are those of the training documents kept for the tables, ``others`` those of the left-out
     ones; ``distinct`` is the block's number of hashes, ``blocks`` log2 of a predictor's number of blocks.
+    All predictors but the last: their contexts inside a word from the distinct words, those that reach
+    the word before from the distinct pairs of its end and the word's start.
     """
-    # a task adds up several chunks before it sends: most slots of theirs are the same
-    parts = table.rdd.getNumPartitions()
-    tasks = max(2 * table.sparkSession.sparkContext.defaultParallelism, -(-parts // 8))
-    blocks = max(BLOCK_BITS, parts.bit_length() + 2)
+    blocks = max(BLOCK_BITS, chunked.bit_length() + 2)
     width = WIDE + 1 - blocks
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {(role, i): _Held() for role in (1, 2) for i in range(N)}
+    class Sending:
+        def __init__(self):
+            self.held = {(role, i): _Held() for role in (1, 2) for i in range(N - 1)}
 
-        def out(role: int, i: int) -> pa.RecordBatch:
-            cells, n = held[role, i].merge()
-            held[role, i] = _Held()
+        def out(self, role: int, i: int) -> pa.RecordBatch:
+            cells, n = self.held[role, i].merge()
+            self.held[role, i] = _Held()
             own, first = np.unique(cells >> width, return_index=True)
             ends = [*first[1:].tolist(), len(cells)]
             data = [pack_counts(cells[a:b] & ((1 << width) - 1), n[a:b]) for a, b in zip(first.tolist(), ends)]
@@ -489,18 +668,61 @@ def _bit_counts(table: DataFrame, code: ByteCode) -> DataFrame:
                 [pa.array([role] * len(own), pa.int32()), pa.array([i] * len(own), pa.int32()),
                  pa.array(own, pa.int64()), pa.array(data, pa.binary())], ["role", "predictor", "block", "counts"])
 
+        def take(self, inside: bool, times: tuple, words: list[bytes], *around: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for lo, hi in stretches(words):
+                own = Spelling(words[lo:hi], *(x[lo:hi] for x in around))
+                often = [own.often(n[lo:hi]).astype(np.int64) for n in times]
+                for which, node, bit in code.decisions(own.data):
+                    place = own.place[which]
+                    for i in range(N - 1):
+                        near = place <= i if i < N - 2 else place == 0
+                        for role in (1, 2):
+                            use = np.flatnonzero((near != inside) & (often[role - 1][which] > 0))
+                            cells = wide_slots(own.contexts[i][which[use]], node[use]) << 1 | bit[use]
+                            if self.held[role, i].add(cells, often[role - 1][which[use]]):
+                                yield self.out(role, i)
+
+        def rest(self) -> Iterator[pa.RecordBatch]:
+            for role, i in self.held:
+                yield self.out(role, i)
+
+    def from_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to, words, n = Sending(), [], []
+
+        def taken() -> Iterator[pa.RecordBatch]:
+            order = sorted(range(len(words)), key=words.__getitem__)
+            both = np.concatenate(n, axis=1)[:, order]
+            none = np.zeros(len(words), np.int64)
+            yield from to.take(True, tuple(both), [words[k] for k in order], none, none.astype(np.uint64), np.full((len(words), 3), 300))
+
+        for b in batches:
+            words += b["word"].to_pylist()
+            n.append(np.stack([b["c"].to_numpy() - b["apart"].to_numpy(), b["apart"].to_numpy()]))
+            if len(words) >= 4 * WORDS:
+                yield from taken()
+                words, n = [], []
+        if words:
+            yield from taken()
+        yield from to.rest()
+
+    def from_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to = Sending()
         for b in batches:
-            for role, words, around, times in _types(b, (1, 2)):
-                for lo, hi in stretches(words):
-                    own = Spelling(words[lo:hi], *(x[lo:hi] for x in around))
-                    often = own.often(times[lo:hi]).astype(np.int64)
-                    for which, node, bit in code.decisions(own.data):
-                        for i in range(N):
-                            cells = wide_slots(own.contexts[i][which], node) << 1 | bit
-                            if held[role, i].add(cells, often[which]):
-                                yield out(role, i)
-        for role, i in held:
-            yield out(role, i)
+            for row in range(b.num_rows):
+                words, before, mark, word, first, others = _part(b, row)
+                tails = word_ends(words)[1]
+                _, first_of, tail = np.unique((tails[:, 0] * 512 + tails[:, 1]) * 512 + tails[:, 2], return_index=True, return_inverse=True)
+                tails = tails[first_of]
+                heads = pa.array([w[:4] for w in words], pa.binary()).dictionary_encode()
+                order = pc.sort_indices(heads.dictionary)
+                rank = np.empty(len(order), np.int64)
+                rank[order.to_numpy()] = np.arange(len(order))
+                key = (tail[before] * 65 + mark) * len(order) + rank[heads.indices.to_numpy()][word]
+                own, at = np.unique(key, return_inverse=True)
+                heads = heads.dictionary.take(order).to_pylist()
+                yield from to.take(False, tuple(np.bincount(at, n, len(own)) for n in (first, others)), [heads[h] for h in (own % len(heads)).tolist()],
+                                   own // len(heads) % 65, (own // len(heads) // 65).astype(np.uint64), tails[own // len(heads) // 65])
+        yield from to.rest()
 
     def add(key: tuple, part: pa.Table) -> pa.Table:
         roles, data, sums = part["role"].to_pylist(), part["counts"], []
@@ -514,8 +736,9 @@ def _bit_counts(table: DataFrame, code: ByteCode) -> DataFrame:
         return pa.table({"predictor": [key[0].as_py()], "block": [key[1].as_py()], "distinct": [distinct],
                          "first": [pack_counts(*sums[0])], "others": [pack_counts(*sums[1])]}, schema=_BLOCKS)
 
-    sent = table.select("roles", "lengths", "numbers", "words").coalesce(min(parts, tasks)).mapInArrow(
-        work, "role int, predictor int, block bigint, counts binary")
+    schema = "role int, predictor int, block bigint, counts binary"
+    sent = counts.select("word", "c", "apart").mapInArrow(from_words, schema).unionByName(
+        parts.select("words", "keys", "first", "others").mapInArrow(from_parts, schema))
     return sent.groupBy("predictor", "block").applyInArrow(
         add, "predictor int, block bigint, distinct bigint, first binary, others binary").withColumn("blocks", F.lit(blocks))
 
@@ -540,6 +763,8 @@ def fill(model: BitModel, counts: DataFrame, blocks: int, both: bool) -> None:
                 sums = np.zeros((1 << (bits[i] - blocks), 2), np.int64)
                 np.add.at(sums, (slot, cells & 1), n)
                 logit, seen = slot_values(sums[:, 0], sums[:, 1])
+                level = np.minimum(seen >> 1, LEVELS[1] - 1).astype(np.uint8).reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)
+                seen = np.bitwise_or.reduce(level, axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([i], pa.int32()), pa.array([block], pa.int64()),
                      pa.array([zlib.compress(logit.tobytes(), 1)], pa.binary()),
@@ -552,7 +777,7 @@ def fill(model: BitModel, counts: DataFrame, blocks: int, both: bool) -> None:
         here = slice(r["block"] * size, (r["block"] + 1) * size)
         model.logit[i][here] = np.frombuffer(zlib.decompress(r["logit"]), np.int8)
         if i in model.seen:
-            model.seen[i][here] = np.frombuffer(zlib.decompress(r["seen"]), np.int8)
+            model.seen[i][here.start >> 2:here.stop >> 2] = np.frombuffer(zlib.decompress(r["seen"]), np.uint8)
 
 
 def pack_counts(cells: np.ndarray, n: np.ndarray) -> bytes:
@@ -572,17 +797,21 @@ def unpack_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gaps.astype(np.int64)), n
 
 
-def fit(table: DataFrame) -> BitModel:
-    """Tables, weights and refinement from the chunks' training documents."""
+def fit(table: DataFrame, counts: DataFrame | None = None, parts: DataFrame | None = None) -> BitModel:
+    """Tables, weights and refinement from the chunks' training documents (``word_counts`` and ``triples``)."""
     spark = table.sparkSession
-    code = byte_code(table)
-    counts = pin(_bit_counts(table, code))
-    sizes = {r["predictor"]: r for r in counts.groupBy("predictor").agg(
+    chunked = table.count()
+    counts = pin(word_counts(table)) if counts is None else counts
+    parts = pin(triples(table, part_number(chunked))) if parts is None else parts
+    code = byte_code(counts)
+    cells = pin(_bit_counts(counts, parts, code, chunked))
+    release(spark)
+    sizes = {r["predictor"]: r for r in cells.groupBy("predictor").agg(
         F.sum("distinct").alias("n"), F.max("blocks").alias("blocks")).collect()}  # a row a predictor
     blocks = max((r["blocks"] for r in sizes.values()), default=BLOCK_BITS)
-    bits = [max(table_bits(sizes[i]["n"] if i in sizes else 0), blocks) for i in range(N)]
+    bits = [max(table_bits(sizes[i]["n"] if i in sizes else 0), blocks + 2) for i in range(N - 1)]
     model = BitModel(code, bits)
-    fill(model, counts, blocks, both=False)
+    fill(model, cells, blocks, both=False)
     held = spark.sparkContext.broadcast(model)
     del model
 
@@ -590,15 +819,21 @@ def fit(table: DataFrame) -> BitModel:
         model, tokens = held.value, 0.0
         model.weights, model.pace, model.refine = np.full((GATES, N), 1.0 / N), np.full((GATES, N), 1e-4), 0 * model.refine
         for b in batches:
-            for _, words, around, times in _types(b, (2,)):
-                tokens += model.learn(words, *around, times=times)
+            for row in range(b.num_rows):
+                words, before, mark, word, first, others = _part(b, row)
+                # a word before without left-out followers has nothing to learn from
+                use = np.flatnonzero((np.bincount(before, others, len(words)) > 0)[before] & (first + others > 0))
+                ends, first, others = word_ends(words), first[use], others[use]
+                for own, runs in _runs(words, ends, before[use], mark[use], word[use]):
+                    tokens += model.learn(runs, first[own], others[own])
         if tokens:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([tokens]), pa.array([model.weights.tobytes()], pa.binary()),
                  pa.array([model.refine.tobytes()], pa.binary())], ["tokens", "weights", "refine"])
 
-    learned = pin(table.select("roles", "lengths", "numbers", "words").mapInArrow(
-        work, "tokens double, weights binary, refine binary"))
+    with _single_rows(spark):
+        learned = pin(parts.select("words", "keys", "first", "others").mapInArrow(
+            work, "tokens double, weights binary, refine binary"))
     total, weights, refine = 0.0, np.zeros((GATES, N)), np.zeros((256 * REFINE_STEPS, 2))
     for r in learned.toLocalIterator():  # one row a task, added one at a time
         total += r["tokens"]
@@ -606,14 +841,32 @@ def fit(table: DataFrame) -> BitModel:
         refine += np.frombuffer(r["refine"]).reshape(-1, 2)
     held.destroy()
     model = BitModel(code, bits, weights / total if total else None, refine)
-    fill(model, counts, blocks, both=True)
+    fill(model, cells, blocks, both=True)
     return model
 
 
+@contextmanager
+def _single_rows(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of one row, for a part's row has all its triples."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, now)
+
+
+def part_number(chunked: int) -> int:
+    return max(LEAST_PARTS, PARTS * chunked)
+
+
 def word_counts(table: DataFrame) -> DataFrame:
-    """(word, c): how often each word (the end: the empty word) occurs in training documents, where it does."""
-    pairs = table.select(F.explode(F.arrays_zip("words", "trained")).alias("t")).filter("t.trained > 0")
-    return pairs.groupBy(F.col("t.words").alias("word")).agg(F.sum("t.trained").alias("c"))
+    """(word, c, apart): how often each word (the end: the empty word) occurs in training documents, where it does.
+
+    ``apart``: of these, in the documents left out of the first tables."""
+    pairs = table.select(F.explode(F.arrays_zip("words", "trained", "apart")).alias("t")).filter("t.trained > 0")
+    return pairs.groupBy(F.col("t.words").alias("word")).agg(F.sum("t.trained").alias("c"), F.sum("t.apart").alias("apart"))
 
 
 def score_documents(docs: DataFrame, held_out: int = 2, modulus: int = 7, id_col: str = "doc_id",
@@ -629,32 +882,49 @@ def score_documents(docs: DataFrame, held_out: int = 2, modulus: int = 7, id_col
         counts = scratch.stash(word_counts(table))
         sums = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
         tokens, distinct = sums[0] or 0, sums[1]
-        model = spark.sparkContext.broadcast(fit(table))
+        n_parts = part_number(table.count())
+        parts = scratch.stash(triples(table, n_parts))
+        release(spark)
+        model = spark.sparkContext.broadcast(fit(table, counts, parts))
         release(spark)
 
         def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for row in range(b.num_rows):
-                    _, _, key, words = _decoded(b, row)
-                    distinct_keys, at = np.unique(key, return_inverse=True)
-                    own, around = _around(distinct_keys, words, word_ends(words))
-                    cost = model.value.word_costs(own, *around)[at].astype("<f8")
+                    words, before, mark, word, first, others = _part(b, row)
+                    cost = np.empty(len(word), "<f4")
+                    for own, runs in _runs(words, word_ends(words), before, mark, word):
+                        cost[own] = model.value.word_costs(runs, (first + others)[own])
+                    at = np.cumsum(unplanes(b["at"][row].as_py(), "<i4"), dtype=np.int64)
+                    sent = np.split(cost[at], np.cumsum(b["sizes"][row].as_py())[:-1])
                     yield pa.RecordBatch.from_arrays(
-                        [b["chunk"].slice(row, 1), b["ids"].slice(row, 1), b["roles"].slice(row, 1), b["n_bytes"].slice(row, 1),
-                         b["lengths"].slice(row, 1), b["numbers"].slice(row, 1), pa.array([cost.tobytes()], pa.binary())], _COST_COLUMNS)
+                        [b["chunks"][row].values, pa.array([b["part"][row].as_py()] * len(sent), pa.int32()),
+                         pa.array([x.tobytes() for x in sent], pa.binary())], ["piece", "part", "cost"])
 
-        costs = scratch.stash(table.select("chunk", "ids", "roles", "n_bytes", "lengths", "numbers", "words").mapInArrow(
-            spelled, "chunk bigint, ids array<bigint>, roles array<tinyint>, n_bytes array<bigint>, lengths array<int>, "
-                     "numbers binary, cost binary"))
+        with _single_rows(spark):
+            costs = scratch.stash(parts.mapInArrow(spelled, "piece bigint, part int, cost binary"))
         model.destroy()
         release(spark)
         wanted = table.select(F.col("chunk").alias("piece"), F.posexplode("words").alias("i", "word"))
         known = wanted.join(counts.hint("shuffle_merge"), "word").select("piece", "i", "c")
+        known = known.unionByName(costs, allowMissingColumns=True)
 
         def base(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-            return _chunk_scores(left.combine_chunks().to_batches()[0], right, tokens, distinct) if left.num_rows else _SCORES.empty_table()
-
-        scored = scratch.stash(costs.groupBy("chunk").cogroup(known.groupBy("piece")).applyInArrow(
+            if not left.num_rows:
+                return _SCORES.empty_table()
+            row = left.combine_chunks().to_batches()[0]
+            _, keys, at, words = _decoded(row, 0)
+            part = _part_of(words.to_pylist(), n_parts)[keys // (65 * len(words))]
+            cost = np.empty(len(keys))
+            sent = right.filter(pc.is_valid(right["part"]))
+            for p, own in zip(sent["part"].to_pylist(), sent["cost"].to_pylist()):
+                cost[part == p] = np.frombuffer(own, "<f4")
+            row = row.select(["ids", "roles", "n_bytes", "lengths", "numbers"]).append_column(
+                "cost", pa.array([cost[at].tobytes()], pa.binary()))
+            return _chunk_scores(row, right.filter(pc.is_valid(right["i"])), tokens, distinct)
+
+        left = table.select("chunk", "ids", "roles", "n_bytes", "lengths", "numbers", "words")
+        scored = scratch.stash(left.groupBy("chunk").cogroup(known.groupBy("piece")).applyInArrow(
             base, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, n_bytes bigint, "
                   "scores array<double>, own array<double>"))
         sums = scored.select(F.posexplode("own").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()
@@ -665,7 +935,6 @@ def score_documents(docs: DataFrame, held_out: int = 2, modulus: int = 7, id_col
             score.alias("score"), (-score / math.log10(2) / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte")))
 
 
-_COST_COLUMNS = ["chunk", "ids", "roles", "n_bytes", "lengths", "numbers", "cost"]
 #: Shares of the exact word counts in the mixture, of which one is chosen (0: spelling alone).
 SHARES = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
