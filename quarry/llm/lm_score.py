@@ -19,6 +19,8 @@ of word lists and word numbers, written to the shared folder).  What spells a wo
 script mark and the word; chunks send their distinct ones of these with their counts to the part that the
 word before belongs to, where they are added up, so each is spelled once for the whole corpus.
 All counts of the last predictor (the word so far with the word before) arise inside that part and never travel.
+A word that occurs more than ``OFTEN`` times has several parts, by its followers' first ``HEAD`` bytes; only the counts
+of those bytes are added up over its parts (``heads``), so that no part grows with the followers of one word.
 The other predictors' bits are counted from the distinct words (contexts inside a word) and the distinct
 pairs of a word's end and the next word's start (contexts across a space), and summed block by block.
 One training document in eight is left out of the first counts, and on these each task learns the weights online,
@@ -26,6 +28,7 @@ batch by batch, and fills the refining table; weights are averaged by tokens, re
 left-out documents' bits added to the tables.  Counts are summed under ``WIDE``-bit hashes of (context, node); how
 many of these occur gives each predictor's table its size (``table_bits``), so tables grow with the corpus and at
 most two thirds of a table's slots are in use; the last predictor has such a table for each run of words before.
+Tables are broadcast in pieces and mapped from each executor's disk; neither the driver nor a task holds one in memory.
 Costs go back to the chunks as one number for each of their distinct triples.
 
 The base score is add-one unigram over exact counts of all training words: chunks send their distinct
@@ -38,8 +41,10 @@ know nothing and every decision costs one bit (and the base score is 0); other c
 
 from __future__ import annotations
 
+import ctypes
 import heapq
 import math
+import mmap
 import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -47,6 +52,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,9 +66,11 @@ WIDE = 37
 LEAST_BITS = 12
 BLOCK_BITS = 6
 #: Entries that a task holds of a predictor before it adds them up and sends them.
-HELD = 1 << 20
+HELD = 1 << 19
+#: log2 of the slots of a table that the driver, or a broadcast, holds at a time.
+PIECE_BITS = 25
 #: Text bytes of a chunk; words and spelled bytes handled at a time.
-CHUNK = 24 << 20
+CHUNK = 12 << 20
 WORDS = 40_000
 #: Distinct (word before, mark, word) handled at a time, unless one word before has more; steps looked up at a time.
 TRIPLES = 10_000
@@ -72,6 +80,9 @@ BATCH = 1024
 #: Parts by the word before, for each chunk of text, and the least number of them.
 PARTS = 2
 LEAST_PARTS = 8
+#: A word's occurrences beyond which its followers are dealt to parts of their own, by their first HEAD bytes.
+OFTEN = 1 << 18
+HEAD = 3
 PRIOR = 0.4
 LIMIT = 7.9
 STEPS = 16
@@ -207,15 +218,74 @@ def table_bits(distinct: int) -> int:
     return min(max(LEAST_BITS, math.ceil(math.log2(max(1.5 * distinct, 1)))), WIDE)
 
 
+class Table:
+    """A predictor's slots: a byte each, the logit in steps of 1 / STEPS; for the gate also a level, four slots a byte.
+
+    Each piece of them is a broadcast of its own.  A task maps the copy that its executor has on disk, so tables are
+    in no process's memory, however large they are.
+    """
+
+    def __init__(self, bits: int, pieces: list[Broadcast]):
+        self.pieces = pieces
+        self.width = bits - (len(pieces) - 1).bit_length()
+
+    def __getstate__(self) -> dict:
+        return {"pieces": self.pieces, "width": self.width}
+
+    def opened(self) -> list[np.ndarray]:
+        if "held" not in self.__dict__:
+            self.held = [_mapped(x) for x in self.pieces]
+        return self.held
+
+    def logits(self, at: np.ndarray) -> np.ndarray:
+        return self._read(at, self.width, 0).view(np.int8)
+
+    def levels(self, at: np.ndarray) -> np.ndarray:
+        return self._read(at >> 2, self.width - 2, 1 << self.width) >> ((at & 3) << 1).astype(np.uint8) & 3
+
+    def _read(self, at: np.ndarray, width: int, skip: int) -> np.ndarray:
+        pieces = [x[skip:skip + (1 << width)] for x in self.opened()]
+        if len(pieces) == 1:
+            return pieces[0][at]
+        out, piece = np.empty(len(at), np.uint8), at >> width
+        for k, x in enumerate(pieces):
+            own = np.flatnonzero(piece == k)
+            out[own] = x[at[own] & ((1 << width) - 1)]
+        return out
+
+
+#: What a table's piece begins with in its broadcast.
+_BEGIN = b"piece of a table"
+
+
+def _mapped(piece: Broadcast) -> np.ndarray:
+    """A piece's bytes, from the file that holds the broadcast's pickled value where there is such a file."""
+    path = getattr(piece, "_path", None)
+    if path and not hasattr(piece, "_value"):
+        with open(path, "rb") as file:
+            data = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+        at = data.find(_BEGIN, 0, 1024)
+        if at >= 0:
+            return np.frombuffer(data, np.uint8, offset=at + len(_BEGIN))
+    return np.frombuffer(piece.value, np.uint8, offset=len(_BEGIN))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on between tasks, beside others of its executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass
+
+
 class BitModel:
-    """Counts of zeros and ones by slot (but the last predictor's), mixing weights by gate, and the refining table."""
+    """Tables (but the last predictor's), mixing weights by gate, and the refining table."""
 
     def __init__(self, code: ByteCode, bits: list[int], weights: np.ndarray | None = None,
                  refine: np.ndarray | None = None):
         self.code, self.bits = code, bits
-        # a byte a slot: the logit in steps of 1 / STEPS; for the gate's predictor also its level, four slots a byte
-        self.logit = [np.zeros(1 << b, np.int8) for b in bits]
-        self.seen = {N - 2: np.zeros(1 << bits[N - 2] - 2, np.uint8)}
+        self.tables: list[Table] = []
         self.weights = np.full((GATES, N), 1.0 / N) if weights is None else weights
         self.pace = np.full((GATES, N), 1e-4)
         self.refine = np.zeros((256 * REFINE_STEPS, 2)) if refine is None else refine
@@ -246,9 +316,9 @@ class BitModel:
             h *= _FACTORS[N + 2]
             h >>= np.uint64(64 - self.bits[i])
             at = h.view(np.int64)
-            x[i] = self.logit[i][at]
+            x[i] = self.tables[i].logits(at)
             if i == N - 2:
-                gate = (self.seen[i][at >> 2] >> ((at & 3) << 1).astype(np.uint8) & 3).astype(np.int64)
+                gate = self.tables[i].levels(at).astype(np.int64)
         x[:N - 1] *= np.float32(1 / STEPS)
         at = wide & (len(last) // 2 - 1)
         zero, one = last[2 * at], last[2 * at + 1]
@@ -269,28 +339,42 @@ class BitModel:
         """Cells of the refining table."""
         return node * REFINE_STEPS + np.rint((logit + np.float32(LIMIT)) * np.float32((REFINE_STEPS - 1) / (2 * LIMIT))).astype(np.int64)
 
-    def counted(self, runs: list[tuple], times: np.ndarray) -> tuple[np.ndarray, list | None]:
-        """The last predictor's counts by slot and bit, of triples that occur ``times``; the spelling if it is one run."""
+    def counted(self, runs: list[tuple], times: np.ndarray, head: tuple | None = None) -> tuple[np.ndarray, list | None]:
+        """The last predictor's counts by slot and bit, of triples that occur ``times``; the spelling if it is one run.
+
+        ``head``: first bytes of all words after the word before, whose followers are in several parts, and their
+        occurrences."""
         kept, last = None, None
         if len(runs) == 1:
             own = Spelling(*runs[0][1:])
             kept = own, list(self.blocks(own))
         total = sum(len(b[2]) for b in kept[1]) if kept else sum(int(self.code.size[Spelling(*r[1:]).data].sum()) for r in runs)
+        every = [(run, times[at], slice(0, None) if head is None else slice(HEAD, None)) for at, *run in runs]
+        if head is not None:
+            words, n = head
+            begun = words, np.zeros(len(words), np.int64), np.repeat(runs[0][3][:1], len(words)), np.full((len(words), 3), 300)
+            every.append((begun, n, slice(0, HEAD)))
+            total += int(self.code.size[Spelling(*begun).data].sum())
         slots = 1 << table_bits(total)
-        for at, *run in runs:
-            own, blocks = kept or (o := Spelling(*run), self.blocks(o))
-            often = own.often(times[at])
+        for k, (run, n, places) in enumerate(every):
+            own, blocks = kept if kept and k == 0 else (o := Spelling(*run), self.blocks(o))
+            often = own.often(n)
+            if head is not None:
+                often[(own.place < places.start) if places.start else (own.place >= places.stop)] = 0
             cells, n = [], []
             for _, _, which, _, bit, wide in blocks:
                 cells.append((wide & (slots - 1)) << 1 | bit)
                 n.append(often[which])
-            more = np.bincount(np.concatenate(cells), np.concatenate(n), 2 * slots).astype(np.float32)
-            last = more if last is None else last + more
+            if len(every) == 1:
+                last = np.bincount(np.concatenate(cells), np.concatenate(n), 2 * slots).astype(np.float32)
+            else:
+                last = np.zeros(2 * slots, np.float32) if last is None else last
+                np.add.at(last, np.concatenate(cells), np.concatenate(n).astype(np.float32))
         return last, kept
 
-    def word_costs(self, runs: list[tuple], times: np.ndarray) -> np.ndarray:
+    def word_costs(self, runs: list[tuple], times: np.ndarray, head: tuple | None = None) -> np.ndarray:
         """-log2 of the probability of each triple of ``runs`` (see ``_runs``); ``times``: occurrences in training."""
-        last, kept = self.counted(runs, times)
+        last, kept = self.counted(runs, times, head)
         cost = np.zeros(len(times), np.float32)
         refined = ((self.refine[:, 1] + 0.0) / (total := self.refine.sum(axis=1) + REFINE_PRIOR)).astype(np.float32)
         pull = (REFINE_PRIOR / total).astype(np.float32)
@@ -307,13 +391,13 @@ class BitModel:
             cost[at] = np.bincount(own.word, each[own.step], len(run[0])) / -math.log(2)
         return cost
 
-    def learn(self, runs: list[tuple], first: np.ndarray, times: np.ndarray) -> float:
+    def learn(self, runs: list[tuple], first: np.ndarray, times: np.ndarray, head: tuple | None = None) -> float:
         """Online steps over triples that occur ``times`` in the left-out documents, and ``first`` in the others.
 
         Returns the tokens learned from.  Weights move against the gradient of the coding cost, each at a
         pace that falls with the gradients it has met.
         """
-        last, kept = self.counted(runs, first)
+        last, kept = self.counted(runs, first, head)
         for at, *run in runs:
             own = kept[0] if kept else Spelling(*run)
             often = own.often(times[at])
@@ -335,6 +419,11 @@ class BitModel:
                         self.weights[:, i] += RATE * change / np.sqrt(self.pace[:, i])
         return float(times.sum())
 
+    def destroy(self) -> None:
+        for table in self.tables:
+            for piece in table.pieces:
+                piece.destroy()
+
 
 _SALTS = np.arange(256, dtype=np.uint64) * _FACTORS[N + 1]
 #: The gate's upper part by how often the last predictor's slot was counted.
@@ -410,6 +499,7 @@ def chunks(docs: DataFrame, held_out: int, modulus: int) -> DataFrame:
                 held += int(size[lo:hi].sum()) + 8 * (hi - lo)
                 if held >= CHUNK:
                     yield out()
+                    give_back()
                     ids, sizes, roles, counts, found, held, no = [], [], [], [], [], 0, no + 1
                 lo = hi
         if ids:
@@ -472,15 +562,24 @@ def _decoded(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, n
     lengths = np.array(batch["lengths"][row].as_py(), np.int64)
     flat = unpack(batch["numbers"][row].as_py(), lengths)
     words = batch["words"][row].values
-    mark = np.array([script_mark(w) if w else 65 for w in words.to_pylist()], np.int64)[flat]  # an end sets the mark back
-    last = np.maximum.accumulate(np.where(mark > 0, np.arange(len(mark)), 0))
-    before = np.concatenate([[0], mark[last][:-1]]) % 65
+    mark = np.array([script_mark(w) if w else 65 for w in words.to_pylist()], np.int8)[flat]  # an end sets the mark back
+    last = np.where(mark > 0, np.arange(len(mark), dtype=np.int32), np.int32(0))
+    np.maximum.accumulate(last, out=last)
+    before = np.zeros(len(mark), np.int8)
+    before[1:] = mark[last[:-1]] % 65
     order = pc.sort_indices(words)
-    rank = np.empty(len(words), np.int64)
+    rank = np.empty(len(words), np.int32)
     rank[order.to_numpy()] = np.arange(len(words))
     own = rank[flat]
-    behind = np.concatenate([[0], own[:-1]])  # the empty word is the first in order
-    keys, at = np.unique((behind * 65 + before) * len(words) + own, return_inverse=True)
+    del flat, mark, last
+    key = np.zeros(len(own), np.int64)
+    key[1:] = own[:-1]  # the word before; the empty word is the first in order
+    key *= 65
+    key += before
+    key *= len(words)
+    key += own
+    del own, before
+    keys, at = np.unique(key, return_inverse=True)
     return lengths, keys, at, words.take(order)
 
 
@@ -489,13 +588,81 @@ def _part_of(words: list[bytes], parts: int) -> np.ndarray:
     return ((word_ends(words)[0] >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
 
 
-def triples(table: DataFrame, parts: int) -> DataFrame:
+class Layout:
+    """The part of each triple: by the word before; of a word that occurs ``often`` also by the first bytes of its follower.
+
+    So no part grows with the followers of one word.  ``split`` has the first part and the number of parts of such
+    words; what of them is counted over all their parts is in ``heads``.
+    """
+
+    def __init__(self, parts: int, often: dict[bytes, int] | None = None):
+        self.parts = self.total = parts
+        self.split: dict[bytes, tuple[int, int]] = {}
+        for word, n in sorted((often or {}).items()):
+            self.split[word] = self.total, -(-n // OFTEN)
+            self.total += self.split[word][1]
+
+    def of(self, words: pa.Array, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """``before`` and ``word`` are places in the distinct ``words``, ``before`` in ascending order."""
+        every = words.to_pylist()
+        part = _part_of(every, self.parts)[before]
+        if not self.split:
+            return part
+        begin = word_ends([w[:HEAD] for w in every])[0] >> np.uint64(20)
+        for place, (lo, n) in zip(pc.index_in(pa.array(list(self.split), pa.binary()), words).to_pylist(), self.split.values()):
+            if place is not None:
+                own = slice(*np.searchsorted(before, [place, place + 1]))
+                part[own] = lo + (begin[word[own]] % np.uint64(n)).astype(np.int64)
+        return part
+
+
+def layout(counts: DataFrame, chunked: int) -> Layout:
+    """``counts``: see ``word_counts``; at most a word for every OFTEN training tokens is collected."""
+    return Layout(part_number(chunked), {bytes(r["word"]): r["c"] for r in counts.filter(F.col("c") > OFTEN).select("word", "c").collect()})
+
+
+def heads(parts: DataFrame, layout: Layout) -> dict[bytes, list[tuple[bytes, bytes, bytes]]]:
+    """By word with parts of its own: the first bytes of all its followers, with their counts as ``triples`` has them."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                words, before, _, word, *counts = _part(b, row)
+                code = pa.array([w[:HEAD] for w in words], pa.binary()).dictionary_encode()
+                at = code.indices.to_numpy()[word]
+                used, at = np.unique(at, return_inverse=True)
+                n = [np.bincount(at, x, len(used)).astype("<i8") for x in counts]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x], pa.binary()) for x in (words[before[0]], zlib.compress(b" ".join(code.dictionary.take(pa.array(used)).to_pylist()), 1),
+                                                          *(zlib.compress(planes(x), 1) for x in n))], ["before", "heads", "first", "others"])
+
+    found: dict[bytes, list[tuple[bytes, bytes, bytes]]] = {}
+    if layout.split:
+        own = parts.filter(F.col("part") >= layout.parts).select("words", "keys", "first", "others")
+        for r in pin(own.mapInArrow(work, "before binary, heads binary, first binary, others binary")).toLocalIterator():
+            found.setdefault(bytes(r["before"]), []).append(tuple(bytes(r[c]) for c in ("heads", "first", "others")))
+    return found
+
+
+def _head(found: dict, part: int, layout: Layout, before: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray] | None:
+    """(first bytes of all words after ``before``, counts kept for the tables, left-out counts), if it has parts of its own."""
+    if part < layout.parts:
+        return None
+    words, first, others = zip(*((zlib.decompress(w).split(b" "), *(unplanes(zlib.decompress(x), "<i8") for x in n)) for w, *n in found[before]))
+    words = [w for ws in words for w in ws]
+    order = sorted(range(len(words)), key=words.__getitem__)
+    return [words[k] for k in order], np.concatenate(first)[order], np.concatenate(others)[order]
+
+
+def triples(table: DataFrame, layout: Layout | int) -> DataFrame:
     """One row a part: its distinct (word before, mark, word) in order, with their counts, and where chunks have them.
 
     ``keys`` are gaps between keys (as ``_decoded`` has them, over the part's own ``words``); ``first`` and
     ``others`` count training documents kept for the tables and left out; ``at`` has the places of the
     triples of each of ``chunks``, ``sizes`` many, in the chunk's order.
     """
+    layout = Layout(layout) if isinstance(layout, int) else layout
+    parts = layout.total
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
@@ -504,7 +671,7 @@ def triples(table: DataFrame, parts: int) -> DataFrame:
                 first, others = (np.bincount(at[role == r], minlength=len(keys)) for r in (1, 2))
                 before, word = np.divmod(keys, len(words))
                 before, mark = np.divmod(before, 65)
-                part = _part_of(words.to_pylist(), parts).astype(np.int16 if parts < 1 << 15 else np.int64)[before]
+                part = layout.of(words, before, word).astype(np.int16 if parts < 1 << 15 else np.int64)
                 order = np.argsort(part, kind="stable")
                 ends = np.searchsorted(part[order], np.arange(parts + 1))
                 rank = np.empty(len(words), np.int32)
@@ -523,10 +690,13 @@ def triples(table: DataFrame, parts: int) -> DataFrame:
                         [pa.array([p], pa.int32()), b["chunk"].slice(row, 1), pa.array([zlib.compress(b" ".join(words.take(pa.array(used)).to_pylist()), 1)], pa.binary()),
                          *(pa.array([planes(d)], pa.binary()) for d in data)],
                         ["part", "chunk", "words", "before", "word", "mark", "first", "others"])
+                del lengths, keys, at, words, role, first, others, before, word, mark, part, order
+                give_back()
 
     def merge(key: tuple, rows: pa.Table) -> pa.Table:
-        lists = [zlib.decompress(w).split(b" ") for w in rows["words"].to_pylist()]
-        code = pa.array([w for ws in lists for w in ws], pa.binary()).dictionary_encode()
+        lists = pc.split_pattern(pa.chunked_array([pa.array([zlib.decompress(w)], pa.large_binary()) for w in rows["words"].to_pylist()]), b" ")
+        many = pc.list_value_length(lists).to_pylist()
+        code = pc.cast(lists.combine_chunks().flatten(), pa.binary()).dictionary_encode()
         order = pc.sort_indices(code.dictionary)
         rank = np.empty(len(order), np.int64)
         rank[order.to_numpy()] = np.arange(len(order))
@@ -534,7 +704,7 @@ def triples(table: DataFrame, parts: int) -> DataFrame:
         read = lambda c, kind: [unplanes(x, kind) for x in rows[c].to_pylist()]
         mark = read("mark", "u1")
         sizes = [len(x) for x in mark]
-        shift = np.repeat(np.cumsum([0, *map(len, lists)])[:-1], sizes)
+        shift = np.repeat(np.cumsum([0, *many])[:-1], sizes)
         before, word = (place[np.concatenate([np.cumsum(x) for x in read(c, "<i4")]) + shift] for c in ("before", "word"))
         keys, at = np.unique((before * 65 + np.concatenate(mark)) * len(order) + word, return_inverse=True)
         n = [np.bincount(at, np.concatenate(read(c, "<i8")), len(keys)).astype("<i8") for c in ("first", "others")]
@@ -720,8 +890,11 @@ def _bit_counts(counts: DataFrame, parts: DataFrame, code: ByteCode, chunked: in
                 key = (tail[before] * 65 + mark) * len(order) + rank[heads.indices.to_numpy()][word]
                 own, at = np.unique(key, return_inverse=True)
                 heads = heads.dictionary.take(order).to_pylist()
-                yield from to.take(False, tuple(np.bincount(at, n, len(own)) for n in (first, others)), [heads[h] for h in (own % len(heads)).tolist()],
+                times = tuple(np.bincount(at, n, len(own)) for n in (first, others))
+                del words, before, mark, word, first, others, key, at, tail
+                yield from to.take(False, times, [heads[h] for h in (own % len(heads)).tolist()],
                                    own // len(heads) % 65, (own // len(heads) // 65).astype(np.uint64), tails[own // len(heads) // 65])
+                give_back()
         yield from to.rest()
 
     def add(key: tuple, part: pa.Table) -> pa.Table:
@@ -750,6 +923,8 @@ _BLOCKS = pa.schema([("predictor", pa.int32()), ("block", pa.int64()), ("distinc
 def fill(model: BitModel, counts: DataFrame, blocks: int, both: bool) -> None:
     """Set the model's tables from summed counts, block by block; ``both``: also from the left-out documents'."""
     bits, width = model.bits, WIDE + 1 - blocks
+    # a piece holds whole blocks
+    pieces = [max(0, min(b - PIECE_BITS, blocks)) for b in bits]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -766,18 +941,27 @@ def fill(model: BitModel, counts: DataFrame, blocks: int, both: bool) -> None:
                 level = np.minimum(seen >> 1, LEVELS[1] - 1).astype(np.uint8).reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)
                 seen = np.bitwise_or.reduce(level, axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i], pa.int32()), pa.array([block], pa.int64()),
+                    [pa.array([i], pa.int32()), pa.array([block >> blocks - pieces[i]], pa.int64()), pa.array([block], pa.int64()),
                      pa.array([zlib.compress(logit.tobytes(), 1)], pa.binary()),
-                     pa.array([zlib.compress(seen.tobytes(), 1)], pa.binary())], ["predictor", "block", "logit", "seen"])
-
-    made = counts.select("predictor", "block", "first", "others").mapInArrow(
-        work, "predictor int, block bigint, logit binary, seen binary")
-    for r in pin(made).toLocalIterator():
-        i, size = r["predictor"], 1 << (bits[r["predictor"]] - blocks)
-        here = slice(r["block"] * size, (r["block"] + 1) * size)
-        model.logit[i][here] = np.frombuffer(zlib.decompress(r["logit"]), np.int8)
-        if i in model.seen:
-            model.seen[i][here.start >> 2:here.stop >> 2] = np.frombuffer(zlib.decompress(r["seen"]), np.uint8)
+                     pa.array([zlib.compress(seen.tobytes(), 1)], pa.binary())], ["predictor", "piece", "block", "logit", "seen"])
+
+    made = pin(counts.select("predictor", "block", "first", "others").mapInArrow(
+        work, "predictor int, piece bigint, block bigint, logit binary, seen binary"))
+    model.tables = []
+    for i, b in enumerate(bits):
+        held, size = [], 1 << b - pieces[i]
+        for piece in range(1 << pieces[i]):
+            data = bytearray(len(_BEGIN) + size + (size >> 2 if i == N - 2 else 0))
+            data[:len(_BEGIN)] = _BEGIN
+            for r in made.filter((F.col("predictor") == i) & (F.col("piece") == piece)).collect():  # one piece of a table
+                for c, part, skip in (("logit", 1 << b - blocks, 0), ("seen", 1 << b - blocks - 2, size)):
+                    if c == "logit" or i == N - 2:
+                        at = len(_BEGIN) + skip + (r["block"] - (piece << blocks - pieces[i])) * part
+                        data[at:at + part] = zlib.decompress(r[c])
+            held.append(counts.sparkSession.sparkContext.broadcast(data))
+            del data
+            give_back()
+        model.tables.append(Table(b, held))
 
 
 def pack_counts(cells: np.ndarray, n: np.ndarray) -> bytes:
@@ -797,52 +981,56 @@ def unpack_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gaps.astype(np.int64)), n
 
 
-def fit(table: DataFrame, counts: DataFrame | None = None, parts: DataFrame | None = None) -> BitModel:
-    """Tables, weights and refinement from the chunks' training documents (``word_counts`` and ``triples``)."""
+def fit(table: DataFrame, counts: DataFrame | None = None, parts: DataFrame | None = None, dealt: Layout | None = None,
+        begun: Broadcast | None = None) -> BitModel:
+    """Tables, weights and refinement from the chunks' training documents (``word_counts``, ``triples``, ``layout``, ``heads``)."""
     spark = table.sparkSession
     chunked = table.count()
     counts = pin(word_counts(table)) if counts is None else counts
-    parts = pin(triples(table, part_number(chunked))) if parts is None else parts
+    dealt = dealt or Layout(part_number(chunked))
+    parts = pin(triples(table, dealt)) if parts is None else parts
     code = byte_code(counts)
-    cells = pin(_bit_counts(counts, parts, code, chunked))
-    release(spark)
-    sizes = {r["predictor"]: r for r in cells.groupBy("predictor").agg(
-        F.sum("distinct").alias("n"), F.max("blocks").alias("blocks")).collect()}  # a row a predictor
-    blocks = max((r["blocks"] for r in sizes.values()), default=BLOCK_BITS)
-    bits = [max(table_bits(sizes[i]["n"] if i in sizes else 0), blocks + 2) for i in range(N - 1)]
-    model = BitModel(code, bits)
-    fill(model, cells, blocks, both=False)
-    held = spark.sparkContext.broadcast(model)
-    del model
+    with Scratch(spark) as scratch:
+        cells = scratch.stash(_bit_counts(counts, parts, code, chunked))
+        release(spark)
+        sizes = {r["predictor"]: r for r in cells.groupBy("predictor").agg(
+            F.sum("distinct").alias("n"), F.max("blocks").alias("blocks")).collect()}  # a row a predictor
+        blocks = max((r["blocks"] for r in sizes.values()), default=BLOCK_BITS)
+        bits = [max(table_bits(sizes[i]["n"] if i in sizes else 0), blocks + 2) for i in range(N - 1)]
+        model = BitModel(code, bits)
+        fill(model, cells, blocks, both=False)
+        start = model
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model, tokens = start, 0.0
+            model.weights, model.pace, model.refine = np.full((GATES, N), 1.0 / N), np.full((GATES, N), 1e-4), 0 * model.refine
+            for b in batches:
+                for row in range(b.num_rows):
+                    words, before, mark, word, first, others = _part(b, row)
+                    # a word before without left-out followers has nothing to learn from
+                    use = np.flatnonzero((np.bincount(before, others, len(words)) > 0)[before] & (first + others > 0))
+                    head = _head(begun.value, b["part"][row].as_py(), dealt, words[before[0]]) if begun and len(before) else None
+                    ends, first, others = word_ends(words), first[use], others[use]
+                    for own, runs in _runs(words, ends, before[use], mark[use], word[use]):
+                        tokens += model.learn(runs, first[own], others[own], head and head[:2])
+                    give_back()
+            if tokens:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([tokens]), pa.array([model.weights.tobytes()], pa.binary()),
+                     pa.array([model.refine.tobytes()], pa.binary())], ["tokens", "weights", "refine"])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, tokens = held.value, 0.0
-        model.weights, model.pace, model.refine = np.full((GATES, N), 1.0 / N), np.full((GATES, N), 1e-4), 0 * model.refine
-        for b in batches:
-            for row in range(b.num_rows):
-                words, before, mark, word, first, others = _part(b, row)
-                # a word before without left-out followers has nothing to learn from
-                use = np.flatnonzero((np.bincount(before, others, len(words)) > 0)[before] & (first + others > 0))
-                ends, first, others = word_ends(words), first[use], others[use]
-                for own, runs in _runs(words, ends, before[use], mark[use], word[use]):
-                    tokens += model.learn(runs, first[own], others[own])
-        if tokens:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([tokens]), pa.array([model.weights.tobytes()], pa.binary()),
-                 pa.array([model.refine.tobytes()], pa.binary())], ["tokens", "weights", "refine"])
-
-    with _single_rows(spark):
-        learned = pin(parts.select("words", "keys", "first", "others").mapInArrow(
-            work, "tokens double, weights binary, refine binary"))
-    total, weights, refine = 0.0, np.zeros((GATES, N)), np.zeros((256 * REFINE_STEPS, 2))
-    for r in learned.toLocalIterator():  # one row a task, added one at a time
-        total += r["tokens"]
-        weights += r["tokens"] * np.frombuffer(r["weights"]).reshape(GATES, N)
-        refine += np.frombuffer(r["refine"]).reshape(-1, 2)
-    held.destroy()
-    model = BitModel(code, bits, weights / total if total else None, refine)
-    fill(model, cells, blocks, both=True)
-    return model
+        with _single_rows(spark):
+            learned = pin(parts.select("part", "words", "keys", "first", "others").mapInArrow(
+                work, "tokens double, weights binary, refine binary"))
+        total, weights, refine = 0.0, np.zeros((GATES, N)), np.zeros((256 * REFINE_STEPS, 2))
+        for r in learned.toLocalIterator():  # one row a task, added one at a time
+            total += r["tokens"]
+            weights += r["tokens"] * np.frombuffer(r["weights"]).reshape(GATES, N)
+            refine += np.frombuffer(r["refine"]).reshape(-1, 2)
+        start.destroy()
+        model = BitModel(code, bits, weights / total if total else None, refine)
+        fill(model, cells, blocks, both=True)
+        return model
 
 
 @contextmanager
@@ -882,10 +1070,12 @@ def score_documents(docs: DataFrame, held_out: int = 2, modulus: int = 7, id_col
         counts = scratch.stash(word_counts(table))
         sums = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
         tokens, distinct = sums[0] or 0, sums[1]
-        n_parts = part_number(table.count())
-        parts = scratch.stash(triples(table, n_parts))
+        dealt = layout(counts, table.count())
+        with _single_rows(spark):
+            parts = scratch.stash(triples(table, dealt))
+            begun = spark.sparkContext.broadcast(heads(parts, dealt))
         release(spark)
-        model = spark.sparkContext.broadcast(fit(table, counts, parts))
+        model = fit(table, counts, parts, dealt, begun)
         release(spark)
 
         def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -893,20 +1083,25 @@ def score_documents(docs: DataFrame, held_out: int = 2, modulus: int = 7, id_col
                 for row in range(b.num_rows):
                     words, before, mark, word, first, others = _part(b, row)
                     cost = np.empty(len(word), "<f4")
+                    head = _head(begun.value, b["part"][row].as_py(), dealt, words[before[0]]) if len(before) else None
                     for own, runs in _runs(words, word_ends(words), before, mark, word):
-                        cost[own] = model.value.word_costs(runs, (first + others)[own])
+                        cost[own] = model.word_costs(runs, (first + others)[own], head and (head[0], head[1] + head[2]))
                     at = np.cumsum(unplanes(b["at"][row].as_py(), "<i4"), dtype=np.int64)
                     sent = np.split(cost[at], np.cumsum(b["sizes"][row].as_py())[:-1])
                     yield pa.RecordBatch.from_arrays(
                         [b["chunks"][row].values, pa.array([b["part"][row].as_py()] * len(sent), pa.int32()),
-                         pa.array([x.tobytes() for x in sent], pa.binary())], ["piece", "part", "cost"])
+                         pa.array([planes(x) for x in sent], pa.binary())], ["piece", "part", "cost"])
+                    give_back()
 
         with _single_rows(spark):
             costs = scratch.stash(parts.mapInArrow(spelled, "piece bigint, part int, cost binary"))
         model.destroy()
+        begun.destroy()
+        scratch.remove(3)  # the parts: their costs are written
         release(spark)
         wanted = table.select(F.col("chunk").alias("piece"), F.posexplode("words").alias("i", "word"))
-        known = wanted.join(counts.hint("shuffle_merge"), "word").select("piece", "i", "c")
+        known = scratch.stash(wanted.join(counts.hint("shuffle_merge"), "word").select("piece", "i", "c"))
+        release(spark)
         known = known.unionByName(costs, allowMissingColumns=True)
 
         def base(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -914,11 +1109,15 @@ def score_documents(docs: DataFrame, held_out: int = 2, modulus: int = 7, id_col
                 return _SCORES.empty_table()
             row = left.combine_chunks().to_batches()[0]
             _, keys, at, words = _decoded(row, 0)
-            part = _part_of(words.to_pylist(), n_parts)[keys // (65 * len(words))]
+            part = dealt.of(words, keys // (65 * len(words)), keys % len(words))
+            order = np.argsort(part.astype(np.int16 if dealt.total < 1 << 15 else np.int64), kind="stable")
+            ends = np.searchsorted(part[order], np.arange(dealt.total + 1))
             cost = np.empty(len(keys))
             sent = right.filter(pc.is_valid(right["part"]))
             for p, own in zip(sent["part"].to_pylist(), sent["cost"].to_pylist()):
-                cost[part == p] = np.frombuffer(own, "<f4")
+                cost[order[ends[p]:ends[p + 1]]] = unplanes(own, "<f4")
+            del keys, words, part, order, ends, sent
+            give_back()
             row = row.select(["ids", "roles", "n_bytes", "lengths", "numbers"]).append_column(
                 "cost", pa.array([cost[at].tobytes()], pa.binary()))
             return _chunk_scores(row, right.filter(pc.is_valid(right["i"])), tokens, distinct)
